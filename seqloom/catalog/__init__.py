@@ -36,4 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import prepare  # noqa: F401
+    from . import prepare, scans  # noqa: F401

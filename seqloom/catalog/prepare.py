@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import count_eq, digest
-from ..functions.portable import uniform_sql
+from ..functions.portable import r6, r6_sql, uniform_sql
 from ..operators.mixing import cap, shuffle, standardize, take
 from ..operators.sequences import (
     BOS_ID,
@@ -218,7 +218,7 @@ s AS (SELECT count(*) AS sequences, coalesce(sum(len(list_filter(context_ids, la
 SELECT CAST(s.sequences AS BIGINT) AS sequences,
        CAST(s.sequences * {SEQ_LEN + 1} AS BIGINT) AS total_tokens,
        CAST({SEQ_LEN} AS BIGINT) AS seq_len,
-       round(CASE WHEN s.sequences > 0 THEN s.masked / (s.sequences * {SEQ_LEN + 1}) END, 6) AS mask_rate,
+       {r6_sql(f"CASE WHEN s.sequences > 0 THEN s.masked / (s.sequences * {SEQ_LEN + 1}) END")} AS mask_rate,
        CAST((SELECT sum(tokens_in) FROM g) AS BIGINT) AS tokens_in,
        CAST((SELECT sum(tokens_in - chunks * {SEQ_LEN + 1}) FROM g) AS BIGINT) AS tokens_dropped,
        CAST((SELECT count(*) FROM g) AS BIGINT) AS groups,
@@ -230,4 +230,4 @@ def t5_report(spark, sf_dir):
     seqs = pack(enc, seq_len=SEQ_LEN, group_docs=SMALL_GROUP)
     prs = mask_pairs(seqs, p=MASK_P, mask_id=MASK_ID, seed=SEED)
     rep = pack_report(pack_groups(enc, SEQ_LEN, group_docs=SMALL_GROUP), prs, SEQ_LEN, mask_id=MASK_ID)
-    return rep.withColumn("mask_rate", F.round("mask_rate", 6))
+    return rep.withColumn("mask_rate", r6("mask_rate"))

@@ -51,3 +51,19 @@ def normal_sql(seed, *parts: str) -> str:
     u1 = uniform_sql(seed, *parts, "'a'")
     u2 = uniform_sql(seed, *parts, "'b'")
     return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2.0 * math.pi!r} * {u2}))"
+
+
+def r6(col) -> Column:
+    """Round for cross-engine comparison: nudge by 1e-9, then 6 digits.
+
+    Values with few decimals land exactly on a rounding tie, where two
+    engines' last-ulp differences pick different sides; the nudge moves exact
+    ties off the boundary the same way in both engines.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    # "+ 0.0" turns a negative zero into a positive one
+    return F.round(c + F.lit(1e-9), 6) + F.lit(0.0)
+
+
+def r6_sql(expr: str) -> str:
+    return f"(round(({expr}) + 1e-9, 6) + 0.0)"
