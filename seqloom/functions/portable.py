@@ -53,6 +53,16 @@ def normal_sql(seed, *parts: str) -> str:
     return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2.0 * math.pi!r} * {u2}))"
 
 
+def rnd(col, digits: int) -> Column:
+    """``r6`` at another precision, for large magnitudes (e.g. money sums at 2 digits)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c + F.lit(1e-9), int(digits)) + F.lit(0.0)
+
+
+def rnd_sql(expr: str, digits: int) -> str:
+    return f"(round(({expr}) + 1e-9, {int(digits)}) + 0.0)"
+
+
 def r6(col) -> Column:
     """Round for cross-engine comparison: nudge by 1e-9, then 6 digits.
 
