@@ -36,4 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import matrix, metrics, prepare, sampling, scans  # noqa: F401
+    from . import io, matrix, metrics, prepare, sampling, scans  # noqa: F401

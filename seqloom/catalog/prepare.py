@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import count_eq, digest
 from ..functions.portable import r6, r6_sql, uniform_sql
-from ..operators.mixing import cap, shuffle, standardize, take
+from ..operators.mixing import cap, shuffle, standardize, take, truncate
 from ..operators.sequences import (
     BOS_ID,
     MASK_ID,
@@ -231,3 +231,15 @@ def t5_report(spark, sf_dir):
     prs = mask_pairs(seqs, p=MASK_P, mask_id=MASK_ID, seed=SEED)
     rep = pack_report(pack_groups(enc, SEQ_LEN, group_docs=SMALL_GROUP), prs, SEQ_LEN, mask_id=MASK_ID)
     return rep.withColumn("mask_rate", r6("mask_rate"))
+
+
+@register(
+    "c2_truncate",
+    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, GROUP_DOCS), _sql_masked())
+    + f""",
+cut AS (SELECT seq_id, context_ids[1:{SEQ_LEN}] AS context_ids, target_ids[1:{SEQ_LEN}] AS target_ids FROM masked)"""
+    + _sql_pair_digest("cut"),
+)
+def c2_truncate(spark, sf_dir):
+    # the loader cuts the packed seq_len + 1 tokens to the model length seq_len
+    return pair_digest(truncate(pairs(spark, sf_dir), ["context_ids", "target_ids"], SEQ_LEN))
