@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import count_eq, digest
-from ..functions.portable import r6, r6_sql, uniform_sql
+from ..functions.portable import r6, r6_sql, uniform_int_sql, uniform_sql
 from ..operators.mixing import cap, shuffle, standardize, take, truncate
 from ..operators.sequences import (
     BOS_ID,
@@ -109,12 +109,15 @@ packed AS (
 
 
 def _sql_masked() -> str:
-    u = uniform_sql(SEED, "seq_id", "i - 1")
+    # per-token rows so that the integer mixer is written once per token
+    u = uniform_int_sql(SEED, "seq_id", "pos")
     return f"""
+mtok AS (SELECT seq_id, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) - 1 AS pos FROM packed),
+mdraw AS (SELECT seq_id, pos, t, {u} AS u FROM mtok),
 masked AS (
-  SELECT seq_id, list_transform(input_ids, lambda t, i: CASE WHEN {u} < {MASK_P} THEN {MASK_ID} ELSE t END) AS context_ids,
-         input_ids AS target_ids
-  FROM packed)"""
+  SELECT seq_id, list(CASE WHEN u < {MASK_P} THEN {MASK_ID} ELSE t END ORDER BY pos) AS context_ids,
+         list(t ORDER BY pos) AS target_ids
+  FROM mdraw GROUP BY seq_id)"""
 
 
 def _sql_pair_digest(src: str = "masked") -> str:

@@ -77,3 +77,58 @@ def r6(col) -> Column:
 
 def r6_sql(expr: str) -> str:
     return f"(round(({expr}) + 1e-9, 6) + 0.0)"
+
+
+# Integer-keyed portable uniform for per-element draws (one per token).
+# 31-bit modulus and the multiplier of a public integer-hash finaliser.
+_P31 = 1 << 31
+_MIX_MULT = 0x45D9F3B
+
+
+def _mix31(x: Column) -> Column:
+    # x in [0, 2^31): xor-shift / multiply rounds; products stay below 2^58 (no overflow)
+    def r(v):
+        return v.bitwiseXOR(F.shiftright(v, 16))
+
+    x = r(x)
+    x = (x * F.lit(_MIX_MULT)) % F.lit(_P31)
+    x = r(x)
+    x = (x * F.lit(_MIX_MULT)) % F.lit(_P31)
+    return r(x)
+
+
+def uniform_int(seed: int, a: Column, b: Column) -> Column:
+    """Uniform in [0, 1) from two non-negative integer keys (e.g. sequence id, position).
+
+    About ten integer operations, evaluated inside whole-stage codegen — far
+    cheaper than an MD5 per element — and bit-identical in DuckDB
+    (``uniform_int_sql``). 31 bits of resolution.
+    """
+    a = a.cast("bigint")
+    b = b.cast("bigint")
+    h = _mix31(F.lit(int(seed) % _P31).cast("bigint"))
+    h = _mix31(h.bitwiseXOR(a % F.lit(_P31)))
+    h = _mix31(h.bitwiseXOR(F.shiftright(a, 31) % F.lit(_P31)))
+    h = _mix31(h.bitwiseXOR(b % F.lit(_P31)))
+    return h.cast("double") / F.lit(float(_P31))
+
+
+def _mix31_sql(x: str) -> str:
+    def r(v):
+        return f"xor({v}, ({v}) >> 16)"
+
+    x = r(x)
+    x = f"((({x}) * {_MIX_MULT}) % {_P31})"
+    x = r(x)
+    x = f"((({x}) * {_MIX_MULT}) % {_P31})"
+    return r(x)
+
+
+def uniform_int_sql(seed: int, a: str, b: str) -> str:
+    a = f"CAST({a} AS BIGINT)"
+    b = f"CAST({b} AS BIGINT)"
+    h = _mix31_sql(f"CAST({int(seed) % _P31} AS BIGINT)")
+    h = _mix31_sql(f"xor({h}, {a} % {_P31})")
+    h = _mix31_sql(f"xor({h}, ({a} >> 31) % {_P31})")
+    h = _mix31_sql(f"xor({h}, {b} % {_P31})")
+    return f"(CAST({h} AS DOUBLE) / {float(_P31)!r})"

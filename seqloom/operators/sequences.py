@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordinal import exclusive_prefix_sum
 from ..functions.portable import uniform
@@ -20,6 +21,7 @@ EOS_ID = 2
 UNK_ID = 3
 MASK_ID = 4
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>", "<mask>"]
+MAX_BROADCAST_VOCAB = 1_000_000  # beyond this the relational encode (no broadcast) is used
 
 
 def words(text: Column) -> Column:
@@ -65,13 +67,57 @@ def encode(
     add_bos: bool = True,
     unk_id: int = UNK_ID,
     bos_id: int = BOS_ID,
+    specials: int = len(SPECIALS),
 ) -> DataFrame:
     """T1 (encode): words -> ids with one begin token in front, no end token, no truncation.
 
-    ``posexplode`` + broadcast hash join on the bounded vocabulary +
-    ``collect_list`` regrouped on ``keys`` (sorted by position). Unknown words
-    map to ``unk_id``; an empty text encodes to ``[bos]``.
+    Narrow: each Arrow batch is split, looked up (hash lookup against the
+    vocabulary) and rebuilt as list arrays inside its task, so the documents are
+    neither exploded to token rows nor exchanged. The vocabulary is bounded by
+    its ``size`` (checked here) and shipped once per executor as a broadcast.
+    Unknown words map to ``unk_id``; an empty text encodes to ``[bos]``.
+    ``encode_relational`` is the same operator in pure DataFrame form.
     """
+    import pyarrow as pa
+
+    from ..functions.arrow_kernels import encode_batch
+
+    regular = vocab.where(F.col("token_id") >= specials).select("token_id", "token")
+    # one bounded fetch: at most MAX_BROADCAST_VOCAB + 1 rows reach the driver
+    rows = regular.orderBy("token_id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+    if len(rows) > MAX_BROADCAST_VOCAB:
+        return encode_relational(df, vocab, keys, text, out, add_bos, unk_id, bos_id)
+    tokens = [r["token"] for r in rows]
+    ids = [r["token_id"] for r in rows]
+    if ids != list(range(specials, specials + len(ids))):
+        raise ValueError("vocabulary ids must be dense after the specials")
+    sc = df.sparkSession.sparkContext
+    bvocab = sc.broadcast(tokens)
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType(key_fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    bos = bos_id if add_bos else None
+
+    def run(it):
+        value_set = pa.array(bvocab.value, pa.string())
+        for b in it:
+            yield encode_batch(b, keys, text, out, value_set, specials, unk_id, bos)
+
+    return df.select(*keys, text).mapInArrow(run, schema)
+
+
+def encode_relational(
+    df: DataFrame,
+    vocab: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    out: str = "ids",
+    add_bos: bool = True,
+    unk_id: int = UNK_ID,
+    bos_id: int = BOS_ID,
+) -> DataFrame:
+    """T1 (encode), DataFrame form: ``posexplode`` + broadcast hash join on the
+    bounded vocabulary + ``collect_list`` regrouped on ``keys`` (sorted by
+    position); the partial aggregate ships one array per document."""
     toks = df.select(*keys, F.posexplode_outer(words(F.col(text))).alias("__pos", "token"))
     v = F.broadcast(vocab.where(F.col("count") > 0).select("token", "token_id"))
     looked = toks.join(v, "token", "left").select(
@@ -151,12 +197,13 @@ def pack(
             lo.alias("o"), F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("p")
         ).alias("__pc"),
     )
-    seqs = pieces.groupBy("group_id", "chunk").agg(F.array_sort(F.collect_list("__pc")).alias("__pcs"))
+    # sort_array orders the pieces by offset; "__pcs.p" extracts the arrays without a lambda
+    seqs = pieces.groupBy("group_id", "chunk").agg(F.sort_array(F.collect_list("__pc")).alias("__pcs"))
     seqs = seqs.join(offsets.select("group_id", "__seq_off"), "group_id").select(
         (F.col("__seq_off") + F.col("chunk")).cast("bigint").alias("seq_id"),
         "group_id",
         F.col("chunk").cast("bigint").alias("chunk"),
-        F.flatten(F.transform("__pcs", lambda x: x["p"])).alias("input_ids"),
+        F.flatten(F.col("__pcs.p")).alias("input_ids"),
     )
     if max_sequences is not None:
         seqs = seqs.where(F.col("seq_id") < F.lit(int(max_sequences)))
@@ -186,12 +233,36 @@ def mask_pairs(
     """T4: ``target_ids`` = clean copy; ``context_ids`` = each position independently
     replaced by ``mask_id`` with probability ``p`` (every position eligible).
 
-    The draw is ``uniform(seed, seq_id, position)``, a pure function of the
+    The draw is ``uniform_int(seed, seq_id, position)``, a pure function of the
     row's key and position, so masking is reproducible and partition-independent
-    (the reference's masking is unseeded). Never ``rand()`` inside a lambda.
+    (the reference's masking is unseeded). One draw per token is the hottest
+    expression of the chain, so it runs vectorised on each Arrow batch (a narrow
+    map, no shuffle); ``mask_pairs_sql`` is the same operator as a column
+    expression. Never ``rand()`` inside a lambda.
     """
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
+    from ..functions.arrow_kernels import mask_batch
+
+    schema = T.StructType(
+        [
+            df.schema[key],
+            T.StructField("context_ids", T.ArrayType(T.IntegerType())),
+            T.StructField("target_ids", T.ArrayType(T.IntegerType())),
+        ]
+    )
+
+    def run(it):
+        for b in it:
+            yield mask_batch(b, key, ids, float(p), int(mask_id), int(seed))
+
+    return df.select(key, F.col(ids).cast("array<int>").alias(ids)).mapInArrow(run, schema)
+
+
+def mask_pairs_sql(
+    df: DataFrame, p: float = 0.15, mask_id: int = MASK_ID, seed: int = 42, ids: str = "input_ids", key: str = "seq_id"
+) -> DataFrame:
+    """T4 as a column expression (md5-keyed ``uniform`` per element; slower)."""
     k = F.col(key)
     ctx = F.transform(F.col(ids), lambda t, i: F.when(uniform(seed, k, i) < F.lit(p), F.lit(mask_id)).otherwise(t))
     return df.select(key, ctx.alias("context_ids"), F.col(ids).alias("target_ids"))
