@@ -8,7 +8,7 @@ from ..functions.arrays import digest
 from ..functions.portable import r6, r6_sql, uniform_sql
 from ..operators.sequences import build_vocab, encode, lookup
 from ..plans.batches import accumulate, annotate_steps, assign_shards, plan_batches
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources.corpora import Corpus, mixed_corpus, scan_artifacts, scan_corpora, scan_pairs, write_pairs
 from ..streaming.state import decay_stream, init_state, pack_stream
 from ..operators.scans import decay_scan, final_state
@@ -124,7 +124,10 @@ def s4_scan_artifacts(spark, sf_dir):
 # ---- loader plans over the pair table, cut into deterministic "files" of FILE_ROWS rows
 
 def _pair_rows(spark, sf_dir):
-    p = pairs(spark, sf_dir).select("seq_id")
+    # the pair table is the input of the loader: materialise it once in the shared
+    # checkpoint folder (the loader plans run small actions over it)
+    checkpoint_dir(spark)
+    p = pairs(spark, sf_dir).select("seq_id").checkpoint(eager=True)
     return p.select(
         F.format_string("part-%05d.parquet", F.floor(F.col("seq_id") / F.lit(FILE_ROWS)).cast("int")).alias("file"),
         (F.col("seq_id") % F.lit(FILE_ROWS)).alias("row"),

@@ -52,25 +52,30 @@ def balance(
     ``checkpoint_every > 0`` the lineage is cut with a reliable checkpoint in
     the shared checkpoint folder every that many rounds.
     """
+    from ..session import checkpoint_dir
+
     base = df.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(logw).cast("double").alias("w"))
-    stats = base.agg(
-        F.count_distinct("i").alias("ni"),
-        F.count_distinct("j").alias("nj"),
-        F.count(F.lit(1)).alias("cells"),
+    # the cell table is usually an aggregate of a much larger input: write it once
+    # to the shared checkpoint folder so validation and the iterations reuse it
+    checkpoint_dir(df.sparkSession)
+    base = base.checkpoint(eager=True)
+    labels = base.select(F.col("i").alias("label"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
+        base.select(F.col("j").alias("label"), F.lit(0).alias("r"), F.lit(1).alias("c"))
+    )
+    per_label = labels.groupBy("label").agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    stats = per_label.agg(
+        F.count(F.lit(1)).alias("labels"),
+        F.sum(F.when((F.col("r") == 1) & (F.col("c") == 1), 1).otherwise(0)).alias("both"),
     ).first()
-    if stats["cells"] == 0:
+    if not stats["labels"]:
         raise ValueError("empty matrix")
-    rows_only = base.select("i").distinct().exceptAll(base.select(F.col("j").alias("i")).distinct())
-    if stats["ni"] != stats["nj"] or rows_only.limit(1).count() > 0:
+    if stats["both"] != stats["labels"]:
         raise ValueError("balancing needs a square index set: every row label must also be a column label")
     cur = base
     for it in range(int(iters)):
         cur = _lse_step(cur, "i", "w")
         cur = _lse_step(cur, "j", "w")
         if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            from ..session import checkpoint_dir
-
-            checkpoint_dir(cur.sparkSession)
             cur = cur.checkpoint(eager=True)
     return cur.select(F.col("i").alias(i), F.col("j").alias(j), F.exp("w").alias(out))
 
