@@ -41,16 +41,17 @@ def balance(
     logw: str = "w",
     iters: int = 5,
     out: str = "p",
-    checkpoint_every: int = 0,
+    checkpoint_every: int = 10,
 ) -> DataFrame:
     """Log-domain Sinkhorn balancing; ``iters`` rounds of (row log-sum-exp
     subtraction, then column log-sum-exp subtraction), max-shifted; ``exp`` at the end.
 
     Columns sum to 1 (the column step is last), rows approximately. The index
     set must be square (same row and column labels), else the targets
-    conflict; an index with no cell would be an empty row or column. With
-    ``checkpoint_every > 0`` the lineage is cut with a reliable checkpoint in
-    the shared checkpoint folder every that many rounds.
+    conflict; an index with no cell would be an empty row or column. The
+    lineage is cut with a reliable checkpoint in the shared checkpoint folder
+    every ``checkpoint_every`` rounds (0 = never), which bounds the plan depth
+    of long runs; the default 5 rounds need none.
     """
     from ..session import checkpoint_dir
 
