@@ -49,25 +49,37 @@ def global_ordinal(
     )
 
 
-def shuffled_ordinal(df: DataFrame, key: str, seed: int, name: str = "ordinal", buckets: int = 1024) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """Buckets for an ordinal: several per shuffle partition, at least 1024.
+
+    The per-bucket count table (one row per bucket) is what gets broadcast,
+    so its size is bounded by this number.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1024, 8 * parts)
+
+
+def shuffled_ordinal(df: DataFrame, key: str, seed: int, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """Dense ordinal of a seeded full permutation: order by (uniform(seed, key), key).
 
     ``uniform`` is monotone-bucketable: bucket = floor(u * buckets) keeps the
     permutation order, and because u is uniform, buckets are balanced even when
     the key values are clustered.
     """
+    buckets = buckets or default_buckets(df)
     u = "__u"
     keyed = df.withColumn(u, uniform(seed, F.col(key)))
     out = global_ordinal(keyed, F.floor(F.col(u) * buckets).cast("int"), [F.col(u), F.col(key)], name)
     return out.drop(u)
 
 
-def natural_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", buckets: int = 1024) -> DataFrame:
+def natural_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """Dense ordinal in the natural order of ``order`` (first column numeric).
 
     Buckets are equal-width ranges of the first order column between its min and
     max (one small aggregate); the order inside a bucket uses all columns.
     """
+    buckets = buckets or default_buckets(df)
     first = order[0]
     lo, hi = df.agg(F.min(first), F.max(first)).first()
     if lo is None:

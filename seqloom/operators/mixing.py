@@ -115,7 +115,7 @@ def interleave(
     )
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal", buckets: int = 1024) -> DataFrame:
+def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """M2: seeded full permutation; adds a dense ``name`` ordinal in shuffled order.
 
     The reference shuffles within a 10,000-row buffer; this is a full, keyed,

@@ -74,10 +74,11 @@ def sample_walk(
     probs = topk_softmax(table, "key", "item", "score", k=k, temperature=temperature)
     w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     probs = probs.withColumn("cum", F.sum("prob").over(w)).select("key", "item", "rank", "cum")
+    # every round joins this table (at most k rows per key): write it once
+    checkpoint_dir(prompts.sparkSession)
+    probs = probs.checkpoint(eager=True)
     active = prompts.select(F.col(walker).alias("walker"), F.col(start).alias("cur"))
     rounds = [active.select("walker", F.lit(0).cast("bigint").alias("step"), F.col("cur").alias("item"))]
-    if checkpoint_every:
-        checkpoint_dir(prompts.sparkSession)
     for t in range(1, int(steps) + 1):
         j = active.join(probs, active["cur"] == probs["key"]).withColumn("__u", uniform(seed, F.col("walker"), F.lit(t)))
         hit = F.when(F.col("cum") > F.col("__u"), F.col("rank"))

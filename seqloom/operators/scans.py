@@ -7,8 +7,10 @@ Recurrence per key in ``order``: ``h_t = d * h_{t-1} + g * x_t`` with ``h_{-1} =
 Blocked closed form (no per-row Python, no per-key collect):
 
 * ``k`` = dense row index within the key. A hot key can be split by a monotone
-  ``split`` expression of the order (e.g. the day of ``ts``); the index is then
-  a row number inside ``(key, split)`` plus the prefix count of earlier splits.
+  ``split`` expression of the order (e.g. the day of ``ts``), or ``"auto"``:
+  equal-width ranges of the first order column sized to about 1M rows per
+  range from per-key count/min/max; the index is then a row number inside
+  ``(key, split)`` plus the prefix count of earlier splits.
 * rows are cut into blocks of ``L`` consecutive ``k``; inside a block
   ``local_j = g * d^j * sum_{i<=j} d^{-i} x_i`` is a running window sum, with
   ``L`` small enough that ``d^{-L}`` stays finite (``L*log2(1/d) <= 900``).
@@ -39,7 +41,19 @@ def block_length(decay: float, cap: int = 1024) -> int:
     return max(1, min(cap, int(math.floor(900.0 / math.log2(1.0 / decay)))))
 
 
-def keyed_index(df: DataFrame, key: str, order: list[str], split: Column | None = None, name: str = "k") -> DataFrame:
+def _order_value(c: Column, dtype) -> Column:
+    name = dtype.typeName()
+    if name.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp"))
+    if name == "date":
+        return F.unix_date(c).cast("bigint")
+    return c.cast("double")
+
+
+def keyed_index(
+    df: DataFrame, key: str, order: list[str], split: Column | str | None = None, name: str = "k",
+    target_rows: int = 1_000_000,
+) -> DataFrame:
     """Dense 0-based row index per key in ``order``.
 
     Without ``split`` this is ``row_number() over (partition by key order by ...)``.
@@ -51,7 +65,20 @@ def keyed_index(df: DataFrame, key: str, order: list[str], split: Column | None
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     s = "__split"
-    keyed = df.withColumn(s, split)
+    if isinstance(split, str):
+        if split != "auto":
+            raise ValueError("split must be a Column, None or 'auto'")
+        v = _order_value(F.col(order[0]), df.schema[order[0]].dataType)
+        stats = df.groupBy(key).agg(
+            F.count(F.lit(1)).alias("__cnt"), F.min(v).alias("__lo"), F.max(v).alias("__hi")
+        )
+        parts = F.ceil(F.col("__cnt") / F.lit(int(target_rows)))
+        width = (F.col("__hi") - F.col("__lo") + F.lit(1)) / parts
+        keyed = df.join(stats, key).withColumn(
+            s, F.floor((v - F.col("__lo")) / width).cast("bigint")
+        ).drop("__cnt", "__lo", "__hi")
+    else:
+        keyed = df.withColumn(s, split)
     counts = keyed.groupBy(key, s).agg(F.count(F.lit(1)).alias("__n"))
     ws = Window.partitionBy(key).orderBy(s).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.withColumn("__off", F.sum("__n").over(ws) - F.col("__n")).drop("__n")
@@ -140,7 +167,7 @@ def decay_scan(
     out: str = "h",
     emit_previous: str | None = None,
     block: int | None = None,
-    split: Column | None = None,
+    split: Column | str | None = None,
 ) -> DataFrame:
     """E1 (+E2 with ``emit_previous``): ``h_t = d*h_{t-1} + (1-d)*x_t`` per key.
 
@@ -177,7 +204,7 @@ def momentum_scan(
     momentum: float = DEFAULT_MOMENTUM,
     lookahead: bool = True,
     block: int | None = None,
-    split: Column | None = None,
+    split: Column | str | None = None,
 ) -> DataFrame:
     """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``."""
     res = _linear_scan(df, key, order, grad, momentum, 1.0, "buf", None, block, split)

@@ -65,3 +65,21 @@ def test_surprise_is_global_mean(spark):
     s = decay_scan(_golden(spark), "key", ["t"], "x", decay=0.5, emit_previous="prev")
     v = surprise(s, "prev", "x").first()["surprise"]
     assert v == pytest.approx(((0 - 1) ** 2 + 0.5**2 + 0.25**2 + 0.125**2) / 4)
+
+
+def test_auto_split_hot_key(spark):
+    # one key holds most rows; auto split with a small target spreads it over ranges
+    rows = [(0, i, float(i % 5)) for i in range(5000)] + [(k, i, 1.0) for k in range(1, 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "key int, t long, x double")
+    from seqloom.operators.scans import keyed_index
+
+    a = keyed_index(df, "key", ["t"], split="auto", target_rows=300)
+    b = keyed_index(df, "key", ["t"])
+    assert a.select("key", "t", "k").exceptAll(b.select("key", "t", "k")).count() == 0
+    s = decay_scan(df, "key", ["t"], "x", decay=0.9, block=64, split="auto")
+    h = [r["h"] for r in s.where("key = 0").orderBy("t").collect()]
+    ref, cur = [], 0.0
+    for i in range(5000):
+        cur = 0.9 * cur + 0.1 * float(i % 5)
+        ref.append(cur)
+    assert max(abs(x - y) for x, y in zip(h, ref)) < 1e-9
