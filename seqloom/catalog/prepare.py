@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import count_eq, digest
 from ..functions.portable import r6, r6_sql, uniform_int_sql, uniform_sql
-from ..operators.mixing import cap, shuffle, standardize, take, truncate
+from ..operators.mixing import cap, shuffle, standardize, take, take_unordered, truncate
 from ..operators.sequences import (
     BOS_ID,
     MASK_ID,
@@ -39,10 +39,17 @@ def prepared_docs(spark: SparkSession, sf_dir: str, n: int = NUM_SAMPLES) -> Dat
     return take(shuffle(docs, "doc_id", seed=SEED), n)
 
 
+def selected_docs(spark: SparkSession, sf_dir: str, n: int = NUM_SAMPLES) -> DataFrame:
+    """The same documents as ``prepared_docs``, unnumbered and unshuffled (for counting passes)."""
+    docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return take_unordered(docs, "doc_id", n, seed=SEED)
+
+
 def encoded_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = prepared_docs(spark, sf_dir)
-    vocab = build_vocab(docs, size=VOCAB)
-    return encode(docs, vocab, keys=["ordinal"]), vocab
+    # the vocabulary pass reads the selected documents in place (no exchange);
+    # only the encode/pack pass needs them numbered in shuffled order
+    vocab = build_vocab(selected_docs(spark, sf_dir), size=VOCAB)
+    return encode(prepared_docs(spark, sf_dir), vocab, keys=["ordinal"]), vocab
 
 
 def pairs(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN, group_docs: int = GROUP_DOCS,
@@ -151,6 +158,13 @@ def m2_shuffle(spark, sf_dir):
     return shuffle(docs, "doc_id", seed=SEED).select("doc_id", "ordinal")
 
 
+@register("m3_take_unordered", _with(_sql_taken(300)) + "\nSELECT doc_id FROM taken")
+def m3_take_unordered(spark, sf_dir):
+    # the first 300 of the permutation as a filter (no numbering); 300 < rows at every scale
+    docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return take_unordered(docs, "doc_id", 300, seed=SEED).select("doc_id")
+
+
 @register("m3_take", _with(_sql_taken(NUM_SAMPLES)) + "\nSELECT doc_id, ordinal FROM taken")
 def m3_take(spark, sf_dir):
     return prepared_docs(spark, sf_dir).select("doc_id", "ordinal")
@@ -165,7 +179,7 @@ UNION ALL
 SELECT * FROM (VALUES {", ".join(f"('{t}', {i}, CAST(0 AS BIGINT))" for i, t in enumerate(SPECIALS))}) v(token, token_id, count)""",
 )
 def t1_vocab(spark, sf_dir):
-    return build_vocab(prepared_docs(spark, sf_dir), size=VOCAB)
+    return build_vocab(selected_docs(spark, sf_dir), size=VOCAB)
 
 
 @register(

@@ -125,6 +125,36 @@ def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal", buck
     return shuffled_ordinal(df, key, seed, name=name, buckets=buckets)
 
 
+def take_unordered(df: DataFrame, key: str, n: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
+    """M2+M3 without numbering: the rows ``take(shuffle(df, key, seed), n)`` keeps,
+    as a filter on the unshuffled input (no exchange of the rows).
+
+    The shuffle order is ``(uniform(seed, key), key)``, so the first ``n`` rows
+    are those up to a threshold pair. The threshold comes from the per-bucket
+    counts (one row per bucket) and one top-r inside the crossing bucket. Use it
+    for passes that need the selected set but not its order (e.g. vocabulary counts).
+    """
+    from ..functions.ordinal import default_buckets
+
+    if n >= df.count():
+        return df
+    B = buckets or default_buckets(df)
+    u = uniform(seed, F.col(key))
+    b = F.floor(u * B).cast("int")
+    counts = sorted((r[0], r[1]) for r in df.groupBy(b.alias("b")).count().collect())  # at most B rows
+    acc = 0
+    for bucket, c in counts:
+        if acc + c >= n:
+            break
+        acc += c
+    r = n - acc
+    last = (
+        df.where(b == bucket).select(u.alias("__u"), F.col(key).alias("__k")).orderBy("__u", "__k").limit(r).collect()[-1]
+    )
+    tu, tk = last["__u"], last["__k"]
+    return df.where((b < bucket) | ((b == bucket) & ((u < F.lit(tu)) | ((u == F.lit(tu)) & (F.col(key) <= F.lit(tk))))))
+
+
 def take(df: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
     """M3: first ``n`` rows by ``ordinal`` (fewer if the input is short).
 

@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 
 def keep_newest(df: DataFrame, group: list[str], order: list[str], k: int = 2, out: str = "keep") -> DataFrame:
     """Flag the ``k`` newest rows per group by ``order`` (descending); the rest
-    is the removal set. Returns a table; deletes nothing."""
+    is the removal set. Returns a table; deletes nothing. ``order`` should end
+    with a unique tiebreak (rows tied on the whole order tuple share a flag).
+
+    The k newest per group come from ``row_number() <= k``, which runs as
+    ``WindowGroupLimit`` before the shuffle (a hot group ships at most k rows
+    per map task); their oldest order tuple is the group's threshold (one row
+    per group), joined back to flag every row. No group is sorted in one task.
+    """
+    tup = F.struct(*[F.col(c) for c in order])
     w = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("__r", F.row_number().over(w)).withColumn(out, F.col("__r") <= k).drop("__r")
+    top = df.select(*group, *order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    thr = top.groupBy(*group).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("__thr"))
+    if group:
+        joined = df.join(thr, group, "left")
+    else:
+        joined = df.withColumn("__k", F.lit(1)).join(thr.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
+    return joined.withColumn(out, F.coalesce(tup >= F.col("__thr"), F.lit(False))).drop("__thr")
 
 
 def latest_version(df: DataFrame, name: str, pattern: str = r"model_step_(\d+)\.pt", group: list[str] | None = None) -> DataFrame:
