@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import digest
-from ..functions.portable import r6, r6_sql, uniform_sql
+from ..functions.portable import epoch_micros, r6, r6_sql, uniform_sql
 from ..operators.sequences import build_vocab, encode, lookup
 from ..plans.batches import accumulate, annotate_steps, assign_shards, plan_batches
 from ..session import checkpoint_dir, scratch_path
@@ -255,7 +255,7 @@ _CUT_SQL = "(SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)"
 )
 def st1_decay_stream(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))  # session time zone is UTC
+    us = epoch_micros("ts", ev.schema["ts"].dataType)
     lo, hi = ev.agg(F.min(us), F.max(us)).first()
     cut = (lo + hi) // 2
     history = ev.where(us < cut)

@@ -132,3 +132,12 @@ def uniform_int_sql(seed: int, a: str, b: str) -> str:
     h = _mix31_sql(f"xor({h}, ({a} >> 31) % {_P31})")
     h = _mix31_sql(f"xor({h}, {b} % {_P31})")
     return f"(CAST({h} AS DOUBLE) / {float(_P31)!r})"
+
+
+def epoch_micros(col: str, dtype) -> Column:
+    """Microseconds since the epoch, independent of the session time zone for
+    ``TIMESTAMP_NTZ`` (wall clock read as UTC, like DuckDB's naive timestamps)."""
+    name = dtype.typeName()
+    if name == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col).cast("timestamp"))

@@ -41,13 +41,16 @@ def block_length(decay: float, cap: int = 1024) -> int:
     return max(1, min(cap, int(math.floor(900.0 / math.log2(1.0 / decay)))))
 
 
-def _order_value(c: Column, dtype) -> Column:
+def _order_value(col: str, dtype) -> Column:
+    # a number that is monotone in the column's order
     name = dtype.typeName()
     if name.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp"))
+        from ..functions.portable import epoch_micros
+
+        return epoch_micros(col, dtype)
     if name == "date":
-        return F.unix_date(c).cast("bigint")
-    return c.cast("double")
+        return F.unix_date(F.col(col)).cast("bigint")
+    return F.col(col).cast("double")
 
 
 def keyed_index(
@@ -68,7 +71,7 @@ def keyed_index(
     if isinstance(split, str):
         if split != "auto":
             raise ValueError("split must be a Column, None or 'auto'")
-        v = _order_value(F.col(order[0]), df.schema[order[0]].dataType)
+        v = _order_value(order[0], df.schema[order[0]].dataType)
         stats = df.groupBy(key).agg(
             F.count(F.lit(1)).alias("__cnt"), F.min(v).alias("__lo"), F.max(v).alias("__hi")
         )

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.portable import epoch_micros
 from ..operators.scans import decay_scan
 from ..operators.sequences import pack
 
@@ -63,7 +64,7 @@ def decay_step_batch(
     state = _read_state(spark, state_dir, batch_id, STATE_SCHEMA)
     rows = batch.select(F.col(key).cast("bigint").alias("key"), F.col(ts).alias("ts"), F.col(rid).alias("rid"),
                         F.col(value).cast("double").alias("x"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
+                        epoch_micros(ts, batch.schema[ts].dataType).alias("__us"))
     j = rows.join(state.select("key", "h", "last_us", "last_id"), "key", "left")
     late_cond = F.col("last_us").isNotNull() & (
         (F.col("__us") < F.col("last_us")) | ((F.col("__us") == F.col("last_us")) & (F.col("rid") <= F.col("last_id")))
@@ -82,7 +83,7 @@ def decay_step_batch(
     written = spark.read.parquet(f"{out_dir.rstrip('/')}/rows/batch_id={batch_id:09d}")
     last = written.groupBy(F.col(key).alias("key")).agg(
         F.max_by("h", F.struct(ts, rid)).alias("h"),
-        F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("last_us"),
+        F.max(epoch_micros(ts, written.schema[ts].dataType)).alias("last_us"),
         F.max_by(rid, F.struct(ts, rid)).alias("last_id"),
         F.count(F.lit(1)).cast("bigint").alias("__n"),
     )
