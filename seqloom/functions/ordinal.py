@@ -73,20 +73,32 @@ def shuffled_ordinal(df: DataFrame, key: str, seed: int, name: str = "ordinal",
     return out.drop(u)
 
 
-def natural_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", buckets: int | None = None) -> DataFrame:
-    """Dense ordinal in the natural order of ``order`` (first column numeric).
-
-    Buckets are equal-width ranges of the first order column between its min and
-    max (one small aggregate); the order inside a bucket uses all columns.
+def natural_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", partitions: int | None = None) -> DataFrame:
+    """Dense ordinal in the natural order of the ``order`` tuple, robust to hot values.
+
+    ``repartitionByRange`` samples the whole tuple, so a first-column value that
+    holds a large share of the rows is still spread over many partitions;
+    rows are sorted within partitions and the result is checkpointed to the
+    shared folder, which fixes the partitioning. The ordinal is then the
+    partition's offset (a count per partition, one row each) plus the row's
+    index inside its partition, read from ``monotonically_increasing_id``
+    (partition id in the upper bits, index in the lower 33): no window at all.
     """
-    buckets = buckets or default_buckets(df)
-    first = order[0]
-    lo, hi = df.agg(F.min(first), F.max(first)).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
-    bucket = F.floor((F.col(first) - F.lit(int(lo))) / F.lit(width)).cast("int")
-    return global_ordinal(df, bucket, [F.col(c) for c in order], name)
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    mid = F.monotonically_increasing_id()
+    tagged = ranged.withColumn("__mid", mid).withColumn("__pid", F.shiftright("__mid", 33))
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = _bucket_offsets(counts, "__pid", "__n", "__off")  # one row per partition
+    return (
+        tagged.join(F.broadcast(offsets), "__pid")
+        .withColumn(name, (F.col("__off") + F.col("__mid") - F.shiftleft(F.col("__pid"), 33)).cast("bigint"))
+        .drop("__mid", "__pid", "__off")
+    )
 
 
 def exclusive_prefix_sum(

@@ -90,3 +90,14 @@ def test_prepare_invariants(spark):
     rate = masked / tot
     sd = (0.15 * 0.85 / tot) ** 0.5
     assert abs(rate - 0.15) < 4 * sd
+
+
+def test_natural_ordinal_hot_first_column(spark):
+    from seqloom.functions.ordinal import natural_ordinal
+
+    # one conversation holds most turns
+    rows = [(0, t, "x") for t in range(3000)] + [(c, t, "y") for c in range(1, 50) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv long, turn long, s string")
+    o = natural_ordinal(df, ["conv", "turn"]).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in o] == list(range(len(rows)))
+    assert [(r["conv"], r["turn"]) for r in o] == sorted((c, t) for c, t, _ in rows)
