@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.portable import normal_sql, r6, r6_sql, rnd, rnd_sql
-from ..operators.matrix import add_delta, balance, clip, fan_out, global_norm, lane_mean, layer_norm, mix, orthogonalize
+from ..operators.matrix import (
+    NS_COEFFS, add_delta, balance, clip, fan_out, global_norm, lane_mean, layer_norm, mix, orthogonalize,
+)
 from . import register, table
 
 SEED = 42
@@ -177,7 +179,37 @@ def x4_lane_mean(spark, sf_dir):
     )
 
 
-@register("x5_orthogonalize")
+def _sql_orthogonalize(steps: int = 5) -> str:
+    a, b, c = NS_COEFFS
+
+    def mm(x, y):
+        return f"SELECT x.r, y.c, sum(x.v * y.v) AS v FROM {x} x JOIN {y} y ON x.c = y.r GROUP BY x.r, y.c"
+
+    parts = [
+        "e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)",
+        "g AS (SELECT a.d AS r, b.d AS c, sum(a.v * b.v) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)",
+        "sc AS (SELECT 1.0 / (sqrt(sum(v)) + 1e-7) AS s FROM g WHERE r = c)",
+        "A0 AS (SELECT r, c, v * (SELECT s FROM sc) * (SELECT s FROM sc) AS v FROM g)",
+        "M0 AS (SELECT r, c, CASE WHEN r = c THEN 1.0 ELSE 0.0 END AS v FROM g)",
+    ]
+    for t in range(1, steps + 1):
+        p_, q = t - 1, t
+        parts.append(f"SQ{q} AS ({mm(f'A{p_}', f'A{p_}')})")
+        parts.append(
+            f"K{q} AS (SELECT A.r, A.c, {a!r} * (CASE WHEN A.r = A.c THEN 1.0 ELSE 0.0 END) + ({b!r}) * A.v + {c!r} * S.v AS v "
+            f"FROM A{p_} A JOIN SQ{q} S USING (r, c))"
+        )
+        parts.append(f"M{q} AS ({mm(f'K{q}', f'M{p_}')})")
+        parts.append(f"KA{q} AS ({mm(f'K{q}', f'A{p_}')})")
+        parts.append(f"A{q} AS ({mm(f'KA{q}', f'K{q}')})")
+    parts.append(
+        f"o AS (SELECT e.vec_id, m.r AS j, (SELECT s FROM sc) * sum(e.v * m.v) AS v FROM e JOIN M{steps} m ON m.c = e.d GROUP BY e.vec_id, m.r)"
+    )
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, {r6_sql('sqrt(sum(v * v))')} AS row_norm, CAST(count(*) AS BIGINT) AS dim FROM o GROUP BY vec_id"""
+
+
+@register("x5_orthogonalize", _sql_orthogonalize())
 def x5_orthogonalize(spark, sf_dir):
     o = orthogonalize(_emb(spark, sf_dir), "embedding", out="ortho")
     return o.select(

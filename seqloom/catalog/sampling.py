@@ -79,9 +79,28 @@ def k2_draw(spark, sf_dir):
     return draw(_topk(spark, sf_dir), "key", "item", seed=SEED)
 
 
-@register("k3_sample_walk")
+def _sql_walk() -> str:
+    parts = [
+        _SQL_BIGRAMS + _SQL_TOPK,
+        """cumt AS (SELECT key, item, rank, sum(prob) OVER (PARTITION BY key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM probs)""",
+        """a0 AS (SELECT doc_id AS walker, l[1] AS cur FROM words WHERE len(l) >= 1)""",
+    ]
+    for t in range(1, WALK_STEPS + 1):
+        u = uniform_sql(SEED, "a.walker", str(t))
+        parts.append(
+            f"""d{t} AS (SELECT a.walker, coalesce(arg_min(p.item, CASE WHEN p.cum > {u} THEN p.rank END), arg_max(p.item, p.rank)) AS item
+        FROM a{t - 1} a JOIN cumt p ON p.key = a.cur GROUP BY a.walker)"""
+        )
+        parts.append(f"a{t} AS (SELECT walker, item AS cur FROM d{t} WHERE item <> '{WALK_EOS}')")
+    union = "SELECT walker, CAST(0 AS BIGINT) AS step, cur AS item FROM a0"
+    for t in range(1, WALK_STEPS + 1):
+        union += f"\nUNION ALL SELECT walker, CAST({t} AS BIGINT), item FROM d{t}"
+    return "WITH " + ",\n".join(parts) + "\n" + union
+
+
+@register("k3_sample_walk", _sql_walk())
 def k3_sample_walk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(words(F.col("text")), 1).alias("first"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(words(F.col("text")), F.lit(1)).alias("first"))
     prompts = docs.where(F.col("first").isNotNull())
     return sample_walk(prompts, bigrams(spark, sf_dir), "doc_id", "first", steps=WALK_STEPS, eos=WALK_EOS, seed=SEED,
                        k=TOPK, temperature=TEMP)
