@@ -271,7 +271,10 @@ def mask_pairs_sql(
 
 def pack_report(groups: DataFrame, pairs: DataFrame, seq_len: int, mask_id: int = MASK_ID) -> DataFrame:
     """T5: one-row report. Sequences, total tokens = sequences x (seq_len + 1), seq length,
-    measured mask rate; plus tokens in, tokens dropped in tails, groups dropped."""
+    measured mask rate; plus tokens in, tokens dropped in tails, groups dropped.
+
+    The mask rate counts context positions holding ``mask_id``: exact for a
+    dedicated mask token, an upper bound if real tokens can carry that id."""
     C = int(seq_len) + 1
     g = groups.agg(
         F.sum("tokens_in").cast("bigint").alias("tokens_in"),

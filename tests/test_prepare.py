@@ -101,3 +101,43 @@ def test_natural_ordinal_hot_first_column(spark):
     o = natural_ordinal(df, ["conv", "turn"]).orderBy("ordinal").collect()
     assert [r["ordinal"] for r in o] == list(range(len(rows)))
     assert [(r["conv"], r["turn"]) for r in o] == sorted((c, t) for c, t, _ in rows)
+
+
+def test_arrow_and_relational_encode_agree(spark):
+    from seqloom.operators.sequences import encode_relational
+
+    docs = take(shuffle(_docs(spark), "doc_id"), 80)
+    extra = spark.createDataFrame([(10**6, "", 10**6), (10**6 + 1, "  a  b ", 10**6 + 1)], "doc_id long, text string, ordinal long")
+    docs = docs.unionByName(extra)
+    vocab = build_vocab(docs, size=300)
+    a = encode(docs, vocab, keys=["ordinal"]).select("ordinal", F.col("ids").cast("array<int>").alias("ids"))
+    b = encode_relational(docs, vocab, keys=["ordinal"]).select("ordinal", F.col("ids").cast("array<int>").alias("ids"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    got = {r["ordinal"]: r["ids"] for r in a.where(F.col("ordinal") >= 10**6).collect()}
+    assert got[10**6] == [BOS_ID]
+
+
+def test_lookup_unknown_id_raises(spark):
+    import pytest
+
+    from seqloom.operators.sequences import lookup
+
+    table = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "token_id int, vec array<double>")
+    ok = spark.createDataFrame([(1, [1, 0, 1])], "k long, ids array<int>")
+    got = lookup(ok, table, "ids", "k").first()["vectors"]
+    assert got == [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]
+    bad = spark.createDataFrame([(1, [1, 7])], "k long, ids array<int>")
+    with pytest.raises(ValueError):
+        lookup(bad, table, "ids", "k")
+
+
+def test_pack_report_accounting(spark):
+    from seqloom.operators.sequences import pack_groups, pack_report
+
+    enc = spark.createDataFrame([(0, [11, 12, 13, 14, 15]), (1, [16, 17]), (2, [18])], "ordinal long, ids array<int>")
+    seqs = pack(enc, seq_len=2, group_docs=2)
+    pairs = mask_pairs(seqs, p=0.0)
+    r = pack_report(pack_groups(enc, 2, group_docs=2), pairs, 2).first()
+    # group 0: 7 tokens -> 2 chunks of 3, 1 dropped; group 1: 1 token -> dropped group
+    assert (r["sequences"], r["total_tokens"], r["tokens_in"], r["tokens_dropped"], r["groups"], r["groups_dropped"]) == (2, 6, 8, 2, 2, 1)
+    assert r["mask_rate"] == 0.0
