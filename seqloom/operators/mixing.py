@@ -148,8 +148,14 @@ def take_unordered(df: DataFrame, key: str, n: int, seed: int = 42, buckets: int
             break
         acc += c
     r = n - acc
+    # the r-th row of the crossing bucket (about 1/B of the rows, one task); one row to the driver
+    inside = Window.orderBy("__u", "__k")
     last = (
-        df.where(b == bucket).select(u.alias("__u"), F.col(key).alias("__k")).orderBy("__u", "__k").limit(r).collect()[-1]
+        df.where(b == bucket)
+        .select(u.alias("__u"), F.col(key).alias("__k"))
+        .withColumn("__rn", F.row_number().over(inside))
+        .where(F.col("__rn") == r)
+        .first()
     )
     tu, tk = last["__u"], last["__k"]
     return df.where((b < bucket) | ((b == bucket) & ((u < F.lit(tu)) | ((u == F.lit(tu)) & (F.col(key) <= F.lit(tk))))))
