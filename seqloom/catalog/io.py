@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import digest
 from ..functions.portable import epoch_micros, r6, r6_sql, uniform_sql
 from ..operators.sequences import build_vocab, encode, lookup
-from ..plans.batches import accumulate, annotate_steps, assign_shards, plan_batches
+from ..plans.batches import accumulate, annotate_steps, assign_shards, plan_batches, steps_report
 from ..session import checkpoint_dir, scratch_path
 from ..sources.corpora import Corpus, mixed_corpus, scan_artifacts, scan_corpora, scan_pairs, write_pairs
 from ..streaming.state import decay_stream, init_state, pack_stream
@@ -311,3 +311,18 @@ def st2_pack_stream(spark, sf_dir):
     return out.select(
         "batch_id", "chunk", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5")
     )
+
+
+@register(
+    "l3_steps_report",
+    _PAIRS_WITH
+    + _SQL_BATCHES
+    + f"""
+SELECT CAST(count(DISTINCT step) AS BIGINT) AS batches,
+       CAST(least(count(DISTINCT step), {MAX_STEPS}) AS BIGINT) AS reachable_steps,
+       CAST({MAX_STEPS} AS BIGINT) AS max_steps,
+       count(DISTINCT step) < {MAX_STEPS} AS schedule_truncated
+FROM stepped""",
+)
+def l3_steps_report(spark, sf_dir):
+    return steps_report(_batches(spark, sf_dir), start=0, max_steps=MAX_STEPS)

@@ -223,6 +223,18 @@ def pack_groups(df: DataFrame, seq_len: int, ids: str = "ids", ordinal: str = "o
     )
 
 
+def reference_mask_id(vocab_size: int, mask_token_id: int | None = None, end_id: int = EOS_ID) -> int:
+    """The reference's mask-id rule, kept as an option (our default is ``MASK_ID``):
+    the tokenizer's own mask token, else 128000 when the vocabulary is larger
+    than 128000 (which in that vocabulary is the begin token, so it collides),
+    else the end token."""
+    if mask_token_id is not None:
+        return int(mask_token_id)
+    if vocab_size > 128000:
+        return 128000
+    return int(end_id)
+
+
 def mask_pairs(
     df: DataFrame,
     p: float = 0.15,

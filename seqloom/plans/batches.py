@@ -118,6 +118,22 @@ def annotate_steps(
     )
 
 
+def steps_report(batches: DataFrame, start: int = 0, max_steps: int = 100_000, step: str = "step") -> DataFrame:
+    """How many of the configured steps one pass over the data can reach (one row).
+
+    A pass yields ``batches`` steps; the run stops at ``max_steps``, so the
+    reachable count is ``min(batches, max_steps - start)``; the schedule's
+    tail beyond it is never visited.
+    """
+    n = batches.agg(F.countDistinct(step).cast("bigint").alias("batches"))
+    return n.select(
+        "batches",
+        F.least(F.col("batches"), F.lit(int(max(0, max_steps - start)))).cast("bigint").alias("reachable_steps"),
+        F.lit(int(max_steps)).cast("bigint").alias("max_steps"),
+        (F.col("batches") < F.lit(int(max(0, max_steps - start)))).alias("schedule_truncated"),
+    )
+
+
 def accumulate(df: DataFrame, step: str, vec: str, k: int) -> DataFrame:
     """L4: un-averaged element-wise sum of the per-step vectors in each window of
     ``k`` steps (``step div k``); a trailing window without its closing step

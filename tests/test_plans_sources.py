@@ -99,3 +99,21 @@ def test_artifact_listing(spark, tmp_path):
     got = scan_artifacts(spark, str(tmp_path), "model_step_*.pt")
     assert got.columns == ["path", "modificationTime", "length"]
     assert sorted(os.path.basename(r["path"]) for r in got.collect()) == ["model_step_10.pt", "model_step_9.pt", "model_step_x.pt"]
+
+
+def test_steps_report(spark):
+    from seqloom.plans.batches import steps_report
+
+    steps = spark.createDataFrame([(s,) for s in range(25)], "step long")
+    r = steps_report(steps, start=0, max_steps=100).first()
+    assert (r["batches"], r["reachable_steps"], r["schedule_truncated"]) == (25, 25, True)
+    r = steps_report(steps, start=90, max_steps=100).first()
+    assert (r["reachable_steps"], r["schedule_truncated"]) == (10, False)
+
+
+def test_reference_mask_rule():
+    from seqloom.operators.sequences import EOS_ID, reference_mask_id
+
+    assert reference_mask_id(128256) == 128000
+    assert reference_mask_id(32000) == EOS_ID
+    assert reference_mask_id(32000, mask_token_id=7) == 7
