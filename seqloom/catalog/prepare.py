@@ -20,6 +20,7 @@ from ..operators.sequences import (
     pack_groups,
     pack_report,
 )
+from ..operators.prepare import prepare_pairs
 from . import register, table
 
 SEED = 42
@@ -54,6 +55,18 @@ def encoded_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def pairs(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN, group_docs: int = GROUP_DOCS,
           max_sequences: int | None = None) -> DataFrame:
+    """The flagship chain, fused so that the documents are exchanged once
+    (``operators/prepare.py``); equal to ``pairs_chain``."""
+    docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return prepare_pairs(
+        docs, "doc_id", n=NUM_SAMPLES, seq_len=seq_len, group_docs=group_docs, vocab_size=VOCAB, p=MASK_P,
+        mask_id=MASK_ID, seed=SEED, max_sequences=max_sequences,
+    )
+
+
+def pairs_chain(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN, group_docs: int = GROUP_DOCS,
+                max_sequences: int | None = None) -> DataFrame:
+    """The same chain operator by operator: shuffle, take, vocabulary, encode, pack, mask."""
     enc, _ = encoded_docs(spark, sf_dir)
     seqs = pack(enc, seq_len=seq_len, group_docs=group_docs, max_sequences=max_sequences)
     return mask_pairs(seqs, p=MASK_P, mask_id=MASK_ID, seed=SEED)

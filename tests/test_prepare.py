@@ -141,3 +141,12 @@ def test_pack_report_accounting(spark):
     # group 0: 7 tokens -> 2 chunks of 3, 1 dropped; group 1: 1 token -> dropped group
     assert (r["sequences"], r["total_tokens"], r["tokens_in"], r["tokens_dropped"], r["groups"], r["groups_dropped"]) == (2, 6, 8, 2, 2, 1)
     assert r["mask_rate"] == 0.0
+
+
+def test_fused_prepare_equals_operator_chain(spark):
+    from seqloom.catalog.prepare import pair_digest, pairs, pairs_chain
+
+    for g in (100, 1000):
+        a = sorted(pair_digest(pairs(spark, "/root/testdata/sf0.001", seq_len=127, group_docs=g)).collect())
+        b = sorted(pair_digest(pairs_chain(spark, "/root/testdata/sf0.001", seq_len=127, group_docs=g)).collect())
+        assert a == b and len(a) > 0
