@@ -12,8 +12,10 @@ documents exchanged once:
    ``(bucket, group)``, which the bucket partitioning already satisfies;
 4. only groups that straddle a bucket boundary (at most one per bucket) are
    exchanged by group and packed there;
-5. sequence ids (dense in ``(group, chunk)`` order) come from a prefix sum over
-   per-group chunk counts, a table of one row per group.
+5. sequence ids (dense in ``(group, chunk)`` order): inside a bucket, a running
+   window over one flagged row per group gives each group's base; buckets add
+   an offset from a one-row-per-bucket table (broadcast), so chunk rows are
+   never joined or moved again.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import default_buckets, exclusive_prefix_sum
+from ..functions.ordinal import default_buckets
 from ..functions.portable import uniform
 from .mixing import take_unordered
 from .sequences import MASK_ID, build_vocab, encode, mask_pairs
@@ -118,21 +120,87 @@ def prepare_pairs(
     shuffled = enc.repartition("bucket")
     w = Window.partitionBy("bucket").orderBy("__u", key)
     numbered = (
-        shuffled.join(F.broadcast(offsets.select("bucket", "__off")), "bucket")
+        shuffled.join(F.broadcast(offsets), "bucket")
         .withColumn("__ord", (F.row_number().over(w) - 1 + F.col("__off")).cast("bigint"))
         .withColumn("group_id", F.floor(F.col("__ord") / F.lit(G)).cast("bigint"))
         .join(F.broadcast(split_df.withColumn("__split", F.lit(True))), "group_id", "left")
         .select("bucket", "group_id", "__ord", "__ids", F.coalesce("__split", F.lit(False)).alias("__split"))
     )
-    local_seqs, local_groups = _chunks(numbered.where(~F.col("__split")).drop("__split"), C, ["bucket"])
+
+    # groups that straddle buckets: exchanged by group and packed there (few rows)
     remote_seqs, remote_groups = _chunks(numbered.where(F.col("__split")).drop("__split", "bucket"), C, [])
+    # home bucket of a split group = the bucket holding its first ordinal; it is the
+    # last group that starts in that bucket (bounded table: one row per bucket at most)
+    starts = sorted(off for _, off in off_rows)
+    bucket_of_start = {off: b for b, off in off_rows}
+    import bisect
+
+    homes = []
+    for g in split_groups:
+        i = bisect.bisect_right(starts, g * G) - 1
+        homes.append((g, bucket_of_start[starts[i]]))
+    home_df = spark.createDataFrame(homes, "group_id bigint, bucket int")
+    split_chunks = remote_groups.join(F.broadcast(home_df), "group_id").groupBy("bucket").agg(
+        F.sum("__chunks").alias("__split_chunks")
+    )
 
-    # dense sequence ids: exclusive prefix of chunk counts over all groups (one row per group)
-    groups = local_groups.select("group_id", "__chunks").unionByName(remote_groups.select("group_id", "__chunks"))
-    seq_off = exclusive_prefix_sum(groups, "group_id", "__chunks", "__seq_off")
-    local = local_seqs.join(seq_off.select("group_id", "__seq_off"), "group_id")
-    # split groups: at most one per bucket, so their offsets are a bounded table
-    remote = remote_seqs.join(F.broadcast(seq_off.join(F.broadcast(split_df), "group_id").select("group_id", "__seq_off")), "group_id")
+    # groups inside one bucket: packed in place. Their sequence base is computed
+    # inside the bucket partition (a running window over one flagged row per group)
+    # plus a per-bucket offset from a bounded broadcast table, so the chunk rows
+    # never move again.
+    d = numbered.where(~F.col("__split")).drop("__split").withColumn("__n", F.size("__ids").cast("bigint"))
+    part = ["bucket", "group_id"]
+    run = Window.partitionBy(*part).orderBy("__ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*part)
+    d = (
+        d.withColumn("__start", F.sum("__n").over(run) - F.col("__n"))
+        .withColumn("__chunks", F.floor(F.sum("__n").over(whole) / F.lit(C)).cast("bigint"))
+        .withColumn("__head", F.col("__ord") == F.min("__ord").over(whole))
+    )
+    flagged = F.when(F.col("__head"), F.col("__chunks")).otherwise(F.lit(0).cast("bigint"))
+    in_bucket = Window.partitionBy("bucket").orderBy("group_id", "__ord").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    d = d.withColumn("__prefix", F.sum(flagged).over(in_bucket) - F.col("__chunks"))
+    local_totals = d.where("__head").groupBy("bucket").agg(F.sum("__chunks").alias("__local_chunks"))
+    per_bucket = (
+        spark.createDataFrame([(b,) for b, _ in off_rows], "bucket int")
+        .join(local_totals, "bucket", "left")
+        .join(split_chunks, "bucket", "left")
+        .select(
+            "bucket",
+            F.coalesce("__local_chunks", F.lit(0)).cast("bigint").alias("__local_chunks"),
+            F.coalesce("__split_chunks", F.lit(0)).cast("bigint").alias("__split_chunks"),
+        )
+    )
+    # one row per bucket: a single ordered window over it is bounded
+    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total_b = F.col("__local_chunks") + F.col("__split_chunks")
+    per_bucket = per_bucket.withColumn("__bucket_base", F.sum(total_b).over(wb) - total_b)
+    d = d.join(F.broadcast(per_bucket.select("bucket", "__bucket_base")), "bucket").withColumn(
+        "__seq_base", F.col("__bucket_base") + F.col("__prefix")
+    )
+    live = d.where((F.col("__n") > 0) & (F.col("__start") < F.col("__chunks") * C))
+    first = F.floor(F.col("__start") / F.lit(C))
+    last = F.least(F.floor((F.col("__start") + F.col("__n") - 1) / F.lit(C)), F.col("__chunks") - 1)
+    pieces = live.select(*part, "__seq_base", "__start", "__n", "__ids", F.explode(F.sequence(first, last)).alias("chunk"))
+    lo = F.greatest(F.col("chunk") * C, F.col("__start"))
+    hi = F.least((F.col("chunk") + 1) * C, F.col("__start") + F.col("__n"))
+    pieces = pieces.select(
+        *part,
+        "__seq_base",
+        "chunk",
+        F.struct(lo.alias("o"), F.slice("__ids", (lo - F.col("__start") + 1).cast("int"), (hi - lo).cast("int")).alias("p")).alias("__pc"),
+    )
+    local = pieces.groupBy(*part, "chunk").agg(
+        F.first("__seq_base").alias("__seq_off"), F.sort_array(F.collect_list("__pc")).alias("__pcs")
+    ).select(*part, "__seq_off", F.col("chunk").cast("bigint").alias("chunk"), F.flatten(F.col("__pcs.p")).alias("input_ids"))
+
+    # a split group's base: its home bucket's base plus that bucket's local chunks
+    split_base = home_df.join(F.broadcast(per_bucket), "bucket").select(
+        "group_id", (F.col("__bucket_base") + F.col("__local_chunks")).alias("__seq_off")
+    )
+    remote = remote_seqs.join(F.broadcast(split_base), "group_id")
     cols = [(F.col("__seq_off") + F.col("chunk")).cast("bigint").alias("seq_id"), "group_id", "chunk", "input_ids"]
     seqs = local.select(*cols).unionByName(remote.select(*cols))
     if max_sequences is not None:
