@@ -79,27 +79,27 @@ def encode(
     Unknown words map to ``unk_id``; an empty text encodes to ``[bos]``.
     ``encode_relational`` is the same operator in pure DataFrame form.
     """
+    import numpy as np
     import pyarrow as pa
 
     from ..functions.arrow_kernels import encode_batch
 
     regular = vocab.where(F.col("token_id") >= specials).select("token_id", "token")
-    # one bounded fetch: at most MAX_BROADCAST_VOCAB + 1 rows reach the driver
-    rows = regular.orderBy("token_id").limit(MAX_BROADCAST_VOCAB + 1).collect()
-    if len(rows) > MAX_BROADCAST_VOCAB:
+    # one bounded fetch as Arrow: at most MAX_BROADCAST_VOCAB + 1 rows reach the driver
+    tbl = regular.orderBy("token_id").limit(MAX_BROADCAST_VOCAB + 1).toArrow()
+    if tbl.num_rows > MAX_BROADCAST_VOCAB:
         return encode_relational(df, vocab, keys, text, out, add_bos, unk_id, bos_id)
-    tokens = [r["token"] for r in rows]
-    ids = [r["token_id"] for r in rows]
-    if ids != list(range(specials, specials + len(ids))):
+    ids = tbl.column("token_id").to_numpy()
+    if len(ids) and not (ids == np.arange(specials, specials + len(ids))).all():
         raise ValueError("vocabulary ids must be dense after the specials")
     sc = df.sparkSession.sparkContext
-    bvocab = sc.broadcast(tokens)
+    bvocab = sc.broadcast(tbl.column("token").combine_chunks().cast(pa.string()))
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     bos = bos_id if add_bos else None
 
     def run(it):
-        value_set = pa.array(bvocab.value, pa.string())
+        value_set = bvocab.value
         for b in it:
             yield encode_batch(b, keys, text, out, value_set, specials, unk_id, bos)
 
