@@ -30,13 +30,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def build_vocab(df: DataFrame, size: int = 32000, text: str = "text", specials: list[str] = SPECIALS) -> DataFrame:
+def build_vocab(
+    df: DataFrame, size: int = 32000, text: str = "text", specials: list[str] = SPECIALS, top_groups: int = 64
+) -> DataFrame:
     """T1 (vocabulary): ``(token, token_id, count)`` for the ``size - len(specials)`` most frequent words.
 
     Rank by ``(count desc, token)``; ids start after the specials. The count is
-    a map-side-combined aggregate; the top-k is ``TakeOrderedAndProject``
-    (per-partition top-k, then a merge of at most ``k`` rows per partition), so
-    the result is bounded by ``size`` and safe to broadcast in ``encode``.
+    a map-side-combined aggregate; the top-k is two-level (top k per hash group,
+    then the top k of those), so no task receives more than ``top_groups * k``
+    rows, and the result is bounded by ``size`` and safe to broadcast in ``encode``.
     """
     k = int(size) - len(specials)
     if k <= 0:
@@ -46,7 +48,19 @@ def build_vocab(df: DataFrame, size: int = 32000, text: str = "text", specials:
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k)
+    # two-level top-k: a plain orderBy().limit(k) would send k rows from every
+    # count partition into one task; first keep the top k inside each of R hash
+    # groups (WindowGroupLimit, partial before the shuffle), so the final top-k
+    # sees at most R * k rows whatever the data size
+    R = int(top_groups)
+    by_group = Window.partitionBy("__g").orderBy(F.col("count").desc(), F.col("token"))
+    pre = (
+        counts.withColumn("__g", F.pmod(F.xxhash64("token"), F.lit(R)))
+        .withColumn("__r", F.row_number().over(by_group))
+        .where(F.col("__r") <= k)
+        .drop("__g", "__r")
+    )
+    top = pre.orderBy(F.col("count").desc(), F.col("token")).limit(k)
     # at most k rows: a single ordered window over them is bounded
     w = Window.orderBy(F.col("count").desc(), F.col("token"))
     regular = top.select(
