@@ -38,15 +38,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the session's setting, else a local one (tests only)."""
-    path = spark.conf.get(_CONF_KEY, None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="seqloom-ckpt-", dir="/tmp")
+    sc = spark.sparkContext
+    path = spark.conf.get(_CONF_KEY, None) or sc.getConf().get(_CONF_KEY, None)
+    if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
+        return path
+    current = sc.getCheckpointDir()
+    if current:
+        # a directory set programmatically: its parent is the user-facing root
+        return current.rstrip("/").rsplit("/", 1)[0]
+    path = tempfile.mkdtemp(prefix="seqloom-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(path)
+    try:
         spark.conf.set(_CONF_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
-    # getCheckpointDir() returns a uuid sub-folder; keep the user-facing root.
-    return spark.conf.get(_CONF_KEY)
+    except Exception:  # noqa: BLE001 - some sessions reject core confs at run time
+        pass
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
