@@ -129,11 +129,13 @@ def _linear_scan(
     inner = Window.partitionBy(key, "__b").orderBy("__k")
     running = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dj = F.pow(F.lit(d), F.col("__j").cast("double"))
-    local = F.lit(gain) * dj * F.sum(x * F.pow(F.lit(d), -F.col("__j").cast("double"))).over(running)
-    idx = idx.withColumn("__local", local)
-
-    # carry between blocks: one row per (key, block)
-    ends = idx.groupBy(key, "__b").agg(F.max_by("__local", "__k").alias("__e"))
+    scaled = x * F.pow(F.lit(d), -F.col("__j").cast("double"))
+    # carry between blocks: one row per (key, block); the block's end value is an
+    # aggregate of the index (no need for the running window's output)
+    ends = idx.groupBy(key, "__b").agg(
+        (F.lit(gain) * F.pow(F.lit(d), F.max("__j").cast("double")) * F.sum(scaled)).alias("__e")
+    )
+    idx = idx.withColumn("__local", F.lit(gain) * dj * F.sum(scaled).over(running))
     if d >= 1.0:
         # h never leaves zero when gain is 0; with gain 1 (pure sum) every block counts
         m = None
