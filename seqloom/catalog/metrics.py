@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import r6, r6_sql
 from ..operators.matrix import layer_norm
-from ..operators.metrics import check_finite, check_rectangular, combine, cross_entropy, paired_mse_frame, trend
+from ..operators.metrics import (
+    check_finite, check_rectangular, combine, cross_entropy, cross_entropy_long, paired_mse_frame, trend,
+)
 from . import register, table
 
 LATENT_WEIGHT = 0.5  # reference: gen + 0.5 * latent
@@ -40,6 +42,14 @@ def g1_cross_entropy(spark, sf_dir):
     return cross_entropy(_emb(spark, sf_dir), "embedding", "label").select(r6("loss").alias("loss"), "rows")
 
 
+@register("g1_cross_entropy_long", "WITH " + _SQL_CE + f"\nSELECT {r6_sql('loss')} AS loss, CAST(rows AS BIGINT) AS rows FROM ce")
+def g1_cross_entropy_long(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    long = e.select("vec_id", F.posexplode("embedding").alias("item", "score"))
+    ce = cross_entropy_long(long, e.select("vec_id", "label"), "vec_id", "item", "score", "label")
+    return ce.select(r6("loss").alias("loss"), "rows")
+
+
 def _mse(spark, sf_dir):
     e = _emb(spark, sf_dir)
     ln = layer_norm(e, "embedding", out="y").select("vec_id", "y")

@@ -29,6 +29,24 @@ def cross_entropy(df: DataFrame, scores: str, label: str, ignore: int = IGNORE_I
     return df.agg(F.avg(loss).alias("loss"), F.count(loss).cast("bigint").alias("rows"))
 
 
+def cross_entropy_long(
+    scores: DataFrame, labels: DataFrame, key: str, item: str, score: str, label: str, ignore=IGNORE_INDEX
+) -> DataFrame:
+    """G1, long form: scores as rows ``(key, item, score)``, labels as ``(key, label)``.
+
+    Per key, ``logsumexp`` over its items (max-shifted: a ``groupBy(key)`` with
+    map-side partial aggregation for the max and for the shifted sum) minus the
+    score of the label item; mean over keys whose label is not ``ignore``.
+    """
+    s = scores.select(key, item, F.col(score).cast("double").alias("__s"))
+    m = s.groupBy(key).agg(F.max("__s").alias("__m"))
+    lse = s.join(m, key).groupBy(key).agg((F.first("__m") + F.log(F.sum(F.exp(F.col("__s") - F.col("__m"))))).alias("__lse"))
+    lab = labels.where(F.col(label) != F.lit(ignore)).select(key, F.col(label).alias(item))
+    picked = lab.join(s, [key, item]).select(key, "__s")
+    per_key = lse.join(picked, key).select((F.col("__lse") - F.col("__s")).alias("__l"))
+    return per_key.agg(F.avg("__l").alias("loss"), F.count(F.lit(1)).cast("bigint").alias("rows"))
+
+
 def paired_mse(a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
     """Mean over all elements of ``(a - b)^2`` between two vector tables joined on key.
 

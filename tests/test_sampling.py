@@ -91,3 +91,15 @@ def test_retention_and_versions(spark):
     assert kept == {"model_step_x.pt", "model_step_9.pt"}  # by time
     v = latest_version(names, "name").first()
     assert (v["version"], v["name"]) == (10, "model_step_10.pt")  # by number, not by time or text
+
+
+def test_cross_entropy_long_equals_wide(spark):
+    from seqloom.operators.metrics import cross_entropy_long
+
+    wide = spark.createDataFrame([(1, [0.5, 1.5, -1.0], 1), (2, [2.0, 0.0, 0.0], 0), (3, [1.0, 1.0, 1.0], -100)],
+                                 "k int, s array<double>, y int")
+    long = wide.select("k", F.posexplode("s").alias("item", "score"))
+    a = cross_entropy(wide, "s", "y").first()
+    b = cross_entropy_long(long, wide.select("k", "y"), "k", "item", "score", "y").first()
+    assert a["rows"] == b["rows"] == 2
+    assert a["loss"] == pytest.approx(b["loss"], abs=1e-12)
