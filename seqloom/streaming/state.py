@@ -117,6 +117,27 @@ def decay_stream(
     return w.start()
 
 
+TAIL_SCHEMA = "ordinal bigint, ids array<int>"
+
+
+def _tail(docs: DataFrame, C: int, ordinal: str, ids: str) -> DataFrame:
+    """Tokens of one group past its last whole chunk (fewer than C), as one row
+    ``(-1, ids)``; empty when nothing is left over. The group is the micro-batch."""
+    from pyspark.sql import Window
+
+    d = docs.select(F.col(ordinal).alias("o"), F.col(ids).alias("x")).withColumn("n", F.size("x").cast("bigint"))
+    run = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("start", F.sum("n").over(run) - F.col("n")).withColumn(
+        "kept", F.floor(F.sum("n").over(Window.partitionBy()) / F.lit(C)) * F.lit(C)
+    )
+    rest = d.where(F.col("start") + F.col("n") > F.col("kept")).select(
+        "o", F.slice("x", (F.greatest(F.col("kept") - F.col("start"), F.lit(0)) + 1).cast("int"), F.col("n").cast("int")).alias("p")
+    )
+    return rest.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("o", "p"))), lambda e: e["p"])).alias("ids")).where(
+        F.size("ids") > 0
+    ).select(F.lit(-1).cast("bigint").alias("ordinal"), F.col("ids").cast("array<int>").alias("ids"))
+
+
 def pack_stream(
     stream: DataFrame,
     out_dir: str,
@@ -125,18 +146,37 @@ def pack_stream(
     ids: str = "ids",
     ordinal: str = "ordinal",
     available_now: bool = True,
+    carry_tail: bool = False,
+    state_dir: str | None = None,
 ):
-    """ST2: each micro-batch of encoded documents is packed as one group (tail dropped).
-
-    Output folders ``batch_id=n`` hold ``(chunk, input_ids)``; rewrites on replay.
+    """ST2: each micro-batch of encoded documents is packed as one group.
+
+    By default the group's tail is dropped (the reference's rule, with the
+    micro-batch as the group). With ``carry_tail`` the leftover tokens (fewer
+    than one chunk) are kept as versioned state and put in front of the next
+    micro-batch, so across batches only the final tail is lost. Output folders
+    ``batch_id=n`` hold ``(batch_id, chunk, input_ids)``; a replayed batch
+    rewrites the same folder and state version.
     """
+    C = int(seq_len) + 1
+    if carry_tail and not state_dir:
+        raise ValueError("carry_tail needs a state_dir")
+
     def fn(df, batch_id):
+        spark = df.sparkSession
+        docs = df.select(F.col(ordinal).cast("bigint").alias("ordinal"), F.col(ids).cast("array<int>").alias("ids"))
+        if carry_tail:
+            # the carried tail has ordinal -1; shift by one so every row stays in group 0
+            docs = _read_state(spark, state_dir, batch_id, TAIL_SCHEMA).unionByName(docs)
+            docs = docs.withColumn("ordinal", F.col("ordinal") + 1)
         # the micro-batch is the group (its size is bounded by maxFilesPerTrigger /
-        # maxBytesPerTrigger); ordinals only need to be increasing, not dense
-        seqs = pack(df.select(ordinal, ids), seq_len=seq_len, ids=ids, ordinal=ordinal, group_docs=1 << 62)
+        # maxBytesPerTrigger); ordinals (non-negative) need to be increasing, not dense
+        seqs = pack(docs, seq_len=seq_len, ids="ids", ordinal="ordinal", group_docs=1 << 62)
         seqs.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "chunk", "input_ids").write.mode("overwrite").parquet(
             f"{out_dir.rstrip('/')}/batch_id={batch_id:09d}"
         )
+        if carry_tail:
+            _tail(docs, C, "ordinal", "ids").write.mode("overwrite").parquet(_version_path(state_dir, batch_id))
 
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

@@ -70,3 +70,21 @@ def test_pairs_independent_of_partitioning(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(base) == sorted(other)
+
+
+def test_pack_stream_carries_tail(spark):
+    enc = spark.createDataFrame([(i, list(range(i * 10, i * 10 + 7))) for i in range(6)], "ordinal long, ids array<int>")
+    root = scratch_path(spark, "st2-tail")
+    for i in range(2):
+        enc.where(F.col("ordinal").between(3 * i, 3 * i + 2)).coalesce(1).write.parquet(f"{root}/in/p{i}")
+        time.sleep(0.05)
+    src = spark.readStream.schema(enc.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
+        f"{root}/in"
+    )
+    pack_stream(src, f"{root}/out", f"{root}/ck", seq_len=4, carry_tail=True, state_dir=f"{root}/state").awaitTermination()
+    out = spark.read.parquet(f"{root}/out").orderBy("batch_id", "chunk").collect()
+    flat = [t for i in range(6) for t in range(i * 10, i * 10 + 7)]
+    got = [t for r in out for t in r["input_ids"]]
+    # batch 0: 21 tokens -> 4 chunks, 1 carried; batch 1: 1 + 21 = 22 -> 4 chunks, 2 left
+    assert [r["batch_id"] for r in out] == [0] * 4 + [1] * 4
+    assert got == flat[: len(got)] and len(got) == 40
