@@ -30,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_DECAY = 0.9
 DEFAULT_MOMENTUM = 0.95
@@ -64,6 +65,10 @@ def keyed_index(
     and a small per-split count table supplies the offsets, so a key holding a
     large share of all rows is spread over many tasks.
     """
+    if isinstance(split, str) and split == "auto":
+        t = df.schema[order[0]].dataType
+        if not (isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))):
+            split = None  # no numeric range to cut: one window per key
     if split is None:
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
@@ -77,8 +82,9 @@ def keyed_index(
         )
         parts = F.ceil(F.col("__cnt") / F.lit(int(target_rows)))
         width = (F.col("__hi") - F.col("__lo") + F.lit(1)) / parts
+        # null order values sort first: they get the lowest split
         keyed = df.join(stats, key).withColumn(
-            s, F.floor((v - F.col("__lo")) / width).cast("bigint")
+            s, F.coalesce(F.floor((v - F.col("__lo")) / width).cast("bigint"), F.lit(-1).cast("bigint"))
         ).drop("__cnt", "__lo", "__hi")
     else:
         keyed = df.withColumn(s, split)
@@ -108,19 +114,23 @@ def _linear_scan(
     d = float(decay)
     if not 0.0 <= d <= 1.0:
         raise ValueError("decay must be in [0, 1]")
+    # work on a struct-wrapped key: joins on it keep a null key as its own group
+    user_key, key = key, "__kk"
+    df = df.withColumn(key, F.struct(F.col(user_key).alias("k")))
     x = F.col(value).cast("double")
     if d == 1.0 and gain == 0.0:
         # the state never leaves its zero start
         res = df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
         res = res.withColumn("k", F.col("k").cast("bigint")).withColumn(out, F.lit(0.0))
-        return res.withColumn(prev, F.lit(0.0)) if prev else res
+        res = res.withColumn(prev, F.lit(0.0)) if prev else res
+        return res.drop(key)
     if d == 0.0:
         # h_t = g * x_t; the previous state is g * x_{t-1}
         res = df.withColumn(out, F.lit(gain) * x)
         if prev:
             w = Window.partitionBy(key).orderBy(*order)
             res = res.withColumn(prev, F.coalesce(F.lag(out).over(w), F.lit(0.0)))
-        return res
+        return res.drop(key)
     L = int(block or block_length(d))
     idx = keyed_index(df, key, order, split, name="__k")
     idx = idx.withColumn("__b", F.floor(F.col("__k") / F.lit(L)).cast("bigint")).withColumn(
@@ -160,7 +170,7 @@ def _linear_scan(
             prev,
             F.when(F.col("__j") == 0, F.col("__carry")).otherwise(F.lag(out).over(inner)),
         )
-    return res.drop("__b", "__j", "__local", "__carry").withColumnRenamed("__k", "k")
+    return res.drop("__b", "__j", "__local", "__carry", key).withColumnRenamed("__k", "k")
 
 
 def decay_scan(
@@ -172,13 +182,15 @@ def decay_scan(
     out: str = "h",
     emit_previous: str | None = None,
     block: int | None = None,
-    split: Column | str | None = None,
+    split: Column | str | None = "auto",
 ) -> DataFrame:
     """E1 (+E2 with ``emit_previous``): ``h_t = d*h_{t-1} + (1-d)*x_t`` per key.
 
     Adds ``k`` (row index in the key), ``out`` (the state after row t) and,
     if ``emit_previous`` is given, the read-before-write value ``h_{t-1}``
     (0 at the first row) under that name. d=0 gives h=x; d=1 gives h=0.
+    ``split="auto"`` (default) spreads a key with many rows over several sorts;
+    ``None`` uses one plain window per key (cheapest when keys are small).
     """
     return _linear_scan(df, key, order, value, decay, 1.0 - float(decay), out, emit_previous, block, split)
 
@@ -209,7 +221,7 @@ def momentum_scan(
     momentum: float = DEFAULT_MOMENTUM,
     lookahead: bool = True,
     block: int | None = None,
-    split: Column | str | None = None,
+    split: Column | str | None = "auto",
 ) -> DataFrame:
     """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``."""
     res = _linear_scan(df, key, order, grad, momentum, 1.0, "buf", None, block, split)

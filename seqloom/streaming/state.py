@@ -72,7 +72,8 @@ def decay_step_batch(
     j = j.withColumn("__late", F.coalesce(late_cond, F.lit(False)))
     late = j.where("__late").select("key", "ts", "rid", "x")
     live = j.where(~F.col("__late")).withColumn("h0", F.coalesce(F.col("h"), F.lit(0.0))).drop("h", "last_us", "last_id", "__late")
-    sc = decay_scan(live, "key", ["ts", "rid"], "x", decay=decay, out="hb", emit_previous="pb")
+    # a micro-batch is bounded by the trigger: one plain window per key suffices
+    sc = decay_scan(live, "key", ["ts", "rid"], "x", decay=decay, out="hb", emit_previous="pb", split=None)
     d = float(decay)
     sc = sc.withColumn("h", F.col("hb") + F.pow(F.lit(d), (F.col("k") + 1).cast("double")) * F.col("h0")).withColumn(
         "prev", F.col("pb") + F.pow(F.lit(d), F.col("k").cast("double")) * F.col("h0")

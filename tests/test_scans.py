@@ -83,3 +83,19 @@ def test_auto_split_hot_key(spark):
         cur = 0.9 * cur + 0.1 * float(i % 5)
         ref.append(cur)
     assert max(abs(x - y) for x, y in zip(h, ref)) < 1e-9
+
+
+def test_auto_split_with_string_order_falls_back(spark):
+    df = spark.createDataFrame([(1, f"t{i:03d}", 1.0) for i in range(5)], "key int, t string, x double")
+    s = decay_scan(df, "key", ["t"], "x", decay=0.5)
+    assert s.count() == 5
+
+
+def test_null_key_and_null_order_are_kept(spark):
+    rows = [(None, 0, 1.0), (None, 1, 0.0), (1, None, 2.0), (1, 1, 0.0)]
+    df = spark.createDataFrame(rows, "key int, t long, x double")
+    for split in ("auto", None):
+        s = decay_scan(df, "key", ["t"], "x", decay=0.5, split=split)
+        assert s.count() == 4
+        h = {(r["key"], r["t"]): r["h"] for r in s.collect()}
+        assert h[(None, 1)] == pytest.approx(0.25) and h[(1, 1)] == pytest.approx(0.5)
