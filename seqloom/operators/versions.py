@@ -17,14 +17,14 @@ def keep_newest(df: DataFrame, group: list[str], order: list[str], k: int = 2, o
     per group), joined back to flag every row. No group is sorted in one task.
     """
     tup = F.struct(*[F.col(c) for c in order])
-    w = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
-    top = df.select(*group, *order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    thr = top.groupBy(*group).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("__thr"))
-    if group:
-        joined = df.join(thr, group, "left")
-    else:
-        joined = df.withColumn("__k", F.lit(1)).join(thr.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
-    return joined.withColumn(out, F.coalesce(tup >= F.col("__thr"), F.lit(False))).drop("__thr")
+    # the group as one struct column: joining on it keeps null group values together
+    g = F.struct(*[F.col(c) for c in group]) if group else F.struct(F.lit(1).alias("all"))
+    keyed = df.withColumn("__grp", g)
+    w = Window.partitionBy("__grp").orderBy(*[F.col(c).desc() for c in order])
+    top = keyed.select("__grp", *order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    thr = top.groupBy("__grp").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("__thr"))
+    joined = keyed.join(thr, "__grp", "left")
+    return joined.withColumn(out, F.coalesce(tup >= F.col("__thr"), F.lit(False))).drop("__thr", "__grp")
 
 
 def latest_version(df: DataFrame, name: str, pattern: str = r"model_step_(\d+)\.pt", group: list[str] | None = None) -> DataFrame:

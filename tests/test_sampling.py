@@ -103,3 +103,9 @@ def test_cross_entropy_long_equals_wide(spark):
     b = cross_entropy_long(long, wide.select("k", "y"), "k", "item", "score", "y").first()
     assert a["rows"] == b["rows"] == 2
     assert a["loss"] == pytest.approx(b["loss"], abs=1e-12)
+
+
+def test_keep_newest_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (None, 3), ("a", 1)], "g string, t int")
+    kept = sorted((r["g"] or "-", r["t"]) for r in keep_newest(df, ["g"], ["t"], k=2).where("keep").collect())
+    assert kept == [("-", 2), ("-", 3), ("a", 1)]
