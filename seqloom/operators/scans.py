@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,12 +240,35 @@ def _dot(weights: list[float], vec: Column) -> Column:
     return F.aggregate(F.zip_with(w, vec, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]]) -> Column:
+def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]], spark=None, max_literal: int = 4096) -> Column:
     """``W2 . silu(W1 . h)`` with no bias for an ``array<double>`` state ``h``.
 
-    ``w1`` is width x dim, ``w2`` is dim x width. The weights are literals in
-    the plan (model parameters, bounded by width x dim), and the products are
-    array expressions evaluated in the JVM, inside whole-stage codegen.
+    ``w1`` is width x dim, ``w2`` is dim x width. Small weight sets
+    (``width * dim <= max_literal``) become literals in the plan and the products
+    are array expressions evaluated in the JVM. Larger ones (e.g. width 4096 x
+    dim 1024) are shipped once per executor as a broadcast and applied by an
+    Arrow ``pandas_udf`` with one numpy matrix product per batch.
     """
+    width, dim = len(w1), len(w1[0]) if w1 else 0
+    if width * dim > max_literal:
+        return _mlp_readout_arrow(col, w1, w2, spark)
     hidden = F.array(*[silu(_dot(row, col)) for row in w1])
     return F.array(*[_dot(row, hidden) for row in w2])
+
+
+def _mlp_readout_arrow(col: Column, w1, w2, spark=None) -> Column:
+    from pyspark.sql import SparkSession
+
+    session = spark or SparkSession.getActiveSession()
+    bw = session.sparkContext.broadcast((np.asarray(w1, dtype=np.float64), np.asarray(w2, dtype=np.float64)))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def readout(h: pd.Series) -> pd.Series:
+        if len(h) == 0:
+            return pd.Series([], dtype=object)
+        a, b = bw.value
+        z = np.stack(h.to_numpy()).astype(np.float64) @ a.T
+        out = (z / (1.0 + np.exp(-z))) @ b.T
+        return pd.Series(list(out))
+
+    return readout(col.cast("array<double>"))

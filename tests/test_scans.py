@@ -99,3 +99,22 @@ def test_null_key_and_null_order_are_kept(spark):
         assert s.count() == 4
         h = {(r["key"], r["t"]): r["h"] for r in s.collect()}
         assert h[(None, 1)] == pytest.approx(0.25) and h[(1, 1)] == pytest.approx(0.5)
+
+
+def test_readout_literal_and_arrow_paths_agree(spark):
+    import numpy as np
+
+    from seqloom.operators.scans import mlp_readout
+
+    rng = np.random.default_rng(3)
+    w1 = rng.normal(size=(8, 4)).tolist()
+    w2 = rng.normal(size=(4, 8)).tolist()
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(20)], "id int, h array<double>")
+    a = df.select("id", mlp_readout(F.col("h"), w1, w2).alias("r")).orderBy("id").collect()
+    b = df.select("id", mlp_readout(F.col("h"), w1, w2, max_literal=0).alias("r")).orderBy("id").collect()
+    for x, y in zip(a, b):
+        assert np.allclose(x["r"], y["r"], atol=1e-12)
+    H = np.array([r["h"] for r in df.orderBy("id").collect()])
+    Z = H @ np.array(w1).T
+    want = (Z / (1 + np.exp(-Z))) @ np.array(w2).T
+    assert np.allclose(np.array([x["r"] for x in a]), want, atol=1e-12)
