@@ -76,9 +76,10 @@ def interleave(
     numbered = []
     sizes = []
     for i, s in enumerate(sources):
+        # natural_ordinal checkpoints the source: its count reads the checkpoint, not the input
         o = natural_ordinal(s.df, s.order, name="__rank")
         numbered.append(o.select(F.lit(i).alias("source"), "__rank", *[F.col(c) for c in out_cols]))
-        sizes.append(s.df.count())
+        sizes.append(o.count())
     n_draws = sum(sizes) + 1
 
     u = uniform(seed, F.lit("draw"), F.col("id"))
