@@ -150,3 +150,14 @@ def test_fused_prepare_equals_operator_chain(spark):
         a = sorted(pair_digest(pairs(spark, "/root/testdata/sf0.001", seq_len=127, group_docs=g)).collect())
         b = sorted(pair_digest(pairs_chain(spark, "/root/testdata/sf0.001", seq_len=127, group_docs=g)).collect())
         assert a == b and len(a) > 0
+
+
+def test_take_unordered_equals_take_of_shuffle(spark):
+    from seqloom.operators.mixing import take_unordered
+
+    docs = _docs(spark)
+    total = docs.count()
+    for n, buckets in [(1, 7), (37, 7), (100, 16), (total - 1, 3), (total, 7), (total + 5, 7)]:
+        a = take_unordered(docs, "doc_id", n, seed=42, buckets=buckets).select("doc_id")
+        b = take(shuffle(docs, "doc_id", seed=42), n).select("doc_id")
+        assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect()), (n, buckets)
