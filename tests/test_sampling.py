@@ -109,3 +109,9 @@ def test_keep_newest_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 3), ("a", 1)], "g string, t int")
     kept = sorted((r["g"] or "-", r["t"]) for r in keep_newest(df, ["g"], ["t"], k=2).where("keep").collect())
     assert kept == [("-", 2), ("-", 3), ("a", 1)]
+
+
+def test_keep_newest_plan_uses_group_limit(spark):
+    df = spark.createDataFrame([(g % 3, t) for g in range(30) for t in range(5)], "g int, t int")
+    plan = keep_newest(df, ["g"], ["t"], k=2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
