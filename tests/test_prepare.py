@@ -161,3 +161,17 @@ def test_take_unordered_equals_take_of_shuffle(spark):
         a = take_unordered(docs, "doc_id", n, seed=42, buckets=buckets).select("doc_id")
         b = take(shuffle(docs, "doc_id", seed=42), n).select("doc_id")
         assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect()), (n, buckets)
+
+
+def test_fused_prepare_with_take_smaller_than_table(spark):
+    from seqloom.catalog.prepare import pair_digest
+    from seqloom.operators.prepare import prepare_pairs
+
+    docs = _docs(spark)
+    n = 120  # fewer than the 200 documents of the fixture
+    a = sorted(pair_digest(prepare_pairs(docs, "doc_id", n=n, seq_len=63, group_docs=25, vocab_size=400)).collect())
+    sel = take(shuffle(docs, "doc_id", seed=42), n)
+    vocab = build_vocab(sel.select("doc_id", "text"), size=400)
+    enc = encode(sel, vocab, keys=["ordinal"])
+    b = sorted(pair_digest(mask_pairs(pack(enc, seq_len=63, group_docs=25), p=0.15, seed=42)).collect())
+    assert a == b and len(a) > 0
