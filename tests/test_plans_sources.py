@@ -117,3 +117,14 @@ def test_reference_mask_rule():
     assert reference_mask_id(128256) == 128000
     assert reference_mask_id(32000) == EOS_ID
     assert reference_mask_id(32000, mask_token_id=7) == 7
+
+
+def test_interleave_with_an_empty_source(spark):
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(50)], "id long, text string")
+    b = spark.createDataFrame([], "id long, text string")
+    out = interleave([Source(a, ["id"], "a"), Source(b, ["id"], "b")], [0.6, 0.4], seed=42, out_cols=["text"])
+    rows = out.orderBy("draw").collect()
+    # everything before the first draw of the empty source, in order
+    assert all(r["source"] == "a" for r in rows)
+    assert [r["text"] for r in rows] == [f"a{i}" for i in range(len(rows))]
+    assert len(rows) < 50
