@@ -118,3 +118,12 @@ def test_fan_out_lane_mean(spark):
     assert np.abs(lm - m).max() < 0.1  # noise 0.02 averaged over 4 lanes
     again = fan_out(df.repartition(3), "id", "v", n=4, sigma=0.02, seed=42)
     assert f.exceptAll(again).count() == 0  # reproducible
+
+
+def test_balance_through_checkpoint_matches_numpy(spark):
+    w = np.random.default_rng(5).normal(size=(4, 4))
+    got = balance(_cells(spark, w), iters=12, checkpoint_every=10).toPandas()
+    p = np.zeros((4, 4))
+    for r in got.itertuples():
+        p[r.i, r.j] = r.p
+    assert np.allclose(p, _np_sinkhorn(w, iters=12), atol=1e-12)
