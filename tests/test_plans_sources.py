@@ -128,3 +128,22 @@ def test_interleave_with_an_empty_source(spark):
     assert all(r["source"] == "a" for r in rows)
     assert [r["text"] for r in rows] == [f"a{i}" for i in range(len(rows))]
     assert len(rows) < 50
+
+
+def test_interleave_independent_of_partitioning(spark):
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(400)], "id long, text string")
+    b = spark.createDataFrame([(i // 3, i % 3, f"b{i}") for i in range(300)], "conv long, turn long, text string")
+
+    def run():
+        return sorted(
+            interleave([Source(a, ["id"], "a"), Source(b, ["conv", "turn"], "b")], [0.6, 0.4], seed=7, out_cols=["text"]).collect()
+        )
+
+    base = run()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert run() == base
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
