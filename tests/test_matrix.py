@@ -127,3 +127,10 @@ def test_balance_through_checkpoint_matches_numpy(spark):
     for r in got.itertuples():
         p[r.i, r.j] = r.p
     assert np.allclose(p, _np_sinkhorn(w, iters=12), atol=1e-12)
+
+
+def test_orthogonalize_independent_of_partitioning(spark):
+    df, _ = _vecs(spark, n=200, d=8, seed=9)
+    a = np.stack(orthogonalize(df.coalesce(1), "v", out="o").orderBy("id").toPandas()["o"].to_numpy())
+    b = np.stack(orthogonalize(df.repartition(7), "v", out="o").orderBy("id").toPandas()["o"].to_numpy())
+    assert np.allclose(a, b, atol=1e-12)
