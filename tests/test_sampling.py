@@ -115,3 +115,46 @@ def test_keep_newest_plan_uses_group_limit(spark):
     df = spark.createDataFrame([(g % 3, t) for g in range(30) for t in range(5)], "g int, t int")
     plan = keep_newest(df, ["g"], ["t"], k=2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_sample_walk_matches_python_brute_force(spark):
+    import hashlib
+    import math
+
+    def u(*parts):
+        h = hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:13]
+        return int(h, 16) / 2.0**52
+
+    table = [("a", "b", 1.0), ("a", "c", 0.5), ("a", "d", 0.1), ("b", "a", 0.3), ("b", "c", 0.9), ("c", "a", 0.2),
+             ("c", "b", 0.2), ("c", "e", 0.4), ("d", "e", 1.0), ("e", "a", 0.7), ("e", "d", 0.7)]
+    k, temp, steps, eos, seed = 2, 0.8, 6, "e", 42
+    by_key = {}
+    for key, item, s in table:
+        by_key.setdefault(key, []).append((s / temp, item))
+    probs = {}
+    for key, cands in by_key.items():
+        top = sorted(cands, key=lambda x: (-x[0], x[1]))[:k]
+        m = max(s for s, _ in top)
+        z = sum(math.exp(s - m) for s, _ in top)
+        acc, rows = 0.0, []
+        for s, it in top:
+            acc += math.exp(s - m) / z
+            rows.append((acc, it))
+        probs[key] = rows
+    want = []
+    for w, start in [(1, "a"), (2, "c"), (3, "e")]:
+        want.append((w, 0, start))
+        cur = start
+        for t in range(1, steps + 1):
+            if cur not in probs:
+                break
+            x = u(seed, w, t)
+            nxt = next((it for c, it in probs[cur] if c > x), probs[cur][-1][1])
+            want.append((w, t, nxt))
+            cur = nxt
+            if cur == eos:
+                break
+    tdf = spark.createDataFrame(table, "key string, item string, score double")
+    pdf = spark.createDataFrame([(1, "a"), (2, "c"), (3, "e")], "w long, s string")
+    got = sorted((r["walker"], r["step"], r["item"]) for r in sample_walk(pdf, tdf, "w", "s", steps, eos=eos, seed=seed, k=k, temperature=temp).collect())
+    assert got == sorted(want)
