@@ -118,3 +118,17 @@ def test_readout_literal_and_arrow_paths_agree(spark):
     Z = H @ np.array(w1).T
     want = (Z / (1 + np.exp(-Z))) @ np.array(w2).T
     assert np.allclose(np.array([x["r"] for x in a]), want, atol=1e-12)
+
+
+def test_momentum_long_key_matches_loop(spark):
+    rng = np.random.default_rng(11)
+    g = rng.normal(size=5000)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(g)], "key int, t int, g double")
+    got = momentum_scan(df, "key", ["t"], "g", momentum=0.95, block=64).orderBy("t").toPandas()
+    buf, bufs = 0.0, []
+    for v in g:
+        buf = 0.95 * buf + v
+        bufs.append(buf)
+    bufs = np.array(bufs)
+    assert np.max(np.abs(got["buf"].to_numpy() - bufs)) < 1e-9
+    assert np.max(np.abs(got["update"].to_numpy() - (g + 0.95 * bufs))) < 1e-9
