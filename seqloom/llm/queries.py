@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
 from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
@@ -142,3 +143,26 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     out = repetition_rules(table(spark, sf_dir, "documents"))
     return out.drop("dup_line_chars", "dup_ngram_chars")
+
+
+def tokenizer_path() -> str:
+    """Vocabulary file of the contract's queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register()
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the automaton and decoded again."""
+    path = tokenizer_path()
+    encoded = encode_documents(table(spark, sf_dir, "documents"), path)
+    decoded = decode_documents(
+        encoded.select("doc_id", "ids", F.sha2("ids", 256).alias("ids_sha256")), path, ("doc_id", "ids", "ids_sha256")
+    )
+    return decoded.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids_sha256",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
