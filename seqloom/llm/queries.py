@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
+from .hilbert_packing import pack_documents
+from .language_id import identify_languages, learn_profiles
+from .quality_compression import learn_quality, score_quality
 from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
 )
@@ -166,3 +169,37 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ids_sha256",
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def crc_remainder(n: int):
+    """crc32 of doc_id as text modulo ``n`` (a null id counts as an empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@register()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.where(crc_remainder(4) != 2))
+    rows = docs.select("doc_id", "text", (crc_remainder(4) == 2).alias("held_out"))
+    return identify_languages(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register()
+def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of four fifths of the documents teach."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_remainder(5) != 0)
+    state = learn_quality(docs, labels)
+    rows = docs.select("doc_id", "text", (crc_remainder(5) == 0).alias("held_out"))
+    scored = score_quality(rows, state)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@register()
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed along the curve."""
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
