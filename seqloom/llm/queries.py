@@ -11,6 +11,7 @@ from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
 from .hilbert_packing import pack_documents
 from .language_id import identify_languages, learn_profiles
+from .pivot_search import build_index, integer_vectors, top_k
 from .quality_compression import learn_quality, score_quality
 from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
@@ -203,3 +204,23 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@register(
+    """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+"""
+)
+def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every hundredth one, among all others."""
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    index = build_index(vectors)
+    return top_k(index, index.rows.where(F.pmod("vec_id", F.lit(100)) == 0).select("vec_id"), 10)
