@@ -16,6 +16,7 @@ from .quality_compression import learn_quality, score_quality
 from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
 )
+from .suffix_tree_lm import learn, score_texts
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +225,12 @@ def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     index = build_index(vectors)
     return top_k(index, index.rows.where(F.pmod("vec_id", F.lit(100)) == 0).select("vec_id"), 10)
+
+
+@register()
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree scores of every document; six sevenths of them teach."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(crc_remainder(7) != 2).select("text"))
+    rows = docs.select("doc_id", "text", (crc_remainder(7) == 2).alias("held_out"))
+    return score_texts(rows, model, ("doc_id", "held_out"))

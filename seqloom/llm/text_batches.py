@@ -107,3 +107,41 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         h *= _STEP
         h += words[k : k + n]
     return h
+
+
+def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+class HeldCounts:
+    """Counts by key that a task adds up before handing them on; holds about ``limit`` distinct keys at most."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.parts, self.n = limit, [], 0
+
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Count every key once more; returns counts to hand on when there are too many."""
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.parts.append((keys[first], np.diff(np.append(first, len(keys)))))
+        self.n += len(first)
+        if self.n <= 2 * self.limit:
+            return None
+        held = self._merged()
+        if len(held[0]) > self.limit:
+            self.parts, self.n = [], 0
+            return held
+        self.parts, self.n = [held], len(held[0])
+        return None
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        return add_up(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self._merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.parts, self.n = [], 0
+        return out
