@@ -11,6 +11,7 @@ from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
 from .hilbert_packing import pack_documents
 from .language_id import identify_languages, learn_profiles
+from .ngram_jaccard import jaccard_components
 from .pivot_search import build_index, integer_vectors, top_k
 from .quality_compression import learn_quality, score_quality
 from .repetition_rules import (
@@ -234,3 +235,9 @@ def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.where(crc_remainder(7) != 2).select("text"))
     rows = docs.select("doc_id", "text", (crc_remainder(7) == 2).alias("held_out"))
     return score_texts(rows, model, ("doc_id", "held_out"))
+
+
+@register()
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
