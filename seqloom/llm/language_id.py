@@ -189,16 +189,18 @@ class Profiles:
         )
 
 
-def identify_languages(documents: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1: one less the mean out-of-place distance) to every row.
+def identify_languages(
+    documents: DataFrame, profiles: dict[str, list[int]], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (names: ``out``) (0 to 1: one less the mean out-of-place distance) to every row.
 
     Only the text is looked at. ``und`` and 0 if the text is null or has no letter, or if nothing was
-    learned; languages at the same distance: the first by name. Existing columns named lang_pred or
-    score are replaced. Narrow: no shuffle.
+    learned; languages at the same distance: the first by name. Existing columns named as
+    ``out`` are replaced. Narrow: no shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
-    rows = documents.drop("lang_pred", "score")
-    schema = T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
+    rows = documents.drop(*out)
+    schema = T.StructType(list(rows.schema.fields)).add(out[0], "string").add(out[1], "double")
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +208,7 @@ def identify_languages(documents: DataFrame, profiles: dict[str, list[int]], tex
         for b in slices(batches, text):
             pred, score = learned.classify([t or "" for t in b.column(at).to_pylist()], letters)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"]
+                [*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, *out]
             )
 
     return rows.mapInArrow(run, schema)

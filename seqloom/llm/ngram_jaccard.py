@@ -393,3 +393,14 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, width: int
         "doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("first_row")
     )
     return result.unionByName(alone).select("doc_id", "row", "n_shingles", "component_id", "first_row")
+
+
+def one_per_component(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """One row of each component, with all columns: one with the smallest doc_id. Texts without words all stay."""
+    found = jaccard_components(documents, percent, width)
+    first = found.where("n_shingles > 0 AND row = first_row").select(F.col("row").alias("__row")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = documents.where(has_words).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), text))
+    kept = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return kept.unionByName(documents.where(~has_words))

@@ -124,21 +124,17 @@ def repetition_rules(
     or symbols exceed their shares. Null text counts as empty (no words: base fails). One row per
     input row, also for repeated or null doc_ids; other columns are ignored. Narrow: no shuffle.
     """
-    widths, limits = list(ngram_share), list(ngram_share.values())
+    widths = list(ngram_share)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in slices(batches, "text"):
             m = measure(texts_of(b.column("text")), powers, widths)
-            words, chars = m["n_words"], np.maximum(m["word_chars"], 1)
-            failed = (words < BASE_MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * words)
-            kept = ~failed & (m["dup_line_chars"] <= line_share * chars) & (m["n_symbols"] <= symbols_per_word * words)
-            for k, limit in enumerate(limits):
-                kept &= m["dup_ngram_chars"][:, k] <= limit * chars
+            failed, kept = verdicts(m, list(ngram_share.values()), line_share, symbols_per_word)
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
             ngrams = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(widths)), pa.array(m["dup_ngram_chars"].ravel())
+                pa.array(np.arange(len(kept) + 1, dtype=np.int32) * len(widths)), pa.array(m["dup_ngram_chars"].ravel())
             )
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(m[n]) for n in names), ngrams, pa.array(failed), pa.array(kept)],
@@ -146,3 +142,33 @@ def repetition_rules(
             )
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def verdicts(m: dict[str, np.ndarray], limits: list[float], line_share: float, symbols_per_word: float):
+    """(base_failed, kept) from the measures."""
+    words, chars = m["n_words"], np.maximum(m["word_chars"], 1)
+    failed = (words < BASE_MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * words)
+    kept = ~failed & (m["dup_line_chars"] <= line_share * chars) & (m["n_symbols"] <= symbols_per_word * words)
+    for k, limit in enumerate(limits):
+        kept &= m["dup_ngram_chars"][:, k] <= limit * chars
+    return failed, kept
+
+
+def keep_documents(
+    documents: DataFrame,
+    text: str = "text",
+    ngram_share: dict[int, float] = DUP_NGRAM_SHARE,
+    line_share: float = DUP_LINE_SHARE,
+    symbols_per_word: float = SYMBOLS_PER_WORD,
+) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``repetition_rules`` keeps. Narrow: no shuffle."""
+    widths, limits = list(ngram_share), list(ngram_share.values())
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in slices(batches, text):
+            kept = verdicts(measure(texts_of(b.column(at)), powers, widths), limits, line_share, symbols_per_word)[1]
+            yield b.filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)
