@@ -115,3 +115,76 @@ def e6_readout(spark, sf_dir):
         r6(r).alias("readout"),
         r6(F.pow(r - F.col("value"), 2)).alias("surprise"),
     )
+
+
+# ---- vector states: key label, order vec_id, value embedding
+
+WIDTH_V, DIM_V = 4, 64
+W1V = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(DIM_V)] for i in range(WIDTH_V)]
+W2V = [[(o + 1) * (i - 1.5) / 10 for i in range(WIDTH_V)] for o in range(2)]
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("x")
+    )
+
+
+def scanned_vectors(spark, sf_dir):
+    return decay_scan(_vectors(spark, sf_dir), "label", ["vec_id"], "x", decay=D, emit_previous="prev")
+
+
+_SQL_VEC = f"""
+WITH RECURSIVE ev AS (
+  SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x,
+         CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS k
+  FROM embeddings),
+r AS (
+  SELECT label, k, vec_id, x, list_transform(x, lambda v: {_lit(G)} * v) AS h,
+         list_transform(x, lambda v: CAST(0.0 AS DOUBLE)) AS prev
+  FROM ev WHERE k = 0
+  UNION ALL
+  SELECT ev.label, ev.k, ev.vec_id, ev.x,
+         list_transform(list_zip(r.h, ev.x), lambda z: {_lit(D)} * z[1] + {_lit(G)} * z[2]), r.h
+  FROM r JOIN ev ON ev.label = r.label AND ev.k = r.k + 1)
+"""
+
+
+@register(
+    "e1_decay_scan_vector",
+    _SQL_VEC
+    + f"""SELECT vec_id, label, k, {r6_sql('h[1]')} AS first, {r6_sql('h[64]')} AS last,
+       {r6_sql('list_sum(list_transform(h, lambda v: v * v))')} AS ss FROM r""",
+)
+def e1_decay_scan_vector(spark, sf_dir):
+    ss = F.aggregate("h", F.lit(0.0), lambda a, v: a + v * v)
+    return scanned_vectors(spark, sf_dir).select(
+        "vec_id", "label", "k", r6(F.col("h")[0]).alias("first"), r6(F.col("h")[63]).alias("last"), r6(ss).alias("ss")
+    )
+
+
+@register(
+    "e3_surprise_vector",
+    _SQL_VEC
+    + f"""SELECT {r6_sql('sum(list_sum(list_transform(list_zip(prev, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / sum(len(x))')} AS surprise,
+       CAST(count(*) AS BIGINT) AS rows FROM r""",
+)
+def e3_surprise_vector(spark, sf_dir):
+    s = surprise(scanned_vectors(spark, sf_dir), "prev", "x")
+    return s.select(r6("surprise").alias("surprise"), "rows")
+
+
+def _readout_vector_sql(o: int) -> str:
+    dot = lambda w, v: f"list_dot_product(CAST([{', '.join(repr(x) for x in w)}] AS DOUBLE[]), {v})"
+    z = [dot(w, "prev") for w in W1V]
+    return " + ".join(f"{_lit(w)} * (({v}) / (1.0 + exp(-({v}))))" for w, v in zip(W2V[o], z, strict=True))
+
+
+@register(
+    "e6_readout_vector",
+    _SQL_VEC + f"SELECT vec_id, {r6_sql(_readout_vector_sql(0))} AS r0, {r6_sql(_readout_vector_sql(1))} AS r1 FROM r",
+)
+def e6_readout_vector(spark, sf_dir):
+    r = mlp_readout(F.col("prev"), W1V, W2V, spark)
+    out = scanned_vectors(spark, sf_dir).select("vec_id", r.alias("r"))
+    return out.select("vec_id", r6(F.col("r")[0]).alias("r0"), r6(F.col("r")[1]).alias("r1"))

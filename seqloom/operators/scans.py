@@ -2,34 +2,33 @@
 momentum scan, readout scoring (E1-E6).
 
 Recurrence per key in ``order``: ``h_t = d * h_{t-1} + g * x_t`` with ``h_{-1} = 0``
-(``g = 1 - d`` for the decayed scan, ``g = 1`` for momentum).
-
-Blocked closed form (no per-row Python, no per-key collect):
-
-* ``k`` = dense row index within the key. A hot key can be split by a monotone
-  ``split`` expression of the order (e.g. the day of ``ts``), or ``"auto"``:
-  equal-width ranges of the first order column sized to about 1M rows per
-  range from per-key count/min/max; the index is then a row number inside
-  ``(key, split)`` plus the prefix count of earlier splits.
-* rows are cut into blocks of ``L`` consecutive ``k``; inside a block
-  ``local_j = g * d^j * sum_{i<=j} d^{-i} x_i`` is a running window sum, with
-  ``L`` small enough that ``d^{-L}`` stays finite (``L*log2(1/d) <= 900``).
-* the state carried into block ``b`` is ``H_{b-1} = sum_{b'<b} D^{b-1-b'} e_{b'}``
-  with ``D = d^L`` and ``e`` the local end value of each block; terms with
-  ``D^n < 2^-64`` cannot change a double, so the sum runs over a bounded frame of
-  ``m`` preceding blocks.
-* ``h = local_j + d^{j+1} * H_{b-1}``.
-
-The window sorting a key runs on ``(key, block)`` partitions of at most ``L``
-rows; only the carry (one row per block, 1/L of the data) is ordered per key.
+(``g = 1 - d`` for the decayed scan, ``g = 1`` for momentum); ``x`` is a number or an
+``array<double>``, then ``h`` is an array of that length.
+
+One exchange, whatever the keys look like:
+
+1. the rows are range-partitioned and sorted by ``(key, order)``, so that a key holding
+   most rows is spread over many tasks, and written to the shared folder, which fixes
+   the partitions;
+2. a pass over the key and value columns yields one row per partition: its first and last key,
+   their row counts and the last key's state when it starts from zero;
+3. the states carried from partition to partition follow on the driver (one step per
+   partition, independent of the number of rows and keys);
+4. a second pass over the partitions runs the recurrence itself, starting each
+   partition's first key from the carried state.
+
+Nothing is truncated or rescaled: inside a partition the recurrence is evaluated as
+written, across partitions by ``h = d^n * carried + own``.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +37,6 @@ DEFAULT_DECAY = 0.9
 DEFAULT_MOMENTUM = 0.95
 
 
-def block_length(decay: float, cap: int = 1024) -> int:
-    if decay <= 0.0 or decay >= 1.0:
-        return cap
-    return max(1, min(cap, int(math.floor(900.0 / math.log2(1.0 / decay)))))
-
-
 def _order_value(col: str, dtype) -> Column:
     # a number that is monotone in the column's order
     name = dtype.typeName()
@@ -101,78 +94,149 @@ def keyed_index(
     )
 
 
+class _Runs:
+    """Rows of one partition in key order, as runs of equal keys; a run may go on in the next batch."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], key: str, value: str):
+        self.batches, self.key, self.value = batches, key, value
+
+    def __iter__(self):
+        """(batch, [(start, stop, starts a new key)], values) per batch."""
+        last = None
+        for b in self.batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = b.column(self.key)
+            keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+            change = np.zeros(n, bool)
+            if n > 1:
+                a, z = keys.slice(0, n - 1), keys.slice(1)
+                if pa.types.is_nested(keys.type):
+                    change[1:] = [x != y for x, y in zip(a.to_pylist(), z.to_pylist(), strict=True)]
+                else:
+                    differ = pc.fill_null(pc.not_equal(a, z), False)
+                    change[1:] = pc.or_(differ, pc.xor(a.is_null(), z.is_null())).to_numpy(zero_copy_only=False)
+            first = keys[0].as_py()
+            change[0] = last is None or (first,) != last
+            at = np.flatnonzero(change).tolist()
+            bounds = sorted({0, *at})
+            runs = [(s, e, bool(change[s])) for s, e in zip(bounds, [*bounds[1:], n], strict=True)]
+            last = (keys[n - 1].as_py(),)
+            column = b.column(self.value)
+            if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+                values = [None if v is None else np.array(v, np.float64) for v in column.to_pylist()]
+            else:
+                values = column.cast(pa.float64()).to_pylist()
+            yield b, keys, runs, values
+
+
+def _step(d: float, g: float, h, x):
+    """One step; a null value makes the state null from there on, as arithmetic on null does."""
+    if h is None or x is None:
+        return None
+    return d * h + g * x
+
+
+def _zero(x):
+    return np.zeros(len(x)) if isinstance(x, np.ndarray) else 0.0
+
+
 def _linear_scan(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    value: str,
-    decay: float,
-    gain: float,
-    out: str,
-    prev: str | None,
-    block: int | None,
-    split: Column | None,
+    df: DataFrame, key: str, order: list[str], value: str, decay: float, gain: float, out: str, prev: str | None
 ) -> DataFrame:
-    d = float(decay)
+    from ..session import checkpoint_dir
+
+    d, g = float(decay), float(gain)
     if not 0.0 <= d <= 1.0:
         raise ValueError("decay must be in [0, 1]")
-    # work on a struct-wrapped key: joins on it keep a null key as its own group
-    user_key, key = key, "__kk"
-    df = df.withColumn(key, F.struct(F.col(user_key).alias("k")))
-    x = F.col(value).cast("double")
-    if d == 1.0 and gain == 0.0:
-        # the state never leaves its zero start
-        res = df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-        res = res.withColumn("k", F.col("k").cast("bigint")).withColumn(out, F.lit(0.0))
-        res = res.withColumn(prev, F.lit(0.0)) if prev else res
-        return res.drop(key)
-    if d == 0.0:
-        # h_t = g * x_t; the previous state is g * x_{t-1}
-        res = df.withColumn(out, F.lit(gain) * x)
-        if prev:
-            w = Window.partitionBy(key).orderBy(*order)
-            res = res.withColumn(prev, F.coalesce(F.lag(out).over(w), F.lit(0.0)))
-        return res.drop(key)
-    L = int(block or block_length(d))
-    idx = keyed_index(df, key, order, split, name="__k")
-    idx = idx.withColumn("__b", F.floor(F.col("__k") / F.lit(L)).cast("bigint")).withColumn(
-        "__j", (F.col("__k") - F.col("__b") * L).cast("int")
-    )
-    inner = Window.partitionBy(key, "__b").orderBy("__k")
-    running = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dj = F.pow(F.lit(d), F.col("__j").cast("double"))
-    scaled = x * F.pow(F.lit(d), -F.col("__j").cast("double"))
-    # carry between blocks: one row per (key, block); the block's end value is an
-    # aggregate of the index (no need for the running window's output)
-    ends = idx.groupBy(key, "__b").agg(
-        (F.lit(gain) * F.pow(F.lit(d), F.max("__j").cast("double")) * F.sum(scaled)).alias("__e")
-    )
-    idx = idx.withColumn("__local", F.lit(gain) * dj * F.sum(scaled).over(running))
-    if d >= 1.0:
-        # h never leaves zero when gain is 0; with gain 1 (pure sum) every block counts
-        m = None
-    else:
-        D = d**L
-        m = 1 if D == 0.0 else max(1, int(math.ceil(64.0 / (L * math.log2(1.0 / d)))))
-    wb = Window.partitionBy(key).orderBy("__b")
-    frame = wb.rowsBetween(Window.unboundedPreceding if m is None else -m, -1)
-    hist = F.collect_list(F.struct(F.col("__b").alias("b"), F.col("__e").alias("e"))).over(frame)
-    ends = ends.withColumn("__hist", hist)
-    DL = d**L
-    carry = F.aggregate(
-        F.col("__hist"),
-        F.lit(0.0),
-        lambda acc, s: acc + F.pow(F.lit(DL), (F.col("__b") - 1 - s["b"]).cast("double")) * s["e"],
-    )
-    ends = ends.select(key, "__b", carry.alias("__carry"))
-    res = idx.join(ends, [key, "__b"])
-    res = res.withColumn(out, F.col("__local") + F.pow(F.lit(d), (F.col("__j") + 1).cast("double")) * F.col("__carry"))
-    if prev:
-        res = res.withColumn(
-            prev,
-            F.when(F.col("__j") == 0, F.col("__carry")).otherwise(F.lag(out).over(inner)),
-        )
-    return res.drop("__b", "__j", "__local", "__carry", key).withColumnRenamed("__k", "k")
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    is_array = isinstance(df.schema[value].dataType, T.ArrayType)
+    state = T.ArrayType(T.DoubleType()) if is_array else T.DoubleType()
+    arrow_state = pa.list_(pa.float64()) if is_array else pa.float64()
+    ranged = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).checkpoint()
+    # the number of the written partition, also where the result is part of a larger stage
+    ranged = ranged.withColumn("__part", F.spark_partition_id())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        rows = n_first = 0
+        one, h = True, 0.0
+        for b, keys, runs, values in _Runs(batches, key, value):
+            part = b.column("__part")[0].as_py()
+            for s, e, new in runs:
+                if new:
+                    if first is None:
+                        first = keys.slice(s, 1)
+                    elif one:
+                        one, n_first = False, rows
+                    rows, h = 0, None
+                for x in values[s:e]:
+                    h = _step(d, g, _zero(x) if rows == 0 else h, x)
+                    rows += 1
+                last = keys.slice(e - 1, 1)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int64()), first, last, pa.array([one]),
+                    pa.array([rows], pa.int64()), pa.array([None if h is None else h.tolist() if is_array else h], arrow_state),
+                ],
+                names=["part", "first", "last", "one", "rows", "h"],
+            )
+
+    kind = df.schema[key].dataType
+    fields = T.StructType().add("part", "long").add("first", kind).add("last", kind).add("one", "boolean").add("rows", "long").add("h", state)
+    found = sorted(ranged.select(key, value, "__part").mapInArrow(ends, fields).collect(), key=lambda r: r["part"])  # one row per partition
+    carried: dict[int, tuple] = {}  # partition -> (rows of its first key before it, state)
+    for before, r in zip(found[:-1], found[1:], strict=True):
+        if (before["last"],) == (r["first"],):
+            n, h = before["rows"], before["h"]
+            if before["one"] and before["part"] in carried:
+                m, earlier = carried[before["part"]]
+                n = m + before["rows"]
+                if h is None or earlier is None:
+                    h = None
+                else:
+                    h = np.array(h) + d ** before["rows"] * np.array(earlier)
+                    h = h.tolist() if is_array else float(h)
+            carried[r["part"]] = (n, h)
+    shared = spark.sparkContext.broadcast(carried)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, h, begun = 0, 0.0, False
+        for b, _, runs, values in _Runs(batches, key, value):
+            index, states, before = [], [], []
+            for s, e, new in runs:
+                if new:
+                    k = 0
+                    start = None if begun else shared.value.get(b.column("__part")[0].as_py())
+                    if start is not None:
+                        k, h = start
+                        h = np.array(h) if is_array and h is not None else h
+                    begun = True
+                for x in values[s:e]:
+                    if k == 0:
+                        h = 0.0 if x is None else _zero(x)
+                    before.append(h)
+                    h = _step(d, g, h, x)
+                    states.append(h)
+                    index.append(k)
+                    k += 1
+            plain = (lambda v: [None if y is None else y.tolist() if isinstance(y, np.ndarray) else y for y in v]) if is_array else (lambda v: v)
+            extra = [pa.array(index, pa.int64()), pa.array(plain(states), arrow_state)]
+            names = ["k", out]
+            if prev:
+                extra.append(pa.array([None if isinstance(y, float) else y for y in plain(before)] if is_array else before, arrow_state))
+                names.append(prev)
+            own = b.schema.names[:-1]  # without the partition number
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], names=[*own, *names])
+
+    kept = [f for f in df.schema.fields if f.name not in ("k", out, prev)]
+    result = T.StructType(list(kept)).add("k", "long").add(out, state)
+    result = result.add(prev, state) if prev else result
+    return ranged.select(*[f.name for f in kept], "__part").mapInArrow(scan, result)
 
 
 def decay_scan(
@@ -186,20 +250,28 @@ def decay_scan(
     block: int | None = None,
     split: Column | str | None = "auto",
 ) -> DataFrame:
-    """E1 (+E2 with ``emit_previous``): ``h_t = d*h_{t-1} + (1-d)*x_t`` per key.
+    """E1 (+E2 with ``emit_previous``): ``h_t = d*h_{t-1} + (1-d)*x_t`` per key, for numbers or vectors.
 
     Adds ``k`` (row index in the key), ``out`` (the state after row t) and,
     if ``emit_previous`` is given, the read-before-write value ``h_{t-1}``
-    (0 at the first row) under that name. d=0 gives h=x; d=1 gives h=0.
-    ``split="auto"`` (default) spreads a key with many rows over several sorts;
-    ``None`` uses one plain window per key (cheapest when keys are small).
+    (0 at the first row) under that name. d=0 gives h=x; d=1 gives h=0. A null value makes the
+    key's state null from that row on. ``block`` and ``split`` are accepted and have no effect: the range
+    partitioning splits every key by itself.
     """
-    return _linear_scan(df, key, order, value, decay, 1.0 - float(decay), out, emit_previous, block, split)
+    return _linear_scan(df, key, order, value, decay, 1.0 - float(decay), out, emit_previous)
+
+
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y.cast("double")) * (x - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
 def surprise(df: DataFrame, prev: str, value: str, readout: Column | None = None) -> DataFrame:
-    """Mean over all rows of ``(readout(h_{t-1}) - x_t)^2`` (not a mean of per-key means)."""
+    """Mean over all rows of ``(readout(h_{t-1}) - x_t)^2`` (not a mean of per-key means); vectors: over all elements."""
     r = readout if readout is not None else F.col(prev)
+    if isinstance(df.schema[value].dataType, T.ArrayType):
+        return df.agg(
+            (F.sum(_squared(r, F.col(value))) / F.sum(F.size(value))).alias("surprise"), F.count(F.lit(1)).cast("bigint").alias("rows")
+        )
     sq = F.pow(r - F.col(value).cast("double"), 2)
     return df.agg(F.avg(sq).alias("surprise"), F.count(F.lit(1)).cast("bigint").alias("rows"))
 
@@ -225,38 +297,23 @@ def momentum_scan(
     block: int | None = None,
     split: Column | str | None = "auto",
 ) -> DataFrame:
-    """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``."""
-    res = _linear_scan(df, key, order, grad, momentum, 1.0, "buf", None, block, split)
-    upd = F.col(grad).cast("double") + F.lit(float(momentum)) * F.col("buf") if lookahead else F.col("buf")
-    return res.withColumn("update", upd)
-
-
-def silu(z: Column) -> Column:
-    return z / (F.lit(1.0) + F.exp(-z))
-
-
-def _dot(weights: list[float], vec: Column) -> Column:
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    return F.aggregate(F.zip_with(w, vec, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]], spark=None, max_literal: int = 4096) -> Column:
-    """``W2 . silu(W1 . h)`` with no bias for an ``array<double>`` state ``h``.
-
-    ``w1`` is width x dim, ``w2`` is dim x width. Small weight sets
-    (``width * dim <= max_literal``) become literals in the plan and the products
-    are array expressions evaluated in the JVM. Larger ones (e.g. width 4096 x
-    dim 1024) are shipped once per executor as a broadcast and applied by an
-    Arrow ``pandas_udf`` with one numpy matrix product per batch.
+    """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``. ``block``, ``split``: no effect."""
+    res = _linear_scan(df, key, order, grad, momentum, 1.0, "buf", None)
+    if not lookahead:
+        return res.withColumn("update", F.col("buf"))
+    m = F.lit(float(momentum))
+    if isinstance(df.schema[grad].dataType, T.ArrayType):
+        return res.withColumn("update", F.zip_with(F.col(grad), F.col("buf"), lambda x, b: x.cast("double") + m * b))
+    return res.withColumn("update", F.col(grad).cast("double") + m * F.col("buf"))
+
+
+def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]], spark=None, max_literal: int | None = None) -> Column:
+    """``W2 . silu(W1 . h)`` with no bias for an ``array<double>`` state ``h`` (null: null).
+
+    ``w1`` is width x dim, ``w2`` is dim x width. The weights are shipped once per executor as a
+    broadcast and applied by an Arrow ``pandas_udf`` with one numpy matrix product per batch.
+    ``max_literal`` is accepted and has no effect.
     """
-    width, dim = len(w1), len(w1[0]) if w1 else 0
-    if width * dim > max_literal:
-        return _mlp_readout_arrow(col, w1, w2, spark)
-    hidden = F.array(*[silu(_dot(row, col)) for row in w1])
-    return F.array(*[_dot(row, hidden) for row in w2])
-
-
-def _mlp_readout_arrow(col: Column, w1, w2, spark=None) -> Column:
     from pyspark.sql import SparkSession
 
     session = spark or SparkSession.getActiveSession()
@@ -264,11 +321,13 @@ def _mlp_readout_arrow(col: Column, w1, w2, spark=None) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def readout(h: pd.Series) -> pd.Series:
-        if len(h) == 0:
-            return pd.Series([], dtype=object)
-        a, b = bw.value
-        z = np.stack(h.to_numpy()).astype(np.float64) @ a.T
-        out = (z / (1.0 + np.exp(-z))) @ b.T
-        return pd.Series(list(out))
+        out: list = [None] * len(h)
+        there = np.flatnonzero(h.notna().to_numpy())
+        if len(there):
+            a, b = bw.value
+            z = np.stack(h.iloc[there].to_numpy()).astype(np.float64) @ a.T
+            for k, row in zip(there, (z / (1.0 + np.exp(-z))) @ b.T, strict=True):
+                out[k] = row
+        return pd.Series(out, dtype=object)
 
     return readout(col.cast("array<double>"))

@@ -132,3 +132,41 @@ def test_momentum_long_key_matches_loop(spark):
     bufs = np.array(bufs)
     assert np.max(np.abs(got["buf"].to_numpy() - bufs)) < 1e-9
     assert np.max(np.abs(got["update"].to_numpy() - (g + 0.95 * bufs))) < 1e-9
+
+
+def test_values_of_very_different_size_match_the_loop(spark):
+    # terms of 1e60 still matter two thousand steps later
+    xs = [1e60] * 1024 + [0.0] * 1500 + [1.0] * 10
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "key int, t int, x double")
+    got = decay_scan(df, "key", ["t"], "x", decay=0.9, emit_previous="p").orderBy("t").toPandas()
+    h, prev = _loop(xs, 0.9, 1 - 0.9)
+    assert np.allclose(got["h"], h, rtol=1e-9) and np.allclose(got["p"], prev, rtol=1e-9)
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.5, 1.0])
+def test_vector_state_matches_the_loop(spark, decay):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i % 2, i, [float(v) for v in r]) for i, r in enumerate(x)], "key int, t int, x array<double>")
+    s = decay_scan(df, "key", ["t"], "x", decay=decay, emit_previous="p")
+    assert s.columns == ["key", "t", "x", "k", "h", "p"]
+    for key in (0, 1):
+        got = s.where(F.col("key") == key).orderBy("t").toPandas()
+        want = [np.zeros(4)]
+        for v in x[key::2]:
+            want.append(decay * want[-1] + (1 - decay) * v)
+        assert np.allclose(np.stack(got["h"]), np.stack(want[1:]))
+        assert np.allclose(np.stack(got["p"]), np.stack(want[:-1]))
+    fin = {r["key"]: (r["h"], r["rows"]) for r in final_state(s, "key").collect()}
+    assert fin[0][1] == 150
+    m = momentum_scan(df, "key", ["t"], "x", momentum=1.0).where("key = 0").orderBy("t").toPandas()
+    assert np.allclose(np.stack(m["buf"]), np.cumsum(x[0::2], axis=0))
+    assert surprise(s, "p", "x").first()["rows"] == 300
+
+
+def test_scan_inside_a_larger_stage(spark):
+    df = spark.createDataFrame([(0, i, 1.0) for i in range(500)], "key int, t int, x double")
+    s = decay_scan(df, "key", ["t"], "x", decay=0.9)
+    both = df.withColumn("k", F.lit(-1).cast("long")).withColumn("h", F.lit(0.0)).unionByName(s)
+    assert both.where("k >= 0").select("k").distinct().count() == 500
+    assert s.where("k = 499").first()["h"] == pytest.approx(1 - 0.9**500)
