@@ -24,10 +24,9 @@ from ..operators.prepare import prepare_pairs
 from . import register, table
 
 SEED = 42
-NUM_SAMPLES = 100_000  # reference default: every document at the given scales
+TAKE = 150  # M3 only: cuts at every given scale; all other queries use every document
 SEQ_LEN = 512  # the reference's smoke-run length
-GROUP_DOCS = 1000  # reference default batch of documents per pack group
-SMALL_GROUP = 100  # second pack setting so that many groups are exercised
+GROUP_DOCS = 100  # documents per pack group; small, so that every query works on many groups
 VOCAB = 32_000
 MASK_P = 0.15
 CAP = 50  # M4: the reference's hard stop, scaled down
@@ -35,15 +34,17 @@ CAP = 50  # M4: the reference's hard stop, scaled down
 
 # ---------------------------------------------------------------- Spark side
 
-def prepared_docs(spark: SparkSession, sf_dir: str, n: int = NUM_SAMPLES) -> DataFrame:
+def prepared_docs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """The documents numbered in shuffled order; all of them, or the first ``n``."""
     docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    return take(shuffle(docs, "doc_id", seed=SEED), n)
+    shuffled = shuffle(docs, "doc_id", seed=SEED)
+    return shuffled if n is None else take(shuffled, n)
 
 
-def selected_docs(spark: SparkSession, sf_dir: str, n: int = NUM_SAMPLES) -> DataFrame:
+def selected_docs(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
     """The same documents as ``prepared_docs``, unnumbered and unshuffled (for counting passes)."""
     docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    return take_unordered(docs, "doc_id", n, seed=SEED)
+    return docs if n is None else take_unordered(docs, "doc_id", n, seed=SEED)
 
 
 def encoded_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +60,7 @@ def pairs(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN, group_docs:
     (``operators/prepare.py``); equal to ``pairs_chain``."""
     docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return prepare_pairs(
-        docs, "doc_id", n=NUM_SAMPLES, seq_len=seq_len, group_docs=group_docs, vocab_size=VOCAB, p=MASK_P,
+        docs, "doc_id", seq_len=seq_len, group_docs=group_docs, vocab_size=VOCAB, p=MASK_P,
         mask_id=MASK_ID, seed=SEED, max_sequences=max_sequences,
     )
 
@@ -84,13 +85,14 @@ def pair_digest(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL side
 
-def _sql_taken(n: int = NUM_SAMPLES) -> str:
+def _sql_taken(n: int | None = None) -> str:
+    cut = "" if n is None else f" WHERE ordinal < {n}"
     u = uniform_sql(SEED, "doc_id")
     return f"""
 shuffled AS (
   SELECT doc_id, text, CAST(row_number() OVER (ORDER BY u, doc_id) - 1 AS BIGINT) AS ordinal
   FROM (SELECT doc_id, text, {u} AS u FROM documents) s),
-taken AS (SELECT doc_id, text, ordinal FROM shuffled WHERE ordinal < {n})"""
+taken AS (SELECT doc_id, text, ordinal FROM shuffled{cut})"""
 
 
 def _sql_encoded() -> str:
@@ -171,16 +173,16 @@ def m2_shuffle(spark, sf_dir):
     return shuffle(docs, "doc_id", seed=SEED).select("doc_id", "ordinal")
 
 
-@register("m3_take_unordered", _with(_sql_taken(300)) + "\nSELECT doc_id FROM taken")
+@register("m3_take_unordered", _with(_sql_taken(TAKE)) + "\nSELECT doc_id FROM taken")
 def m3_take_unordered(spark, sf_dir):
-    # the first 300 of the permutation as a filter (no numbering); 300 < rows at every scale
+    # the first rows of the permutation as a filter (no numbering)
     docs = standardize(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    return take_unordered(docs, "doc_id", 300, seed=SEED).select("doc_id")
+    return take_unordered(docs, "doc_id", TAKE, seed=SEED).select("doc_id")
 
 
-@register("m3_take", _with(_sql_taken(NUM_SAMPLES)) + "\nSELECT doc_id, ordinal FROM taken")
+@register("m3_take", _with(_sql_taken(TAKE)) + "\nSELECT doc_id, ordinal FROM taken")
 def m3_take(spark, sf_dir):
-    return prepared_docs(spark, sf_dir).select("doc_id", "ordinal")
+    return prepared_docs(spark, sf_dir, TAKE).select("doc_id", "ordinal")
 
 
 @register(
@@ -208,14 +210,14 @@ def t1_encode(spark, sf_dir):
 
 @register(
     "t3_pack",
-    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, SMALL_GROUP))
+    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, GROUP_DOCS))
     + """
 SELECT seq_id, group_id, chunk, CAST(len(input_ids) AS BIGINT) AS n_tokens, md5(array_to_string(input_ids, '|')) AS ids_md5
 FROM packed""",
 )
 def t3_pack(spark, sf_dir):
     enc, _ = encoded_docs(spark, sf_dir)
-    seqs = pack(enc, seq_len=SEQ_LEN, group_docs=SMALL_GROUP)
+    seqs = pack(enc, seq_len=SEQ_LEN, group_docs=GROUP_DOCS)
     return seqs.select(
         "seq_id", "group_id", "chunk", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5")
     )
@@ -231,17 +233,17 @@ def t4_mask(spark, sf_dir):
 
 @register(
     "m4_cap",
-    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, SMALL_GROUP), _sql_masked())
+    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, GROUP_DOCS), _sql_masked())
     + _sql_pair_digest()
     + f" WHERE seq_id < {CAP}",
 )
 def m4_cap(spark, sf_dir):
-    return pair_digest(pairs(spark, sf_dir, group_docs=SMALL_GROUP, max_sequences=CAP))
+    return pair_digest(pairs(spark, sf_dir, group_docs=GROUP_DOCS, max_sequences=CAP))
 
 
 @register(
     "t5_report",
-    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, SMALL_GROUP), _sql_masked())
+    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, GROUP_DOCS), _sql_masked())
     + f"""
 , g AS (SELECT group_id, sum(n) AS tokens_in, max(chunks) AS chunks FROM docs_s GROUP BY group_id),
 s AS (SELECT count(*) AS sequences, coalesce(sum(len(list_filter(context_ids, lambda x: x = {MASK_ID}))), 0) AS masked FROM masked)
@@ -257,9 +259,9 @@ FROM s""",
 )
 def t5_report(spark, sf_dir):
     enc, _ = encoded_docs(spark, sf_dir)
-    seqs = pack(enc, seq_len=SEQ_LEN, group_docs=SMALL_GROUP)
+    seqs = pack(enc, seq_len=SEQ_LEN, group_docs=GROUP_DOCS)
     prs = mask_pairs(seqs, p=MASK_P, mask_id=MASK_ID, seed=SEED)
-    rep = pack_report(pack_groups(enc, SEQ_LEN, group_docs=SMALL_GROUP), prs, SEQ_LEN, mask_id=MASK_ID)
+    rep = pack_report(pack_groups(enc, SEQ_LEN, group_docs=GROUP_DOCS), prs, SEQ_LEN, mask_id=MASK_ID)
     return rep.withColumn("mask_rate", r6("mask_rate"))
 
 

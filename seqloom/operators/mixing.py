@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import natural_ordinal, shuffled_ordinal
 from ..functions.portable import uniform
 
+#: Rows below which the bucket of ``take_unordered`` that holds the n-th row is sorted as a whole.
+CROSSING_ROWS = 10_000
+
 
 def standardize(df: DataFrame, keep: tuple[str, ...] = (), out: str = "text") -> DataFrame:
     """One text column chosen *by schema*: ``content`` if present, else ``text``, else "".
@@ -131,35 +134,43 @@ def take_unordered(df: DataFrame, key: str, n: int, seed: int = 42, buckets: int
     as a filter on the unshuffled input (no exchange of the rows).
 
     The shuffle order is ``(uniform(seed, key), key)``, so the first ``n`` rows
-    are those up to a threshold pair. The threshold comes from the per-bucket
-    counts (one row per bucket) and one top-r inside the crossing bucket. Use it
+    are those up to a threshold pair. Counts per bucket (one row per bucket) give
+    the bucket that holds the n-th row; it is divided again until it is small, so no
+    task sorts a share of all rows. ``n <= 0`` gives no rows. Use it
     for passes that need the selected set but not its order (e.g. vocabulary counts).
     """
     from ..functions.ordinal import default_buckets
 
-    if n >= df.count():
-        return df
+    if n <= 0:
+        return df.limit(0)
     B = buckets or default_buckets(df)
     u = uniform(seed, F.col(key))
-    b = F.floor(u * B).cast("int")
-    counts = sorted((r[0], r[1]) for r in df.groupBy(b.alias("b")).count().collect())  # at most B rows
-    acc = 0
-    for bucket, c in counts:
-        if acc + c >= n:
+    low, high, before = 0.0, 1.0, 0
+    inside = df.select(u.alias("__u"), F.col(key).alias("__k"))
+    while True:
+        # cut [low, high) into B parts and find the part that holds the n-th row; at most B rows to the driver
+        part = F.least(F.floor((F.col("__u") - F.lit(low)) / F.lit((high - low) / B)), F.lit(B - 1)).cast("int")
+        counts = sorted(
+            (r[0], r[1]) for r in inside.where((F.col("__u") >= F.lit(low)) & (F.col("__u") < F.lit(high))).groupBy(part.alias("b")).count().collect()
+        )
+        if not counts or before + sum(c for _, c in counts) < n or before + sum(c for _, c in counts) == n and high == 1.0:
+            return df  # fewer rows than asked for, or just as many
+        for b, c in counts:
+            if before + c >= n:
+                break
+            before += c
+        width = (high - low) / B
+        edge = low + b * width
+        if c <= CROSSING_ROWS or width <= 1e-15:
+            low, high = edge - width, edge + 2 * width  # a margin against rounding at the part's ends
             break
-        acc += c
-    r = n - acc
-    # the r-th row of the crossing bucket (about 1/B of the rows, one task); one row to the driver
-    inside = Window.orderBy("__u", "__k")
-    last = (
-        df.where(b == bucket)
-        .select(u.alias("__u"), F.col(key).alias("__k"))
-        .withColumn("__rn", F.row_number().over(inside))
-        .where(F.col("__rn") == r)
-        .first()
-    )
+        low, high = edge, edge + width
+    # few rows are left: the n-th row is among them (one row to the driver)
+    near = inside.where((F.col("__u") >= F.lit(low)) & (F.col("__u") < F.lit(high)))
+    first = inside.where(F.col("__u") < F.lit(low)).count()
+    last = near.orderBy("__u", "__k").offset(n - first - 1).limit(1).first()
     tu, tk = last["__u"], last["__k"]
-    return df.where((b < bucket) | ((b == bucket) & ((u < F.lit(tu)) | ((u == F.lit(tu)) & (F.col(key) <= F.lit(tk))))))
+    return df.where((u < F.lit(tu)) | ((u == F.lit(tu)) & (F.col(key) <= F.lit(tk))))
 
 
 def take(df: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:

@@ -60,7 +60,7 @@ def prepare_pairs(
     docs: DataFrame,
     key: str,
     text: str = "text",
-    n: int = 100_000,
+    n: int | None = None,
     seq_len: int = 4096,
     group_docs: int = 1000,
     vocab_size: int = 32_000,
@@ -71,8 +71,8 @@ def prepare_pairs(
     buckets: int | None = None,
     max_sequences: int | None = None,
 ) -> DataFrame:
-    """``(seq_id, context_ids, target_ids)`` for the first ``n`` documents of the
-    seeded permutation of ``docs`` (see the module docstring for the plan)."""
+    """``(seq_id, context_ids, target_ids)`` for the documents in the seeded permutation
+    of ``docs``, all or the first ``n`` (see the module docstring for the plan)."""
     C = int(seq_len) + 1
     G = int(group_docs)
     spark = docs.sparkSession
@@ -85,7 +85,7 @@ def prepare_pairs(
         (r[0], r[1]) for r in frame.groupBy(F.floor(u * Fb).cast("int").alias("b")).count().collect()
     )
     fine = fine_of(base)
-    if n >= sum(fine.values()):
+    if n is None or n >= sum(fine.values()):
         selected = base
     else:
         selected = take_unordered(base, key, n, seed=seed, buckets=Fb)
