@@ -27,23 +27,23 @@ ACCUM = 2
 EVERY = 50
 L4_K = 4
 LOOKUP_VOCAB = 500
-STREAM_CHUNK = 250
+STREAM_CHUNK = 50  # documents per pack group of the stream
+GROUPS_PER_FILE = 4
 
 
 def _corpora(sf_dir: str, with_missing: bool = False) -> list[Corpus]:
     c = [
         Corpus("documents", f"{sf_dir}/documents.parquet", weight=WEIGHTS[0], order=["doc_id"]),
-        Corpus("conversations", f"{sf_dir}/conversations.parquet", weight=WEIGHTS[1], order=["conv_id", "turn"]),
+        Corpus(
+            "conversations", f"{sf_dir}/conversations.parquet", weight=WEIGHTS[1], order=["conv_id", "turn"],
+            rename={"text": "content"},
+        ),
     ]
     if with_missing:
         c.append(Corpus("absent", f"{sf_dir}/no_such_corpus.parquet", weight=0.5, optional=True, order=["id"]))
     return c
 
 
-def _conversations_as_content(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-
-
 @register(
     "s1_scan_corpora",
     """
@@ -53,10 +53,7 @@ SELECT 'conversations', conv_id, turn, md5(text) FROM conversations""",
 )
 def s1_scan_corpora(spark, sf_dir):
     # the second corpus arrives with its text under `content`, a third is missing (optional)
-    conv_path = scratch_path(spark, "conversations-content")
-    _conversations_as_content(spark, sf_dir).write.parquet(conv_path)
     corpora = _corpora(sf_dir, with_missing=True)
-    corpora[1].path = conv_path
     opened = scan_corpora(spark, corpora)
     out = None
     for c, df in opened:
@@ -86,10 +83,7 @@ WHERE r.draw < (SELECT cut FROM cut)"""
 
 @register("m1_interleave", _sql_interleave())
 def m1_interleave(spark, sf_dir):
-    conv_path = scratch_path(spark, "conversations-content")
-    _conversations_as_content(spark, sf_dir).write.parquet(conv_path)
     corpora = _corpora(sf_dir)
-    corpora[1].path = conv_path
     mixed = mixed_corpus(spark, corpora, seed=SEED)
     return mixed.select("draw", "source", F.md5("text").alias("text_md5"))
 
@@ -97,9 +91,11 @@ def m1_interleave(spark, sf_dir):
 _T4_SQL = _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, prepare.GROUP_DOCS), _sql_masked()) + _sql_pair_digest()
 
 
-def _written_pairs(spark, sf_dir, files: int = 8) -> str:
+def _written_pairs(spark, sf_dir) -> str:
     path = scratch_path(spark, "pairs")
-    write_pairs(pairs(spark, sf_dir), path, files=files)
+    # the sink counts its rows: the pairs are computed once
+    checkpoint_dir(spark)
+    write_pairs(pairs(spark, sf_dir).checkpoint(), path)
     return path
 
 
@@ -129,7 +125,7 @@ def _pair_rows(spark, sf_dir):
     checkpoint_dir(spark)
     p = pairs(spark, sf_dir).select("seq_id").checkpoint(eager=True)
     return p.select(
-        F.format_string("part-%05d.parquet", F.floor(F.col("seq_id") / F.lit(FILE_ROWS)).cast("int")).alias("file"),
+        F.format_string("part-%012d.parquet", F.floor(F.col("seq_id") / F.lit(FILE_ROWS)).cast("bigint")).alias("file"),
         (F.col("seq_id") % F.lit(FILE_ROWS)).alias("row"),
         "seq_id",
     )
@@ -141,7 +137,7 @@ def _shards(spark, rows):
 
 
 _SQL_ROWS = f""",
-prow AS (SELECT printf('part-%05d.parquet', CAST(seq_id // {FILE_ROWS} AS INTEGER)) AS file, seq_id % {FILE_ROWS} AS row, seq_id FROM masked),
+prow AS (SELECT printf('part-%012d.parquet', CAST(seq_id // {FILE_ROWS} AS BIGINT)) AS file, seq_id % {FILE_ROWS} AS row, seq_id FROM masked),
 files AS (SELECT file, CAST(row_number() OVER (ORDER BY file) - 1 AS BIGINT) AS file_rank FROM (SELECT DISTINCT file FROM prow) f),
 per AS (SELECT CAST(ceil(count(*) / {float(WORKERS)!r}) AS BIGINT) AS per FROM files),
 shards AS (SELECT file, file_rank, CAST(file_rank // (SELECT per FROM per) AS BIGINT) AS worker FROM files)"""
@@ -182,21 +178,20 @@ def l2_plan_batches(spark, sf_dir):
     _PAIRS_WITH
     + _SQL_BATCHES
     + f""",
-steps AS (SELECT DISTINCT step FROM stepped WHERE step < {MAX_STEPS}),
 ann AS (
-  SELECT step AS global_step,
+  SELECT seq_id, worker, batch, step AS global_step,
          CASE WHEN step < {WARMUP} THEN step / {float(max(1, WARMUP))!r}
               ELSE 0.5 * (1.0 + cos(pi() * ((step - {WARMUP}) / {float(max(1, MAX_STEPS - WARMUP))!r}))) END AS m
-  FROM steps)
-SELECT global_step, {r6_sql('m')} AS lr_mult, {r6_sql('0.01 * m')} AS lr_matrix, {r6_sql('0.001 * m')} AS lr_vector,
+  FROM stepped WHERE step < {MAX_STEPS})
+SELECT seq_id, worker, batch, global_step, {r6_sql('m')} AS lr_mult, {r6_sql('0.01 * m')} AS lr_matrix, {r6_sql('0.001 * m')} AS lr_vector,
        global_step % {ACCUM} = 0 AS accum_open, (global_step + 1) % {ACCUM} = 0 AS accum_close,
        global_step % 10 = 0 AS log, global_step > 0 AND global_step % {EVERY} = 0 AS checkpoint
 FROM ann""",
 )
 def l3_annotate_steps(spark, sf_dir):
-    steps = _batches(spark, sf_dir).select("step").distinct()
-    a = annotate_steps(steps, start=0, max_steps=MAX_STEPS, warmup=WARMUP, accum=ACCUM, every=EVERY)
+    a = annotate_steps(_batches(spark, sf_dir), start=0, max_steps=MAX_STEPS, warmup=WARMUP, accum=ACCUM, every=EVERY)
     return a.select(
+        "seq_id", "worker", "batch",
         "global_step", r6("lr_mult").alias("lr_mult"), r6("lr_matrix").alias("lr_matrix"), r6("lr_vector").alias("lr_vector"),
         "accum_open", "accum_close", "log", "checkpoint",
     )
@@ -269,20 +264,16 @@ def st1_decay_stream(spark, sf_dir):
     ).withColumnRenamed("user_id", "key")
     root = scratch_path(spark, "st1")
     init_state(spark, fin, f"{root}/state")
-    # the stream arrives as three chronological files (three micro-batches)
+    # the stream arrives in three chronological parts; each is one micro-batch of the same query
     q = stream_rows.select(us.alias("__us")).agg(F.min("__us"), F.max("__us")).first()
     edges = [q[0] + (q[1] - q[0] + 1) * i // 3 for i in range(4)]
     for i in range(3):
-        stream_rows.where((us >= edges[i]) & (us < edges[i + 1]) if i < 2 else (us >= edges[i])).coalesce(1).write.parquet(
-            f"{root}/in/part{i}"
-        )
-        import os, time  # noqa: E401
-        time.sleep(0.05)
-    src = spark.readStream.schema(stream_rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
-        f"{root}/in"
-    )
-    query = decay_stream(src, f"{root}/state", f"{root}/out", f"{root}/ckpt", "user_id", "ts", "event_id", "value", decay=D)
-    query.awaitTermination()
+        part = stream_rows.where((us >= edges[i]) & (us < edges[i + 1]) if i < 2 else (us >= edges[i]))
+        part.write.parquet(f"{root}/in/part{i}")
+        src = spark.readStream.schema(stream_rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        decay_stream(
+            src, f"{root}/state", f"{root}/out", f"{root}/ckpt", "user_id", "ts", "event_id", "value", decay=D
+        ).awaitTermination()
     out = spark.read.parquet(f"{root}/out/rows")
     return out.select("event_id", r6("h").alias("h"), r6("prev").alias("prev"))
 
@@ -297,19 +288,16 @@ FROM packed""",
 def st2_pack_stream(spark, sf_dir):
     enc, _ = prepare.encoded_docs(spark, sf_dir)
     root = scratch_path(spark, "st2")
-    n = enc.count()
-    import time
-
-    for i in range(0, max(n, 1), STREAM_CHUNK):
-        enc.where((F.col("ordinal") >= i) & (F.col("ordinal") < i + STREAM_CHUNK)).coalesce(1).write.parquet(f"{root}/in/part{i // STREAM_CHUNK:05d}")
-        time.sleep(0.05)
+    # one partitioned write; a file holds whole groups, and the groups' numbers follow from the ordinals
+    part = F.floor(F.col("ordinal") / F.lit(STREAM_CHUNK * GROUPS_PER_FILE)).alias("part")
+    enc.select("*", part).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
     src = spark.readStream.schema(enc.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
         f"{root}/in"
     )
-    pack_stream(src, f"{root}/out", f"{root}/ckpt", SEQ_LEN).awaitTermination()
+    pack_stream(src, f"{root}/out", f"{root}/ckpt", SEQ_LEN, group_docs=STREAM_CHUNK).awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select(
-        "batch_id", "chunk", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5")
+        F.col("group_id").alias("batch_id"), "chunk", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5")
     )
 
 

@@ -45,7 +45,7 @@ def plan_batches(
     rows are not sorted in one task.
     """
     s = shards.select(F.col(path).alias(file), "file_rank", "worker")
-    j = rows.join(F.broadcast(s), file)  # the file table is bounded by the listing
+    j = rows.join(s, file)
     j = global_ordinal(
         j.withColumn("__wf", F.col("worker") * F.lit(1 << 32) + F.col("file_rank")),
         F.col("__wf"),
@@ -94,14 +94,14 @@ def annotate_steps(
     (matrix 0.01, vector 0.001 by default); accumulation opens at
     ``global_step % accum == 0`` and closes at ``(global_step + 1) % accum == 0``;
     log at ``global_step % 10 == 0``; checkpoint when ``global_step > start`` and
-    ``global_step % every == 0``. ``skip_rows`` > 0 resumes the data instead of
-    restarting it at row 0 (the reference restarts).
+    ``global_step % every == 0``. ``skip_rows`` > 0 resumes the data after that many steps
+    instead of restarting it (the reference restarts): the first step kept is numbered ``start``.
     """
     rates = base_rates or {"lr_matrix": 0.01, "lr_vector": 0.001}
     df = batches
     if skip_rows:
         df = df.where(F.col(step) >= F.lit(int(skip_rows)))
-    g = (F.col(step) + F.lit(int(start))).cast("bigint")
+    g = (F.col(step) - F.lit(int(skip_rows)) + F.lit(int(start))).cast("bigint")
     df = df.withColumn("global_step", g).where(F.col("global_step") < F.lit(int(max_steps)))
     mult = lr_multiplier("global_step", warmup, max_steps)
     df = df.withColumn("lr_mult", mult)

@@ -27,11 +27,12 @@ class Corpus:
     optional: bool = False
     order: list[str] = field(default_factory=list)
     options: dict = field(default_factory=dict)
+    rename: dict = field(default_factory=dict)  # columns renamed when the corpus is opened
 
 
 def open_corpus(spark: SparkSession, c: Corpus) -> DataFrame | None:
     try:
-        return spark.read.format(c.fmt).options(**c.options).load(c.path)
+        return spark.read.format(c.fmt).options(**c.options).load(c.path).withColumnsRenamed(c.rename)
     except AnalysisException as e:
         if c.optional:
             log.warning("corpus %s unavailable (%s); continuing without it", c.name, str(e).splitlines()[0])
@@ -85,16 +86,39 @@ def scan_pairs(spark: SparkSession, path: str, cols: tuple[str, ...] = ("context
     df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     shape = check_rectangular(df, list(cols), file_col="file")
     bad = shape.where(~F.col("ok")).select("file")
-    return df.join(F.broadcast(bad), "file", "left_anti")
+    return df.join(bad, "file", "left_anti")
 
 
-def write_pairs(df: DataFrame, path: str, files: int = 8, key: str = "seq_id", mode: str = "overwrite") -> str:
-    """S3: write ``context_ids``, ``target_ids`` (and the key) as ``files`` parquet files.
+def scan_pairs_report(spark: SparkSession, path: str, cols: tuple[str, ...] = ("context_ids", "target_ids")) -> DataFrame:
+    """S2, report: one row per parquet file of the directory with ``rows`` read and why it is left out, if it is.
+
+    ``unreadable``: no row of the file could be read; ``ragged``: its arrays differ in length. A file
+    that breaks off half-way keeps the row groups before the break.
+    """
+    listed = scan_artifacts(spark, path, "*.parquet").select(F.col("path").alias("file"))
+    df = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)  # noqa: E731  listing and reader spell the scheme differently
+    shape = check_rectangular(df.select(*cols, F.col("_metadata.file_path").alias("file")), list(cols), file_col="file")
+    return listed.select(name("file").alias("name")).join(shape.select(name("file").alias("name"), "rows", "ok"), "name", "left").select(
+        "name", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.when(F.col("ok").isNull(), "unreadable").when(~F.col("ok"), "ragged").alias("skipped"),
+    )
+
+
+def write_pairs(
+    df: DataFrame, path: str, files: int | None = None, key: str = "seq_id", mode: str = "overwrite", file_rows: int = 10_000
+) -> str:
+    """S3: write ``context_ids``, ``target_ids`` (and the key) as parquet files.
 
     Range-partitioned on the key and sorted inside each file, so that sorted
     file names give the rows in key order and a loader has several shards
-    (the reference writes one file). The directory is created if missing.
+    (the reference writes one file). Without ``files`` their number follows from the rows
+    (about ``file_rows`` per file, at least one per shuffle partition up to the rows). The directory is created if missing.
     """
+    if files is None:
+        rows = df.count()
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        files = max(1, min(rows, parts), -(-rows // file_rows))
     (
         df.repartitionByRange(int(files), key)
         .sortWithinPartitions(key)

@@ -10,8 +10,10 @@ port or state server is opened.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.portable import epoch_micros
 from ..operators.scans import decay_scan
@@ -22,23 +24,28 @@ def _version_path(state_dir: str, n: int) -> str:
     return f"{state_dir.rstrip('/')}/v={n:09d}"
 
 
-def _read_state(spark: SparkSession, state_dir: str, batch_id: int, schema: str) -> DataFrame:
+def _read_state(spark: SparkSession, state_dir: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The state before this micro-batch. Only the first one may find none; anything else that fails, fails."""
     prev = _version_path(state_dir, batch_id - 1)
     try:
         return spark.read.schema(schema).parquet(prev)
-    except Exception:  # noqa: BLE001 - a missing version means the state is empty
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if batch_id == 0 and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
-STATE_SCHEMA = "key bigint, h double, last_us bigint, last_id bigint, rows bigint"
+def state_schema(key: T.DataType, rid: T.DataType) -> T.StructType:
+    return (
+        T.StructType().add("key", key).add("h", "double").add("last_us", "long").add("last_id", rid).add("rows", "long")
+    )
 
 
 def init_state(spark: SparkSession, final: DataFrame, state_dir: str) -> None:
     """Write E4's output (``key, h, last_us, last_id, rows``) as state version -1;
-    ``last_us`` is the last applied time in epoch microseconds."""
+    ``last_us`` is the last applied time in epoch microseconds. Key and id keep their types."""
     final.select(
-        F.col("key").cast("bigint"), F.col("h").cast("double"), F.col("last_us").cast("bigint"),
-        F.col("last_id").cast("bigint"), F.col("rows").cast("bigint"),
+        "key", F.col("h").cast("double"), F.col("last_us").cast("bigint"), "last_id", F.col("rows").cast("bigint")
     ).write.mode("overwrite").parquet(_version_path(state_dir, -1))
 
 
@@ -59,21 +66,23 @@ def decay_step_batch(
     last applied ``(ts, id)`` is late: it is routed to ``late/`` and not applied.
     For the others the batch is scanned from zero and the carried state is
     added with its decay: ``h_t = h'_t + d^(k+1) h0`` and ``prev_t = prev'_t + d^k h0``.
+    Joins are on a struct around the key, so a null key is a key like any other.
     """
     spark = batch.sparkSession
-    state = _read_state(spark, state_dir, batch_id, STATE_SCHEMA)
-    rows = batch.select(F.col(key).cast("bigint").alias("key"), F.col(ts).alias("ts"), F.col(rid).alias("rid"),
+    held = F.struct(F.col("key").alias("k")).alias("__key")
+    kinds = state_schema(batch.schema[key].dataType, batch.schema[rid].dataType)
+    state = _read_state(spark, state_dir, batch_id, kinds).select("*", held)
+    rows = batch.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(rid).alias("rid"),
                         F.col(value).cast("double").alias("x"),
                         epoch_micros(ts, batch.schema[ts].dataType).alias("__us"))
-    j = rows.join(state.select("key", "h", "last_us", "last_id"), "key", "left")
+    j = rows.select("*", held).join(state.select("__key", "h", "last_us", "last_id"), "__key", "left").drop("__key")
     late_cond = F.col("last_us").isNotNull() & (
         (F.col("__us") < F.col("last_us")) | ((F.col("__us") == F.col("last_us")) & (F.col("rid") <= F.col("last_id")))
     )
     j = j.withColumn("__late", F.coalesce(late_cond, F.lit(False)))
     late = j.where("__late").select("key", "ts", "rid", "x")
     live = j.where(~F.col("__late")).withColumn("h0", F.coalesce(F.col("h"), F.lit(0.0))).drop("h", "last_us", "last_id", "__late")
-    # a micro-batch is bounded by the trigger: one plain window per key suffices
-    sc = decay_scan(live, "key", ["ts", "rid"], "x", decay=decay, out="hb", emit_previous="pb", split=None)
+    sc = decay_scan(live, "key", ["ts", "rid"], "x", decay=decay, out="hb", emit_previous="pb")
     d = float(decay)
     sc = sc.withColumn("h", F.col("hb") + F.pow(F.lit(d), (F.col("k") + 1).cast("double")) * F.col("h0")).withColumn(
         "prev", F.col("pb") + F.pow(F.lit(d), F.col("k").cast("double")) * F.col("h0")
@@ -87,10 +96,9 @@ def decay_step_batch(
         F.max(epoch_micros(ts, written.schema[ts].dataType)).alias("last_us"),
         F.max_by(rid, F.struct(ts, rid)).alias("last_id"),
         F.count(F.lit(1)).cast("bigint").alias("__n"),
-    )
-    carried = state.join(last.select("key"), "key", "left_anti")
-    prev_rows = state.select("key", "rows")
-    updated = last.join(prev_rows, "key", "left").select(
+    ).select("*", held)
+    carried = state.join(last.select("__key"), "__key", "left_anti").drop("__key")
+    updated = last.join(state.select("__key", "rows"), "__key", "left").select(
         "key", "h", "last_us", "last_id", (F.coalesce(F.col("rows"), F.lit(0)) + F.col("__n")).cast("bigint").alias("rows")
     )
     carried.unionByName(updated).write.mode("overwrite").parquet(_version_path(state_dir, batch_id))
@@ -118,7 +126,7 @@ def decay_stream(
     return w.start()
 
 
-TAIL_SCHEMA = "ordinal bigint, ids array<int>"
+TAIL_SCHEMA = T.StructType().add("ordinal", "long").add("ids", T.ArrayType(T.IntegerType()))
 
 
 def _tail(docs: DataFrame, C: int, ordinal: str, ids: str) -> DataFrame:
@@ -149,10 +157,13 @@ def pack_stream(
     available_now: bool = True,
     carry_tail: bool = False,
     state_dir: str | None = None,
+    group_docs: int | None = None,
 ):
-    """ST2: each micro-batch of encoded documents is packed as one group.
+    """ST2: each micro-batch of encoded documents is packed, as one group or in groups.
 
-    By default the group's tail is dropped (the reference's rule, with the
+    With ``group_docs`` the documents with one ``ordinal div group_docs`` form a group, the groups of a
+    micro-batch are packed by as many tasks, and ``group_id`` tells them apart; a micro-batch holds whole groups.
+    Without it the micro-batch is the group. By default the group's tail is dropped (the reference's rule, with the
     micro-batch as the group). With ``carry_tail`` the leftover tokens (fewer
     than one chunk) are kept as versioned state and put in front of the next
     micro-batch, so across batches only the final tail is lost. Output folders
@@ -162,6 +173,8 @@ def pack_stream(
     C = int(seq_len) + 1
     if carry_tail and not state_dir:
         raise ValueError("carry_tail needs a state_dir")
+    if carry_tail and group_docs:
+        raise ValueError("carry_tail continues one group; it goes without group_docs")
 
     def fn(df, batch_id):
         spark = df.sparkSession
@@ -172,8 +185,9 @@ def pack_stream(
             docs = docs.withColumn("ordinal", F.col("ordinal") + 1)
         # the micro-batch is the group (its size is bounded by maxFilesPerTrigger /
         # maxBytesPerTrigger); ordinals (non-negative) need to be increasing, not dense
-        seqs = pack(docs, seq_len=seq_len, ids="ids", ordinal="ordinal", group_docs=1 << 62)
-        seqs.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "chunk", "input_ids").write.mode("overwrite").parquet(
+        seqs = pack(docs, seq_len=seq_len, ids="ids", ordinal="ordinal", group_docs=group_docs or 1 << 62)
+        named = ["group_id"] if group_docs else []
+        seqs.select(F.lit(batch_id).cast("bigint").alias("batch_id"), *named, "chunk", "input_ids").write.mode("overwrite").parquet(
             f"{out_dir.rstrip('/')}/batch_id={batch_id:09d}"
         )
         if carry_tail:
