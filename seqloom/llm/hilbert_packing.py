@@ -11,7 +11,6 @@ cut again into lengths that are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .piece_memo import LibraryTokenizer
 from .text_batches import Powers, Words, slices, texts_of
 from .worker_cache import kept
 
@@ -161,21 +161,12 @@ def pack_documents(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        def load():
-            tokenizer = Tokenizer.from_buffer(shared.value)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            return tokenizer
-
-        tokenizer = kept(("tokenizer", tokenizer_path, len(shared.value)), load)
+        tokenizer = kept(("tokenizer", tokenizer_path, len(shared.value)), lambda: LibraryTokenizer(shared.value))
         packer = _Packer(TaskContext.get().partitionId() << 40, size)
         for b in slices(batches, "text"):
-            encoded = tokenizer.encode_batch_fast(b.column("text").to_pylist(), add_special_tokens=False)
-            for doc_id, e in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
-                packer.add(doc_id, np.array([*e.ids, end_id], "<u4"))
+            encoded = tokenizer.encode_batch(b.column("text").to_pylist())
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
+                packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
             yield packer.take()
         packer.finish()
         yield packer.take()

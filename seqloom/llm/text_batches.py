@@ -19,7 +19,7 @@ SLICE_BYTES = 2 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_NUMBERS = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +76,7 @@ class Words:
         self.rows = np.repeat(np.arange(n), self.counts)
         up, down = powers.upto(len(self.buf))
         prefix = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=prefix[1:])
+        np.cumsum(BYTE_NUMBERS[self.buf] * up[: len(self.buf)], out=prefix[1:])
         self.hashes = mix64((prefix[self.ends] - prefix[self.starts]) * down[self.starts])
 
     def word(self, k: int) -> bytes:
