@@ -2,8 +2,7 @@
 
 Matrices are coordinate tables ``(i, j, w)`` of any size; vectors are
 ``array<double>`` columns. Reductions over a matrix axis are windows
-partitioned by that axis; small mixing matrices are broadcast only after their
-size was checked.
+partitioned by that axis; join strategies are left to the planner.
 """
 
 from __future__ import annotations
@@ -18,13 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.portable import normal
 
-BROADCAST_LIMIT = 1_000_000  # rows of a reduced axis vector we are willing to broadcast
-
-
-def _maybe_broadcast(df: DataFrame, fits: bool) -> DataFrame:
-    return F.broadcast(df) if fits else df
-
-
 def _lse_step(df: DataFrame, axis: str, w: str) -> DataFrame:
     # max-shifted log-sum-exp over one axis; one exchange by the axis, and the
     # plan stays linear across iterations (each step references its input once)
@@ -92,14 +84,13 @@ def mix(x: DataFrame, p: DataFrame, keys: list[str], lane: str = "lane", val: st
         o: str = "o", i: str = "i", pval: str = "p") -> DataFrame:
     """``y[key, o] = sum_i P[o, i] * x[key, i]`` for scalar or ``array<double>`` values.
 
-    The mixing matrix is N x N with N the lane count; it is broadcast after
-    checking N. Arrays are summed element-wise over the N lanes of one output
-    lane (a bounded group).
+    The mixing matrix is N x N with N the lane count. Arrays are summed element-wise over the N lanes of one
+    output lane (a bounded group). A lane of ``x`` that is absent from ``P`` raises.
     """
-    n = p.count()
     pm = p.select(F.col(o).alias("__o"), F.col(i).alias(lane), F.col(pval).cast("double").alias("__p"))
-    pm = _maybe_broadcast(pm, n <= BROADCAST_LIMIT)
-    joined = x.join(pm, lane)
+    joined = x.join(pm, lane, "left").withColumn(
+        "__p", F.coalesce("__p", F.raise_error(F.lit("a lane is absent from the mixing matrix")).cast("double"))
+    )
     is_array = isinstance(x.schema[val].dataType, T.ArrayType)
     if not is_array:
         return joined.groupBy(*keys, "__o").agg(F.sum(F.col("__p") * F.col(val)).alias("y")).withColumnRenamed("__o", lane)
@@ -167,21 +158,26 @@ def layer_norm(
 ) -> DataFrame:
     """``(v - mean) / sqrt(var + eps) * gamma + beta`` per vector, population variance.
 
-    The mean and variance are materialised as columns first, so the element
-    lambda reads them instead of re-aggregating the vector per element.
+    One pass over the vector gives count, mean and squared deviations; they are bound as a one-element array, so
+    the element function reads them instead of computing them again. Linear in the vector's length.
     """
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    n = F.size(vec)
-    res = df.withColumn("__mean", F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n)
-    res = res.withColumn(
-        "__sd", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean"))) / n + F.lit(eps))
+    v = F.col(vec).cast("array<double>")
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    stats = F.aggregate(
+        v, zero, add, lambda acc: F.struct(acc["mean"].alias("mean"), F.sqrt(acc["m2"] / acc["n"] + F.lit(eps)).alias("sd"))
     )
-    y = F.transform(v, lambda x: (x - F.col("__mean")) / F.col("__sd"))
+    y = F.element_at(F.transform(F.array(stats), lambda s: F.transform(v, lambda x: (x - s["mean"]) / s["sd"])), 1)
     if gamma is not None:
         y = F.zip_with(y, F.array(*[F.lit(float(g)) for g in gamma]), lambda a, g: a * g)
     if beta is not None:
         y = F.zip_with(y, F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a + b)
-    return res.withColumn(out or vec, y).drop("__mean", "__sd")
+    return df.withColumn(out or vec, y)
 
 
 NS_COEFFS = (3.4445, -4.7750, 2.0315)  # fixed values: quintic Newton-Schulz coefficients (a, b, c)

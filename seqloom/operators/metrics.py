@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORE_INDEX = -100
 
 
+LOWEST = -1.7976931348623157e308
+
+
 def _lse(scores: Column) -> Column:
-    m = F.array_max(scores)
-    return m + F.log(F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s - m)))
+    """Log-sum-exp in one pass over the array: the largest value so far and the sum scaled by it."""
+
+    def add(acc: Column, s: Column) -> Column:
+        top = F.greatest(acc["top"], s)
+        return F.struct(top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(s - top)).alias("sum"))
+
+    zero = F.struct(F.lit(LOWEST).alias("top"), F.lit(0.0).alias("sum"))
+    return F.aggregate(scores, zero, add, lambda acc: acc["top"] + F.log(acc["sum"]))
 
 
 def row_cross_entropy(scores: Column, label: Column) -> Column:
-    """``logsumexp(scores) - scores[label]`` for one row (label is 0-based)."""
-    s = F.transform(scores, lambda x: x.cast("double"))
+    """``logsumexp(scores) - scores[label]`` for one row (label is 0-based); linear in the array's length."""
+    s = scores.cast("array<double>")
     return _lse(s) - F.element_at(s, (label + 1).cast("int"))
 
 
@@ -34,27 +44,51 @@ def cross_entropy_long(
 ) -> DataFrame:
     """G1, long form: scores as rows ``(key, item, score)``, labels as ``(key, label)``.
 
-    Per key, ``logsumexp`` over its items (max-shifted: a ``groupBy(key)`` with
-    map-side partial aggregation for the max and for the shifted sum) minus the
-    score of the label item; mean over keys whose label is not ``ignore``.
+    Per key, ``logsumexp`` over its items minus the score of the label item; mean over keys whose label is not
+    ``ignore``. One exchange by key: the largest score is a window over it, then one aggregate. A key whose
+    label has no score, or that has no scores at all, raises.
     """
-    s = scores.select(key, item, F.col(score).cast("double").alias("__s"))
-    m = s.groupBy(key).agg(F.max("__s").alias("__m"))
-    lse = s.join(m, key).groupBy(key).agg((F.first("__m") + F.log(F.sum(F.exp(F.col("__s") - F.col("__m"))))).alias("__lse"))
-    lab = labels.where(F.col(label) != F.lit(ignore)).select(key, F.col(label).alias(item))
-    picked = lab.join(s, [key, item]).select(key, "__s")
-    per_key = lse.join(picked, key).select((F.col("__lse") - F.col("__s")).alias("__l"))
-    return per_key.agg(F.avg("__l").alias("loss"), F.count(F.lit(1)).cast("bigint").alias("rows"))
+    lab = labels.where(F.col(label) != F.lit(ignore)).select(key, F.col(label).alias("__label"))
+    s = lab.join(scores.select(key, F.col(item).alias("__item"), F.col(score).cast("double").alias("__s")), key, "left")
+    top = F.max("__s").over(Window.partitionBy(key))
+    per_key = s.withColumn("__m", top).groupBy(key).agg(
+        (F.first("__m") + F.log(F.sum(F.exp(F.col("__s") - F.col("__m"))))).alias("__lse"),
+        F.max(F.when(F.col("__item") == F.col("__label"), F.col("__s"))).alias("__own"),
+    )
+    loss = F.when(F.col("__own").isNull(), F.raise_error(F.lit("a label has no score"))).otherwise(F.col("__lse") - F.col("__own"))
+    return per_key.agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
 def paired_mse(a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
-    """Mean over all elements of ``(a - b)^2`` between two vector tables joined on key.
+    """Mean over all elements of ``(a - b)^2`` between two vector tables joined on key (one-row frame, evaluated now).
 
-    Every position counts. The tables must pair up one to one (same row count
-    and every key matched), else it raises.
+    Every position counts. The tables must pair up one to one, else it raises ``ValueError``.
     """
-    na, nb = a.count(), b.count()
-    j = a.select(key, F.col(va).alias("__a")).join(b.select(key, F.col(vb).alias("__b")), key)
+    try:
+        res = paired_mse_frame(a, b, key, va, vb).first()
+    except PySparkException as e:
+        if MISPAIRED in str(e):
+            raise ValueError(MISPAIRED) from e
+        raise
+    return a.sparkSession.createDataFrame([(res["mse"], res["pairs"])], "mse double, pairs bigint")
+
+
+MISPAIRED = "paired tables differ in size or shape"
+
+
+def paired_mse_frame(a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
+    """G2, lazy: one-row frame with ``mse`` and ``pairs``.
+
+    One full outer join counts what does not pair up: keys of one table only, vectors of different lengths and
+    keys that occur more than once; the result raises if there is any.
+    """
+    left = a.groupBy(key).agg(F.first(va).alias("__a"), F.count(F.lit(1)).alias("__na"))
+    right = b.groupBy(key).agg(F.first(vb).alias("__b"), F.count(F.lit(1)).alias("__nb"))
+    j = left.withColumn("__k", F.struct(key)).drop(key).join(right.withColumn("__k", F.struct(key)).drop(key), "__k", "full_outer")
+    bad = (
+        F.col("__a").isNull() | F.col("__b").isNull() | (F.coalesce("__na", F.lit(0)) != 1) | (F.coalesce("__nb", F.lit(0)) != 1)
+        | (F.size("__a") != F.size("__b"))
+    )
     sq = F.aggregate(
         F.zip_with("__a", "__b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
         F.lit(0.0),
@@ -63,22 +97,11 @@ def paired_mse(a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFr
     res = j.agg(
         (F.sum(sq) / F.sum(F.size("__a"))).alias("mse"),
         F.count(F.lit(1)).cast("bigint").alias("pairs"),
-        F.sum(F.when(F.size("__a") != F.size("__b"), 1).otherwise(0)).alias("__bad"),
-    ).first()
-    if na != nb or res["pairs"] != na or res["__bad"]:
-        raise ValueError("paired tables differ in size or shape")
-    return j.sparkSession.createDataFrame([(res["mse"], res["pairs"])], "mse double, pairs bigint")
-
-
-def paired_mse_frame(a: DataFrame, b: DataFrame, key: str, va: str, vb: str) -> DataFrame:
-    """Lazy G2 (no size check): one-row frame with ``mse`` and ``pairs``."""
-    j = a.select(key, F.col(va).alias("__a")).join(b.select(key, F.col(vb).alias("__b")), key)
-    sq = F.aggregate(
-        F.zip_with("__a", "__b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
+        F.sum(F.when(bad, 1).otherwise(0)).alias("__bad"),
+    )
+    return res.select(
+        F.when(F.col("__bad") > 0, F.raise_error(F.lit(MISPAIRED))).otherwise(F.col("mse")).alias("mse"), "pairs"
     )
-    return j.agg((F.sum(sq) / F.sum(F.size("__a"))).alias("mse"), F.count(F.lit(1)).cast("bigint").alias("pairs"))
 
 
 def combine(losses: dict[str, DataFrame], weights: dict[str, float], out: str = "total") -> DataFrame:

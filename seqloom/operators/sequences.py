@@ -21,7 +21,7 @@ EOS_ID = 2
 UNK_ID = 3
 MASK_ID = 4
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>", "<mask>"]
-MAX_BROADCAST_VOCAB = 1_000_000  # beyond this the relational encode (no broadcast) is used
+MAX_BROADCAST_VOCAB = 1_000_000  # beyond this the relational encode (a join) is used
 
 
 def words(text: Column) -> Column:
@@ -30,36 +30,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def build_vocab(
-    df: DataFrame, size: int = 32000, text: str = "text", specials: list[str] = SPECIALS, top_groups: int = 64
-) -> DataFrame:
+def build_vocab(df: DataFrame, size: int = 32000, text: str = "text", specials: list[str] = SPECIALS) -> DataFrame:
     """T1 (vocabulary): ``(token, token_id, count)`` for the ``size - len(specials)`` most frequent words.
 
-    Rank by ``(count desc, token)``; ids start after the specials. The count is
-    a map-side-combined aggregate; the top-k is two-level (top k per hash group,
-    then the top k of those), so no task receives more than ``top_groups * k``
-    rows, and the result is bounded by ``size`` and safe to broadcast in ``encode``.
+    Rank by ``(count desc, token)``; ids start after the specials. The count is a map-side-combined
+    aggregate. A histogram of the counts (exact up to 4,096, then 64 classes per doubling: a few thousand
+    rows) tells which classes can hold one of the most frequent words; only words of these classes are
+    sorted. The result is bounded by ``size`` and safe to broadcast in ``encode``.
     """
     k = int(size) - len(specials)
     if k <= 0:
         raise ValueError("size must exceed the number of special tokens")
+    exact = 4096
+    level = F.when(F.col("count") <= exact, F.col("count")).otherwise(
+        F.lit(exact + 1) + F.floor(F.log2(F.col("count") / exact) * 64)
+    )
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
+        .withColumn("__level", level.cast("bigint"))
     )
-    # two-level top-k: a plain orderBy().limit(k) would send k rows from every
-    # count partition into one task; first keep the top k inside each of R hash
-    # groups (WindowGroupLimit, partial before the shuffle), so the final top-k
-    # sees at most R * k rows whatever the data size
-    R = int(top_groups)
-    by_group = Window.partitionBy("__g").orderBy(F.col("count").desc(), F.col("token"))
-    pre = (
-        counts.withColumn("__g", F.pmod(F.xxhash64("token"), F.lit(R)))
-        .withColumn("__r", F.row_number().over(by_group))
-        .where(F.col("__r") <= k)
-        .drop("__g", "__r")
+    higher = Window.orderBy(F.col("__level").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        counts.groupBy("__level").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(higher), F.lit(0)))
+        .where(F.col("__before") < k)
+        .select("__level")
     )
+    pre = counts.join(F.broadcast(wanted), "__level").drop("__level")  # some 8,000 levels at most
     top = pre.orderBy(F.col("count").desc(), F.col("token")).limit(k)
     # at most k rows: a single ordered window over them is bounded
     w = Window.orderBy(F.col("count").desc(), F.col("token"))
@@ -83,13 +82,15 @@ def encode(
     unk_id: int = UNK_ID,
     bos_id: int = BOS_ID,
     specials: int = len(SPECIALS),
+    max_broadcast: int = MAX_BROADCAST_VOCAB,
 ) -> DataFrame:
     """T1 (encode): words -> ids with one begin token in front, no end token, no truncation.
 
     Narrow: each Arrow batch is split, looked up (hash lookup against the
     vocabulary) and rebuilt as list arrays inside its task, so the documents are
     neither exploded to token rows nor exchanged. The vocabulary is bounded by
-    its ``size`` (checked here) and shipped once per executor as a broadcast.
+    its ``size`` (checked here) and shipped once per executor as a broadcast; one of more than
+    ``max_broadcast`` words is joined instead (``encode_relational``), with the same result.
     Unknown words map to ``unk_id``; an empty text encodes to ``[bos]``.
     ``encode_relational`` is the same operator in pure DataFrame form.
     """
@@ -99,10 +100,10 @@ def encode(
     from ..functions.arrow_kernels import encode_batch
 
     regular = vocab.where(F.col("token_id") >= specials).select("token_id", "token")
-    # one bounded fetch as Arrow: at most MAX_BROADCAST_VOCAB + 1 rows reach the driver
-    tbl = regular.orderBy("token_id").limit(MAX_BROADCAST_VOCAB + 1).toArrow()
-    if tbl.num_rows > MAX_BROADCAST_VOCAB:
-        return encode_relational(df, vocab, keys, text, out, add_bos, unk_id, bos_id)
+    # one bounded fetch as Arrow: at most max_broadcast + 1 rows reach the driver
+    tbl = regular.orderBy("token_id").limit(max_broadcast + 1).toArrow()
+    if tbl.num_rows > max_broadcast:
+        return encode_relational(df, vocab, keys, text, out, add_bos, unk_id, bos_id, specials)
     ids = tbl.column("token_id").to_numpy()
     if len(ids) and not (ids == np.arange(specials, specials + len(ids))).all():
         raise ValueError("vocabulary ids must be dense after the specials")
@@ -129,20 +130,23 @@ def encode_relational(
     add_bos: bool = True,
     unk_id: int = UNK_ID,
     bos_id: int = BOS_ID,
+    specials: int = len(SPECIALS),
 ) -> DataFrame:
-    """T1 (encode), DataFrame form: ``posexplode`` + broadcast hash join on the
-    bounded vocabulary + ``collect_list`` regrouped on ``keys`` (sorted by
-    position); the partial aggregate ships one array per document."""
-    toks = df.select(*keys, F.posexplode_outer(words(F.col(text))).alias("__pos", "token"))
-    v = F.broadcast(vocab.where(F.col("count") > 0).select("token", "token_id"))
+    """T1 (encode), DataFrame form: ``posexplode`` + a join on the vocabulary, whose strategy the planner
+    chooses by its size, + ``collect_list`` regrouped by row (sorted by position). Regular words are those
+    with ``token_id >= specials``, as in ``encode``; rows with equal keys stay apart."""
+    numbered = df.select(*keys, text, F.monotonically_increasing_id().alias("__row"))
+    toks = numbered.select("__row", *keys, F.posexplode_outer(words(F.col(text))).alias("__pos", "token"))
+    v = vocab.where(F.col("token_id") >= specials).select("token", "token_id")
     looked = toks.join(v, "token", "left").select(
+        "__row",
         *keys,
         F.when(
             F.col("__pos").isNotNull(),
             F.struct(F.col("__pos").alias("p"), F.coalesce(F.col("token_id"), F.lit(unk_id)).alias("t")),
         ).alias("__pt"),
     )
-    grouped = looked.groupBy(*keys).agg(F.array_sort(F.collect_list("__pt")).alias("__pts"))
+    grouped = looked.groupBy("__row", *keys).agg(F.array_sort(F.collect_list("__pt")).alias("__pts"))
     ids = F.transform(F.col("__pts"), lambda x: x["t"])
     if add_bos:
         ids = F.concat(F.array(F.lit(bos_id)), ids)

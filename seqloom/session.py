@@ -2,13 +2,15 @@
 
 ``local_session`` is for tests, benches and the driver smoke run; on a cluster
 the caller owns the session. ``checkpoint_dir`` returns the shared folder named
-by ``spark.checkpoint.dir`` and only invents one (under /tmp) when the session
-has none set, which only happens in local runs.
+by ``spark.checkpoint.dir``. Without one, a local session gets a folder of its own under /tmp that
+goes when the process ends; on any other master it raises.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,7 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         # a directory set programmatically: its parent is the user-facing root
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {_CONF_KEY} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="seqloom-ckpt-", dir="/tmp")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     try:
         spark.conf.set(_CONF_KEY, path)

@@ -134,3 +134,34 @@ def test_orthogonalize_independent_of_partitioning(spark):
     a = np.stack(orthogonalize(df.coalesce(1), "v", out="o").orderBy("id").toPandas()["o"].to_numpy())
     b = np.stack(orthogonalize(df.repartition(7), "v", out="o").orderBy("id").toPandas()["o"].to_numpy())
     assert np.allclose(a, b, atol=1e-12)
+
+
+def test_mix_raises_on_an_absent_lane(spark):
+    from seqloom.operators.matrix import mix
+
+    x = spark.createDataFrame([(1, 0, 1.0), (2, 7, 1.0)], "key int, lane long, x double")
+    p = spark.createDataFrame([(0, 0, 1.0)], "o long, i long, p double")
+    with pytest.raises(Exception, match="absent from the mixing matrix"):
+        mix(x, p, ["key"]).collect()
+
+
+def test_layer_norm_and_cross_entropy_of_long_vectors(spark):
+    import time
+
+    from seqloom.operators.matrix import layer_norm
+    from seqloom.operators.metrics import cross_entropy
+
+    rng = np.random.default_rng(0)
+    took = {}
+    for n in (1000, 16000):
+        m = rng.normal(size=(4, n)) * 50
+        df = spark.createDataFrame([(i, [float(v) for v in r], i) for i, r in enumerate(m)], "id int, v array<double>, label int").cache()
+        df.count()
+        start = time.time()
+        y = np.stack([r["y"] for r in layer_norm(df, "v", out="y").orderBy("id").select("y").collect()])
+        loss = cross_entropy(df, "v", "label").first()["loss"]
+        took[n] = time.time() - start
+        assert np.allclose(y, (m - m.mean(1, keepdims=True)) / np.sqrt(m.var(1, keepdims=True) + 1e-5))
+        top = m.max(1)
+        assert loss == pytest.approx(np.mean(top + np.log(np.exp(m - top[:, None]).sum(1)) - m[np.arange(4), np.arange(4)]))
+    assert took[16000] < 40 * took[1000]  # quadratic work would take 256 times as long

@@ -175,3 +175,24 @@ def test_fused_prepare_with_take_smaller_than_table(spark):
     enc = encode(sel, vocab, keys=["ordinal"])
     b = sorted(pair_digest(mask_pairs(pack(enc, seq_len=63, group_docs=25), p=0.15, seed=42)).collect())
     assert a == b and len(a) > 0
+
+
+def test_relational_encode_above_the_broadcast_limit(spark):
+    from seqloom.operators.sequences import build_vocab, encode
+
+    docs = spark.createDataFrame([(1, "a b a c"), (1, "a b a c"), (2, ""), (3, "zz a")], "k int, text string")
+    vocab = build_vocab(docs.where("k < 3"), size=7)
+    a = encode(docs, vocab, keys=["k"]).collect()
+    b = encode(docs, vocab, keys=["k"], max_broadcast=1).collect()
+    assert sorted((r["k"], list(r["ids"])) for r in a) == sorted((r["k"], list(r["ids"])) for r in b) and len(b) == 4
+
+
+def test_take_unordered_edges(spark, monkeypatch):
+    from seqloom.operators import mixing
+
+    df = spark.range(500).withColumnRenamed("id", "k")
+    want = [r["k"] for r in mixing.shuffle(df, "k", seed=3).orderBy("ordinal").collect()]
+    monkeypatch.setattr(mixing, "CROSSING_ROWS", 2)
+    for n in (0, 1, 77, 499, 500, 900):
+        got = sorted(r["k"] for r in mixing.take_unordered(df, "k", n, seed=3, buckets=4).collect())
+        assert got == sorted(want[:n])

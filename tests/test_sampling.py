@@ -158,3 +158,23 @@ def test_sample_walk_matches_python_brute_force(spark):
     pdf = spark.createDataFrame([(1, "a"), (2, "c"), (3, "e")], "w long, s string")
     got = sorted((r["walker"], r["step"], r["item"]) for r in sample_walk(pdf, tdf, "w", "s", steps, eos=eos, seed=seed, k=k, temperature=temp).collect())
     assert got == sorted(want)
+
+
+def test_long_cross_entropy_raises_on_a_label_without_score(spark):
+    from seqloom.operators.metrics import cross_entropy_long
+
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.1), (2, 0, 0.3)], "k int, item int, s double")
+    labels = spark.createDataFrame([(1, 1), (2, 5)], "k int, y int")
+    with pytest.raises(Exception, match="label has no score"):
+        cross_entropy_long(scores, labels, "k", "item", "s", "y").collect()
+    assert cross_entropy_long(scores, labels.where("k = 1"), "k", "item", "s", "y").first()["rows"] == 1
+
+
+def test_paired_mse_frame_raises_on_unpaired_keys(spark):
+    from seqloom.operators.metrics import paired_mse_frame
+
+    a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "k int, v array<double>")
+    with pytest.raises(Exception, match="differ in size or shape"):
+        paired_mse_frame(a, a.where("k = 1"), "k", "v", "v").collect()
+    with pytest.raises(Exception, match="differ in size or shape"):
+        paired_mse_frame(a, a.unionByName(a), "k", "v", "v").collect()

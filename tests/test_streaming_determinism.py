@@ -88,3 +88,53 @@ def test_pack_stream_carries_tail(spark):
     # batch 0: 21 tokens -> 4 chunks, 1 carried; batch 1: 1 + 21 = 22 -> 4 chunks, 2 left
     assert [r["batch_id"] for r in out] == [0] * 4 + [1] * 4
     assert got == flat[: len(got)] and len(got) == 40
+
+
+def _step(spark, root, batch_id, rows, schema="key string, ts timestamp_ntz, id string, x double"):
+    import datetime as dt
+
+    from seqloom.streaming.state import decay_step_batch
+
+    data = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i, x) for k, s, i, x in rows]
+    batch = spark.createDataFrame(data, schema)
+    decay_step_batch(batch, batch_id, f"{root}/state", f"{root}/out", "key", "ts", "id", "x", 0.5)
+
+
+def test_stream_state_keeps_null_and_string_keys(spark):
+    root = scratch_path(spark, "st1-null")
+    _step(spark, root, 0, [(None, 0, "a", 1.0), ("k", 0, "b", 1.0)])
+    _step(spark, root, 1, [(None, 1, "c", 1.0)])
+    _step(spark, root, 2, [(None, 2, "d", 1.0), ("k", 3, "e", 0.0)])
+    h = {r["id"]: r["h"] for r in spark.read.parquet(f"{root}/out/rows").collect()}
+    assert h == {"a": 0.5, "b": 0.5, "c": 0.75, "d": 0.875, "e": 0.25}
+    state = spark.read.parquet(f"{root}/state/v={2:09d}").collect()
+    assert sorted((str(r["key"]), r["rows"]) for r in state) == [("None", 3), ("k", 2)]
+
+
+def test_stream_fails_on_unreadable_state(spark):
+    import os
+
+    root = scratch_path(spark, "st1-bad")
+    _step(spark, root, 0, [("k", 0, "a", 1.0)])
+    with pytest.raises(Exception):  # noqa: B017 - version 1 was never written
+        _step(spark, root, 2, [("k", 1, "b", 1.0)])
+    folder = f"{root}/state/v={0:09d}"
+    for f in os.listdir(folder):
+        if f.endswith(".parquet"):
+            with open(f"{folder}/{f}", "wb") as out:
+                out.write(b"broken")
+            crc = f"{folder}/.{f}.crc"
+            if os.path.exists(crc):
+                os.remove(crc)
+    with pytest.raises(Exception):  # noqa: B017 - a damaged state is not an empty one
+        _step(spark, root, 1, [("k", 1, "b", 1.0)])
+
+
+def test_pack_stream_in_groups(spark):
+    enc = spark.createDataFrame([(i, list(range(i * 10, i * 10 + 7))) for i in range(12)], "ordinal long, ids array<int>")
+    root = scratch_path(spark, "st2-groups")
+    enc.repartition(1).write.parquet(f"{root}/in")
+    src = spark.readStream.schema(enc.schema).parquet(f"{root}/in")
+    pack_stream(src, f"{root}/out", f"{root}/ck", seq_len=4, group_docs=3).awaitTermination()
+    got = sorted((r["group_id"], r["chunk"]) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == [(g, c) for g in range(4) for c in range(4)]  # 21 tokens a group: four chunks of 5
