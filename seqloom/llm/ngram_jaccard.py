@@ -296,45 +296,75 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(table.astype("<u4").view(np.uint8), bitorder="little").astype(bool)
 
 
-def _candidate_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``set_id, shingles`` of the sets in ``wanted(set_id, row)``: a third pass over the texts that shingles only these."""
+def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``row, shingles`` (sorted hashes) of the rows in ``wanted(row)``: a pass over the texts that shingles these
+    (and the few others that the bit table lets through). A task hands on a repeated row once."""
     mask = np.uint64((1 << BLOOM_BITS) - 1)
     shared = rows.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), shared.value
+        done: set[int] = set()
         for b in batches:
             key = b.column("row").to_numpy().view(np.uint64)
             use = bits[(key & mask).astype(np.int64)] & bits[((key >> np.uint64(30)) & mask).astype(np.int64)]
+            for k in np.flatnonzero(use).tolist():
+                use[k] = int(key[k]) not in done
+                done.add(int(key[k]))
             for part in slices(iter([b.filter(pa.array(use))]), "text"):
                 sets = shingle_sets(texts_of(part.column("text")), powers, width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_set_id(s) for s in sets], pa.int64()), part.column("row"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["set_id", "row", "shingles"],
+                    [part.column("row"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "shingles"]
                 )
 
-    read = rows.select("row", "text").mapInArrow(run, "set_id long, row long, shingles binary")
-    return read.join(wanted.select("row"), "row", "left_semi").drop("row").dropDuplicates(["set_id"])
+    return rows.select("row", "text").mapInArrow(run, "row long, shingles binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, compared exactly."""
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b"
+#: Sets compared with one set in one task.
+PARTNERS = 2000
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs ``a, b`` of sets that link, compared exactly; ``reps(set_id, row)`` names a row for each set.
+
+    Every ``b`` meets its partners, dealt over as many parts as there are thousands of them: first ``b``'s set,
+    then the partners' sets, one after another.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    partner = (
+        pairs.join(parts, "b").join(reps.withColumnRenamed("set_id", "a"), "a")
+        .select("row", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    )
+    head = parts.join(reps.withColumnRenamed("set_id", "b"), "b").select(
+        "row", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a")
+    )
+    roles = partner.unionByName(head).checkpoint()
+    sets = _sets_of(rows, roles.select("row"), width)
+    met = (
+        sets.join(roles, "row").select("b", "part", "a", "shingles")
+        .repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        own = np.zeros(0, np.uint64)
         for big in batches:
-            for b in slices(iter([big]), "sa", 8 << 20):
-                keep = []
-                for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    merged = np.sort(np.concatenate([x, y]))
-                    same = int((merged[1:] == merged[:-1]).sum())
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for batch in slices(iter([big]), "shingles", 8 << 20):
+                found: list[tuple[int, int]] = []
+                for b, part, a, packed in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "a", "shingles")), strict=True):
+                    mine = np.frombuffer(packed, np.uint64)
+                    if a is None:
+                        group, own = (b, part), mine
+                    elif group == (b, part):
+                        merged = np.sort(np.concatenate([own, mine]))
+                        same = int((merged[1:] == merged[:-1]).sum())
+                        if 100 * same >= percent * (len(own) + len(mine) - same):
+                            found.append((a, b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+                )
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -346,7 +376,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, width: int
     take part; a component of such rows only has a null id. Repeated rows are returned as often as they come.
     Other columns are ignored. An empty table gives no rows.
 
-    Passes over the texts: shingle counts, prefixes, and the shingles of candidate sets. Only tables of fixed size
+    Passes over the texts: shingle counts, prefixes, and twice the shingles of the sets to compare. Only tables of fixed size
     (shingle counts, bit table) reach the driver; links and components stay in Spark.
     """
     spark = documents.sparkSession
@@ -357,16 +387,18 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, width: int
     counts = spark.sparkContext.broadcast(shingle_counts(rows, width))
     docs = _prefixes(rows, counts, percent, width).checkpoint()
     some = docs.where("n > 0")
-    classes = some.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
+    classes = some.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     shared = _shared_entries(_entries(classes), percent).checkpoint()
 
     meets = shared.where("near").groupBy("set_id", "leader").agg(F.count("*").alias("times"))
-    stars = meets.groupBy("set_id").agg(F.max_by("leader", F.struct("times", "leader")).alias("b")).select(F.col("set_id").alias("a"), "b")
-    wanted = some.groupBy("set_id").agg(F.min("row").alias("row")).join(shared.select("set_id").distinct(), "set_id", "left_semi")
-    sets = _candidate_sets(rows, wanted.checkpoint(), width).checkpoint()
-    first = _linked(stars, sets, percent).checkpoint()
+    stars = meets.groupBy("set_id").agg(F.max_by("leader", F.struct("times", "leader")).alias("b")).select(
+        F.col("set_id").alias("a"), "b"
+    ).checkpoint()
+    reps = some.groupBy("set_id").agg(F.min("row").alias("row")).join(shared.select("set_id").distinct(), "set_id", "left_semi")
+    reps = reps.checkpoint()
+    first = _linked(stars, reps, rows, percent, width).checkpoint()
     labels = connected_components(first)
-    more = _linked(_open_pairs(shared, labels, percent), sets, percent).checkpoint()
+    more = _linked(_open_pairs(shared, labels, percent).checkpoint(), reps, rows, percent, width).checkpoint()
     # sets of one component count as one from here on
     named = labels.select(F.col("node"), F.col("label"))
     lifted = (
