@@ -124,6 +124,32 @@ def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return (counts + weight * parent) / (counts.sum(axis=-1, keepdims=True) + weight)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, by count and then hash; at most ``limit``.
+
+    A histogram of the counts (at most some 8,000 classes) gives the smallest class of counts that still fits as
+    a whole, so no task and no partition hands more than the words chosen to the driver.
+    """
+    exact = 4096
+    level = F.when(F.col("n") <= exact, F.col("n")).otherwise(
+        F.lit(exact + 1) + F.floor(F.log2(F.col("n") / exact) * 64)
+    ).cast("long")
+    levels = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    total, least = 0, None
+    for r in levels:
+        total += r["words"]
+        if total > limit:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(level >= least).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    n = found.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order], n[order]
+
+
 class SuffixTree:
     """Learned model: ``counts`` (table of all words), and as plain arrays in ``state`` all else."""
 
@@ -145,9 +171,7 @@ def learn(
     counts = word_counts(documents, text).checkpoint()
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_texts = documents.count()
-    top = counts.orderBy(F.desc("n"), "h").limit(frequent).collect()
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in top], np.int64)
+    h, n = most_frequent(counts, frequent)
     order = np.argsort(h)
     rank = np.arange(len(h))
     symbol = np.where(rank < SYMBOLS, rank, OTHER)
