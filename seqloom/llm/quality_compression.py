@@ -27,6 +27,7 @@ from .text_batches import slices, texts_of
 #: Bounds of the sample: 2 classes x SAMPLE_ROWS x SAMPLE_TEXT_BYTES, 40 MB at most.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1200, 16 << 10
 DICTIONARY_BYTES = 64 << 10
+SPARE = 4
 LEVEL = 3
 
 
@@ -36,13 +37,17 @@ def labelled_sample(
     """Up to ``rows`` distinct (quality, text) per class, in the order of a hash of doc_id.
 
     Rows with a null doc_id, quality or text, and texts above ``text_bytes``, teach nothing. The join is on
-    doc_id; the ranking keeps ``rows`` per class in each task before its shuffle.
+    doc_id; a bound on the hash, from the number of labels, leaves about ``SPARE`` times the rows wanted to be ranked.
     """
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     short = documents.where(F.octet_length("text") <= text_bytes).select("doc_id", F.xxhash64("doc_id").alias("order"))
     ranked = Window.partitionBy("quality").orderBy("order", "doc_id")
+    below = F.lit(False)
+    for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect():
+        bound = int(-(2**63) + min(1.0, SPARE * rows / r["n"]) * (2**64 - 1))
+        below = below | ((F.col("quality") == r["quality"]) & (F.col("order") <= F.lit(min(bound, 2**63 - 1))))
     chosen = (
-        short.join(marked, "doc_id").withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= rows).select("doc_id", "quality")
+        short.join(marked, "doc_id").where(below).withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= rows).select("doc_id", "quality")
     )
     found = (
         documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 x rows
