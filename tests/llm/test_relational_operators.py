@@ -255,3 +255,26 @@ def test_pipeline_edge_cases(spark, edge_docs, no_docs):
             now = stage(spark, now, SF001)
             assert now.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, SF001).count() >= 0
+
+
+def test_signatures_never_rule_out_a_link():
+    from seqloom.llm.ngram_jaccard import _close, _signature
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 1))).astype(np.uint64)]))
+        same = len(np.intersect1d(a, b))
+        linked = 100 * same >= 85 * (len(a) + len(b) - same)
+        sig = [np.frombuffer(_signature(s), np.uint64)[None, :] for s in (a, b)]
+        assert not linked or _close(*sig, np.array([len(a)]), np.array([len(b)]), 85)[0]
+
+
+def test_most_frequent_words_fit_the_limit(spark):
+    from seqloom.llm.suffix_tree_lm import most_frequent
+
+    counts = spark.createDataFrame([(k, 1 + k % 7 if k < 90 else 10_000 * k) for k in range(100)], "h long, n long")
+    h, n = most_frequent(counts, 40)
+    assert len(h) == 10 + 12 + 13 and (np.diff(n) <= 0).all() and n.min() == 6 and h[0] == 99  # all of a count or none
+    assert len(most_frequent(counts, 5)[0]) == 5 and len(most_frequent(counts.limit(0), 5)[0]) == 0
