@@ -88,6 +88,8 @@ def m1_interleave(spark, sf_dir):
     return mixed.select("draw", "source", F.md5("text").alias("text_md5"))
 
 
+_PAIRS_WITH = _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, prepare.GROUP_DOCS), _sql_masked())
+
 _T4_SQL = _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, prepare.GROUP_DOCS), _sql_masked()) + _sql_pair_digest()
 
 
@@ -111,10 +113,22 @@ def s2_scan_pairs(spark, sf_dir):
     return pair_digest(scan_pairs(spark, path))
 
 
-@register("s4_scan_artifacts")
+@register(
+    "s4_scan_artifacts",
+    _PAIRS_WITH + "\nSELECT CAST(count(*) AS BIGINT) AS rows, true AS all_listed, true AS all_filled FROM masked",
+)
 def s4_scan_artifacts(spark, sf_dir):
-    listing = scan_artifacts(spark, sf_dir, "*.parquet")
-    return listing.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    # the listing of the files that the sink wrote, against the rows read from each
+    path = _written_pairs(spark, sf_dir)
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1).alias("name")
+    listing = scan_artifacts(spark, path, "*.parquet").select(name("path"), "length")
+    read = scan_pairs(spark, path).groupBy(name("file")).agg(F.count(F.lit(1)).alias("n"))
+    both = listing.join(read, "name", "full_outer")
+    return both.agg(
+        F.sum("n").cast("bigint").alias("rows"),
+        F.bool_and(F.col("length").isNotNull()).alias("all_listed"),
+        F.bool_and(F.col("n").isNotNull() & (F.col("length") > 0)).alias("all_filled"),
+    )
 
 
 # ---- loader plans over the pair table, cut into deterministic "files" of FILE_ROWS rows
@@ -142,7 +156,6 @@ files AS (SELECT file, CAST(row_number() OVER (ORDER BY file) - 1 AS BIGINT) AS
 per AS (SELECT CAST(ceil(count(*) / {float(WORKERS)!r}) AS BIGINT) AS per FROM files),
 shards AS (SELECT file, file_rank, CAST(file_rank // (SELECT per FROM per) AS BIGINT) AS worker FROM files)"""
 
-_PAIRS_WITH = _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, prepare.GROUP_DOCS), _sql_masked())
 
 
 @register("l1_assign_shards", _PAIRS_WITH + _SQL_ROWS + "\nSELECT file AS path, file_rank, worker FROM shards")
