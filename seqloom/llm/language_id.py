@@ -26,6 +26,8 @@ MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 #: Distinct (language, n-gram) counts a task holds before it hands them on.
 HELD_COUNTS = 1_000_000
+#: Text handled at once; n-grams take some 100 bytes per character.
+SLICE_BYTES = 1 << 19
 BLANK = 1  # stands for what is between words; 0: no character
 
 
@@ -116,7 +118,7 @@ def learn_profiles(
                 )
             held.clear()
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             names = np.array(b.column("lang").to_pylist(), dtype=object)
             row, gram, n = gram_counts(b.column("text").to_pylist(), letters)
             of = names[row] if len(row) else names[:0]
@@ -205,7 +207,7 @@ def identify_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned, letters = Profiles(shared.value), letter_table()
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE_BYTES):
             pred, score = learned.classify([t or "" for t in b.column(at).to_pylist()], letters)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, *out]

@@ -18,7 +18,7 @@ import numpy as np
 from .text_batches import BYTE_NUMBERS, Powers, mix64
 
 #: Pieces that a worker remembers before it starts again (about 40 bytes each).
-MEMO_PIECES = 3_000_000
+MEMO_PIECES = 2_000_000
 Encoder = Callable[[list[str]], list[bytes]]
 
 
