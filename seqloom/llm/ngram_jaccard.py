@@ -14,7 +14,8 @@ whole sequence). Two sets link when ``100 * |A & B| >= 85 * |A | B|``.
 4. Answers from similar sets: the member with the smallest position leads a list.
    Every set is first compared with the leader that it meets most often. A set linked
    to a leader takes over the leader's answers: its component. Only pairs of members
-   of different components that pass the bounds are still open; they are compared too.
+   of different components that pass the bounds are still open; they are compared too,
+   unless the sets' signatures (parities of hashed shingles) already differ too much.
 5. Components of all links found are the result.
 
 No pair within a component is emitted, so groups of near copies cost one comparison
@@ -67,6 +68,26 @@ def _set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """512 bits: bit ``k`` is the parity of the number of shingles that hash to ``k``.
+
+    Every shingle in only one of two sets changes one bit of the difference, so the number of differing bits is
+    at most the number of these shingles: a bound that never rules out a link.
+    """
+    bits = np.bincount(((s >> np.uint64(40)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 8)
+
+
+def _close(sig1: np.ndarray, sig2: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets with these signatures and sizes link?"""
+    differ = np.bitwise_count(sig1 ^ sig2).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * differ <= (100 - percent) * (n1 + n2)
+
+
 def shingle_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
     """Hashed counts of all shingles (2^22 numbers of 16 bits, whatever the data): each task adds up its own table."""
     size = 1 << SKETCH_BITS
@@ -103,25 +124,29 @@ def shingle_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, counts, percent: int, width: int) -> DataFrame:
-    """Per document: row key, set id, set size and the first shingles of its set in the global order, packed."""
+    """Per document: row key, set id, set size, signature and the first shingles of its set in the global order, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, table = Powers(), counts.value
         for b in slices(batches, "text"):
-            ids, sizes, packed = [], [], []
+            ids, sizes, signs, packed = [], [], [], []
             for s in shingle_sets(texts_of(b.column("text")), powers, width):
                 # an order key holds the count in its upper 16 bits; it serves as the shingle's name in the index
                 key = (table[(s & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
                 n = len(s)
                 ids.append(_set_id(s))
                 sizes.append(n)
+                signs.append(_signature(s))
                 packed.append(np.sort(key)[: prefix_length(n, percent)].tobytes() if n else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "row", "set_id", "n", "prefix"],
+                [
+                    b.column("doc_id"), b.column("row"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array(signs, pa.binary()), pa.array(packed, pa.binary()),
+                ],
+                names=["doc_id", "row", "set_id", "n", "sig", "prefix"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, row long, set_id long, n long, prefix binary")
+    return rows.mapInArrow(run, "doc_id long, row long, set_id long, n long, sig binary, prefix binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -228,8 +253,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray],
         yield held, True
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of list members in different components that the bounds allow."""
+def _possible_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose signatures leave a link possible."""
+    both = pairs.join(reps.select(F.col("set_id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(
+        reps.select(F.col("set_id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = _close(
+                _signatures(b.column("sa")), _signatures(b.column("sb")), b.column("na").to_numpy(), b.column("nb").to_numpy(), percent
+            )
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of list members in different components that positions, sizes and signatures allow."""
     named = shared.select("token", "set_id", "n", "pos").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("label", F.coalesce("label", "set_id"))
     mixed = named.groupBy("token").agg(
@@ -237,16 +278,16 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     ).where("lo <> hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     # a list of several blocks is compared block by block; its members are repeated once per block
     dealt = (
-        named.join(mixed, "token")
+        named.join(mixed, "token").join(reps.select("set_id", "sig"), "set_id")
         .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "label", "n", "pos", "own")
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "label", "n", "pos", "own", "sig")
     )
     ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "pos", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _blocks(batches):
-            ids, label, n, pos, own = group
+            ids, label, n, pos, own, sig = group
             cross = own[0] != own[-1] or (own != own[0]).any()
             found_a, found_b = [], []
             for at in range(0, len(ids), 256):  # block-skipping: rows are in order of position
@@ -257,9 +298,10 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                 if cross:
                     ok &= own[k, None] != own[None, at:]
                 x, y = np.nonzero(ok)
-                later = y > x
-                found_a.append(ids[at + x[later]])
-                found_b.append(ids[at + y[later]])
+                x, y = at + x[y > x], at + y[y > x]
+                near = _close(sig[x], sig[y], n[x], n[y], percent)
+                found_a.append(ids[x[near]])
+                found_b.append(ids[y[near]])
             a, b = np.concatenate(found_a), np.concatenate(found_b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -268,12 +310,12 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Members (set_id, label, n, pos, own) of each (token, i, j); about two blocks at most."""
+    """Members (set_id, label, n, pos, own, sig) of each (token, i, j); about two blocks at most."""
     held: list[np.ndarray] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:-1]] + [_signatures(b.columns[-1])]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         change = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
@@ -393,12 +435,15 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, width: int
     meets = shared.where("near").groupBy("set_id", "leader").agg(F.count("*").alias("times"))
     stars = meets.groupBy("set_id").agg(F.max_by("leader", F.struct("times", "leader")).alias("b")).select(
         F.col("set_id").alias("a"), "b"
-    ).checkpoint()
-    reps = some.groupBy("set_id").agg(F.min("row").alias("row")).join(shared.select("set_id").distinct(), "set_id", "left_semi")
-    reps = reps.checkpoint()
-    first = _linked(stars, reps, rows, percent, width).checkpoint()
+    )
+    reps = (
+        some.groupBy("set_id").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .join(shared.select("set_id").distinct(), "set_id", "left_semi").checkpoint()
+    )
+    rows_of = reps.select("set_id", "row")
+    first = _linked(_possible_pairs(stars, reps, percent).checkpoint(), rows_of, rows, percent, width).checkpoint()
     labels = connected_components(first)
-    more = _linked(_open_pairs(shared, labels, percent).checkpoint(), reps, rows, percent, width).checkpoint()
+    more = _linked(_open_pairs(shared, labels, reps, percent).checkpoint(), rows_of, rows, percent, width).checkpoint()
     # sets of one component count as one from here on
     named = labels.select(F.col("node"), F.col("label"))
     lifted = (
