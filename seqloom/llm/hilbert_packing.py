@@ -25,6 +25,7 @@ from .worker_cache import kept
 
 SEQUENCE_TOKENS = 1024
 DIMENSIONS, BITS = 4, 10
+RANGES_PER_PARTITION = 3
 #: Coordinates are means of numbers from -1 to 1; beyond this bound they are clipped to the outermost cell.
 SPREAD = 0.5
 
@@ -141,7 +142,8 @@ def pack_documents(
     bounds need a first pass over the texts, for the vectors only. The tokenizer file is broadcast (fixed size).
     """
     spark = documents.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # long texts lie close together on the curve, so ranges of equal row numbers differ in bytes: cut finer
+    n = partitions or RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = documents.select(
