@@ -265,10 +265,11 @@ class _Open:
             for row in np.flatnonzero(hits.any(axis=1)):
                 j = int(active[row])
                 use = np.flatnonzero(hits[row])
+                use = use[ids[use] != self.ids[j]]  # before the cut to k: the own vector takes no place
                 if len(use) > 4 * self.k:
                     edge = np.partition(scores[row][use], len(use) - self.k)[len(use) - self.k]
                     use = use[scores[row][use] >= edge]
-                new = [(-int(scores[row][x]), int(ids[x])) for x in use if ids[x] != self.ids[j]]
+                new = [(-int(scores[row][x]), int(ids[x])) for x in use]
                 if new:
                     best = self.found[j] = sorted(self.found[j] + new)[: self.k]
                     if len(best) == self.k:

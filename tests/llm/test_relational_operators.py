@@ -231,6 +231,16 @@ def test_top_k_edge_cases(spark):
     assert top_k(empty, empty.rows).count() == 0
 
 
+def test_top_k_keeps_the_last_neighbour_in_the_own_ring(spark):
+    rng = np.random.default_rng(11)
+    m = 5 * rng.normal(size=(3, 16))[rng.integers(0, 3, 600)] + rng.normal(size=(600, 16))
+    vectors = {i: [float(x) for x in v] for i, v in enumerate(m)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    index = build_index(integer_vectors(df), pivots=1, rings=1)
+    got = top_k(index, index.rows.where("vec_id % 20 = 0"), 10)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_top(vectors, range(0, 600, 20), 10)
+
+
 # ---- pipeline
 
 
