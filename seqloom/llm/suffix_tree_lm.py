@@ -1,15 +1,21 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are the most frequent words of the learning texts, one symbol for any
-other word, and the end of a text. A context is the sequence of the last
-symbols, up to two. A context becomes a node of the tree if it is frequent
-enough (a share of all tokens) and passes a divergence test: its distribution
-of next symbols must differ from that of the context without its oldest symbol
-by more than a penalty for its parameters, ``sum n ln(P/P_parent) > distinct/2 * ln N``.
-The distribution of a node is smoothed towards its parent's (weight: its number
-of distinct next symbols), the root's by adding one. A token is scored at the longest
-context that is a node. A word without a symbol of its own gets the
-probability of the symbol for other words times its own smoothed share among these.
+A context is the sequence of the last words, up to ``DEPTH``; any word and the start of a text
+may stand in it. A context becomes a node of the tree if it occurs ``MIN_COUNT`` times (an
+absolute number, so the tree grows with the texts) and passes a divergence test: its distribution
+of next words must differ from that of the context without its oldest word
+by more than a penalty for its parameters, ``sum n ln(P/P_parent) > distinct/2 * ln N``; a
+node's parent is a node. The distribution of a node is smoothed towards its parent's (weight: its
+number of distinct next words), the root's by adding one. A token is scored at the longest
+context that is a node. Where not even the last word is a node, a small tree over classes scores:
+symbols are the ``SYMBOLS`` most frequent words, one symbol for any other word, and the end of
+a text, and its contexts are up to two symbols with a share of all tokens. A word without a symbol
+of its own gets there the probability of the symbol for other words times its own smoothed share.
+
+Nodes stay in a table of additive terms. With ``P = (n + D P_parent) / (N + D)`` the log probability at the
+longest node is the unigram's, plus ``log(D / (N + D))`` of every node passed on the way, plus
+a term of every (node, next word) seen in the texts. So a text's score is a sum over keys, and keys
+that are no term add nothing. The ``HOT`` most frequent terms are broadcast (fixed size), all others are joined.
 
 Word counts are complete: each word of the learning texts is counted. The counts of
 the ``FREQUENT`` most frequent words are broadcast (fixed size); all other words are
@@ -27,14 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
 from .text_batches import HeldCounts, Powers, Words, mix64, slices, texts_of
 
 SYMBOLS = 254
 OTHER, END = 254, 255
 FREQUENT = 1 << 18
-#: Smallest share of all tokens that a context must have; so the tree has at most 2 / MIN_SHARE + 1 nodes.
+#: Smallest share of all tokens that a context of symbols must have; so the tree over symbols has at most 2 / MIN_SHARE + 1 nodes.
 MIN_SHARE = 2e-4
+#: Longest context in words, and how often a context of words must occur.
+DEPTH, MIN_COUNT = 3, 1024
+#: Terms of the word tree that are broadcast.
+HOT = 1 << 22
+#: Bits of the fixed-size tables that rule out keys before they are counted or joined.
+FILTER_BITS = 26
+#: Stands before and after every text in the sequence of word hashes.
+EDGE = 0x5851F42D4C957F2D
+
+
+def pair_key(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Key of a window of words from the keys of the windows without its newest and without its oldest word."""
+    return mix64(older * np.uint64(0xD1342543DE82EF95) + newer)
 #: Factor of the penalty in the divergence test.
 PENALTY = 1.0
 
@@ -119,13 +138,164 @@ def context_counts(documents: DataFrame, frequent: dict, text: str = "text") ->
     return rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class KeyFilter:
+    """Bit table of fixed size over 64-bit keys: never false for a key it holds."""
+
+    def __init__(self, keys: DataFrame):
+        at = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+        found = (
+            keys.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS INT)))").alias("set")).toArrow()  # at most 2^21 rows
+        )
+        self.words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        self.words[found.column("w").to_numpy()] = found.column("set").to_numpy().astype(np.uint32)
+        self.empty = not found.num_rows
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64((1 << FILTER_BITS) - 1)
+        return (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+class _Contexts:
+    """Keys of the contexts before every token (the words of every text, then its end)."""
+
+    def __init__(self, w: Words, n_texts: int, depth: int):
+        total = len(w.hashes) + n_texts * (depth + 1)
+        self.seq = np.full(total, EDGE, np.uint64)
+        self.seq[np.arange(len(w.hashes)) + w.rows * (depth + 1) + depth] = w.hashes
+        tokens = np.repeat(np.arange(n_texts), w.counts + 1)
+        self.at = np.arange(len(tokens)) + (tokens + 1) * depth
+        self.keys = [self.seq]
+
+    def windows(self, width: int, back: int, use: np.ndarray) -> np.ndarray:
+        """Key of the ``width`` words from ``back`` words before the tokens ``use``."""
+        while len(self.keys) < width:
+            self.keys.append(pair_key(self.keys[-1][:-1], self.keys[-1][1:]))
+        return self.keys[width - 1][self.at[use] - back]
+
+
+def _with_key(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their key ``e``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = pair_key(*(b.column(c).to_numpy().view(np.uint64) for c in ("s", "pe")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(e.view(np.int64))], names=[*b.schema.names, "e"])
+
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("e", T.LongType())]))
+
+
+def pair_counts(documents: DataFrame, level: int, depth: int, allowed: KeyFilter, text: str = "text") -> DataFrame:
+    """``s, pe, n``: occurrences of every (context of ``level`` words, next word), for contexts that ``allowed`` lets through.
+
+    ``s`` is the key of the context, ``pe`` of the pair without the oldest word (for one word: the next word's hash).
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(allowed)
+
+    def batch(_: np.ndarray, s: np.ndarray, pe: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s, pe, n)], names=["s", "pe", "n"])
+
+    def merged(parts: list[tuple]) -> tuple:
+        e, s, pe, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(e)
+        e = e[order]
+        first = np.flatnonzero(np.append(True, e[1:] != e[:-1])[: len(e)])
+        return e[first], s[order][first], pe[order][first], np.add.reduceat(n[order], first) if len(first) else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, allowed, parts, held = Powers(), shared.value, [], 0
+        for b in slices(batches, text):
+            texts = [t.lower() for t in texts_of(b.column(text))]
+            c = _Contexts(Words(texts, powers), len(texts), depth)
+            every = np.arange(len(c.at))
+            s = c.windows(level, level, every)
+            use = np.flatnonzero(allowed.has(s))
+            pe = c.windows(level, level - 1, use)
+            parts.append(merged([(c.windows(level + 1, level, use), s[use], pe, np.ones(len(use), np.int64))]))
+            held += len(parts[-1][0])
+            if held > 2_500_000:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > 1_500_000:
+                    yield batch(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch(*merged(parts))
+
+    rows = documents.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "s long, pe long, n long")
+    return rows.groupBy("s", "pe").agg(F.sum("n").alias("n"))
+
+
+def word_tree(
+    documents: DataFrame, counts: DataFrame, n_texts: int, norm: float, text: str, depth: int, min_count: int, penalty: float
+) -> DataFrame | None:
+    """Terms ``h, n, v`` of the nodes over words (key, occurrences, log10 value); None without any context.
+
+    A context occurs at most as often as the pair that it is made of, so the pairs counted at one level say
+    which contexts the next level can have. Counts of contexts, tests and smoothing are Spark aggregates and joins.
+    """
+    spark = documents.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "tree")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    edge = spark.createDataFrame([(EDGE, n_texts)], "h long, n long")
+    words = counts.select("h", "n").unionByName(edge)
+    often = words.where(F.col("n") >= min_count).select("h")
+    parent = words.select(F.col("h").alias("pe"), ((F.col("n") + 1) / F.lit(norm)).alias("q"), F.lit(None).cast("long").alias("ps"))
+    levels = []
+    for level in range(1, depth + 1):
+        allowed = KeyFilter(often)
+        if allowed.empty:
+            break
+        pairs = kept(pair_counts(documents, level, depth, allowed, text))
+        size = kept(pairs.groupBy("s").agg(F.sum("n").alias("whole"), F.count("*").alias("d")).where(F.col("whole") >= min_count))
+        stored = kept(pairs.join(size.select("s"), "s", "left_semi").join(parent, "pe").select("s", "pe", "ps", "n", "q"))
+        p = (F.col("n") + F.col("d") * F.col("q")) / (F.col("whole") + F.col("d"))
+        full = stored.join(size, "s").withColumn("p", p)
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("q")))
+        tests = full.groupBy("s").agg(
+            F.first("ps").alias("ps"), F.first("whole").alias("whole"), F.first("d").alias("d"), gain.alias("gain")
+        )
+        passed = F.col("gain") > F.lit(penalty / 2) * F.col("d") * F.log(F.col("whole").cast("double"))
+        levels.append((full, tests.withColumn("passed", passed).checkpoint()))
+        often = _with_key(stored.where(F.col("n") >= min_count).select("s", "pe")).select(F.col("e").alias("h"))
+        parent = _with_key(full.select("s", "pe", "p")).select(F.col("e").alias("pe"), F.col("p").alias("q"), F.col("s").alias("ps"))
+    terms, below = None, None
+    for full, tests in reversed(levels):
+        nodes = tests.where("passed") if below is None else tests.join(
+            below.select(F.col("ps").alias("s"), F.lit(True).alias("child")).distinct(), "s", "left"
+        ).where("passed OR child")
+        weight = F.log10(F.col("d") / (F.col("whole") + F.col("d")))
+        own = nodes.select(F.bitwise_not("s").alias("h"), F.col("whole").alias("n"), weight.alias("v"))
+        value = (F.log10("p") - F.log10("q") - weight).alias("v")
+        seen = _with_key(full.join(nodes.select("s"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v")
+        terms = own.unionByName(seen) if terms is None else terms.unionByName(own).unionByName(seen)
+        below = nodes
+    return None if terms is None else kept(terms)
+
+
 def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
     weight = np.maximum((counts > 0).sum(axis=-1, keepdims=True), 1)
     return (counts + weight * parent) / (counts.sum(axis=-1, keepdims=True) + weight)
 
 
 def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, by count and then hash; at most ``limit``.
+    """Hashes and counts of the most frequent words, by count and then hash; at most ``limit``."""
+    found = _top_classes(counts, limit)
+    if found is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = found.toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    n = found.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order], n[order]
+
+
+def _top_classes(counts: DataFrame, limit: int) -> DataFrame | None:
+    """The rows of the highest classes of counts, at most ``limit``; None if not one class fits.
 
     A histogram of the counts (at most some 8,000 classes) gives the smallest class of counts that still fits as
     a whole, so no task and no partition hands more than the words chosen to the driver.
@@ -141,30 +311,26 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
         if total > limit:
             break
         least = r["level"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = counts.where(level >= least).toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
-    n = found.column("n").to_numpy().astype(np.int64)
-    order = np.lexsort((h, -n))
-    return h[order], n[order]
+    return None if least is None else counts.where(level >= least)
 
 
 class SuffixTree:
-    """Learned model: ``counts`` (table of all words), and as plain arrays in ``state`` all else."""
+    """Learned model: ``counts`` (table of all words), ``terms`` (table of the word tree, or None), and as plain arrays in ``state`` all else."""
 
-    def __init__(self, counts: DataFrame, state: dict):
-        self.counts, self.state = counts, state
+    def __init__(self, counts: DataFrame, terms: DataFrame | None, state: dict):
+        self.counts, self.terms, self.state = counts, terms, state
 
 
 def learn(
-    documents: DataFrame, text: str = "text", min_share: float = MIN_SHARE, penalty: float = PENALTY, frequent: int = FREQUENT
+    documents: DataFrame, text: str = "text", min_share: float = MIN_SHARE, penalty: float = PENALTY, frequent: int = FREQUENT,
+    depth: int = DEPTH, min_count: int = MIN_COUNT, hot: int = HOT,
 ) -> SuffixTree:
     """Learn from every row of ``documents`` (null text: empty, an end only).
 
-    Two passes over the texts, for words and for contexts; each shuffles sums per key. The driver receives the
-    ``frequent`` most frequent words, at most 2^16 counts of one-symbol contexts and at most ``1 / min_share``
-    two-symbol contexts of up to 256 counts each; none of these grows with the data.
+    Passes over the texts for words, for contexts of symbols and for each length of a context of words; each shuffles
+    sums per key. The driver receives the ``frequent`` most frequent words, at most 2^16 counts of one-symbol contexts, at
+    most ``1 / min_share`` two-symbol contexts of up to 256 counts each and the ``hot`` most frequent terms of the word
+    tree; none of these grows with the data. The word tree itself does, and stays in a table.
     """
     spark = documents.sparkSession
     checkpoint_dir(spark)
@@ -221,8 +387,66 @@ def learn(
     for k in np.flatnonzero(keep2):
         node[pairs[k]["b"] << 8 | pairs[k]["a"]] = len(table)
         table.append(_smoothed(two[k], first[last[k]]))
-    state |= {"node": node, "log": np.log10(np.stack(table))}
-    return SuffixTree(counts, state)
+    state |= {"node": node, "log": np.log10(np.stack(table)), "depth": depth}
+    norm = float(state["total"] + state["distinct"] + 1)
+    terms = word_tree(documents, counts, n_texts, norm, text, depth, min_count, penalty)
+    state |= _hot_terms(terms, hot)
+    return SuffixTree(counts, terms, state)
+
+
+def _hot_terms(terms: DataFrame | None, limit: int) -> dict:
+    """The most frequent terms as arrays; whether there are others, and a filter of the keys of these."""
+    top = None if terms is None else _top_classes(terms, limit)
+    none = {"hot": np.zeros(0, np.uint64), "value": np.zeros(0)}
+    if top is not None:
+        found = top.select("h", "v").toArrow()
+        h, order = (x := found.column("h").to_numpy().view(np.uint64)), np.argsort(x)
+        none = {"hot": h[order], "value": found.column("v").to_numpy()[order]}
+    rest = terms is not None and terms.count() > len(none["hot"])
+    return none | {"cold": KeyFilter(terms.select("h")) if rest else None}
+
+
+def _tree_terms(
+    c: _Contexts, of: np.ndarray, by_class: np.ndarray, hot: WordIndex, s: dict
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token the sum of the broadcast terms (``by_class`` without a node); and (text, key, value if no term) to be joined."""
+    more = np.zeros(len(of))
+    rows, keys, alts = [], [], []
+
+    def later(use: np.ndarray, key: np.ndarray, alt: np.ndarray) -> None:
+        rows.append(of[use])
+        keys.append(key)
+        alts.append(alt)
+
+    use = np.arange(len(of))
+    for level in range(1, s["depth"] + 1):
+        node = ~c.windows(level, level, use)
+        at = hot.find(node)
+        here = at >= 0
+        more[use[here]] += s["value"][at[here]]
+        perhaps = ~here & s["cold"].has(node) if s["cold"] is not None else np.zeros(len(use), bool)
+        later(use[perhaps], node[perhaps], by_class[use[perhaps]] if level == 1 else np.zeros(int(perhaps.sum())))
+        if level == 1:
+            none = use[~here & ~perhaps]
+            more[none] += by_class[none]
+        use = use[here | perhaps]
+        pair = c.windows(level + 1, level, use)
+        at = hot.find(pair)
+        here = at >= 0
+        more[use[here]] += s["value"][at[here]]
+        if s["cold"] is not None:
+            there = ~here & s["cold"].has(pair)
+            later(use[there], pair[there], np.zeros(int(there.sum())))
+    return more, *(np.concatenate(x) for x in (rows, keys, alts))
+
+
+def _sums(row: np.ndarray, key: np.ndarray, alt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (row, key) once: row, key, how often, and the sum of ``alt``."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)])
+    m = np.diff(np.append(first, len(row))).astype(np.int64)
+    return row[first], key[first], m, np.add.reduceat(alt[order], first) if len(first) else alt
 
 
 HEAD = T.StructType().add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double")
@@ -243,12 +467,12 @@ def score_texts(
     shared = documents.sparkSession.sparkContext.broadcast(model.state)
     given = [f for f in rows.schema.fields if f.name in keys]
     head = T.StructType([*given, *HEAD.fields])
-    schema = T.StructType().add("row", "long").add("h", "long").add("m", "long").add("head", head)
+    schema = T.StructType().add("row", "long").add("h", "long").add("m", "long").add("alt", "double").add("head", head)
     key_names = [f.name for f in given]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        powers, index = Powers(), WordIndex(s["hash"])
+        powers, index, hot = Powers(), WordIndex(s["hash"]), WordIndex(s["hot"])
         base_norm = np.log10(s["total"] + s["distinct"] + 1)
         other_norm = np.log10(s["other_total"] + s["other_distinct"] + 1)
         log_n = np.log10(s["n"] + 1.0)
@@ -258,11 +482,17 @@ def score_texts(
             n = len(texts)
             w = Words(texts, powers)
             of, x, last, older, found = _symbols(w, index, s["symbol"], n)
-            score = np.bincount(of, weights=s["log"][s["node"][older << 8 | last], x], minlength=n)
             hit = found >= 0
             base = end_base + np.bincount(w.rows[hit], weights=log_n[found[hit]] - base_norm, minlength=n)
-            plain = hit & (s["symbol"][found] == OTHER)
-            score += np.bincount(w.rows[plain], weights=log_n[found[plain]] - other_norm, minlength=n)
+            # what the tree over symbols adds to the unigram, where no word context is a node
+            by_class = s["log"][s["node"][older << 8 | last], x]
+            words_at = np.arange(len(w.hashes)) + w.rows
+            own_symbol = s["symbol"][found] != OTHER
+            by_class[words_at[own_symbol]] -= log_n[found[own_symbol]] - base_norm
+            by_class[words_at[~own_symbol]] -= other_norm - base_norm
+            by_class[x == END] -= end_base
+            more, tree_row, tree_h, alt = _tree_terms(_Contexts(w, n, s["depth"]), of, by_class, hot, s)
+            score = base + np.bincount(of, weights=more, minlength=n)
             known = np.bincount(w.rows[hit], minlength=n) + (1 if s["texts"] else 0)
             # one row per rare word of a text; a text's first row carries what is known so far
             rare_row, rare_h = w.rows[~hit], w.hashes[~hit]
@@ -279,8 +509,14 @@ def score_texts(
             own = b.column("__id").to_numpy(zero_copy_only=False).view(np.uint64)
             own = mix64(own ^ np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, n))
             hashes = np.concatenate([rare_h, mix64(own[none])])  # without rare words: a key of its own, times 0
-            lead = np.ones(len(row), bool)
+            tree_row, tree_h, tree_m, alt = _sums(tree_row, tree_h, alt)
+            lead = np.ones(len(row) + len(tree_row), bool)
             lead[1 : len(rare_row)] = rare_row[1:] != rare_row[:-1]
+            lead[len(row) :] = False
+            no_alt = np.arange(len(lead)) < len(row)
+            alt = np.concatenate([np.zeros(len(row)), alt])
+            row, hashes = np.concatenate([row, tree_row]), np.concatenate([hashes, tree_h])
+            times = np.concatenate([times, tree_m])
             take = pa.array(np.where(lead, row, 0), mask=~lead)
             parts = [b.column(k).take(take) for k in key_names]
             parts += [
@@ -290,20 +526,24 @@ def score_texts(
             names = [*key_names, "n_tokens", "known", "base", "score"]
             heads = pa.StructArray.from_arrays(parts, names=names, mask=pa.array(~lead))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[row].view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(times), heads],
-                names=["row", "h", "m", "head"],
+                [pa.array(own[row].view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(times), pa.array(alt, mask=no_alt), heads],
+                names=["row", "h", "m", "alt", "head"],
             )
 
     # equal keys and text mean repeated rows: they are summed together and divided by their number
     tokens = rows.mapInArrow(run, schema)
     s = model.state
-    norm, other = float(np.log10(s["total"] + s["distinct"] + 1)), float(np.log10(s["other_total"] + s["other_distinct"] + 1))
-    joined = tokens.join(model.counts.withColumnRenamed("n", "c"), "h", "left")
+    norm = float(np.log10(s["total"] + s["distinct"] + 1))
+    known = model.counts.select("h", F.col("n").alias("c"), F.lit(None).cast("double").alias("v"))
+    if s["cold"] is not None:  # keys of words and of terms are 64-bit hashes of different things
+        known = known.unionByName(model.terms.select("h", F.lit(None).cast("long").alias("c"), "v"))
+    joined = tokens.join(known, "h", "left")
+    word = F.col("alt").isNull()
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     per_text = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"),
-        F.sum(F.col("m") * (log_c - F.lit(norm))).alias("base"),
-        F.sum(F.col("m") * (log_c - F.lit(other))).alias("score"),
+        F.sum(F.when(word & F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"),
+        F.sum(F.when(word, F.col("m") * (log_c - F.lit(norm))).otherwise(0.0)).alias("base"),
+        F.sum(F.when(word, F.col("m") * (log_c - F.lit(norm))).otherwise(F.coalesce(F.col("m") * F.col("v"), "alt"))).alias("score"),
         F.count("head").alias("copies"),
         F.first("head", ignorenulls=True).alias("one"),
     )

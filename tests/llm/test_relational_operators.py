@@ -184,6 +184,65 @@ def test_tree_is_a_distribution_and_beats_unigrams(spark):
     assert (held.score > held.base_score).all()
 
 
+def brute_tree(train, texts, depth, least):
+    """Score of every text by a tree over words, as the module's docstring states it; and the nodes."""
+    seqs = lambda t: [None] * depth + (t or "").lower().split() + [None]
+    uni, after = collections.Counter(), collections.defaultdict(collections.Counter)
+    for q in map(seqs, train):
+        for i in range(depth, len(q)):
+            uni[q[i]] += 1
+            for k in range(1, depth + 1):
+                after[tuple(q[i - k : i])][q[i]] += 1
+    norm = sum(uni.values()) + len(uni) + 1
+
+    def p(s, x):
+        if not s:
+            return (uni[x] + 1) / norm
+        c, whole = after[s], sum(after[s].values())
+        return (c[x] + len(c) * p(s[1:], x)) / (whole + len(c))
+
+    nodes = set()
+    for s, c in list(after.items()):
+        whole = sum(c.values())
+        starts = len(s) > 1 and s[:2] == (None, None)  # the text's start stands once in a context
+        if whole >= least and not starts:
+            gain = sum(n * math.log(n / whole / p(s[1:], x)) for x, n in c.items())
+            if gain > len(c) / 2 * math.log(whole):
+                nodes |= {s[k:] for k in range(len(s))}
+    out = {}
+    for i, t in texts:
+        q = seqs(t)
+        out[i] = 0.0
+        for j in range(depth, len(q)):
+            s = next((tuple(q[j - k : j]) for k in range(depth, 0, -1) if tuple(q[j - k : j]) in nodes), None)
+            out[i] += math.log10(p(s, q[j])) if s else math.nan  # no node: left to the tree over symbols
+    return out, nodes
+
+
+@pytest.mark.parametrize("hot", [1 << 22, 400, 3])
+def test_contexts_of_any_words_grow_with_the_texts(spark, hot):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]  # beyond the 254 symbols
+    follow = {}
+    texts = []
+    for k in range(500):
+        w = [rng.choice(words[300:303]), rng.choice(words[:20])]
+        while len(w) < 60:  # the next word depends on three words before
+            w.append(rng.choice(follow.setdefault(tuple(w[-3:]) if w[-1] in words[:20] else w[-1], [rng.choice(words) for _ in range(2)] + words[:3])))
+        texts.append((k, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = learn(df.where("doc_id < 480"), min_count=1, hot=hot)
+    want, nodes = brute_tree([t for i, t in texts if i < 480], texts, 3, 1)
+    single = {s[0] for s in nodes if len(s) == 1}
+    assert len(single) > 255 and any(len(s) == 3 for s in nodes)
+    assert model.terms.where("n > 0").count() > len(nodes)
+    got = {r.doc_id: r.score for r in score_texts(df, model).collect()}
+    sure = [i for i, t in texts if set(t.split()) <= single]
+    assert len(got) == len(texts) and len(sure) > 10
+    for i in sure:
+        assert got[i] == pytest.approx(want[i], rel=1e-9)
+
+
 def test_suffix_tree_without_training(spark, edge_docs, no_docs):
     model = learn(no_docs)
     got = score_texts(edge_docs, model).collect()
