@@ -24,6 +24,7 @@ joined with the table of counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,7 +296,7 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _top_classes(counts: DataFrame, limit: int) -> DataFrame | None:
-    """The rows of the highest classes of counts, at most ``limit``; None if not one class fits.
+    """The rows of the highest classes of counts, at most ``limit``; None if there are no rows.
 
     A histogram of the counts (at most some 8,000 classes) gives the smallest class of counts that still fits as
     a whole, so no task and no partition hands more than the words chosen to the driver.
@@ -311,7 +312,20 @@ def _top_classes(counts: DataFrame, limit: int) -> DataFrame | None:
         if total > limit:
             break
         least = r["level"]
-    return None if least is None else counts.where(level >= least)
+    if not levels or limit < 1:
+        return None
+    if least is not None:
+        return counts.where(level >= least)
+    # the highest class alone is too large: a part of it by a hash, as many of its buckets as fit
+    bits = math.ceil(math.log2(16 * levels[0]["words"] / limit))
+    top = counts.where(level == levels[0]["level"]).withColumn("__at", F.shiftrightunsigned(F.xxhash64("h"), 64 - bits))
+    total, upto = 0, 0
+    for r in sorted(top.groupBy("__at").agg(F.count("*").alias("words")).collect()):
+        total += r["words"]
+        if total > limit:
+            break
+        upto = r["__at"] + 1
+    return top.where(F.col("__at") < upto).drop("__at")
 
 
 class SuffixTree:

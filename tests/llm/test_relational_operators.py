@@ -347,3 +347,13 @@ def test_most_frequent_words_fit_the_limit(spark):
     h, n = most_frequent(counts, 40)
     assert len(h) == 10 + 12 + 13 and (np.diff(n) <= 0).all() and n.min() == 6 and h[0] == 99  # all of a count or none
     assert len(most_frequent(counts, 5)[0]) == 5 and len(most_frequent(counts.limit(0), 5)[0]) == 0
+
+
+def test_most_frequent_words_of_one_large_class(spark):
+    from seqloom.llm.suffix_tree_lm import most_frequent
+
+    counts = spark.createDataFrame([(k, 1) for k in range(3000)], "h long, n long")
+    h, n = most_frequent(counts, 1000)
+    assert 800 <= len(h) <= 1000 and len(set(h.tolist())) == len(h) and (n == 1).all()
+    again, _ = most_frequent(counts.repartition(5), 1000)
+    assert (h == again).all()
