@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
+from .conversation_repair import repair_conversations, repair_digests
 from .hilbert_packing import pack_documents
 from .language_id import identify_languages, learn_profiles
 from .ngram_jaccard import jaccard_components
@@ -259,3 +260,98 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM m LEFT JOIN n
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: crc32 of a short ASCII text, by its bits.
+_CRC = """xor(list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i]))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _op11_sql() -> str:
+    """Cheapest edits from the last row to the first: ``f0``..``f3`` hold cost, audit and repaired text of each state's rest."""
+    follow = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    made, after = ("user", "user", "assistant", "user"), (2, 2, 3, 2)
+
+    def struct(cost: str, audit: str, text: str) -> str:
+        return f"struct_pack(c := CAST({cost} AS BIGINT), a := {audit}, t := {text})"
+
+    own, best = [], []
+    for s in range(4):
+        keep = [
+            f"CASE WHEN fault IN (0, 3) AND role[1] = '{i}' THEN "
+            + struct(f"x + w.f{n}.c", f"'K' || w.f{n}.a", f"chr(10) || role || ':' || text || w.f{n}.t") + " END"
+            for i, n in follow[s].items()
+        ]
+        n = after[s]
+        rerole = "CASE WHEN fault IN (0, 3) THEN " + struct(
+            f"2 + x + w.f{n}.c", f"'R' || w.f{n}.a", f"chr(10) || '{made[s]}:' || text || w.f{n}.t") + " END"
+        delete = struct(f"3 + w.f{s}.c", f"'D' || w.f{s}.a", f"w.f{s}.t")
+        own.append(f"list_sort(list_filter([{', '.join([delete, rerole, *keep])}], lambda z: z IS NOT NULL))[1] AS o{s}")
+        insert = struct(f"2 + o{n}.c", f"'I' || o{n}.a", f"chr(10) || '{made[s]}:' || o{n}.t")
+        best.append(f"list_sort([o{s}, {insert}])[1]")
+    nothing, one = struct("0", "''", "''"), struct("2", "'I'", "chr(10) || 'assistant:'")
+    two = struct("4", "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), h AS (SELECT *, {_CRC.format("key")} % 20 AS hit FROM d),
+r AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM h)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_replace(text, '[ 	-]+$', '') AS body FROM r
+), c AS (
+  SELECT *, CASE WHEN body = '' THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                 WHEN body[-1] IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM n
+), e AS (SELECT *, CASE fault WHEN 3 THEN 1 ELSE 0 END AS x FROM c),
+m AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id
+), w AS (
+  SELECT conv_id, rows AS i, {nothing} AS f0, {two} AS f1, {one} AS f2, {nothing} AS f3 FROM m
+  UNION ALL
+  SELECT conv_id, i - 1, {', '.join(best)}
+  FROM (SELECT w.conv_id, w.i, {', '.join(own)} FROM w JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i)
+), f AS (SELECT conv_id, f0 FROM w WHERE i = 0)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(f0.c, 0) AS cost,
+       coalesce(f0.a, '') AS audit, sha256(coalesce(substr(f0.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS k
+LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """The contract's damage: by crc32 of ``conv_id:turn`` modulo 20, rows are dropped, emptied, stripped of ends, repeated or made the user's."""
+    null = F.lit(" ")
+    parts = [F.coalesce(F.col(c).cast("string"), null) for c in ("conv_id", "turn")]
+    hit = F.crc32(F.concat(parts[0], F.lit(":"), parts[1]).cast("binary")) % 20
+    text, role = F.coalesce("text", null), F.coalesce("role", null)
+    times = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return conversations.select(
+        "conv_id", "turn", F.when(hit == 4, "user").otherwise(role).alias("role"),
+        F.when(hit == 1, "").when(hit == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), times)).alias("copy"),
+    ).drop("copy")
+
+
+@register(_op11_sql())
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = repair_digests(repair_conversations(damaged_conversations(rows)))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(repaired, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
