@@ -19,6 +19,7 @@ from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
 )
 from .suffix_tree_lm import learn, score_texts
+from .toxicity import learn_toxicity, score_toxicity
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,7 +304,8 @@ r AS (
   FROM (SELECT *, unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM h)
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-         regexp_replace(text, '[ 	-]+$', '') AS body FROM r
+         regexp_replace(text, '[ 	-
+]+$', '') AS body FROM r
 ), c AS (
   SELECT *, CASE WHEN body = '' THEN 1
                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
@@ -355,3 +357,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+@register()
+def op13_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of two thirds of the documents teach."""
+    docs = table(spark, sf_dir, "documents")
+    state = learn_toxicity(docs, table(spark, sf_dir, "labels").where(crc_remainder(3) != 1))
+    rows = docs.select("doc_id", "text", (crc_remainder(3) == 1).alias("held_out"))
+    scored = score_toxicity(rows, state)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
