@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .text_batches import BYTE_NUMBERS, Powers, Words, mix64, slices, texts_of
 
 #: Bounds of the sample: distinct texts of a class, bytes of one text, bytes of all texts of a class.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 4000, 8 << 10, 6 << 20
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 4000, 8 << 10, 5 << 20
 #: Labels ranked per row that is wanted: a bound on the hash of doc_id leaves about so many times SAMPLE_ROWS.
 SPARE = 4
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 18, 8, (3, 4)
@@ -215,11 +215,11 @@ class ToxicityModel:
         return _sigmoid(p.highest(p.logits(p.word_values(self.state["values"]))) + self.state["bias"])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, str]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Up to ``rows`` distinct (toxic, text) per class, in the order of a hash of doc_id.
 
     Rows with a null doc_id, label or text, and texts above SAMPLE_TEXT_BYTES, teach nothing; a doc_id with both labels
-    counts as toxic. Only the classes' counts and the sample reach the driver.
+    counts as toxic. Only the classes' counts reach the driver.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = documents.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", F.xxhash64("doc_id").alias("order"))
@@ -229,29 +229,44 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
         below = below | ((F.col("toxic") == r["toxic"]) & (F.col("order") <= F.lit(min(bound, 2**63 - 1))))
     ranked = Window.partitionBy("toxic").orderBy("order", "doc_id")
     chosen = short.join(marked, "doc_id").where(below).withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= rows)
-    found = (
+    return (
         documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic").distinct()), "doc_id")  # at most 2 x rows
         .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-        .select("toxic", "text").distinct().limit(2 * rows).collect()
+        .select("toxic", "text").distinct()
     )
-    return sorted((int(r["toxic"]), r["text"]) for r in found)
 
 
-def learn_toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Train on a sample of the labelled rows. Without texts of both classes, every score is the share of toxic labels (one half without any)."""
-    sample = labelled_sample(documents, labels, rows)
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state, as one row, from all rows of a sample."""
+    sample = sorted({x for b in batches for x in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True)})
+    share = sum(k for k, _ in sample) / len(sample) if sample else 0.5
     texts = normalised(pa.array([t for _, t in sample], pa.string()))
     taken, used = [], {0: 0, 1: 0}
     for (k, _), t in zip(sample, texts, strict=True):
         used[k] += len(t)
         if t.strip() and used[k] <= SAMPLE_BYTES:
             taken.append((k, t))
-    share = sum(k for k, _ in sample) / len(sample) if sample else 0.5
-    if len({k for k, _ in taken}) < 2:
-        return {"values": None, "bias": 0.0, "prior": share}
-    model = train(taken)
-    contrast = model["softmax"][:, 1] - model["softmax"][:, 0]
-    return {"values": (model["table"] @ contrast).astype(np.float32), "bias": model["bias"], "prior": share}
+    values, bias = None, 0.0
+    if len({k for k, _ in taken}) == 2:
+        model = train(taken)
+        contrast = model["softmax"][:, 1] - model["softmax"][:, 0]
+        values, bias = (model["table"] @ contrast).astype("<f4").tobytes(), model["bias"]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([values], pa.binary()), pa.array([bias]), pa.array([float(share)])], names=["values", "bias", "prior"]
+    )
+
+
+def learn_toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
+    """Train on a sample of the labelled rows, in one task; the state that reaches the driver has a fixed size.
+
+    Without texts of both classes, every score is the share of toxic labels (one half without any).
+    """
+    sample = labelled_sample(documents, labels, rows)
+    found = sample.repartition(1).mapInArrow(_fit, "values binary, bias double, prior double").collect()
+    if not found:
+        return {"values": None, "bias": 0.0, "prior": 0.5}
+    values = found[0]["values"]
+    return {"values": None if values is None else np.frombuffer(values, "<f4"), "bias": found[0]["bias"], "prior": found[0]["prior"]}
 
 
 def score_toxicity(documents: DataFrame, state: dict, text: str = "text") -> DataFrame:

@@ -114,5 +114,5 @@ def test_edge_cases(spark, edge_docs, no_docs):
 def test_sample_is_bounded(spark):
     rows = [(k, f"word{k} text", k % 2) for k in range(500)] + [(1000, "x" * (X.SAMPLE_TEXT_BYTES + 1), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    sample = X.labelled_sample(df, df.select("doc_id", "toxic"), rows=40)
-    assert sorted(k for k, _ in sample) == [0] * 40 + [1] * 40
+    sample = X.labelled_sample(df, df.select("doc_id", "toxic"), rows=40).collect()
+    assert sorted(r.toxic for r in sample) == [0] * 40 + [1] * 40
