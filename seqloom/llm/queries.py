@@ -15,6 +15,7 @@ from .language_id import identify_languages, learn_profiles
 from .ngram_jaccard import jaccard_components
 from .pivot_search import build_index, integer_vectors, top_k
 from .quality_compression import learn_quality, score_quality
+from .ranked_search import ranked_search
 from .repetition_rules import (
     BASE_MIN_WORDS, BASE_REPEAT_PERCENT, DUP_LINE_SHARE, DUP_NGRAM_SHARE, SYMBOLS_PER_WORD, repetition_rules,
 )
@@ -367,3 +368,34 @@ def op13_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", (crc_remainder(3) == 1).alias("held_out"))
     scored = score_toxicity(rows, state)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@register(
+    rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t FROM benchmark
+), q AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY item_id, t),
+n AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d),
+f AS (
+  SELECT r, doc_id, t, CAST(count(*) AS BIGINT) AS tf, any_value(len) AS len
+  FROM (SELECT r, doc_id, unnest(ts) AS t, CAST(len(ts) AS BIGINT) AS len FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, n GROUP BY t
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len * docs) // terms)))) AS BIGINT) AS score
+  FROM f JOIN q USING (t) JOIN w USING (t), n GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10
+"""
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
