@@ -28,7 +28,7 @@ EVERY = 50
 L4_K = 4
 LOOKUP_VOCAB = 500
 STREAM_CHUNK = 50  # documents per pack group of the stream
-GROUPS_PER_FILE = 4
+ARRIVALS = 3  # micro-batches of the streaming queries, whatever the size of the table
 
 
 def _corpora(sf_dir: str, with_missing: bool = False) -> list[Corpus]:
@@ -299,21 +299,47 @@ SELECT group_id AS batch_id, chunk, CAST(len(input_ids) AS BIGINT) AS n_tokens,
 FROM packed""",
 )
 def st2_pack_stream(spark, sf_dir):
-    enc, _ = prepare.encoded_docs(spark, sf_dir)
     root = scratch_path(spark, "st2")
-    # one partitioned write; a file holds whole groups, and the groups' numbers follow from the ordinals
-    part = F.floor(F.col("ordinal") / F.lit(STREAM_CHUNK * GROUPS_PER_FILE)).alias("part")
-    enc.select("*", part).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
-    src = spark.readStream.schema(enc.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
-        f"{root}/in"
+    # the groups arrive in three parts; each is one micro-batch of the same query and holds whole groups
+    _in_arrivals(
+        spark, sf_dir, root, F.floor(F.col("ordinal") / F.lit(STREAM_CHUNK)),
+        lambda src: pack_stream(src, f"{root}/out", f"{root}/ckpt", SEQ_LEN, group_docs=STREAM_CHUNK),
     )
-    pack_stream(src, f"{root}/out", f"{root}/ckpt", SEQ_LEN, group_docs=STREAM_CHUNK).awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select(
         F.col("group_id").alias("batch_id"), "chunk", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5")
     )
 
 
+def _in_arrivals(spark, sf_dir, root, unit, start):
+    """Write the encoded documents in ARRIVALS parts by ``unit`` (monotone in the ordinal) and run the stream after each."""
+    enc, _ = prepare.encoded_docs(spark, sf_dir)
+    enc = enc.select("*", unit.cast("bigint").alias("unit")).checkpoint()
+    units = (enc.agg(F.max("unit")).first()[0] or 0) + 1
+    for i in range(ARRIVALS):
+        part = enc.where((F.col("unit") >= units * i // ARRIVALS) & (F.col("unit") < units * (i + 1) // ARRIVALS)).drop("unit")
+        part.write.parquet(f"{root}/in/part{i}")
+        src = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        start(src).awaitTermination()
+
+
+@register(
+    "st2_carry_stream",
+    _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, 1 << 60))
+    + """
+SELECT seq_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, md5(array_to_string(input_ids, '|')) AS ids_md5 FROM packed""",
+)
+def st2_carry_stream(spark, sf_dir):
+    """Three micro-batches with a carried tail give the chunks of one pack of all documents."""
+    root = scratch_path(spark, "st2c")
+    _in_arrivals(
+        spark, sf_dir, root, F.col("ordinal"),
+        lambda src: pack_stream(src, f"{root}/out", f"{root}/ckpt", SEQ_LEN, carry_tail=True, state_dir=f"{root}/state"),
+    )
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("seq_id", F.size("input_ids").cast("bigint").alias("n_tokens"), digest("input_ids").alias("ids_md5"))
+
+
 @register(
     "l3_steps_report",
     _PAIRS_WITH

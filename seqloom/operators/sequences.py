@@ -7,6 +7,10 @@ lookup, which run inside the partition that holds the document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,6 +233,85 @@ def pack(
     return seqs
 
 
+CONTINUOUS = "chunk long, offset int, ids array<int>"
+
+
+def pack_continuous(
+    df: DataFrame, seq_len: int, ids: str = "ids", ordinal: str = "ordinal", lead: list[int] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All documents as one run of tokens in ``ordinal`` order, after the tokens ``lead``, cut into chunks of ``seq_len + 1``.
+
+    Returns ``(chunk, input_ids)`` with the complete chunks, and ``(chunk, ids)`` with the unfinished last one
+    (no row if the run ends with a chunk). Token counts are the carry, and they add up associatively: the documents are
+    dealt out by ranges of the ordinal, one count per range gives each range its place in the run, and every
+    task cuts its own chunks. Only what is left before the first and after the last boundary of a range (less than a chunk
+    each) is put together by chunk. No task sees more than its range, however long the run is. Null arrays count as empty.
+    """
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    C = int(seq_len) + 1
+    lead = list(lead or [])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.select(F.col(ordinal).alias("__ord"), F.col(ids).cast("array<int>").alias("ids"))
+    ranged = rows.repartitionByRange(parts, "__ord").sortWithinPartitions("__ord").checkpoint()
+    ranged = ranged.select("ids", F.spark_partition_id().alias("part"))
+    sizes = F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0))
+    counted = ranged.groupBy("part").agg(sizes.cast("bigint").alias("n")).collect()  # one row per range
+    starts, total = {}, len(lead)
+    for r in sorted(counted, key=lambda r: r["part"]):
+        starts[r["part"]] = total
+        total += r["n"]
+    places = spark.sparkContext.broadcast(starts)
+
+    def cut(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, np.zeros(0, np.int32)
+
+            def piece(tokens):
+                return _chunk_rows(np.array([at // C]), np.array([at % C]), tokens, np.array([len(tokens)]))
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                at = places.value[b.column("part")[0].as_py()] if at is None else at
+                column = b.column("ids")
+                held = np.concatenate([held, column.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)])
+                first = -at % C
+                if len(held) < first:
+                    continue
+                if first:
+                    if not whole:
+                        yield piece(held[:first])
+                    at, held = at + first, held[first:]
+                n = len(held) // C
+                if whole and n:
+                    yield _chunk_rows(at // C + np.arange(n), np.zeros(n), held[: n * C], np.full(n, C))
+                at, held = at + n * C, held[n * C :].copy()
+            if len(held) and not whole:
+                yield piece(held)
+
+        return run
+
+    whole = ranged.mapInArrow(cut(True), CONTINUOUS).select("chunk", F.col("ids").alias("input_ids"))
+    pieces = ranged.mapInArrow(cut(False), CONTINUOUS)
+    if lead:
+        pieces = pieces.unionByName(spark.createDataFrame([(0, 0, lead)], CONTINUOUS))
+    # two pieces per range at most
+    joined = pieces.groupBy("chunk").agg(F.flatten(F.array_sort(F.collect_list(F.struct("offset", "ids")))["ids"]).alias("ids"))
+    done = joined.where(F.size("ids") == C).select("chunk", F.col("ids").alias("input_ids"))
+    return whole.unionByName(done), joined.where(F.size("ids") < C)
+
+
+def _chunk_rows(chunk: np.ndarray, offset: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.array(tokens, pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk, pa.int64()), pa.array(offset.astype(np.int32)), lists], names=["chunk", "offset", "ids"]
+    )
+
+
 def pack_groups(df: DataFrame, seq_len: int, ids: str = "ids", ordinal: str = "ordinal", group_docs: int = 1000) -> DataFrame:
     """Per-group token accounting used by ``pack_report``: tokens in, kept, chunks."""
     C = int(seq_len) + 1

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.portable import epoch_micros
 from ..operators.scans import decay_scan
-from ..operators.sequences import pack
+from ..operators.sequences import pack, pack_continuous
 
 
 def _version_path(state_dir: str, n: int) -> str:
@@ -126,25 +126,7 @@ def decay_stream(
     return w.start()
 
 
-TAIL_SCHEMA = T.StructType().add("ordinal", "long").add("ids", T.ArrayType(T.IntegerType()))
-
-
-def _tail(docs: DataFrame, C: int, ordinal: str, ids: str) -> DataFrame:
-    """Tokens of one group past its last whole chunk (fewer than C), as one row
-    ``(-1, ids)``; empty when nothing is left over. The group is the micro-batch."""
-    from pyspark.sql import Window
-
-    d = docs.select(F.col(ordinal).alias("o"), F.col(ids).alias("x")).withColumn("n", F.size("x").cast("bigint"))
-    run = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("start", F.sum("n").over(run) - F.col("n")).withColumn(
-        "kept", F.floor(F.sum("n").over(Window.partitionBy()) / F.lit(C)) * F.lit(C)
-    )
-    rest = d.where(F.col("start") + F.col("n") > F.col("kept")).select(
-        "o", F.slice("x", (F.greatest(F.col("kept") - F.col("start"), F.lit(0)) + 1).cast("int"), F.col("n").cast("int")).alias("p")
-    )
-    return rest.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("o", "p"))), lambda e: e["p"])).alias("ids")).where(
-        F.size("ids") > 0
-    ).select(F.lit(-1).cast("bigint").alias("ordinal"), F.col("ids").cast("array<int>").alias("ids"))
+TAIL_SCHEMA = T.StructType().add("chunks", "long").add("ids", T.ArrayType(T.IntegerType()))
 
 
 def pack_stream(
@@ -163,14 +145,14 @@ def pack_stream(
 
     With ``group_docs`` the documents with one ``ordinal div group_docs`` form a group, the groups of a
     micro-batch are packed by as many tasks, and ``group_id`` tells them apart; a micro-batch holds whole groups.
-    Without it the micro-batch is the group. By default the group's tail is dropped (the reference's rule, with the
-    micro-batch as the group). With ``carry_tail`` the leftover tokens (fewer
-    than one chunk) are kept as versioned state and put in front of the next
-    micro-batch, so across batches only the final tail is lost. Output folders
-    ``batch_id=n`` hold ``(batch_id, chunk, input_ids)``; a replayed batch
-    rewrites the same folder and state version.
+    Without it the micro-batch is the group and is packed as one run of tokens: each task cuts the chunks of its own
+    range of documents, its place in the run follows from the token counts of the ranges before it. By default the
+    group's tail is dropped (the reference's rule, with the micro-batch as the group). With ``carry_tail`` the
+    leftover tokens (fewer than one chunk) and the number of chunks so far are kept as versioned state; the tail goes in
+    front of the next micro-batch, so across batches only the final tail is lost, and ``seq_id`` numbers the chunks as
+    one pack of all documents would. Output folders ``batch_id=n`` hold ``(batch_id, chunk, input_ids)`` with
+    ``group_id`` or ``seq_id`` where named above; a replayed batch rewrites the same folder and state version.
     """
-    C = int(seq_len) + 1
     if carry_tail and not state_dir:
         raise ValueError("carry_tail needs a state_dir")
     if carry_tail and group_docs:
@@ -179,19 +161,22 @@ def pack_stream(
     def fn(df, batch_id):
         spark = df.sparkSession
         docs = df.select(F.col(ordinal).cast("bigint").alias("ordinal"), F.col(ids).cast("array<int>").alias("ids"))
+        number = F.lit(batch_id).cast("bigint").alias("batch_id")
+        folder = f"{out_dir.rstrip('/')}/batch_id={batch_id:09d}"
+        if group_docs:
+            seqs = pack(docs, seq_len=seq_len, ids="ids", ordinal="ordinal", group_docs=group_docs)
+            seqs.select(number, "group_id", "chunk", "input_ids").write.mode("overwrite").parquet(folder)
+            return
+        before = _read_state(spark, state_dir, batch_id, TAIL_SCHEMA).first() if carry_tail else None  # less than a chunk
+        done, lead = (before["chunks"], list(before["ids"])) if before else (0, [])
+        seqs, rest = pack_continuous(docs, seq_len, "ids", "ordinal", lead)
+        named = [(F.col("chunk") + F.lit(done)).alias("seq_id")] if carry_tail else []
+        seqs.select(number, *named, "chunk", "input_ids").write.mode("overwrite").parquet(folder)
         if carry_tail:
-            # the carried tail has ordinal -1; shift by one so every row stays in group 0
-            docs = _read_state(spark, state_dir, batch_id, TAIL_SCHEMA).unionByName(docs)
-            docs = docs.withColumn("ordinal", F.col("ordinal") + 1)
-        # the micro-batch is the group (its size is bounded by maxFilesPerTrigger /
-        # maxBytesPerTrigger); ordinals (non-negative) need to be increasing, not dense
-        seqs = pack(docs, seq_len=seq_len, ids="ids", ordinal="ordinal", group_docs=group_docs or 1 << 62)
-        named = ["group_id"] if group_docs else []
-        seqs.select(F.lit(batch_id).cast("bigint").alias("batch_id"), *named, "chunk", "input_ids").write.mode("overwrite").parquet(
-            f"{out_dir.rstrip('/')}/batch_id={batch_id:09d}"
-        )
-        if carry_tail:
-            _tail(docs, C, "ordinal", "ids").write.mode("overwrite").parquet(_version_path(state_dir, batch_id))
+            left = rest.first()  # at most one row of less than a chunk
+            chunks = done + (left["chunk"] if left else spark.read.parquet(folder).count())
+            tail = spark.createDataFrame([(chunks, left["ids"] if left else [])], TAIL_SCHEMA)
+            tail.write.mode("overwrite").parquet(_version_path(state_dir, batch_id))
 
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

@@ -1,9 +1,11 @@
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators.scans import decay_scan, final_state
+from seqloom.operators.sequences import pack_continuous
 from seqloom.session import scratch_path
 from seqloom.streaming.state import decay_stream, init_state, pack_stream
 from tests.conftest import SF001
@@ -138,3 +140,37 @@ def test_pack_stream_in_groups(spark):
     pack_stream(src, f"{root}/out", f"{root}/ck", seq_len=4, group_docs=3).awaitTermination()
     got = sorted((r["group_id"], r["chunk"]) for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [(g, c) for g in range(4) for c in range(4)]  # 21 tokens a group: four chunks of 5
+
+
+def test_carried_stream_equals_one_pack(spark):
+    """Micro-batches of any size, empty ones and long documents included, give the chunks of one big pack."""
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 900, 3, 0, 0, 17, 64, 5000] + rng.integers(0, 40, 400).tolist()
+    ids = rng.integers(0, 1000, sum(sizes)).tolist()
+    at = np.append(0, np.cumsum(sizes)).tolist()
+    rows = [(7 * i, ids[a:z]) for i, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True))] + [(10**6, None)]
+    docs = spark.createDataFrame(rows, "ordinal long, ids array<int>")
+    root = scratch_path(spark, "st2-carry")
+    edges = [0, 1, 3, 3, 40, 2000, 10**7]
+    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        docs.where((F.col("ordinal") >= lo) & (F.col("ordinal") < hi)).repartition(3).write.parquet(f"{root}/in/p{i}")
+        src = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        pack_stream(src, f"{root}/out", f"{root}/ck", seq_len=63, carry_tail=True, state_dir=f"{root}/state").awaitTermination()
+    got = spark.read.parquet(f"{root}/out").orderBy("seq_id").collect()
+    assert [r["seq_id"] for r in got] == list(range(len(ids) // 64))
+    assert [t for r in got for t in r["input_ids"]] == ids[: len(ids) // 64 * 64]
+    last = sorted(r["batch_id"] for r in got)[-1]
+    state = spark.read.parquet(f"{root}/state/v={last:09d}").first()
+    assert state["ids"] == ids[len(ids) // 64 * 64 :] and state["chunks"] == len(ids) // 64
+
+
+def test_pack_continuous_cuts_in_several_tasks(spark):
+    docs = spark.createDataFrame([(i, list(range(10 * i, 10 * i + 10))) for i in range(500)], "ordinal long, ids array<int>").repartition(5)
+    whole, rest = pack_continuous(docs, 6, lead=[-2, -1])
+    want = [-2, -1, *range(5000)]
+    rows = whole.orderBy("chunk").collect()
+    assert [t for r in rows for t in r["input_ids"]] == want[: len(want) // 7 * 7]
+    assert [r["ids"] for r in rest.collect()] == [want[len(want) // 7 * 7 :]]
+    assert whole.select(F.spark_partition_id()).distinct().count() > 4
+    empty, none = pack_continuous(docs.limit(0), 6)
+    assert empty.count() == 0 and none.count() == 0
