@@ -39,7 +39,6 @@ def _events(spark, sf_dir):
 def scanned(spark, sf_dir):
     return decay_scan(
         _events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", decay=D, emit_previous="prev",
-        split="auto",
     )
 
 

@@ -17,8 +17,12 @@ One exchange, whatever the keys look like:
 4. a second pass over the partitions runs the recurrence itself, starting each
    partition's first key from the carried state.
 
-Nothing is truncated or rescaled: inside a partition the recurrence is evaluated as
-written, across partitions by ``h = d^n * carried + own``.
+Inside a batch the recurrence is solved for all rows at once by doubling: after the step with
+stride s every state holds the last 2s terms of its key, so log2 of the longest run of a key steps
+suffice (``h_t += d^s * h_{t-s}``). Nothing is truncated: a stride whose power of d is no longer a number
+above 0 has nothing to add to finite values, and runs with an infinite or NaN value, a null, or vectors of
+differing lengths take the recurrence as written. Across batches and partitions ``h = d^n * carried + own``.
+Keys are equal as Spark's grouping has them: null equals null, NaN equals NaN, -0.0 equals 0.0.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,61 +41,15 @@ DEFAULT_DECAY = 0.9
 DEFAULT_MOMENTUM = 0.95
 
 
-def _order_value(col: str, dtype) -> Column:
-    # a number that is monotone in the column's order
-    name = dtype.typeName()
-    if name.startswith("timestamp"):
-        from ..functions.portable import epoch_micros
-
-        return epoch_micros(col, dtype)
-    if name == "date":
-        return F.unix_date(F.col(col)).cast("bigint")
-    return F.col(col).cast("double")
-
-
-def keyed_index(
-    df: DataFrame, key: str, order: list[str], split: Column | str | None = None, name: str = "k",
-    target_rows: int = 1_000_000,
-) -> DataFrame:
-    """Dense 0-based row index per key in ``order``.
-
-    Without ``split`` this is ``row_number() over (partition by key order by ...)``.
-    With ``split`` (monotone in ``order``) the sort runs per ``(key, split)``
-    and a small per-split count table supplies the offsets, so a key holding a
-    large share of all rows is spread over many tasks.
-    """
-    if isinstance(split, str) and split == "auto":
-        t = df.schema[order[0]].dataType
-        if not (isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))):
-            split = None  # no numeric range to cut: one window per key
-    if split is None:
-        w = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    s = "__split"
-    if isinstance(split, str):
-        if split != "auto":
-            raise ValueError("split must be a Column, None or 'auto'")
-        v = _order_value(order[0], df.schema[order[0]].dataType)
-        stats = df.groupBy(key).agg(
-            F.count(F.lit(1)).alias("__cnt"), F.min(v).alias("__lo"), F.max(v).alias("__hi")
-        )
-        parts = F.ceil(F.col("__cnt") / F.lit(int(target_rows)))
-        width = (F.col("__hi") - F.col("__lo") + F.lit(1)) / parts
-        # null order values sort first: they get the lowest split
-        keyed = df.join(stats, key).withColumn(
-            s, F.coalesce(F.floor((v - F.col("__lo")) / width).cast("bigint"), F.lit(-1).cast("bigint"))
-        ).drop("__cnt", "__lo", "__hi")
-    else:
-        keyed = df.withColumn(s, split)
-    counts = keyed.groupBy(key, s).agg(F.count(F.lit(1)).alias("__n"))
-    ws = Window.partitionBy(key).orderBy(s).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.withColumn("__off", F.sum("__n").over(ws) - F.col("__n")).drop("__n")
-    w = Window.partitionBy(key, s).orderBy(*order)
-    return (
-        keyed.join(offsets, [key, s])
-        .withColumn(name, (F.row_number().over(w) - 1 + F.col("__off")).cast("bigint"))
-        .drop(s, "__off")
-    )
+def _same(a, b) -> bool:
+    """Equality of key values as in Spark's grouping."""
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or (a != a and b != b)
+    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return type(a) is type(b) and a == b
 
 
 class _Runs:
@@ -101,7 +59,7 @@ class _Runs:
         self.batches, self.key, self.value = batches, key, value
 
     def __iter__(self):
-        """(batch, [(start, stop, starts a new key)], values) per batch."""
+        """(batch, keys, first row of each run, whether the first run starts a new key, values) per batch."""
         last = None
         for b in self.batches:
             n = b.num_rows
@@ -113,22 +71,40 @@ class _Runs:
             if n > 1:
                 a, z = keys.slice(0, n - 1), keys.slice(1)
                 if pa.types.is_nested(keys.type):
-                    change[1:] = [x != y for x, y in zip(a.to_pylist(), z.to_pylist(), strict=True)]
+                    change[1:] = [not _same(x, y) for x, y in zip(a.to_pylist(), z.to_pylist(), strict=True)]
                 else:
                     differ = pc.fill_null(pc.not_equal(a, z), False)
+                    if pa.types.is_floating(keys.type):
+                        nan = pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(z)), False)
+                        differ = pc.and_not(differ, nan)
                     change[1:] = pc.or_(differ, pc.xor(a.is_null(), z.is_null())).to_numpy(zero_copy_only=False)
-            first = keys[0].as_py()
-            change[0] = last is None or (first,) != last
-            at = np.flatnonzero(change).tolist()
-            bounds = sorted({0, *at})
-            runs = [(s, e, bool(change[s])) for s, e in zip(bounds, [*bounds[1:], n], strict=True)]
+            fresh = last is None or not _same(last[0], keys[0].as_py())
+            change[0] = True
             last = (keys[n - 1].as_py(),)
-            column = b.column(self.value)
-            if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
-                values = [None if v is None else np.array(v, np.float64) for v in column.to_pylist()]
-            else:
-                values = column.cast(pa.float64()).to_pylist()
-            yield b, keys, runs, values
+            yield b, keys, np.flatnonzero(change), fresh, _Values(b.column(self.value))
+
+
+class _Values:
+    """A value column: ``x`` as an array (rows, or rows x elements) if every row has a value of one length, else None."""
+
+    def __init__(self, column: pa.Array):
+        self.column, self.x = column, None
+        self.is_list = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+        if self.is_list:
+            sizes = pc.list_value_length(column)
+            low, high = pc.min_max(sizes).as_py().values() if len(column) else (0, 0)
+            flat = column.flatten()
+            if not column.null_count and low == high and not flat.null_count:
+                self.x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), low)
+        elif not column.null_count:
+            self.x = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        if self.x is not None and not np.isfinite(self.x).all():
+            self.x = None
+
+    def plain(self) -> list:
+        if self.is_list:
+            return [None if v is None else np.array(v, np.float64) for v in self.column.to_pylist()]
+        return self.column.cast(pa.float64()).to_pylist()
 
 
 def _step(d: float, g: float, h, x):
@@ -142,6 +118,50 @@ def _zero(x):
     return np.zeros(len(x)) if isinstance(x, np.ndarray) else 0.0
 
 
+def _finite(h) -> bool:
+    return h is not None and bool(np.isfinite(h).all())
+
+
+def segmented_recurrence(x: np.ndarray, starts: np.ndarray, d: float, g: float, carried=None) -> np.ndarray:
+    """``h_t = d * h_{t-1} + g * x_t`` over rows, from zero at each of ``starts`` (the first one from ``carried``)."""
+    n = len(x)
+    sizes = np.diff(np.append(starts, n))
+    place = np.arange(n) - np.repeat(starts, sizes)  # rows of the run before each row
+    h = g * x
+    longest = int(sizes.max()) if n else 0
+    stride, power = 1, d
+    while stride < longest and power > 0.0:
+        at = np.flatnonzero(place >= stride)
+        h[at] += power * h[at - stride]
+        stride, power = 2 * stride, power * power
+    if carried is not None:
+        weight = np.power(d, np.arange(1.0, sizes[0] + 1))
+        h[: sizes[0]] += (weight[:, None] if h.ndim == 2 else weight) * np.asarray(carried)
+    return h
+
+
+def _states(values: _Values, starts: np.ndarray, d: float, g: float, k: int, h):
+    """States after the rows of a batch, and before them. The first run goes on after ``k`` rows with state ``h`` (k = 0: anew)."""
+    n = len(values.column)
+    if values.x is not None and (k == 0 or (_finite(h) and np.shape(h) == values.x.shape[1:])):
+        after = segmented_recurrence(values.x, starts, d, g, h if k else None)
+        before = np.zeros_like(after)
+        before[1:] = after[:-1]
+        before[starts] = 0.0
+        if k:
+            before[0] = h
+        return after, before
+    after, before, new = [], [], set(starts.tolist())
+    for t, v in enumerate(values.plain()):
+        if t in new and (t or not k):
+            h = 0.0 if v is None else _zero(v)
+        before.append(h)
+        h = _step(d, g, h, v)
+        after.append(h)
+    assert len(after) == n
+    return after, before
+
+
 def _linear_scan(
     df: DataFrame, key: str, order: list[str], value: str, decay: float, gain: float, out: str, prev: str | None
 ) -> DataFrame:
@@ -161,28 +181,21 @@ def _linear_scan(
     ranged = ranged.withColumn("__part", F.spark_partition_id())
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None
-        rows = n_first = 0
-        one, h = True, 0.0
-        for b, keys, runs, values in _Runs(batches, key, value):
+        first = last = None
+        rows, one, h = 0, True, None
+        for b, keys, starts, fresh, values in _Runs(batches, key, value):
             part = b.column("__part")[0].as_py()
-            for s, e, new in runs:
-                if new:
-                    if first is None:
-                        first = keys.slice(s, 1)
-                    elif one:
-                        one, n_first = False, rows
-                    rows, h = 0, None
-                for x in values[s:e]:
-                    h = _step(d, g, _zero(x) if rows == 0 else h, x)
-                    rows += 1
-                last = keys.slice(e - 1, 1)
+            first = keys.slice(0, 1) if first is None else first
+            if fresh or len(starts) > 1:
+                one = one and len(starts) == 1 and last is None
+            after, _ = _states(values, starts, d, g, 0 if fresh else rows, h)
+            h = after[len(after) - 1]
+            rows = b.num_rows - int(starts[-1]) + (rows if len(starts) == 1 and not fresh else 0)
+            last = keys.slice(b.num_rows - 1, 1)
         if first is not None:
+            plain = None if h is None else np.asarray(h).tolist() if is_array else float(h)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int64()), first, last, pa.array([one]),
-                    pa.array([rows], pa.int64()), pa.array([None if h is None else h.tolist() if is_array else h], arrow_state),
-                ],
+                [pa.array([part], pa.int64()), first, last, pa.array([one]), pa.array([rows], pa.int64()), pa.array([plain], arrow_state)],
                 names=["part", "first", "last", "one", "rows", "h"],
             )
 
@@ -191,7 +204,7 @@ def _linear_scan(
     found = sorted(ranged.select(key, value, "__part").mapInArrow(ends, fields).collect(), key=lambda r: r["part"])  # one row per partition
     carried: dict[int, tuple] = {}  # partition -> (rows of its first key before it, state)
     for before, r in zip(found[:-1], found[1:], strict=True):
-        if (before["last"],) == (r["first"],):
+        if _same(before["last"], r["first"]):
             n, h = before["rows"], before["h"]
             if before["one"] and before["part"] in carried:
                 m, earlier = carried[before["part"]]
@@ -205,30 +218,22 @@ def _linear_scan(
     shared = spark.sparkContext.broadcast(carried)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, h, begun = 0, 0.0, False
-        for b, _, runs, values in _Runs(batches, key, value):
-            index, states, before = [], [], []
-            for s, e, new in runs:
-                if new:
-                    k = 0
-                    start = None if begun else shared.value.get(b.column("__part")[0].as_py())
-                    if start is not None:
-                        k, h = start
-                        h = np.array(h) if is_array and h is not None else h
-                    begun = True
-                for x in values[s:e]:
-                    if k == 0:
-                        h = 0.0 if x is None else _zero(x)
-                    before.append(h)
-                    h = _step(d, g, h, x)
-                    states.append(h)
-                    index.append(k)
-                    k += 1
-            plain = (lambda v: [None if y is None else y.tolist() if isinstance(y, np.ndarray) else y for y in v]) if is_array else (lambda v: v)
-            extra = [pa.array(index, pa.int64()), pa.array(plain(states), arrow_state)]
-            names = ["k", out]
+        k, h, begun = 0, None, False
+        for b, _, starts, fresh, values in _Runs(batches, key, value):
+            if not begun:
+                k, h = shared.value.get(b.column("__part")[0].as_py(), (0, None))
+                h = np.array(h) if is_array and h is not None else h
+                begun = True
+            elif fresh:
+                k = 0
+            after, before = _states(values, starts, d, g, k, h)
+            n = b.num_rows
+            index = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            index[: starts[1] if len(starts) > 1 else n] += k
+            k, h = int(index[-1]) + 1, after[n - 1]
+            extra, names = [pa.array(index, pa.int64()), _arrow(after, arrow_state)], ["k", out]
             if prev:
-                extra.append(pa.array([None if isinstance(y, float) else y for y in plain(before)] if is_array else before, arrow_state))
+                extra.append(_arrow(before, arrow_state))
                 names.append(prev)
             own = b.schema.names[:-1]  # without the partition number
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], names=[*own, *names])
@@ -239,6 +244,17 @@ def _linear_scan(
     return ranged.select(*[f.name for f in kept], "__part").mapInArrow(scan, result)
 
 
+def _arrow(states, kind: pa.DataType) -> pa.Array:
+    if isinstance(states, np.ndarray):
+        if states.ndim == 1:
+            return pa.array(states, kind)
+        ends = pa.array(np.arange(len(states) + 1, dtype=np.int32) * states.shape[1])
+        return pa.ListArray.from_arrays(ends, pa.array(states.ravel()))
+    if pa.types.is_list(kind):  # the state before a key's first null is null, not a number
+        return pa.array([y.tolist() if isinstance(y, np.ndarray) else None for y in states], kind)
+    return pa.array(states, kind)
+
+
 def decay_scan(
     df: DataFrame,
     key: str,
@@ -247,16 +263,13 @@ def decay_scan(
     decay: float = DEFAULT_DECAY,
     out: str = "h",
     emit_previous: str | None = None,
-    block: int | None = None,
-    split: Column | str | None = "auto",
 ) -> DataFrame:
     """E1 (+E2 with ``emit_previous``): ``h_t = d*h_{t-1} + (1-d)*x_t`` per key, for numbers or vectors.
 
     Adds ``k`` (row index in the key), ``out`` (the state after row t) and,
     if ``emit_previous`` is given, the read-before-write value ``h_{t-1}``
     (0 at the first row) under that name. d=0 gives h=x; d=1 gives h=0. A null value makes the
-    key's state null from that row on. ``block`` and ``split`` are accepted and have no effect: the range
-    partitioning splits every key by itself.
+    key's state null from that row on.
     """
     return _linear_scan(df, key, order, value, decay, 1.0 - float(decay), out, emit_previous)
 
@@ -294,10 +307,8 @@ def momentum_scan(
     grad: str,
     momentum: float = DEFAULT_MOMENTUM,
     lookahead: bool = True,
-    block: int | None = None,
-    split: Column | str | None = "auto",
 ) -> DataFrame:
-    """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``. ``block``, ``split``: no effect."""
+    """E5: ``buf = m*buf + g`` (no ``1-m``); output ``g + m*buf`` (look-ahead) or ``buf``."""
     res = _linear_scan(df, key, order, grad, momentum, 1.0, "buf", None)
     if not lookahead:
         return res.withColumn("update", F.col("buf"))
@@ -307,12 +318,11 @@ def momentum_scan(
     return res.withColumn("update", F.col(grad).cast("double") + m * F.col("buf"))
 
 
-def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]], spark=None, max_literal: int | None = None) -> Column:
+def mlp_readout(col: Column, w1: list[list[float]], w2: list[list[float]], spark=None) -> Column:
     """``W2 . silu(W1 . h)`` with no bias for an ``array<double>`` state ``h`` (null: null).
 
     ``w1`` is width x dim, ``w2`` is dim x width. The weights are shipped once per executor as a
     broadcast and applied by an Arrow ``pandas_udf`` with one numpy matrix product per batch.
-    ``max_literal`` is accepted and has no effect.
     """
     from pyspark.sql import SparkSession
 
