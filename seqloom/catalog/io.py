@@ -26,7 +26,6 @@ WARMUP = 20
 ACCUM = 2
 EVERY = 50
 L4_K = 4
-LOOKUP_VOCAB = 500
 STREAM_CHUNK = 50  # documents per pack group of the stream
 ARRIVALS = 3  # micro-batches of the streaming queries, whatever the size of the table
 
@@ -228,7 +227,12 @@ def l4_accumulate(spark, sf_dir):
 
 @register(
     "t2_lookup",
-    _with(_sql_taken(), _sql_encoded().replace(f"LIMIT {prepare.VOCAB - len(prepare.SPECIALS)}", f"LIMIT {LOOKUP_VOCAB - len(prepare.SPECIALS)}"))
+    _with(
+        _sql_taken(),
+        _sql_encoded().replace(
+            f"LIMIT {prepare.VOCAB - len(prepare.SPECIALS)}", f"LIMIT (SELECT max(vec_id) + 1 - {len(prepare.SPECIALS)} FROM embeddings)"
+        ),
+    )
     + f""",
 tok AS (SELECT ordinal, unnest(ids) AS id FROM encoded),
 vecs AS (SELECT tok.ordinal, list_sum(CAST(e.embedding AS DOUBLE[])) AS s FROM tok JOIN embeddings e ON e.vec_id = tok.id)
@@ -236,7 +240,8 @@ SELECT ordinal, CAST(count(*) AS BIGINT) AS n_vectors, {r6_sql('sum(s)')} AS tot
 )
 def t2_lookup(spark, sf_dir):
     docs = prepare.prepared_docs(spark, sf_dir)
-    enc = encode(docs, build_vocab(docs, size=LOOKUP_VOCAB), keys=["ordinal"])
+    rows = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1  # a vector for every id
+    enc = encode(docs, build_vocab(docs, size=rows), keys=["ordinal"])
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").cast("array<double>").alias("vec")
     )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.portable import uniform
+from ..functions.skew import heavy_hitter_join, heavy_keys
 from ..session import checkpoint_dir
 
 
@@ -48,6 +53,24 @@ def draw(df: DataFrame, key: str, item: str, seed: int = 42, rank: str = "rank",
     )
 
 
+#: Size of the sampling table (rows, bytes of keys and items) up to which every task holds it; beyond, walkers meet it by joins.
+HELD_ROWS, HELD_BYTES = 2_000_000, 64 << 20
+
+
+def sampling_table(probs: DataFrame) -> DataFrame:
+    """One row per key from K1's output: ``key, items, cums`` in order of rank, ``cums`` the cumulative probabilities."""
+    w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = probs.withColumn("cum", F.sum("prob").over(w))
+    rows = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "cum"))).alias("r"))
+    return rows.select("key", F.col("r.item").alias("items"), F.col("r.cum").alias("cums"))
+
+
+def _draw_from(u: Column) -> Column:
+    """The first item whose cumulative probability exceeds ``u``; the last item as the fallback."""
+    upto = F.size(F.filter("cums", lambda c: c <= u))  # cums do not fall
+    return F.element_at("items", F.least(upto + 1, F.size("items")))
+
+
 def sample_walk(
     prompts: DataFrame,
     table: DataFrame,
@@ -58,39 +81,95 @@ def sample_walk(
     seed: int = 42,
     k: int = 50,
     temperature: float = 0.8,
-    checkpoint_every: int = 1,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
     """K3: for many walkers at once, repeatedly draw the next item from a
     ``(key, item, score)`` table with K1 + K2 until ``eos`` or ``steps`` draws.
 
     Exactly one first draw and up to ``steps - 1`` more; the end item is
     emitted and then the walker stops; it is not checked before the first
-    draw. Each round joins only the active walkers with the top-k table (whose
-    size is bounded by k x keys). Each round's walker table (one row per
-    active walker) is checkpointed to the shared folder, so the plan stays linear.
+    draw. A walker whose item is no key of the table stops as well.
+
+    K1 gives a table of at most k rows per key. Up to ``held_rows`` rows (and HELD_BYTES), every task holds it and walks all
+    steps of its walkers by binary search: walkers never move. Beyond, there is one join per step, of one row
+    per walker with one row per key: items on which more than one of 512 walkers stand get their row by a broadcast,
+    the others by a shuffle, and each step's walkers are checkpointed to the shared folder.
 
     Output: ``(walker, step, item)`` with ``step`` 0 for the prompt's last item.
     """
-    probs = topk_softmax(table, "key", "item", "score", k=k, temperature=temperature)
-    w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    probs = probs.withColumn("cum", F.sum("prob").over(w)).select("key", "item", "rank", "cum")
-    # every round joins this table (at most k rows per key): write it once
     checkpoint_dir(prompts.sparkSession)
-    probs = probs.checkpoint(eager=True)
+    # written once; both ways read it more than once
+    probs = topk_softmax(table.where(F.col("key").isNotNull()), "key", "item", "score", k=k, temperature=temperature).checkpoint()
     active = prompts.select(F.col(walker).alias("walker"), F.col(start).alias("cur"))
-    rounds = [active.select("walker", F.lit(0).cast("bigint").alias("step"), F.col("cur").alias("item"))]
-    for t in range(1, int(steps) + 1):
-        j = active.join(probs, active["cur"] == probs["key"]).withColumn("__u", uniform(seed, F.col("walker"), F.lit(t)))
-        hit = F.when(F.col("cum") > F.col("__u"), F.col("rank"))
-        nxt = j.groupBy("walker").agg(F.coalesce(F.min_by("item", hit), F.max_by("item", "rank")).alias("item"))
-        if checkpoint_every and t % checkpoint_every == 0:
-            # one row per active walker: cut the lineage in the shared checkpoint folder
-            nxt = nxt.checkpoint(eager=True)
-        rounds.append(nxt.select("walker", F.lit(t).cast("bigint").alias("step"), "item"))
-        active = nxt.select("walker", F.col("item").alias("cur"))
+    text = [F.octet_length(F.col(c).cast("string")) for c in ("key", "item")]
+    size = probs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(text[0] + text[1], F.lit(0))).alias("bytes")).first()
+    if size["rows"] <= held_rows and (size["bytes"] or 0) <= HELD_BYTES:
+        return _walk_held(active, probs, int(steps), eos, seed)
+    return _walk_joined(active, sampling_table(probs).checkpoint(), int(steps), eos, seed)
+
+
+def _walk_joined(active: DataFrame, rows: DataFrame, steps: int, eos: str | None, seed: int) -> DataFrame:
+    out = active.select("walker", F.lit(0).cast("bigint").alias("step"), F.col("cur").alias("item"))
+    for t in range(1, steps + 1):
+        standing = active.groupBy("cur").agg(F.count(F.lit(1)).alias("n"))
+        met = heavy_hitter_join(active, rows.withColumnRenamed("key", "cur"), "cur", heavy_keys(standing, "cur"))
+        drawn = met.select("walker", _draw_from(uniform(seed, F.col("walker"), F.lit(t))).alias("item")).checkpoint()
+        out = out.unionByName(drawn.select("walker", F.lit(t).cast("bigint").alias("step"), "item"))
+        active = drawn.select("walker", F.col("item").alias("cur"))
         if eos is not None:
             active = active.where(F.col("cur") != F.lit(eos))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
     return out
+
+
+def _walk_held(active: DataFrame, probs: DataFrame, steps: int, eos: str | None, seed: int) -> DataFrame:
+    spark = active.sparkSession
+    w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flat = probs.withColumn("cum", F.sum("prob").over(w)).select("key", "item", "rank", "cum").toArrow().sort_by(
+        [("key", "ascending"), ("rank", "ascending")]
+    )
+    keys = flat.column("key").combine_chunks()
+    first = np.flatnonzero(np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))) if len(keys) else np.zeros(0, int)
+    names, items = keys.take(pa.array(first)), flat.column("item").combine_chunks()
+    follows = pc.fill_null(pc.index_in(items, value_set=names), -1).to_numpy(zero_copy_only=False)  # key that an item is
+    ends = pc.fill_null(pc.equal(items, pa.scalar(eos, items.type)), False).to_numpy(zero_copy_only=False) if eos is not None else np.zeros(len(items), bool)
+    shared = spark.sparkContext.broadcast(
+        {"names": names, "items": items, "first": np.append(first, len(keys)), "cum": flat.column("cum").to_numpy(),
+         "follows": np.where(ends, -1, follows)}
+    )
+    draws = F.array(*[uniform(seed, F.col("walker"), F.lit(t)) for t in range(1, steps + 1)]) if steps else F.array().cast("array<double>")
+    kinds = active.schema
+    result = T.StructType().add("walker", kinds["walker"].dataType).add("step", "long").add("item", kinds["cur"].dataType)
+
+    def run(batches):
+        held = shared.value
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            walker, cur = b.column("walker"), b.column("cur")
+            u = b.column("u").flatten().to_numpy(zero_copy_only=False).reshape(n, steps)
+            yield pa.RecordBatch.from_arrays([walker, pa.array(np.zeros(n, np.int64)), cur], names=["walker", "step", "item"])
+            key = pc.fill_null(pc.index_in(cur, value_set=held["names"]), -1).to_numpy(zero_copy_only=False)
+            who = np.flatnonzero(key >= 0)
+            key = key[who]
+            for t in range(steps):
+                if not len(who):
+                    break
+                at = first_above(held["cum"], held["first"][key], held["first"][key + 1], u[who, t])
+                rows = [walker.take(pa.array(who)), pa.array(np.full(len(who), t + 1, np.int64)), held["items"].take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays(rows, names=["walker", "step", "item"])
+                key = held["follows"][at]
+                who, key = who[key >= 0], key[key >= 0]
+
+    return active.withColumn("u", draws).mapInArrow(run, result)
+
+
+def first_above(cum: np.ndarray, start: np.ndarray, stop: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """By binary search, the first place in ``cum[start:stop]`` above ``u``, else the last one; one search per row."""
+    low, high = start.copy(), stop - 1
+    while (low < high).any():
+        middle = (low + high) // 2
+        above = cum[middle] > u
+        high = np.where(above, middle, high)
+        low = np.where(above, low, np.minimum(middle + 1, high))
+    return low

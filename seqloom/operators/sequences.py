@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.ordinal import exclusive_prefix_sum
 from ..functions.portable import uniform
+from ..functions.skew import HEAVY_KEYS, heavy_hitter_join, heavy_keys
+from ..session import checkpoint_dir
 
 # Fixed special-token ids of our vocabulary (ours, not a library's).
 PAD_ID = 0
@@ -157,18 +159,24 @@ def encode_relational(
     return grouped.select(*keys, ids.alias(out))
 
 
-def lookup(df: DataFrame, table: DataFrame, ids: str, key: str, id_col: str = "token_id", vec: str = "vec") -> DataFrame:
-    """Token id -> vector, order kept; an unknown id raises.
+def lookup(
+    df: DataFrame, table: DataFrame, ids: str, key: str, id_col: str = "token_id", vec: str = "vec", heavy: int = HEAVY_KEYS
+) -> DataFrame:
+    """Token id -> vector, order kept; an unknown id raises. ``table`` has one row per id.
 
-    ``posexplode`` + hash join (AQE picks broadcast when the table is small),
-    regrouped per ``key`` in position order. A left-anti join finds ids with no
-    vector; any such id is an error, like an out-of-range embedding index.
+    One counting pass over the ids (combined before the shuffle) gives the distinct ids, which are checked against
+    the table, and the heavy ones: an id that holds more than ``1/heavy`` of all tokens takes its vector from a
+    broadcast of fewer than ``heavy`` rows, the others meet the table by id. The vectors are regrouped by ``key`` in
+    order of position, one row per ``key``.
     """
-    exploded = df.select(key, F.posexplode(F.col(ids)).alias("pos", id_col))
-    missing = exploded.join(table.select(id_col), id_col, "left_anti").limit(1).collect()
+    counts = df.select(F.explode(ids).alias(id_col)).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint()
+    missing = counts.join(table.select(id_col), id_col, "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"id {missing[0][id_col]} has no vector")
-    joined = exploded.join(table.select(id_col, vec), id_col)
+    exploded = df.select(key, F.posexplode(F.col(ids)).alias("pos", id_col))
+    joined = heavy_hitter_join(exploded, table.select(id_col, vec), id_col, heavy_keys(counts, id_col, limit=heavy))
     return joined.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", vec))), lambda x: x[vec]).alias("vectors")
     )
@@ -247,8 +255,6 @@ def pack_continuous(
     task cuts its own chunks. Only what is left before the first and after the last boundary of a range (less than a chunk
     each) is put together by chunk. No task sees more than its range, however long the run is. Null arrays count as empty.
     """
-    from ..session import checkpoint_dir
-
     spark = df.sparkSession
     checkpoint_dir(spark)
     C = int(seq_len) + 1

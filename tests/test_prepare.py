@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators.mixing import shuffle, standardize, take, truncate
@@ -196,3 +197,46 @@ def test_take_unordered_edges(spark, monkeypatch):
     for n in (0, 1, 77, 499, 500, 900):
         got = sorted(r["k"] for r in mixing.take_unordered(df, "k", n, seed=3, buckets=4).collect())
         assert got == sorted(want[:n])
+
+
+def _vectors(spark, n):
+    return spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "token_id int, vec array<double>")
+
+
+def test_lookup_of_a_one_word_corpus_stays_even(spark):
+    """A token that is all of the corpus takes its vector from a broadcast; no task regroups more than its share."""
+    from seqloom.functions.skew import heavy_keys
+    from seqloom.operators.sequences import lookup
+
+    rows = [(k, [7] * 50) for k in range(400)] + [(1000, [7, 1, 2, None and 0 or 3]), (1001, [])]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").repartition(6)
+    out = lookup(df, _vectors(spark, 10), "ids", "k")
+    got = {r["k"]: [v[0] for v in r["vectors"]] for r in out.collect()}
+    assert got[3] == [7.0] * 50 and got[1000] == [7.0, 1.0, 2.0, 3.0] and len(got) == 401
+    counts = spark.createDataFrame([(7, 20001), (1, 1), (2, 1), (None, 9)], "id int, n long")
+    assert heavy_keys(counts, "id") == [7] and heavy_keys(counts.limit(0), "id") == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        again = lookup(df, _vectors(spark, 10), "ids", "k")
+        sizes = sorted(again.groupBy(F.spark_partition_id()).agg(F.sum(F.size("vectors")).alias("n")).toPandas()["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_lookup_heavy_and_rare_ids_agree_with_plain_lookup(spark):
+    import numpy as np
+
+    from seqloom.operators.sequences import lookup
+
+    rng = np.random.default_rng(3)
+    rows = [(k, np.minimum(rng.zipf(1.3, int(rng.integers(0, 30))), 199).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>")
+    for heavy in (1, 20, 100_000):
+        got = {r["k"]: [v[0] for v in r["vectors"]] for r in lookup(df, _vectors(spark, 200), "ids", "k", heavy=heavy).collect()}
+        assert got == {k: [float(i) for i in ids] for k, ids in rows if ids}
+    with pytest.raises(ValueError, match="no vector"):
+        lookup(df, _vectors(spark, 100), "ids", "k")

@@ -178,3 +178,52 @@ def test_paired_mse_frame_raises_on_unpaired_keys(spark):
         paired_mse_frame(a, a.where("k = 1"), "k", "v", "v").collect()
     with pytest.raises(Exception, match="differ in size or shape"):
         paired_mse_frame(a, a.unionByName(a), "k", "v", "v").collect()
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_sample_walk_held_and_joined_agree_with_brute_force(spark, held):
+    """Walkers on one item in three, items without a row, null starts; both ways of meeting the table."""
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    edges = {(int(a), int(b)): float(s) for a, b, s in zip(rng.integers(0, 30, 400), rng.integers(0, 34, 400), rng.random(400))}
+    table = [(f"k{a}", f"k{b}", s) for (a, b), s in edges.items()]
+    starts = [(w, None if w % 50 == 0 else "k1" if w % 3 == 0 else f"k{w % 34}") for w in range(600)]
+    probs = {}
+    for a in {x[0] for x in table}:
+        top = sorted(((-s / 0.7, b) for k, b, s in table if k == a))[:4]
+        p = np.exp([-s + top[0][0] for s, _ in top])
+        probs[a] = list(zip(np.cumsum(p / p.sum()), [b for _, b in top]))
+    want = []
+    for w, cur in starts:
+        want.append((w, 0, cur))
+        for t in range(1, 8):
+            if cur not in probs:
+                break
+            u = int(hashlib.md5(f"9:{w}:{t}".encode()).hexdigest()[:13], 16) / 2.0**52
+            cur = next((b for c, b in probs[cur] if c > u), probs[cur][-1][1])
+            want.append((w, t, cur))
+            if cur == "k2":
+                break
+    out = sample_walk(
+        spark.createDataFrame(starts, "w long, s string").repartition(3), spark.createDataFrame(table, "key string, item string, score double"),
+        "w", "s", 7, eos="k2", seed=9, k=4, temperature=0.7, held_rows=held,
+    )
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_first_above():
+    import numpy as np
+
+    cum = np.array([0.2, 0.5, 1.0, 0.3, 0.9999, 1.0])
+    start, stop = np.array([0, 0, 0, 3, 5, 3]), np.array([3, 3, 3, 5, 6, 5])
+    u = np.array([0.0, 0.2, 0.7, 0.3, 0.5, 0.99999])
+    assert sample_first(cum, start, stop, u) == [0, 1, 2, 4, 5, 4]
+
+
+def sample_first(*args):
+    from seqloom.operators.sampling import first_above
+
+    return first_above(*args).tolist()
