@@ -29,13 +29,15 @@ SAMPLE_ROWS = 4096
 #: Vectors that one task compares in one go with at most QUERY_CHUNK queries; larger rings are dealt over more tasks.
 RING_SPLIT, QUERY_CHUNK = 20_000, 2048
 EXACT = 2.0**52
+#: (ring, query chunk) pairs up to which the directory of who asks for which ring is broadcast (4 bytes each).
+ASKED_BROADCAST = 1 << 22
 
 
 def integer_vectors(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
     """``vec_id, vec, norm2``: floor(scale * x) of every component as packed 64-bit integers.
 
-    Rows with a null vec_id or vector, or with a null or non-finite component, take no part. A vec_id
-    names one vector: repeated rows count once (of differing ones, the smallest packed value).
+    One row per row that takes part, also for repeated vec_ids; rows with a null vec_id or vector, or with a null or
+    non-finite component, take no part. Components beyond 2^62 in size are held to it.
     """
     x = F.col("embedding").cast("array<double>")
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(
@@ -54,8 +56,7 @@ def integer_vectors(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
                 [b.column("vec_id"), pa.array(packed, pa.binary()), pa.array(norm, pa.float64())], names=["vec_id", "vec", "norm2"]
             )
 
-    out = rows.mapInArrow(run, "vec_id long, vec binary, norm2 double")
-    return out.groupBy("vec_id").agg(F.min_by("norm2", "vec").alias("norm2"), F.min("vec").alias("vec"))
+    return rows.mapInArrow(run, "vec_id long, vec binary, norm2 double")
 
 
 def _matrix(packed: list[bytes], dim: int) -> np.ndarray:
@@ -81,7 +82,7 @@ def _distances(m: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarr
 class PivotIndex:
     """Pivots, the directory of rings (ring number -> smallest and largest distance, rows) and ``rows``, the index table.
 
-    Ring ``c`` belongs to pivot ``c // per``.
+    A row of the table has a number of its own, ``row``; vec_ids may repeat. Ring ``c`` belongs to pivot ``c // per``.
     """
 
     def __init__(
@@ -107,7 +108,7 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sa
     vectors = vectors.checkpoint()
     facts = vectors.agg(F.max(F.octet_length("vec") / 8).alias("dim"), F.max("norm2").alias("top")).first()
     dim, top = int(facts["dim"] or 0), float(facts["top"] or 0.0)
-    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec").limit(sample).collect()
+    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").select("vec").limit(sample).collect()
     m = _matrix([bytes(r["vec"]) for r in taken], dim)
     full = np.column_stack([m, _added(m, top)]) if len(m) else np.zeros((1, dim + 1))
     at = _spread_pivots(full, pivots)
@@ -133,7 +134,8 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sa
                 names=["cell", "d", "vec_id", "vec"],
             )
 
-    keyed = vectors.select("vec_id", "vec").mapInArrow(key, "cell int, d double, vec_id long, vec binary").checkpoint()
+    keyed = vectors.select("vec_id", "vec").mapInArrow(key, "cell int, d double, vec_id long, vec binary")
+    keyed = keyed.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # fixed once it is written
     found = keyed.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).collect()
     return PivotIndex(keyed, at, dim, top, rings, {r["cell"]: (r["lo"], r["hi"], r["n"]) for r in found})
 
@@ -182,15 +184,19 @@ def _search(visits: DataFrame, index: PivotIndex, k: int, query_chunks: int) ->
     """Best ``k`` per (query, ring, part of the ring)."""
     splits = {c: -(-n // RING_SPLIT) for c, (_, _, n) in index.rings.items()}
     parts = F.create_map(*[F.lit(x) for c in splits for x in (c, splits[c])]) if splits else None
-    chunks = F.lit(query_chunks)
-    v = index.rows.select(
+    chunk = F.pmod(F.xxhash64("id"), F.lit(query_chunks)).cast("int").alias("chunk")
+    # a row of the index goes to the chunks of queries that ask for its ring, and to no other
+    asked = visits.select("cell", chunk).distinct().groupBy("cell").agg(F.collect_list("chunk").alias("chunks"))
+    if len(index.rings) * query_chunks <= ASKED_BROADCAST:
+        asked = F.broadcast(asked)
+    v = index.rows.join(asked, "cell").select(
         "cell",
-        (F.pmod(F.xxhash64("vec_id"), parts[F.col("cell")]) if parts is not None else F.lit(0)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"),
+        (F.pmod(F.xxhash64("row"), parts[F.col("cell")]) if parts is not None else F.lit(0)).cast("int").alias("salt"),
+        F.explode("chunks").alias("chunk"), F.lit(1).alias("kind"),
         "d", F.col("vec_id").alias("id"), "vec", F.lit(None).cast("double").alias("radius"),
     )
     wanted = visits.select(
-        "cell", "salt", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"), "d", "id", "vec", "radius"
+        "cell", "salt", chunk, F.lit(0).alias("kind"), "d", "id", "vec", "radius"
     )
     merged = wanted.unionByName(v).repartition("cell", "salt", "chunk").sortWithinPartitions("cell", "salt", "chunk", "kind", "d", "id")
     dim, top = index.dim, index.top
@@ -291,8 +297,9 @@ class _Open:
 def top_k(index: PivotIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest inner products of every query, ties to the smaller vec_id.
 
-    ``queries`` holds vec_ids of indexed vectors; a query's own vector is no candidate. With fewer
-    candidates, all are returned; an empty index gives no rows. Queries are handled in chunks, large
+    ``queries`` holds vec_ids of indexed vectors. Candidates are all rows of the index but those with the query's own
+    vec_id; rows that share a vec_id are candidates each, and a vec_id that is asked for and names several rows
+    gets the best products of all of them. Scores beyond 64 bits are held to them. With fewer candidates, all are returned; an empty index gives no rows. Queries are handled in chunks, large
     rings in parts, so neither a vector that many rows share nor many queries meet in one task.
     """
     asked = index.rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id").select(

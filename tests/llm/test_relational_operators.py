@@ -284,8 +284,10 @@ def test_top_k_edge_cases(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     index = build_index(integer_vectors(df))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(index, index.rows.where("vec_id % 100 = 0")).collect())
-    vectors = {0: [1.0, 2.0], 100: [0.5], 4: [], 6: [-1.0, 0.1]}
-    assert got == brute_top(vectors, [0, 100], 10)
+    # both rows of vec_id 0 ask, and both are candidates
+    valid = [(0, [1024, 2048]), (0, [1024, 2048]), (100, [512]), (4, []), (6, [-1024, 102])]
+    pairs = {q: sorted((-sum(x * y for x, y in zip(a, b)), j) for i, a in valid if i == q for j, b in valid if j != q) for q in (0, 100)}
+    assert got == [(q, r + 1, j, -s) for q in (0, 100) for r, (s, j) in enumerate(pairs[q][:10])]
     empty = build_index(integer_vectors(df.limit(0)))
     assert top_k(empty, empty.rows).count() == 0
 
@@ -357,3 +359,26 @@ def test_most_frequent_words_of_one_large_class(spark):
     assert 800 <= len(h) <= 1000 and len(set(h.tolist())) == len(h) and (n == 1).all()
     again, _ = most_frequent(counts.repartition(5), 1000)
     assert (h == again).all()
+
+
+def test_search_keeps_every_row_of_a_vec_id(spark):
+    """Differing rows of one vec_id are candidates each; a third of the rows share one id; several query chunks."""
+    import seqloom.llm.pivot_search as P
+
+    rng = np.random.default_rng(17)
+    rows = [(int(rng.integers(0, 60)) if k % 3 else 7, rng.normal(size=5).round(2).tolist()) for k in range(600)]
+    rows += [(1, [5.0] + [0.0] * 4), (1, [9.0] + [0.0] * 4), (200, [1.0] + [0.0] * 4), (300, [1.0, 0.5] + [0.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    old = P.QUERY_CHUNK, P.RING_SPLIT
+    P.QUERY_CHUNK, P.RING_SPLIT = 3, 40
+    try:
+        index = P.build_index(P.integer_vectors(df), pivots=4, rings=3)
+        got = P.top_k(index, index.rows.where("vec_id % 10 = 0").select("vec_id"), 10).collect()
+    finally:
+        P.QUERY_CHUNK, P.RING_SPLIT = old
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in whole if i % 10 == 0}):
+        pairs = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)[:10]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(pairs)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
