@@ -48,7 +48,6 @@ _END = (0, 2 * INSERT, INSERT, 0)
 _LONG = (1 << 63) - 1
 
 
-@lru_cache(maxsize=1 << 16)
 def backward_step(rest: tuple[int, int, int, int], initial: str, fault: int) -> tuple[tuple[int, int, int, int], int]:
     """Costs before a row from the costs after it, and the row's backpointers.
 
@@ -110,6 +109,7 @@ def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _point_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a conversation from the last to the first: adds ``left`` (rows after it), ``cost`` and ``pointers``."""
+    step = lru_cache(maxsize=1 << 16)(backward_step)  # here, as a cache of the module would not reach the workers by value
     current, rest, base, left = object(), _END, 0, 0
     for b in batches:
         lefts, costs, bytes_ = [], [], []
@@ -118,7 +118,7 @@ def _point_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ):
             if conv != current:
                 current, rest, base, left = conv, _END, 0, 0
-            rest, pointers = backward_step(rest, role[:1], fault)
+            rest, pointers = step(rest, role[:1], fault)
             lefts.append(left)
             bytes_.append(pointers)
             costs.append(base + rest[0])
