@@ -45,9 +45,9 @@ MIN_SHARE = 2e-4
 #: Longest context in words, and how often a context of words must occur.
 DEPTH, MIN_COUNT = 3, 1024
 #: Terms of the word tree that are broadcast.
-HOT = 1 << 22
-#: Bits of the fixed-size tables that rule out keys before they are counted or joined.
-FILTER_BITS = 26
+HOT = 1 << 21
+#: Bits of the tables that rule out keys before they are counted or joined: 16 a key, within these bounds (16 MB at most).
+FILTER_BITS = 16, 27
 #: Stands before and after every text in the sequence of word hashes.
 EDGE = 0x5851F42D4C957F2D
 
@@ -139,22 +139,26 @@ def context_counts(documents: DataFrame, frequent: dict, text: str = "text") ->
     return rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class KeyFilter:
-    """Bit table of fixed size over 64-bit keys: never false for a key it holds."""
+def key_filter(keys: DataFrame) -> np.ndarray | None:
+    """Bit table over the 64-bit keys ``h``, as words of 32 bits (a power of two of them); None without a key."""
+    n = keys.count()
+    if not n:
+        return None
+    bits = min(max(math.ceil(math.log2(16 * n)), FILTER_BITS[0]), FILTER_BITS[1])
+    at = F.col("h").bitwiseAND((1 << bits) - 1)
+    found = (
+        keys.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS INT)))").alias("set")).toArrow()  # at most 2^22 rows
+    )
+    words = np.zeros(1 << (bits - 5), np.uint32)
+    words[found.column("w").to_numpy()] = found.column("set").to_numpy().astype(np.uint32)
+    return words
 
-    def __init__(self, keys: DataFrame):
-        at = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
-        found = (
-            keys.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS INT)))").alias("set")).toArrow()  # at most 2^21 rows
-        )
-        self.words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        self.words[found.column("w").to_numpy()] = found.column("set").to_numpy().astype(np.uint32)
-        self.empty = not found.num_rows
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64((1 << FILTER_BITS) - 1)
-        return (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether ``key_filter`` may have seen the keys; never false for one that it has."""
+    at = keys & np.uint64(32 * len(table) - 1)
+    return (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
 class _Contexts:
@@ -186,12 +190,11 @@ def _with_key(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("e", T.LongType())]))
 
 
-def pair_counts(documents: DataFrame, level: int, depth: int, allowed: KeyFilter, text: str = "text") -> DataFrame:
-    """``s, pe, n``: occurrences of every (context of ``level`` words, next word), for contexts that ``allowed`` lets through.
+def pair_counts(documents: DataFrame, level: int, depth: int, shared, text: str = "text") -> DataFrame:
+    """``s, pe, n``: occurrences of every (context of ``level`` words, next word), for contexts that the broadcast table lets through.
 
     ``s`` is the key of the context, ``pe`` of the pair without the oldest word (for one word: the next word's hash).
     """
-    shared = documents.sparkSession.sparkContext.broadcast(allowed)
 
     def batch(_: np.ndarray, s: np.ndarray, pe: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s, pe, n)], names=["s", "pe", "n"])
@@ -210,7 +213,7 @@ def pair_counts(documents: DataFrame, level: int, depth: int, allowed: KeyFilter
             c = _Contexts(Words(texts, powers), len(texts), depth)
             every = np.arange(len(c.at))
             s = c.windows(level, level, every)
-            use = np.flatnonzero(allowed.has(s))
+            use = np.flatnonzero(may_hold(allowed, s))
             pe = c.windows(level, level - 1, use)
             parts.append(merged([(c.windows(level + 1, level, use), s[use], pe, np.ones(len(use), np.int64))]))
             held += len(parts[-1][0])
@@ -236,24 +239,37 @@ def word_tree(
     which contexts the next level can have. Counts of contexts, tests and smoothing are Spark aggregates and joins.
     """
     spark = documents.sparkSession
+    written: list[str] = []
 
     def kept(df: DataFrame) -> DataFrame:
         path = scratch_path(spark, "tree")
         df.write.parquet(path)
+        written.append(path)
         return spark.read.parquet(path)
 
+    def release(paths: list[str]) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            written.remove(path)
+
     edge = spark.createDataFrame([(EDGE, n_texts)], "h long, n long")
     words = counts.select("h", "n").unionByName(edge)
     often = words.where(F.col("n") >= min_count).select("h")
     parent = words.select(F.col("h").alias("pe"), ((F.col("n") + 1) / F.lit(norm)).alias("q"), F.lit(None).cast("long").alias("ps"))
     levels = []
     for level in range(1, depth + 1):
-        allowed = KeyFilter(often)
-        if allowed.empty:
+        allowed = key_filter(often)
+        if allowed is None:
             break
-        pairs = kept(pair_counts(documents, level, depth, allowed, text))
+        shared = spark.sparkContext.broadcast(allowed)
+        pairs = kept(pair_counts(documents, level, depth, shared, text))
+        counted = written[-1:]
+        shared.unpersist()
         size = kept(pairs.groupBy("s").agg(F.sum("n").alias("whole"), F.count("*").alias("d")).where(F.col("whole") >= min_count))
         stored = kept(pairs.join(size.select("s"), "s", "left_semi").join(parent, "pe").select("s", "pe", "ps", "n", "q"))
+        release(counted)
         p = (F.col("n") + F.col("d") * F.col("q")) / (F.col("whole") + F.col("d"))
         full = stored.join(size, "s").withColumn("p", p)
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("q")))
@@ -275,7 +291,12 @@ def word_tree(
         seen = _with_key(full.join(nodes.select("s"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v")
         terms = own.unionByName(seen) if terms is None else terms.unionByName(own).unionByName(seen)
         below = nodes
-    return None if terms is None else kept(terms)
+    if terms is None:
+        return None
+    steps = list(written)
+    terms = kept(terms)
+    release(steps)
+    return terms
 
 
 def _smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -417,7 +438,7 @@ def _hot_terms(terms: DataFrame | None, limit: int) -> dict:
         h, order = (x := found.column("h").to_numpy().view(np.uint64)), np.argsort(x)
         none = {"hot": h[order], "value": found.column("v").to_numpy()[order]}
     rest = terms is not None and terms.count() > len(none["hot"])
-    return none | {"cold": KeyFilter(terms.select("h")) if rest else None}
+    return none | {"cold": key_filter(terms.select("h")) if rest else None}
 
 
 def _tree_terms(
@@ -438,7 +459,7 @@ def _tree_terms(
         at = hot.find(node)
         here = at >= 0
         more[use[here]] += s["value"][at[here]]
-        perhaps = ~here & s["cold"].has(node) if s["cold"] is not None else np.zeros(len(use), bool)
+        perhaps = ~here & may_hold(s["cold"], node) if s["cold"] is not None else np.zeros(len(use), bool)
         later(use[perhaps], node[perhaps], by_class[use[perhaps]] if level == 1 else np.zeros(int(perhaps.sum())))
         if level == 1:
             none = use[~here & ~perhaps]
@@ -449,7 +470,7 @@ def _tree_terms(
         here = at >= 0
         more[use[here]] += s["value"][at[here]]
         if s["cold"] is not None:
-            there = ~here & s["cold"].has(pair)
+            there = ~here & may_hold(s["cold"], pair)
             later(use[there], pair[there], np.zeros(int(there.sum())))
     return more, *(np.concatenate(x) for x in (rows, keys, alts))
 
