@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators (thin: operator output -> contract columns) and their DuckDB SQL."""
+"""Registered queries of the thirteen operators (thin: operator output -> contract columns) and their DuckDB SQL."""
 
 from __future__ import annotations
 
