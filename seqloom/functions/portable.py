@@ -28,12 +28,6 @@ def uniform(seed, *parts) -> Column:
     return F.conv(F.substring(F.md5(_key(seed, parts)), 1, 13), 16, 10).cast("bigint") / F.lit(TWO_52)
 
 
-def uniform_fast(seed, *parts) -> Column:
-    """xxhash64-based uniform in [0, 1): faster, Spark-only (no SQL oracle)."""
-    h = F.xxhash64(F.lit(int(seed)), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
-
-
 def normal(seed, *parts) -> Column:
     """Standard normal by Box-Muller from two portable uniforms."""
     u1 = uniform(seed, *parts, "a")
