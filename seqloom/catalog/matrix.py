@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from ..functions.portable import normal_sql, r6, r6_sql, rnd, rnd_sql
 from ..operators.matrix import (
     NS_COEFFS, add_delta, balance, clip, fan_out, global_norm, lane_mean, layer_norm, mix, orthogonalize,
+    potentials,
 )
+from ..session import checkpoint_dir
 from . import register, table
 
 SEED = 42
 LANES = 4
 SIGMA = 0.02
 ITERS = 5
+TOL = 1e-4  # x1_residual: largest deviation of a row sum from 1
 
 
 def revenue_matrix(spark, sf_dir):
@@ -83,6 +86,26 @@ def x1_balance(spark, sf_dir):
     return balanced(spark, sf_dir).select("i", "j", r6("p").alias("p"))
 
 
+def _sql_residual(iters: int = ITERS) -> str:
+    after = " UNION ALL ".join(
+        f"SELECT {t} AS rounds, max(abs(s - 1)) AS residual FROM (SELECT i, sum(exp(w)) AS s FROM c{t} GROUP BY i) q{t}"
+        for t in range(1, iters + 1)
+    )
+    return f""",
+after AS ({after}),
+stop AS (SELECT coalesce(min(CASE WHEN residual <= {TOL} THEN rounds END), {iters}) AS rounds FROM after)
+SELECT CAST(rounds AS BIGINT) AS rounds, {r6_sql('residual')} AS residual FROM after JOIN stop USING (rounds)"""
+
+
+@register("x1_residual", _sql_balance() + _sql_residual())
+def x1_residual(spark, sf_dir):
+    """Rounds until every row sum is within TOL of 1, and the largest deviation then."""
+    m = revenue_matrix(spark, sf_dir).select("i", "j", F.log("revenue").alias("w"))
+    checkpoint_dir(spark)
+    _, _, rounds, residual = potentials(m.checkpoint(), iters=ITERS, tol=TOL)
+    return spark.range(1).select(F.lit(rounds).cast("bigint").alias("rounds"), r6(F.lit(residual)).alias("residual"))
+
+
 _SQL_X2 = f""",
 x AS (
   SELECT l_suppkey AS supp, CAST(nc.n_regionkey AS BIGINT) AS lane, sum(l_extendedprice * (1 - l_discount)) AS x

@@ -1,8 +1,8 @@
 """Matrix and vector-table operators.
 
 Matrices are coordinate tables ``(i, j, w)`` of any size; vectors are
-``array<double>`` columns. Reductions over a matrix axis are windows
-partitioned by that axis; join strategies are left to the planner.
+``array<double>`` columns. Reductions over a matrix axis are map-side
+aggregates by that axis; join strategies are left to the planner.
 """
 
 from __future__ import annotations
@@ -11,19 +11,93 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.portable import normal
+from ..functions.skew import heavy_hitter_join, heavy_keys
 
-def _lse_step(df: DataFrame, axis: str, w: str) -> DataFrame:
-    # max-shifted log-sum-exp over one axis; one exchange by the axis, and the
-    # plan stays linear across iterations (each step references its input once)
-    win = Window.partitionBy(axis)
-    shifted = df.withColumn("__m", F.max(w).over(win))
-    lse = F.col("__m") + F.log(F.sum(F.exp(F.col(w) - F.col("__m"))).over(win))
-    return shifted.withColumn(w, F.col(w) - lse).drop("__m")
+
+#: Labels at most for which a potential vector is broadcast (one label and one double each).
+BROADCAST_LABELS = 500_000
+
+#: Width of the exponent classes of a log-sum-exp; sums of ``exp(x - class * width)`` stay within doubles.
+EXP_WIDTH = 64.0
+
+
+def _log_sum_exp(df: DataFrame, axis: str, x: str, out: str) -> DataFrame:
+    """``log(sum(exp(x)))`` per ``axis`` value, without a window and without a first pass for the maximum.
+
+    Terms are summed map-side per (axis, exponent class), scaled by the class, so a dense row costs each task a few partial
+    sums; the classes of one axis value (a handful) are then put together relative to the highest.
+    """
+    cls = F.floor(F.col(x) / F.lit(EXP_WIDTH))
+    sums = df.groupBy(axis, cls.alias("__c")).agg(F.sum(F.exp(F.col(x) - cls * F.lit(EXP_WIDTH))).alias("__s"))
+    parts = sums.groupBy(axis).agg(F.max("__c").alias("__top"), F.collect_list(F.struct("__c", "__s")).alias("__parts"))
+    scaled = F.aggregate(
+        "__parts", F.lit(0.0), lambda a, p: a + p["__s"] * F.exp((p["__c"] - F.col("__top")) * F.lit(EXP_WIDTH))
+    )
+    return parts.select(axis, (F.col("__top") * F.lit(EXP_WIDTH) + F.log(scaled)).alias(out))
+
+
+def potentials(
+    cells: DataFrame, iters: int = 5, tol: float | None = None, checkpoint_every: int = 10
+) -> tuple[DataFrame, DataFrame, int, float | None]:
+    """Row and column potentials of ``cells(i, j, w)``: ``exp(w + u + v)`` is balanced.
+
+    Returns ``(rows(i, u), columns(j, v), rounds, residual)``. The cells are read, never rewritten: a round aggregates
+    ``w + v`` to one number per row and ``w + u`` to one per column. With ``tol`` the iteration ends at the first round that
+    after which every row sum is within ``tol`` of 1, or after ``iters`` rounds; ``residual`` is the largest deviation then. The
+    row step of the next round yields it, so only the last test is an extra pass. Without ``tol`` there are ``iters`` rounds and it is None.
+
+    A potential vector of at most ``BROADCAST_LABELS`` labels is broadcast. A longer one is joined, and rows or columns
+    that hold more than their share of the cells meet their few potentials by a broadcast of their own.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(cells.sparkSession)
+    heavy = _heavy_labels(cells)
+    cut = tol is not None or heavy is not None
+
+    def sums(vector: DataFrame | None, by: str, axis: str, value: str) -> DataFrame:
+        if vector is None:
+            return _log_sum_exp(cells, axis, "w", "l")
+        met = _meet(cells, vector, by, heavy)
+        return _log_sum_exp(met.withColumn("__x", F.col("w") + F.col(value)), axis, "__x", "l")
+
+    u = v = row_sums = residual = None
+    rounds = 0
+    for _ in range(int(iters)):
+        row_sums = sums(v, "j", "i", "v") if row_sums is None else row_sums
+        u = row_sums.select("i", (-F.col("l")).alias("u"))
+        u = u.checkpoint(eager=True) if cut else u
+        v = sums(u, "i", "j", "u").select("j", (-F.col("l")).alias("v"))
+        rounds += 1
+        if cut or (checkpoint_every and rounds % checkpoint_every == 0):
+            v = v.checkpoint(eager=True)
+        row_sums = None
+        if tol is not None:
+            # the row step of the next round also tells how far the rows are from 1 now
+            row_sums = sums(v, "j", "i", "v").checkpoint(eager=True)
+            residual = row_sums.join(u, "i").agg(F.max(F.abs(F.exp(F.col("l") + F.col("u")) - 1))).first()[0]
+            if residual <= tol:
+                break
+    return u, v, rounds, residual
+
+
+def _heavy_labels(cells: DataFrame) -> dict | None:
+    """None where a vector of all labels may be broadcast; else the labels of each axis with a large share of the cells."""
+    labels = cells.agg(F.approx_count_distinct("i").alias("n")).first()["n"]
+    if labels <= BROADCAST_LABELS // 2:  # the estimate is within a few percent
+        return None
+    return {axis: heavy_keys(cells.groupBy(axis).agg(F.count(F.lit(1)).alias("n")), axis) for axis in ("i", "j")}
+
+
+def _meet(cells: DataFrame, vector: DataFrame, axis: str, heavy: dict | None) -> DataFrame:
+    if heavy is None:
+        return cells.join(F.broadcast(vector), axis)
+    return heavy_hitter_join(cells, vector, axis, heavy[axis])
 
 
 def balance(
@@ -34,13 +108,15 @@ def balance(
     iters: int = 5,
     out: str = "p",
     checkpoint_every: int = 10,
+    tol: float | None = None,
 ) -> DataFrame:
     """Log-domain Sinkhorn balancing; ``iters`` rounds of (row log-sum-exp
-    subtraction, then column log-sum-exp subtraction), max-shifted; ``exp`` at the end.
+    subtraction, then column log-sum-exp subtraction), kept as one potential per row and
+    column (``potentials``); ``exp`` at the end. With ``tol`` it may end earlier.
 
-    Columns sum to 1 (the column step is last), rows approximately. The index
-    set must be square (same row and column labels), else the targets
-    conflict; an index with no cell would be an empty row or column. The
+    Columns sum to 1 (the column step is last), rows approximately. A null or ``-inf`` weight is a
+    cell of weight zero and stays zero. The index set of the other cells must be square (same row and
+    column labels), else the targets conflict; null labels, NaN and ``+inf`` raise. The
     lineage is cut with a reliable checkpoint in the shared checkpoint folder
     every ``checkpoint_every`` rounds (0 = never), which bounds the plan depth
     of long runs; the default 5 rounds need none.
@@ -52,25 +128,32 @@ def balance(
     # to the shared checkpoint folder so validation and the iterations reuse it
     checkpoint_dir(df.sparkSession)
     base = base.checkpoint(eager=True)
-    labels = base.select(F.col("i").alias("label"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
-        base.select(F.col("j").alias("label"), F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    per_label = labels.groupBy("label").agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    zero = F.col("w").isNull() | (F.col("w") == F.lit(float("-inf")))
+    filled = base.where(~zero)
+    labels = filled.select(F.explode(F.array(
+        F.struct(F.col("i").alias("label"), F.lit(1).alias("r"), F.lit(0).alias("c")),
+        F.struct(F.col("j").alias("label"), F.lit(0).alias("r"), F.lit(1).alias("c")),
+    )).alias("l"), "w").select("l.*", (F.isnan("w") | (F.col("w") == F.lit(float("inf")))).alias("bad"))
+    per_label = labels.groupBy("label").agg(F.max("r").alias("r"), F.max("c").alias("c"), F.max("bad").alias("bad"))
     stats = per_label.agg(
         F.count(F.lit(1)).alias("labels"),
         F.sum(F.when((F.col("r") == 1) & (F.col("c") == 1), 1).otherwise(0)).alias("both"),
+        F.max(F.col("bad") | F.col("label").isNull()).alias("bad"),
     ).first()
     if not stats["labels"]:
         raise ValueError("empty matrix")
+    if stats["bad"]:
+        raise ValueError("labels must not be null, weights neither NaN nor infinite")
     if stats["both"] != stats["labels"]:
         raise ValueError("balancing needs a square index set: every row label must also be a column label")
-    cur = base
-    for it in range(int(iters)):
-        cur = _lse_step(cur, "i", "w")
-        cur = _lse_step(cur, "j", "w")
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint(eager=True)
-    return cur.select(F.col("i").alias(i), F.col("j").alias(j), F.exp("w").alias(out))
+    zeros = base.where(zero).select(F.col("i").alias(i), F.col("j").alias(j), F.lit(0.0).alias(out))
+    total = F.col("w")
+    if int(iters) > 0:
+        u, v, _, _ = potentials(filled, iters, tol, checkpoint_every)
+        heavy = _heavy_labels(filled)
+        filled = _meet(_meet(filled, u, "i", heavy), v, "j", heavy)
+        total = total + F.col("u") + F.col("v")
+    return filled.select(F.col("i").alias(i), F.col("j").alias(j), F.exp(total).alias(out)).unionByName(zeros)
 
 
 def residuals(p: DataFrame, i: str = "i", j: str = "j", val: str = "p") -> DataFrame:

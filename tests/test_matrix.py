@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators.matrix import (
-    balance, clip, fan_out, global_norm, lane_mean, layer_norm, mix, orthogonalize, residuals,
+    balance, clip, fan_out, global_norm, lane_mean, layer_norm, mix, orthogonalize, potentials, residuals,
 )
 
 
@@ -57,6 +57,60 @@ def test_balance_rejects_non_square(spark):
         balance(df)
 
 
+def test_balance_uses_no_window(spark):
+    w = np.random.default_rng(3).normal(size=(3, 3))
+    plan = balance(_cells(spark, w), iters=2)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_balance_stops_at_the_residual(spark):
+    w = np.random.default_rng(8).normal(size=(6, 6)) * 3
+    cells = _cells(spark, w)
+    u, v, rounds, residual = potentials(cells, iters=200, tol=1e-3)
+    assert rounds < 200 and residual <= 1e-3
+    want = [np.abs(_np_sinkhorn(w, t).sum(axis=1) - 1).max() for t in range(1, rounds + 1)]
+    assert residual == pytest.approx(want[-1], abs=1e-9)
+    assert all(r > 1e-3 for r in want[:-1])
+    _, _, rounds, residual = potentials(cells, iters=2, tol=1e-12)
+    assert rounds == 2 and residual == pytest.approx(want[1], abs=1e-9)
+
+
+def test_balance_wide_range_of_weights(spark):
+    # weights far beyond the range of exp: only relative sums are ever formed
+    w = np.random.default_rng(4).normal(size=(5, 5)) * 900
+    got = balance(_cells(spark, w), iters=7).toPandas().set_index(["i", "j"])["p"]
+    want = _np_sinkhorn(w, 7)
+    assert all(got[(i, j)] == pytest.approx(want[i, j], abs=1e-9) for i in range(5) for j in range(5))
+
+
+def test_balance_heavy_labels_beyond_the_broadcast_bound(spark, monkeypatch):
+    from seqloom.operators import matrix
+
+    w = np.full((30, 30), -np.inf)
+    rng = np.random.default_rng(6)
+    w[0, :] = rng.normal(size=30)  # a dense row and column hold most cells
+    w[:, 0] = rng.normal(size=30)
+    w[np.arange(30), np.arange(30)] = rng.normal(size=30)
+    monkeypatch.setattr(matrix, "BROADCAST_LABELS", 2)
+    monkeypatch.setattr(matrix, "heavy_keys", lambda counts, key: [0])
+    got = balance(_cells(spark, w), iters=3).toPandas().set_index(["i", "j"])["p"]
+    want = _np_sinkhorn(w, 3)
+    assert len(got) == 900
+    assert all(got[(i, j)] == pytest.approx(want[i, j], abs=1e-12) for i in range(30) for j in range(30))
+
+
+@pytest.mark.parametrize("bad", [(0, 0, float("nan")), (0, 0, float("inf")), (None, 0, 1.0)])
+def test_balance_rejects_bad_cells(spark, bad):
+    with pytest.raises(ValueError):
+        balance(spark.createDataFrame([bad, (0, 0, 1.0)], "i int, j int, w double"))
+
+
+def test_balance_null_weight_is_zero(spark):
+    df = spark.createDataFrame([(0, 0, 0.0), (0, 1, None), (1, 0, 0.0), (1, 1, 0.0)], "i int, j int, w double")
+    p = {(r["i"], r["j"]): r["p"] for r in balance(df).collect()}
+    assert p[(0, 1)] == 0.0 and p[(0, 0)] + p[(1, 0)] == pytest.approx(1.0)
+
+
 def test_mix_matches_einsum(spark):
     rng = np.random.default_rng(42)
     B, S, N, D = 2, 8, 4, 16
