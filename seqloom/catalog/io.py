@@ -8,8 +8,8 @@ from ..functions.arrays import digest
 from ..functions.portable import epoch_micros, r6, r6_sql, uniform_sql
 from ..operators.sequences import build_vocab, encode, lookup
 from ..plans.batches import accumulate, annotate_steps, assign_shards, plan_batches, steps_report
-from ..session import checkpoint_dir, scratch_path
-from ..sources.corpora import Corpus, mixed_corpus, scan_artifacts, scan_corpora, scan_pairs, write_pairs
+from ..session import scratch_path
+from ..sources.corpora import Corpus, canonical_path, mixed_corpus, scan_artifacts, scan_corpora, scan_pairs, write_pair_shards
 from ..streaming.state import decay_stream, init_state, pack_stream
 from ..operators.scans import decay_scan, final_state
 from . import prepare, register, table
@@ -18,7 +18,7 @@ from .scans import _SQL_REC, D
 
 SEED = 42
 WEIGHTS = (0.6, 0.4)
-FILE_ROWS = 16  # rows per derived pair file for the loader plans
+FILE_ROWS = 100  # rows per pair file, small enough that the smallest tables give several
 WORKERS = 4
 BATCH = 4
 MAX_STEPS = 150
@@ -93,11 +93,7 @@ _T4_SQL = _with(_sql_taken(), _sql_encoded(), _sql_packed(SEQ_LEN, prepare.GROUP
 
 
 def _written_pairs(spark, sf_dir) -> str:
-    path = scratch_path(spark, "pairs")
-    # the sink counts its rows: the pairs are computed once
-    checkpoint_dir(spark)
-    write_pairs(pairs(spark, sf_dir).checkpoint(), path)
-    return path
+    return write_pair_shards(pairs(spark, sf_dir), scratch_path(spark, "pairs"), file_rows=FILE_ROWS)
 
 
 @register("s3_write_pairs", _T4_SQL)
@@ -119,9 +115,8 @@ def s2_scan_pairs(spark, sf_dir):
 def s4_scan_artifacts(spark, sf_dir):
     # the listing of the files that the sink wrote, against the rows read from each
     path = _written_pairs(spark, sf_dir)
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1).alias("name")
-    listing = scan_artifacts(spark, path, "*.parquet").select(name("path"), "length")
-    read = scan_pairs(spark, path).groupBy(name("file")).agg(F.count(F.lit(1)).alias("n"))
+    listing = scan_artifacts(spark, path, "*.parquet").select(canonical_path("path").alias("name"), "length")
+    read = scan_pairs(spark, path).groupBy(canonical_path("file").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     both = listing.join(read, "name", "full_outer")
     return both.agg(
         F.sum("n").cast("bigint").alias("rows"),
@@ -130,27 +125,18 @@ def s4_scan_artifacts(spark, sf_dir):
     )
 
 
-# ---- loader plans over the pair table, cut into deterministic "files" of FILE_ROWS rows
+# ---- loader plans over the files that the sink wrote
 
-def _pair_rows(spark, sf_dir):
-    # the pair table is the input of the loader: materialise it once in the shared
-    # checkpoint folder (the loader plans run small actions over it)
-    checkpoint_dir(spark)
-    p = pairs(spark, sf_dir).select("seq_id").checkpoint(eager=True)
-    return p.select(
-        F.format_string("part-%012d.parquet", F.floor(F.col("seq_id") / F.lit(FILE_ROWS)).cast("bigint")).alias("file"),
-        (F.col("seq_id") % F.lit(FILE_ROWS)).alias("row"),
-        "seq_id",
-    )
-
-
-def _shards(spark, rows):
-    files = rows.select(F.col("file").alias("path")).distinct()
-    return assign_shards(files, WORKERS)
+def _loader(spark, sf_dir):
+    """Rows ``(file, row, seq_id)`` and listed files of the written pairs, as the readers see them."""
+    path = _written_pairs(spark, sf_dir)
+    rows = scan_pairs(spark, path).select(canonical_path("file").alias("file"), "row", "seq_id")
+    files = scan_artifacts(spark, path, "*.parquet").select(canonical_path("path").alias("path"))
+    return rows, assign_shards(files, WORKERS)
 
 
 _SQL_ROWS = f""",
-prow AS (SELECT printf('part-%012d.parquet', CAST(seq_id // {FILE_ROWS} AS BIGINT)) AS file, seq_id % {FILE_ROWS} AS row, seq_id FROM masked),
+prow AS (SELECT printf('shard=%012d', CAST(seq_id // {FILE_ROWS} AS BIGINT)) AS file, seq_id % {FILE_ROWS} AS row, seq_id FROM masked),
 files AS (SELECT file, CAST(row_number() OVER (ORDER BY file) - 1 AS BIGINT) AS file_rank FROM (SELECT DISTINCT file FROM prow) f),
 per AS (SELECT CAST(ceil(count(*) / {float(WORKERS)!r}) AS BIGINT) AS per FROM files),
 shards AS (SELECT file, file_rank, CAST(file_rank // (SELECT per FROM per) AS BIGINT) AS worker FROM files)"""
@@ -159,7 +145,8 @@ shards AS (SELECT file, file_rank, CAST(file_rank // (SELECT per FROM per) AS BI
 
 @register("l1_assign_shards", _PAIRS_WITH + _SQL_ROWS + "\nSELECT file AS path, file_rank, worker FROM shards")
 def l1_assign_shards(spark, sf_dir):
-    return _shards(spark, _pair_rows(spark, sf_dir))
+    _, shards = _loader(spark, sf_dir)
+    return shards.select(F.regexp_extract("path", "(shard=[0-9]+)", 1).alias("path"), "file_rank", "worker")
 
 
 _SQL_BATCHES = _SQL_ROWS + f""",
@@ -176,8 +163,8 @@ stepped AS (
 
 
 def _batches(spark, sf_dir):
-    rows = _pair_rows(spark, sf_dir)
-    return plan_batches(rows, _shards(spark, rows), BATCH, file="file", row="row", path="path")
+    rows, shards = _loader(spark, sf_dir)
+    return plan_batches(rows, shards, BATCH)
 
 
 @register("l2_plan_batches", _PAIRS_WITH + _SQL_BATCHES + "\nSELECT seq_id, worker, batch, ordinal_in_worker, step FROM stepped")

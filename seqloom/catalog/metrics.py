@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from ..functions.portable import r6, r6_sql
 from ..operators.matrix import layer_norm
 from ..operators.metrics import (
-    check_finite, check_rectangular, combine, cross_entropy, cross_entropy_long, paired_mse_frame, trend,
+    check_finite, check_rectangular, combine, cross_entropy, cross_entropy_long, paired_mse_frame, shifted_cross_entropy,
+    trend,
 )
+from ..operators.scans import surprise
 from . import register, table
+from .scans import _SQL_VEC, scanned_vectors
 
 LATENT_WEIGHT = 0.5  # reference: gen + 0.5 * latent
+MEMORY_WEIGHT = 0.01  # reference: gen + 0.01 * memory
+SEQUENCE = 50  # consecutive vectors that make one sequence of scores and labels
 
 
 def _emb(spark, sf_dir):
@@ -75,6 +80,45 @@ def g3_combine(spark, sf_dir):
     return c.select(r6("gen").alias("gen"), r6("latent").alias("latent"), r6("total").alias("total"))
 
 
+_SQL_SHIFTED = f"""
+seqs AS (SELECT CAST(embedding AS DOUBLE[]) AS v,
+                lead(label) OVER (PARTITION BY vec_id // {SEQUENCE} ORDER BY vec_id) AS nxt FROM embeddings),
+shifted AS (
+  SELECT avg(list_max(v) + ln(list_sum(list_transform(v, lambda s: exp(s - list_max(v))))) - v[nxt + 1]) AS loss,
+         count(*) AS rows
+  FROM seqs WHERE nxt IS NOT NULL AND nxt <> -100)"""
+
+
+def _shifted(spark, sf_dir):
+    # sequences of consecutive vectors: a score vector and a label per position
+    steps = _emb(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / F.lit(SEQUENCE)).alias("seq")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("steps")
+    )
+    seqs = steps.select("seq", F.col("steps.embedding").alias("scores"), F.col("steps.label").alias("labels"))
+    return shifted_cross_entropy(seqs, "seq", "scores", "labels")
+
+
+@register("g1_shifted_loss", "WITH " + _SQL_SHIFTED + f"\nSELECT {r6_sql('loss')} AS loss, CAST(rows AS BIGINT) AS rows FROM shifted")
+def g1_shifted_loss(spark, sf_dir):
+    return _shifted(spark, sf_dir).select(r6("loss").alias("loss"), "rows")
+
+
+@register(
+    "g3_memory_objective",
+    f"""WITH {_SQL_SHIFTED.strip()},
+mem AS ({_SQL_VEC} SELECT sum(list_sum(list_transform(list_zip(prev, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / sum(len(x)) AS loss
+        FROM r)
+SELECT {r6_sql('shifted.loss')} AS gen, {r6_sql('mem.loss')} AS memory, {r6_sql(f'shifted.loss + {MEMORY_WEIGHT} * mem.loss')} AS total
+FROM shifted, mem""",
+)
+def g3_memory_objective(spark, sf_dir):
+    """Loss over shifted pairs plus the weighted surprise of the memory scan."""
+    gen = _shifted(spark, sf_dir).select("loss")
+    memory = surprise(scanned_vectors(spark, sf_dir), "prev", "x").select(F.col("surprise").alias("loss"))
+    c = combine({"gen": gen, "memory": memory}, {"gen": 1.0, "memory": MEMORY_WEIGHT})
+    return c.select(r6("gen").alias("gen"), r6("memory").alias("memory"), r6("total").alias("total"))
+
+
 @register(
     "v1_trend",
     f"""

@@ -6,6 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import next_token_pairs
+
 IGNORE_INDEX = -100
 
 
@@ -39,6 +41,19 @@ def cross_entropy(df: DataFrame, scores: str, label: str, ignore: int = IGNORE_I
     return df.agg(F.avg(loss).alias("loss"), F.count(loss).cast("bigint").alias("rows"))
 
 
+def shifted_cross_entropy(df: DataFrame, key: str, scores: str, labels: str, ignore: int = IGNORE_INDEX) -> DataFrame:
+    """The scores at position ``t`` of a sequence against the label at ``t + 1``; mean over all such pairs.
+
+    ``scores`` is an array of score vectors, ``labels`` an array of the same length (else it raises). Pairs whose label is
+    ``ignore`` or null leave the sum and the count; sequences of fewer than two positions have no pair.
+    """
+    paired = F.when(F.size(scores) == F.size(labels), F.arrays_zip(F.col(scores).alias("s"), F.col(labels).alias("l"))).otherwise(
+        F.raise_error(F.lit("scores and labels of a sequence differ in length"))
+    )
+    steps = next_token_pairs(df.select(key, paired.alias("__steps")), key, "__steps", score="now", label="next")
+    return cross_entropy(steps.select(F.col("now.s").alias("s"), F.col("next.l").alias("l")), "s", "l", ignore)
+
+
 def cross_entropy_long(
     scores: DataFrame, labels: DataFrame, key: str, item: str, score: str, label: str, ignore=IGNORE_INDEX
 ) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import global_ordinal
+from ..functions.ordinal import exclusive_prefix_sum, natural_ordinal
 
 
 def assign_shards(files: DataFrame, workers: int | None, path: str = "path") -> DataFrame:
@@ -15,15 +15,13 @@ def assign_shards(files: DataFrame, workers: int | None, path: str = "path") ->
     ranks ``[w*per, min((w+1)*per, files))``; trailing workers may own nothing;
     no worker count -> worker 0 owns everything.
 
-    The file table has one row per file (bounded by the listing), so an
-    ordered window over it is cheap.
+    ``files`` is a listing (one row per file, e.g. ``scan_artifacts``). Its ranks come from ranges of
+    paths with a count per range, so a long listing is not sorted in one task.
     """
-    w = Window.orderBy(path)
-    ranked = files.withColumn("file_rank", (F.row_number().over(w) - 1).cast("bigint"))
+    ranked = natural_ordinal(files, [path], name="file_rank")
     if not workers:
         return ranked.withColumn("worker", F.lit(0).cast("bigint"))
-    n = files.count()
-    per = max(1, math.ceil(n / float(workers)))
+    per = max(1, math.ceil(ranked.count() / float(workers)))
     return ranked.withColumn("worker", F.floor(F.col("file_rank") / F.lit(per)).cast("bigint"))
 
 
@@ -38,33 +36,28 @@ def plan_batches(
     """L2: batches of ``batch_size`` rows formed inside each worker's shard, rows in
     file order, short last batch kept, one pass.
 
+    ``row`` is the row's index in its file (Spark's ``_metadata.row_index``): from 0 without gaps, else the plan raises.
+    A row's place in its worker is the count of rows in the files before plus ``row``; only the counts
+    (one row per file) are summed up, the rows are not sorted. Files without rows take no place.
+
     The global ``step`` follows the loader's round-robin over workers: the
     b-th batch of worker w comes after every worker's batches < b and after
-    the b-th batch of each lower worker that has one. The per-worker ordinal
-    is a prefix count over (file rank, row), bucketed by file, so a worker's
-    rows are not sorted in one task.
+    the b-th batch of each lower worker that has one, i.e. the batches (one row each: their
+    first) are numbered in the order (batch, worker).
     """
-    s = shards.select(F.col(path).alias(file), "file_rank", "worker")
-    j = rows.join(s, file)
-    j = global_ordinal(
-        j.withColumn("__wf", F.col("worker") * F.lit(1 << 32) + F.col("file_rank")),
-        F.col("__wf"),
-        [F.col("file_rank"), F.col(row)],
-        name="__g",
+    per_file = rows.groupBy(F.col(file).alias("__f")).agg(F.count(F.lit(1)).alias("__n"), F.max(row).alias("__last"))
+    dense = F.when(F.col("__last") + 1 != F.col("__n"), F.raise_error(F.lit("row indices of a file have gaps"))).otherwise(F.col("__n"))
+    counted = shards.select(F.col(path).alias("__f"), "file_rank", "worker").join(per_file, "__f").withColumn("__n", dense)
+    placed = exclusive_prefix_sum(counted.select("__f", "file_rank", "worker", "__n"), "file_rank", "__n", "__start")
+    firsts = placed.groupBy("worker").agg(F.min("__start").alias("__w0"))  # one row per worker
+    places = placed.join(firsts, "worker").select(
+        F.col("__f").alias(file), "file_rank", "worker", (F.col("__start") - F.col("__w0")).alias("__before")
     )
-    # __g is global over (worker, file_rank, row); subtract each worker's start
-    starts = j.groupBy("worker").agg(F.min("__g").alias("__w0"), F.count(F.lit(1)).alias("__wn"))
-    counts = {r["worker"]: r["__wn"] for r in starts.collect()}  # one row per worker
-    nb = {w: -(-c // int(batch_size)) for w, c in counts.items()}
-    j = j.join(F.broadcast(starts.select("worker", "__w0")), "worker")
-    j = j.withColumn("ordinal_in_worker", (F.col("__g") - F.col("__w0")).cast("bigint"))
-    b = F.floor(F.col("ordinal_in_worker") / F.lit(int(batch_size))).cast("bigint")
-    j = j.withColumn("batch", b)
-    step = F.lit(0).cast("bigint")
-    for w, n in sorted(nb.items()):
-        step = step + F.least(F.col("batch"), F.lit(int(n)))
-        step = step + F.when((F.lit(int(w)) < F.col("worker")) & (F.lit(int(n)) > F.col("batch")), 1).otherwise(0)
-    return j.withColumn("step", step.cast("bigint")).drop("__wf", "__g", "__w0")
+    j = rows.join(places, file)
+    j = j.withColumn("ordinal_in_worker", (F.col("__before") + F.col(row)).cast("bigint")).drop("__before")
+    j = j.withColumn("batch", F.floor(F.col("ordinal_in_worker") / F.lit(int(batch_size))).cast("bigint"))
+    heads = j.where(F.col("ordinal_in_worker") % F.lit(int(batch_size)) == 0).select("batch", "worker")
+    return j.join(natural_ordinal(heads, ["batch", "worker"], name="step"), ["batch", "worker"])
 
 
 def lr_multiplier(step, warmup: int, max_steps: int):
