@@ -4,8 +4,9 @@ A rule ``(host, path)`` fits its host and all subdomains when the url's path
 starts with the rule's path. The canonical key of a rule is the reversed host
 followed by the path (``example.com`` + ``/en/`` -> ``com.example./en/``), so
 "starts with" becomes the key interval ``[key, key + U+10FFFF)``. A url has one
-key per suffix of its host (its own labels, the parent's, ...), so a rule fits
-exactly when one of these keys lies in the rule's interval.
+key per suffix of its host (its own labels, the parent's, ...) with as many labels
+as some rule's host, so a rule fits exactly when one of these keys lies in the
+rule's interval, and a host of very many labels costs no more than a short one.
 
 Intervals of prefixes nest. In key order, the stack of active rules changes
 only at interval bounds: a start puts its rule on top, an end restores the
@@ -50,12 +51,21 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
 
 
-def _suffix_keys(host: Column, path: Column) -> Column:
-    labels = F.reverse(F.split(host, "\\."))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit("."), path),
-    )
+def _labels(host: Column) -> Column:
+    return F.reverse(F.split(host, "\\."))
+
+
+def _suffix_keys(host: Column, path: Column, counts: list[int]) -> Column:
+    """Keys of the host's suffixes of as many labels as some rule's host has; no other suffix can meet a rule."""
+    labels = _labels(host)
+    fits = F.filter(F.array(*[F.lit(c) for c in counts]).cast("array<int>"), lambda n: n <= F.size(labels))
+    return F.transform(fits, lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit("."), path))
+
+
+def label_counts(rules: DataFrame) -> list[int]:
+    """Numbers of labels that occur among the rules' hosts, ascending: at most as many as the longest host has labels."""
+    sizes = rules.where(F.coalesce(F.col("host"), F.lit("")) != "").select(F.size(_labels(F.col("host"))).alias("n")).distinct()
+    return sorted(r["n"] for r in sizes.collect())
 
 
 def rule_bounds(rules: DataFrame) -> DataFrame:
@@ -110,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     pairs = judged.select("__host", "__path").distinct()
     keys = (
         pairs.where(F.col("__host") != "")
-        .select(F.explode(_suffix_keys(F.col("__host"), F.col("__path"))).alias("key"), "__host", "__path")
+        .select(F.explode(_suffix_keys(F.col("__host"), F.col("__path"), label_counts(rules))).alias("key"), "__host", "__path")
     )
     bounds = rule_bounds(rules)
     top_type = bounds.schema["top"].dataType

@@ -55,6 +55,16 @@ def test_urls_empty_tables(spark):
     assert judge_urls(pages.limit(0), twice).count() == 0
 
 
+def test_url_host_of_very_many_labels(spark):
+    # repeated rows, a clashing column, and hosts whose suffix keys would be quadratic in their labels
+    long_host = "x." * 100_000 + "example.com"
+    urls = [f"http://{long_host}/en/a", f"http://{long_host}/en/a", "http://" + "net." * 100_000 + "net/es/", "http://" + "." * 100_000 + "/es/"]
+    rules = [("example.com", "/en/", "block"), ("net", "/es/", "block"), ("a.b.c.d.net", "/es/", "allow")]
+    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+
+
 # ---- Jaccard
 
 

@@ -147,6 +147,38 @@ def test_language_counts_and_accuracy(spark):
     assert (out.lang == out.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
+def test_language_profiles_and_distances_against_brute_force(spark):
+    from seqloom.llm.language_id import PROFILE_GRAMS
+
+    def ranked(counts):  # most frequent first, equal counts by the packed characters, blank before every letter
+        key = lambda g: [1 if c == "_" else ord(c) for c in g] + [0] * (3 - len(g))
+        return sorted(counts, key=lambda g: (-counts[g], key(g)))[:PROFILE_GRAMS]
+
+    name = lambda g: "".join({1: "_"}.get(c, chr(c)) for c in ((g >> 42) & 0x1FFFFF, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [r for r in docs.collect() if r.text is not None]
+    learned = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and r.doc_id % 4:
+            learned[r.lang].update(dict(brute_grams(r.text)))
+    want = {lang: ranked(counts) for lang, counts in learned.items()}
+    profiles = learn_profiles(docs.where("doc_id % 4 <> 0"))
+    assert {lang: [name(g) for g in grams] for lang, grams in profiles.items()} == want
+    places = {lang: {g: k for k, g in enumerate(grams)} for lang, grams in want.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs, profiles).collect()}
+    for r in rows:
+        mine = ranked(dict(brute_grams(r.text)))
+        if not mine:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        away = {
+            lang: sum(abs(p[g] - k) if g in p else PROFILE_GRAMS for k, g in enumerate(mine)) for lang, p in places.items()
+        }
+        best = min(sorted(away), key=away.get)
+        assert got[r.doc_id][0] == best
+        assert got[r.doc_id][1] == pytest.approx(1 - away[best] / (len(mine) * PROFILE_GRAMS), abs=1e-12)
+
+
 def test_language_edge_cases(edge_docs, no_docs):
     profiles = learn_profiles(edge_docs.where("lang is not null"))
     out = identify_languages(edge_docs, profiles)
