@@ -59,8 +59,11 @@ def interleave(
     The output ends just before the first draw that finds its source empty.
     ``sum(n) + 1`` draws always reach that point (pigeonhole), so the draw
     table is bounded by the input. The rank of a draw within its source is a
-    prefix count computed per block of draws (no per-source single task), and
-    the emitted rows are an equi-join on ``(source, rank)``.
+    prefix count computed per block of draws (no per-source single task).
+
+    Only the order columns are numbered and written. Where they identify the rows, the rows then meet their
+    draw by a join on them, so everything else (the text) is exchanged once; a source whose order columns
+    repeat is numbered with its whole rows instead and joined on ``(source, rank)``.
 
     Output: ``draw`` (dense 0-based interleaved position), ``source`` and ``out_cols``.
     """
@@ -76,13 +79,14 @@ def interleave(
         acc += w / total
         cum.append(acc)
 
-    numbered = []
-    sizes = []
-    for i, s in enumerate(sources):
-        # natural_ordinal checkpoints the source: its count reads the checkpoint, not the input
-        o = natural_ordinal(s.df, s.order, name="__rank")
-        numbered.append(o.select(F.lit(i).alias("source"), "__rank", *[F.col(c) for c in out_cols]))
+    ranks, sizes, unique = [], [], []
+    for s in sources:
+        # natural_ordinal checkpoints the order columns: the counts read that, not the input
+        o = natural_ordinal(s.df.select(*s.order), s.order, name="__rank")
+        ranks.append(o)
         sizes.append(o.count())
+        repeats = o.groupBy(*s.order).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+        unique.append(repeats.isEmpty())
     n_draws = sum(sizes) + 1
 
     u = uniform(seed, F.lit("draw"), F.col("id"))
@@ -110,13 +114,18 @@ def interleave(
     # the first draw that finds its source exhausted ends the interleave (one scalar)
     cut = ranked.where(F.col("__rank") >= size_case).agg(F.min("draw")).first()[0]
     live = ranked.where(F.col("draw") < F.lit(int(cut))).select("draw", "source", "__rank")
-    union = numbered[0]
-    for o in numbered[1:]:
-        union = union.unionByName(o)
-    names = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(i), F.lit(s.name))])
-    return live.join(union, ["source", "__rank"]).select(
-        "draw", names[F.col("source")].alias("source"), *out_cols
-    )
+    out = None
+    for i, s in enumerate(sources):
+        mine = live.where(F.col("source") == i).select("draw", "__rank")
+        if unique[i]:
+            # order columns may be null: a struct of them compares nulls as equal
+            at = ranks[i].join(mine, "__rank").select("draw", F.struct(*s.order).alias("__key"))
+            rows = s.df.select(F.struct(*s.order).alias("__key"), *[F.col(c) for c in out_cols]).join(at, "__key")
+        else:
+            rows = natural_ordinal(s.df, s.order, name="__rank").join(mine, "__rank")
+        rows = rows.select("draw", F.lit(s.name).alias("source"), *out_cols)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal", buckets: int | None = None) -> DataFrame:

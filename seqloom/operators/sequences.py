@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordinal import exclusive_prefix_sum
+from ..functions.ordinal import exclusive_prefix_sum, natural_ordinal
 from ..functions.portable import uniform
 from ..functions.skew import HEAVY_KEYS, heavy_hitter_join, heavy_keys
 from ..session import checkpoint_dir
@@ -39,10 +39,11 @@ def words(text: Column) -> Column:
 def build_vocab(df: DataFrame, size: int = 32000, text: str = "text", specials: list[str] = SPECIALS) -> DataFrame:
     """T1 (vocabulary): ``(token, token_id, count)`` for the ``size - len(specials)`` most frequent words.
 
-    Rank by ``(count desc, token)``; ids start after the specials. The count is a map-side-combined
-    aggregate. A histogram of the counts (exact up to 4,096, then 64 classes per doubling: a few thousand
-    rows) tells which classes can hold one of the most frequent words; only words of these classes are
-    sorted. The result is bounded by ``size`` and safe to broadcast in ``encode``.
+    Rank by ``(count desc, token)``; ids start after the specials. The text is scanned once: word counts (a
+    map-side-combined aggregate) go to the shared checkpoint folder. A histogram of the counts (exact up to 4,096, then
+    64 classes per doubling: a few thousand rows to the driver) tells the lowest class that can hold one of the most
+    frequent words. Words of this class and above are numbered in their order by ranges with a count per range, so neither
+    a huge class of equal counts nor a large vocabulary is sorted in one task. Evaluated when called.
     """
     k = int(size) - len(specials)
     if k <= 0:
@@ -51,27 +52,26 @@ def build_vocab(df: DataFrame, size: int = 32000, text: str = "text", specials:
     level = F.when(F.col("count") <= exact, F.col("count")).otherwise(
         F.lit(exact + 1) + F.floor(F.log2(F.col("count") / exact) * 64)
     )
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
         .withColumn("__level", level.cast("bigint"))
+        .checkpoint()
     )
-    higher = Window.orderBy(F.col("__level").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        counts.groupBy("__level").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(higher), F.lit(0)))
-        .where(F.col("__before") < k)
-        .select("__level")
+    lowest, before = 0, 0
+    for r in sorted(counts.groupBy("__level").count().collect(), reverse=True):
+        lowest, before = r["__level"], before + r["count"]
+        if before >= k:
+            break
+    ranked = natural_ordinal(
+        counts.where(F.col("__level") >= lowest).select((-F.col("count")).alias("__less"), "token", "count"), ["__less", "token"], name="__rank"
     )
-    pre = counts.join(F.broadcast(wanted), "__level").drop("__level")  # some 8,000 levels at most
-    top = pre.orderBy(F.col("count").desc(), F.col("token")).limit(k)
-    # at most k rows: a single ordered window over them is bounded
-    w = Window.orderBy(F.col("count").desc(), F.col("token"))
-    regular = top.select(
-        "token", (F.row_number().over(w) - 1 + len(specials)).cast("int").alias("token_id"), F.col("count").cast("bigint")
+    regular = ranked.where(F.col("__rank") < k).select(
+        "token", (F.col("__rank") + len(specials)).cast("int").alias("token_id"), F.col("count").cast("bigint")
     )
-    spark = df.sparkSession
     special_rows = spark.createDataFrame(
         [(t, i, 0) for i, t in enumerate(specials)], "token string, token_id int, count bigint"
     )

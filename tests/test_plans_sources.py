@@ -149,6 +149,26 @@ def test_interleave_independent_of_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_interleave_null_and_repeated_order_values(spark, repeated):
+    rows = [(None if i == 5 else i // (3 if repeated else 1), f"a{i}") for i in range(60)]
+    a = spark.createDataFrame(rows, "id long, text string")
+    b = spark.createDataFrame([(i, f"b{i}") for i in range(60)], "id long, text string")
+    out = interleave([Source(a, ["id"], "a"), Source(b, ["id"], "b")], [0.5, 0.5], seed=3, out_cols=["text"]).orderBy("draw").collect()
+    assert [r["draw"] for r in out] == list(range(len(out)))
+    assert len({r["text"] for r in out}) == len(out)  # no row twice
+    place = {t: (i is not None, i or 0) for i, t in rows}
+    seq = [place[r["text"]] for r in out if r["source"] == "a"]
+    assert seq == sorted(place.values())[: len(seq)]
+
+
+def test_interleave_writes_keys_only(spark):
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(50)], "id long, text string")
+    plan = interleave([Source(a, ["id"], "a")], [1.0], out_cols=["text"])._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "LogicalRDD" in line]
+    assert scans and sum("text" in line for line in scans) == 1  # the source itself; no written copy of the text
+
+
 def test_resume_after_skipped_steps(spark):
     steps = spark.createDataFrame([(i,) for i in range(10)], "step long")
     a = annotate_steps(steps, start=8, max_steps=100, every=4, skip_rows=4).orderBy("global_step").collect()

@@ -240,3 +240,21 @@ def test_lookup_heavy_and_rare_ids_agree_with_plain_lookup(spark):
         assert got == {k: [float(i) for i in ids] for k, ids in rows if ids}
     with pytest.raises(ValueError, match="no vector"):
         lookup(df, _vectors(spark, 100), "ids", "k")
+
+
+def test_vocabulary_over_a_million_words_of_equal_count(spark):
+    # 1.2 million words occur once, a few more often: the cut falls into the huge class
+    n = 1_200_000
+    texts = spark.range(n).select(F.concat(F.lit("w"), F.lpad("id", 8, "0")).alias("text"))
+    often = spark.createDataFrame([("zz yy",), ("zz yy zz",)], "text string")
+    vocab = build_vocab(texts.unionByName(often), size=1_000_005)
+    plan = vocab._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" not in plan
+    got = vocab.where("token_id >= 5")
+    assert got.agg(F.count("*"), F.min("token_id"), F.max("token_id"), F.countDistinct("token_id")).first() == (
+        1_000_000, 5, 1_000_004, 1_000_000
+    )
+    first = {r["token"]: (r["token_id"], r["count"]) for r in got.where("token_id < 8").collect()}
+    assert first == {"zz": (5, 3), "yy": (6, 2), "w00000000": (7, 1)}
+    # the rest in order of the words: id = 7 + number of the word
+    assert got.where("token_id >= 7 AND token_id - 7 <> cast(substr(token, 2) AS int)").isEmpty()
