@@ -36,7 +36,8 @@ def labelled_sample(
 ) -> list[tuple[int, bytes]]:
     """Up to ``rows`` distinct (quality, text) per class, in the order of a hash of doc_id.
 
-    Rows with a null doc_id, quality or text, and texts above ``text_bytes``, teach nothing. The join is on
+    Rows with a null doc_id, quality or text, and texts above ``text_bytes``, teach nothing (where all labelled texts are
+    longer, every score is the share of good labels); a doc_id labelled both ways counts as good. The join is on
     doc_id; a bound on the hash, from the number of labels, leaves about ``SPARE`` times the rows wanted to be ranked.
     """
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))

@@ -329,6 +329,37 @@ def test_pipeline_stages(spark, edge_docs, no_docs):
     assert set(ran.doc_id) == {i for i, _ in rows} and ran.groupby("doc_id").length.sum().sum() == ran.drop_duplicates("doc_id").doc_tokens.sum()
 
 
+def test_pipeline_filters_against_brute_force(spark):
+    from test_text_operators import brute_languages, brute_rules
+
+    from seqloom.llm import repetition_rules as rules
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = docs.collect()
+    learn = [(r.lang, r.text) for r in rows if r.text is not None and r.lang is not None]
+    _, found = brute_languages(learn, [r.text for r in rows])
+    stays = {r.doc_id for r, (lang, score) in zip(rows, found, strict=True) if lang != "und" and score >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    stages = dict(corpus_pipeline.STAGES)
+    named = stages["language_id"](spark, docs, SF001).checkpoint()
+    assert sorted(r.doc_id for r in named.select("doc_id").collect()) == sorted(stays)
+
+    def keeps(text):
+        n_words, chars, symbols, _, repeated, dup = brute_rules(text, tuple(rules.DUP_NGRAM_SHARE))
+        if n_words < 50 or 2 * repeated > n_words or symbols > rules.SYMBOLS_PER_WORD * n_words:
+            return False
+        lines = collections.Counter()
+        again = 0
+        for line in text.split("\n"):
+            words = re.findall(r"[^\x20\x09-\x0D]+", line)
+            again += sum(map(len, words)) if lines[line] else 0
+            lines[line] += 1
+        limits = rules.DUP_NGRAM_SHARE.values()
+        return again <= rules.DUP_LINE_SHARE * chars and all(d <= limit * chars for d, limit in zip(dup, limits, strict=True))
+
+    kept = stages["quality_rules"](spark, named, SF001)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in rows if r.doc_id in stays and keeps(r.text))
+
+
 def test_pipeline_edge_cases(spark, edge_docs, no_docs):
     for docs in (edge_docs, no_docs):
         now = docs

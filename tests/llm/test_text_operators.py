@@ -16,7 +16,7 @@ from seqloom.llm import chat_format as C
 from seqloom.llm.bpe_automaton import Codec, MergeAutomaton, decode_documents, encode_documents, read_tokenizer
 from seqloom.llm.hilbert_packing import hilbert_keys, pack_documents
 from seqloom.llm.language_id import identify_languages, learn_profiles
-from seqloom.llm.quality_compression import fit, learn_quality, score_quality
+from seqloom.llm.quality_compression import fit, hash_order, learn_quality, score_quality
 from seqloom.llm.repetition_rules import keep_documents, repetition_rules
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -147,36 +147,39 @@ def test_language_counts_and_accuracy(spark):
     assert (out.lang == out.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
-def test_language_profiles_and_distances_against_brute_force(spark):
-    from seqloom.llm.language_id import PROFILE_GRAMS
+def brute_languages(learn, texts):
+    """Profiles of ``learn`` (lang, text) pairs, and (language, score) of every text."""
+    from seqloom.llm.language_id import PROFILE_GRAMS as size
 
     def ranked(counts):  # most frequent first, equal counts by the packed characters, blank before every letter
         key = lambda g: [1 if c == "_" else ord(c) for c in g] + [0] * (3 - len(g))
-        return sorted(counts, key=lambda g: (-counts[g], key(g)))[:PROFILE_GRAMS]
+        return sorted(counts, key=lambda g: (-counts[g], key(g)))[:size]
+
+    learned = collections.defaultdict(collections.Counter)
+    for lang, text in learn:
+        learned[lang].update(dict(brute_grams(text)))
+    profiles = {lang: ranked(counts) for lang, counts in learned.items()}
+    places = {lang: {g: k for k, g in enumerate(grams)} for lang, grams in sorted(profiles.items())}
+    found = []
+    for text in texts:
+        mine = ranked(dict(brute_grams(text)))
+        away = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(mine)) for lang, p in places.items()}
+        best = min(away, key=away.get)
+        found.append((best, 1 - away[best] / (len(mine) * size)) if mine else ("und", 0.0))
+    return profiles, found
 
+
+def test_language_profiles_and_distances_against_brute_force(spark):
     name = lambda g: "".join({1: "_"}.get(c, chr(c)) for c in ((g >> 42) & 0x1FFFFF, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c)
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    rows = [r for r in docs.collect() if r.text is not None]
-    learned = collections.defaultdict(collections.Counter)
-    for r in rows:
-        if r.lang is not None and r.doc_id % 4:
-            learned[r.lang].update(dict(brute_grams(r.text)))
-    want = {lang: ranked(counts) for lang, counts in learned.items()}
+    rows = docs.collect()
+    learn = [(r.lang, r.text) for r in rows if r.text is not None and r.lang is not None and r.doc_id % 4]
+    want, found = brute_languages(learn, [r.text for r in rows])
     profiles = learn_profiles(docs.where("doc_id % 4 <> 0"))
     assert {lang: [name(g) for g in grams] for lang, grams in profiles.items()} == want
-    places = {lang: {g: k for k, g in enumerate(grams)} for lang, grams in want.items()}
     got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs, profiles).collect()}
-    for r in rows:
-        mine = ranked(dict(brute_grams(r.text)))
-        if not mine:
-            assert got[r.doc_id] == ("und", 0.0)
-            continue
-        away = {
-            lang: sum(abs(p[g] - k) if g in p else PROFILE_GRAMS for k, g in enumerate(mine)) for lang, p in places.items()
-        }
-        best = min(sorted(away), key=away.get)
-        assert got[r.doc_id][0] == best
-        assert got[r.doc_id][1] == pytest.approx(1 - away[best] / (len(mine) * PROFILE_GRAMS), abs=1e-12)
+    for r, (lang, score) in zip(rows, found, strict=True):
+        assert got[r.doc_id] == (lang, pytest.approx(score, abs=1e-12))
 
 
 def test_language_edge_cases(edge_docs, no_docs):
@@ -201,6 +204,47 @@ def test_quality_held_out(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.9 and (good >= 0.3).mean() > 0.95
 
 
+def test_quality_scores_against_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(5)
+    good_words, bad_words = "the river runs past an old mill and its quiet garden".split(), "### $$$ click here buy now >>> win %% free".split()
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    mixed = [text(good_words * rng.randint(0, 3) + bad_words, 40) for _ in range(30)]
+    sample = [(1, text(good_words, 60).encode()) for _ in range(40)] + [(0, text(bad_words, 60).encode()) for _ in range(40)]
+    sample += [(k % 2, t.encode()) for k, t in enumerate(mixed)]
+    state = fit(sample, dictionary_bytes=4096)
+
+    def size(dictionary, t):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        d.precompute_compress(level=3)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(t))
+
+    def terms(t):
+        g, b = (max(1, size(state[k], t) - size(state[k], b"")) for k in ("good", "bad")) if t else (0, 0)
+        x = ((b - g) / (b + g), min(g, b) / len(t)) if t else (0.0, 0.0)
+        x, y = np.clip((np.array(x) - state["mean"]) / state["scale"], *state["range"])
+        return np.array([1.0, x, y, x * y, y * y])
+
+    texts = ["", "the quiet mill", "buy $$$ now", *mixed[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in score_quality(df, state).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(terms(r.text.encode()) @ state["weights"]))), abs=1e-9)
+    # the curve is the optimum of its loss over the texts that built no dictionary
+    rest = [(q, t) for q in (0, 1) for t in sorted((t for k, t in sample if k == q), key=hash_order)[1::2]]
+    a, y = np.array([terms(t) for _, t in rest]), np.array([q for q, _ in rest], float)
+    weight = np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum()) * len(y) / 2
+
+    def loss(w):
+        z = (2 * y - 1) * (a @ w)
+        return (weight * np.logaddexp(0, -z)).sum() + 0.05 * (w**2).sum()
+
+    at = loss(state["weights"])
+    for k in range(5):
+        for step in (-1e-3, 1e-3):
+            assert loss(state["weights"] + step * np.eye(5)[k]) >= at
+
+
 def test_quality_edge_cases(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = score_quality(edge_docs, learn_quality(edge_docs, none)).collect()
