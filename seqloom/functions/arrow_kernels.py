@@ -40,6 +40,14 @@ def _list_parts(arr: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return arr.flatten().to_numpy(zero_copy_only=False), lengths
 
 
+def list_offsets(lengths: np.ndarray) -> np.ndarray:
+    """32-bit list offsets of consecutive lists; raises where a batch holds more elements than these can count."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if len(ends) and ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more than 2^31 - 1 elements in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return np.concatenate([[0], ends]).astype(np.int32)
+
+
 def mask_batch(batch: pa.RecordBatch, key: str, ids: str, p: float, mask_id: int, seed: int) -> pa.RecordBatch:
     seq = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
     col = batch.column(ids)
@@ -48,7 +56,7 @@ def mask_batch(batch: pa.RecordBatch, key: str, ids: str, p: float, mask_id: int
     pos = np.arange(flat.shape[0], dtype=np.int64) - np.repeat(starts, lengths)
     u = uniform_int(seed, np.repeat(seq, lengths), pos)
     ctx = np.where(u < p, np.int32(mask_id), flat.astype(np.int32))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    offsets = pa.array(list_offsets(lengths))
     context = pa.ListArray.from_arrays(offsets, pa.array(ctx, pa.int32()))
     target = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32), pa.int32()))
     return pa.RecordBatch.from_arrays([batch.column(key), context, target], names=[key, "context_ids", "target_ids"])
@@ -77,7 +85,7 @@ def encode_batch(
     ids = np.where(ids < 0, unk_id, ids + first_id).astype(np.int32)
     extra = 1 if bos_id is not None else 0
     sizes = counts + extra
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    offsets = list_offsets(sizes)
     if extra:
         outv = np.empty(int(offsets[-1]), dtype=np.int32)
         heads = offsets[:-1]

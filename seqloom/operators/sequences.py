@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordinal import exclusive_prefix_sum, natural_ordinal
-from ..functions.portable import uniform
+from ..functions.portable import uniform_int
 from ..functions.skew import HEAVY_KEYS, heavy_hitter_join, heavy_keys
 from ..session import checkpoint_dir
 
@@ -382,9 +382,9 @@ def mask_pairs(
 def mask_pairs_sql(
     df: DataFrame, p: float = 0.15, mask_id: int = MASK_ID, seed: int = 42, ids: str = "input_ids", key: str = "seq_id"
 ) -> DataFrame:
-    """T4 as a column expression (md5-keyed ``uniform`` per element; slower)."""
+    """T4 as a column expression: the draws and so the masks of ``mask_pairs`` (interpreted per element; slower)."""
     k = F.col(key)
-    ctx = F.transform(F.col(ids), lambda t, i: F.when(uniform(seed, k, i) < F.lit(p), F.lit(mask_id)).otherwise(t))
+    ctx = F.transform(F.col(ids), lambda t, i: F.when(uniform_int(seed, k, i) < F.lit(p), F.lit(mask_id)).otherwise(t))
     return df.select(key, ctx.alias("context_ids"), F.col(ids).alias("target_ids"))
 
 

@@ -258,3 +258,21 @@ def test_vocabulary_over_a_million_words_of_equal_count(spark):
     assert first == {"zz": (5, 3), "yy": (6, 2), "w00000000": (7, 1)}
     # the rest in order of the words: id = 7 + number of the word
     assert got.where("token_id >= 7 AND token_id - 7 <> cast(substr(token, 2) AS int)").isEmpty()
+
+
+def test_masks_of_both_forms_are_equal(spark):
+    from seqloom.operators.sequences import mask_pairs_sql
+
+    df = spark.range(50).select((F.col("id") * 10_000_000_019).alias("seq_id"), F.sequence(F.lit(5), F.lit(300)).alias("input_ids"))
+    a, b = mask_pairs(df, p=0.2, seed=9), mask_pairs_sql(df, p=0.2, seed=9)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_list_offsets_beyond_32_bits_raise():
+    import numpy as np
+
+    from seqloom.functions.arrow_kernels import list_offsets
+
+    assert list_offsets(np.array([2, 0, 3])).tolist() == [0, 2, 2, 5] and list_offsets(np.zeros(0, np.int64)).tolist() == [0]
+    with pytest.raises(OverflowError):
+        list_offsets(np.array([2**31 - 1, 1]))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,19 @@ def sample_first(*args):
     from seqloom.operators.sampling import first_above
 
     return first_above(*args).tolist()
+
+
+def test_shifted_cross_entropy(spark):
+    from seqloom.operators.metrics import shifted_cross_entropy
+
+    seqs = [
+        (1, [[1.0, 2.0, 0.5], [0.0, 0.0, 0.0], [3.0, 1.0, 1.0]], [0, 2, 1]), (2, [[5.0, 1.0, 1.0], [9.0, 9.0, 9.0]], [0, -100]),
+        (3, [[1.0, 1.0, 1.0]], [0]), (4, [[2.0, 0.0, 0.0], [0.0, 0.0, 0.0]], [0, None]),
+    ]
+    df = spark.createDataFrame(seqs, "k long, s array<array<double>>, l array<int>")
+    r = shifted_cross_entropy(df, "k", "s", "l").first()
+    want = [np.log(np.exp(s[t]).sum()) - s[t][lab[t + 1]] for s, lab in [(seqs[0][1], seqs[0][2])] for t in range(2)]
+    assert r["rows"] == 2 and r["loss"] == pytest.approx(np.mean(want))
+    bad = spark.createDataFrame([(1, [[1.0]], [0, 1])], df.schema)
+    with pytest.raises(Exception, match="differ in length"):
+        shifted_cross_entropy(bad, "k", "s", "l").collect()
