@@ -276,3 +276,51 @@ def test_list_offsets_beyond_32_bits_raise():
     assert list_offsets(np.array([2, 0, 3])).tolist() == [0, 2, 2, 5] and list_offsets(np.zeros(0, np.int64)).tolist() == [0]
     with pytest.raises(OverflowError):
         list_offsets(np.array([2**31 - 1, 1]))
+
+
+def test_kernels_work_on_slices_of_a_batch(monkeypatch):
+    """However many rows a batch has, a kernel sees a bounded part of it; the rows are those of the whole batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from seqloom.functions import arrow_kernels as ak
+
+    seen = []
+    for name, column in (("encode_batch", "text"), ("mask_batch", "ids")):
+        def spy(batch, *a, whole=getattr(ak, name), column=column):
+            seen.append(int(np.sum(ak._lengths(batch.column(column)))) if batch.num_rows > 1 else 0)
+            return whole(batch, *a)
+
+        monkeypatch.setattr(ak, name, spy)
+    texts = ["a b  a", None, "", "c " * 3000, *["b c x"] * 4000]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    args = (["k"], "text", "ids", pa.array(["a", "b", "c"]), 5, 3, 1)
+    whole = ak.encode_batch(batch, *args)
+    parts = list(ak.encode_batches(iter([batch, batch.slice(0, 0)]), *args, limit=1000))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == whole.to_pylist() and len(parts) > 20
+    masked = ak.mask_batch(whole, "k", "ids", 0.3, 4, 9)
+    seen.clear()
+    parts = list(ak.mask_batches(iter([whole]), "k", "ids", 0.3, 4, 9, limit=1000))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == masked.to_pylist()
+    assert len(seen) > 10 and max(seen) <= 1000
+
+
+def test_encode_and_mask_hand_on_small_batches(spark, monkeypatch):
+    """encode and mask_pairs cut Spark's batches: with a row limit of one batch for all, tasks hand on several."""
+    from seqloom.functions import arrow_kernels as ak
+    from seqloom.operators.sequences import mask_pairs
+
+    calls = spark.sparkContext.accumulator(0)
+    for name in ("encode_batches", "mask_batches"):
+        def counted(it, *a, whole=getattr(ak, name), **b):
+            for x in whole(it, *a, limit=2000, **b):
+                calls.add(1)
+                yield x
+
+        monkeypatch.setattr(ak, name, counted)
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("ordinal"), F.repeat(F.lit("a b "), 50).alias("text"))
+    enc = encode(docs, build_vocab(docs, size=10), keys=["ordinal"])
+    assert enc.where(F.size("ids") == 101).count() == 300 and calls.value >= 30
+    calls.value = 0
+    out = mask_pairs(enc.select(F.col("ordinal").alias("seq_id"), F.col("ids").alias("input_ids")), p=0.2)
+    assert out.where(F.size("target_ids") == 101).count() == 300 and calls.value >= 45
