@@ -288,7 +288,7 @@ def test_kernels_work_on_slices_of_a_batch(monkeypatch):
     seen = []
     for name, column in (("encode_batch", "text"), ("mask_batch", "ids")):
         def spy(batch, *a, whole=getattr(ak, name), column=column):
-            seen.append(int(np.sum(ak._lengths(batch.column(column)))) if batch.num_rows > 1 else 0)
+            seen.append(int(np.sum(ak.row_lengths(batch.column(column)))) if batch.num_rows > 1 else 0)
             return whole(batch, *a)
 
         monkeypatch.setattr(ak, name, spy)
@@ -324,3 +324,37 @@ def test_encode_and_mask_hand_on_small_batches(spark, monkeypatch):
     calls.value = 0
     out = mask_pairs(enc.select(F.col("ordinal").alias("seq_id"), F.col("ids").alias("input_ids")), p=0.2)
     assert out.where(F.size("target_ids") == 101).count() == 300 and calls.value >= 45
+
+
+def test_lookup_sends_a_vector_once_to_a_block(spark):
+    """The exchange carries ids and the distinct ids' vectors, not a vector per token; small blocks give the same rows."""
+    import numpy as np
+
+    from seqloom.operators.sequences import lookup
+
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.integers(0, 40, 3000).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").repartition(4)
+    out = lookup(df, _vectors(spark, 40), "ids", "k")
+    plan = out._jdf.queryExecution().executedPlan()
+    assert "posexplode" not in plan.toString()
+    few = lookup(df, _vectors(spark, 40), "ids", "k", held_bytes=16 * 30)
+    for one in (out, few):
+        assert {r["k"]: [v[0] for v in r["vectors"]] for r in one.collect()} == {k: [float(i) for i in ids] for k, ids in rows}
+    assert few.rdd.getNumPartitions() > out.rdd.getNumPartitions()
+
+
+def test_lookup_of_repeated_keys_and_ids(spark):
+    """Rows with one key come together by position, then by vector; so do the vectors of an id that has several."""
+    from seqloom.operators.sequences import lookup
+
+    rows = [(1, [0, 1, 1]), (1, [2]), (None, [1]), (None, [0, 2]), (2, [2, 0]), (3, None), (4, []), (1, [0])]
+    df = spark.createDataFrame(rows, "k long, ids array<int>")
+    one = spark.createDataFrame([(0, [5.0]), (1, None), (2, [3.0]), (9, [1.0]), (None, [0.0])], "token_id long, vec array<double>")
+    got = {r["k"]: r["vectors"] for r in lookup(df, one, "ids", "k").collect()}
+    assert got == {1: [[3.0], [5.0], [5.0], None, None], None: [None, [5.0], [3.0]], 2: [[3.0], [5.0]]}
+    two = one.unionByName(spark.createDataFrame([(0, [4.0]), (0, [6.0])], "token_id long, vec array<double>"))
+    got = {r["k"]: r["vectors"] for r in lookup(df, two, "ids", "k").collect()}
+    zero = [[4.0], [5.0], [6.0]]
+    assert got[1] == [[3.0], [4.0], [4.0], [5.0], [5.0], [6.0], [6.0], None, None]
+    assert got[None] == [None, *zero, [3.0]] and got[2] == [[3.0], *zero]
