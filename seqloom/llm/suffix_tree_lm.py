@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir, scratch_path, shuffles_freed
 from .text_batches import HeldCounts, Powers, Words, mix64, slices, texts_of
 
 SYMBOLS = 254
@@ -369,7 +369,8 @@ def learn(
     """
     spark = documents.sparkSession
     checkpoint_dir(spark)
-    counts = word_counts(documents, text).checkpoint()
+    with shuffles_freed(spark):
+        counts = word_counts(documents, text).checkpoint()
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_texts = documents.count()
     h, n = most_frequent(counts, frequent)
@@ -384,9 +385,10 @@ def learn(
         **known, "total": total, "distinct": distinct + (1 if n_texts else 0), "texts": n_texts,
         "other_total": words - int(n[:SYMBOLS].sum()), "other_distinct": distinct - min(SYMBOLS, len(n)),
     }
-    triples = context_counts(documents, known, text).select(
-        F.shiftright("h", 16).alias("b"), F.shiftright("h", 8).bitwiseAND(255).alias("a"), F.col("h").bitwiseAND(255).alias("x"), "n"
-    ).checkpoint()
+    with shuffles_freed(spark):
+        triples = context_counts(documents, known, text).select(
+            F.shiftright("h", 16).alias("b"), F.shiftright("h", 8).bitwiseAND(255).alias("a"), F.col("h").bitwiseAND(255).alias("x"), "n"
+        ).checkpoint()
     one = np.zeros((256, 256))
     for r in triples.groupBy("a", "x").agg(F.sum("n").alias("n")).collect():
         one[r["a"], r["x"]] = r["n"]
@@ -424,8 +426,9 @@ def learn(
         table.append(_smoothed(two[k], first[last[k]]))
     state |= {"node": node, "log": np.log10(np.stack(table)), "depth": depth}
     norm = float(state["total"] + state["distinct"] + 1)
-    terms = word_tree(documents, counts, n_texts, norm, text, depth, min_count, penalty)
-    state |= _hot_terms(terms, hot)
+    with shuffles_freed(spark):
+        terms = word_tree(documents, counts, n_texts, norm, text, depth, min_count, penalty)
+        state |= _hot_terms(terms, hot)
     return SuffixTree(counts, terms, state)
 
 

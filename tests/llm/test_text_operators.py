@@ -351,3 +351,32 @@ def test_packing_holds_every_token_once(edge_docs, no_docs):
 def test_ids_crc_of_a_piece(spark):
     row = pack_documents(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), PATH).first()
     assert zlib.crc32(bytes(row.ids)) and row.sequence_id >= 0
+
+
+def test_shuffle_files_of_the_word_tree_go_as_it_is_written(spark, tmp_path, monkeypatch):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from seqloom.llm import suffix_tree_lm as lm
+    from seqloom.session import shuffles_freed
+
+    def left():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if x.rpartition("/")[2].startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    before = left()
+    with shuffles_freed(spark):
+        spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "t"))
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.2)
+    assert not left() - before and spark.conf.get(key) == old
+    seen = []
+    whole = lm.word_tree
+    monkeypatch.setattr(lm, "word_tree", lambda docs, *a: seen.append(spark.conf.get(key)) or whole(docs, *a))
+    lm.learn(spark.createDataFrame([("a b a b",)], "text string"), min_count=2)
+    assert seen == ["true"] and spark.conf.get(key) == old
