@@ -293,3 +293,19 @@ def test_loader_plan_has_no_single_task_sort_of_rows(spark):
     plan = plan_batches(rows, assign_shards(_files(spark, 2), 2), 4)._jdf.queryExecution().optimizedPlan().toString()
     # windows remain over totals only (blocks of files, partitions), never over rows or files
     assert all("row_number" not in line for line in plan.splitlines())
+
+
+def test_pair_shards_evaluate_the_input_once(spark, tmp_path):
+    """No pass over the input for the bounds of ranges."""
+    from seqloom.sources.corpora import write_pair_shards
+
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    pairs = _pair_table(spark, 95)
+    write_pair_shards(pairs.mapInArrow(counted, pairs.schema), str(tmp_path / "shards"), file_rows=10)
+    assert rows.value == 95
