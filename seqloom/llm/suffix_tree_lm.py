@@ -48,6 +48,8 @@ DEPTH, MIN_COUNT = 3, 1024
 HOT = 1 << 21
 #: Bits of the tables that rule out keys before they are counted or joined: 16 a key, within these bounds (16 MB at most).
 FILTER_BITS = 16, 27
+#: Rows of counted pairs that a task hands on at once.
+HANDED = 1 << 17
 #: Stands before and after every text in the sequence of word hashes.
 EDGE = 0x5851F42D4C957F2D
 
@@ -190,22 +192,31 @@ def _with_key(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("e", T.LongType())]))
 
 
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counted pairs ``s, pe, n`` put together, each pair once. Their key follows from them and is not kept."""
+    s, pe = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    e = pair_key(s, pe)
+    order = np.argsort(e)
+    e = e[order]
+    first = np.flatnonzero(np.append(True, e[1:] != e[:-1])[: len(e)])
+    del e
+    n = np.concatenate([p[2] for p in parts])[order]
+    at = order[first]
+    return s[at], pe[at], np.add.reduceat(n, first) if len(first) else n
+
+
+def _handed_on(s: np.ndarray, pe: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs in batches of ``HANDED`` rows: a batch is held by the task and by Spark at the same time."""
+    for k in range(0, max(len(s), 1), HANDED):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + HANDED].view(np.int64)) for x in (s, pe, n)], names=["s", "pe", "n"])
+
+
 def pair_counts(documents: DataFrame, level: int, depth: int, shared, text: str = "text") -> DataFrame:
     """``s, pe, n``: occurrences of every (context of ``level`` words, next word), for contexts that the broadcast table lets through.
 
     ``s`` is the key of the context, ``pe`` of the pair without the oldest word (for one word: the next word's hash).
     """
 
-    def batch(_: np.ndarray, s: np.ndarray, pe: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s, pe, n)], names=["s", "pe", "n"])
-
-    def merged(parts: list[tuple]) -> tuple:
-        e, s, pe, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(e)
-        e = e[order]
-        first = np.flatnonzero(np.append(True, e[1:] != e[:-1])[: len(e)])
-        return e[first], s[order][first], pe[order][first], np.add.reduceat(n[order], first) if len(first) else n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, allowed, parts, held = Powers(), shared.value, [], 0
         for b in slices(batches, text):
@@ -214,17 +225,16 @@ def pair_counts(documents: DataFrame, level: int, depth: int, shared, text: str
             every = np.arange(len(c.at))
             s = c.windows(level, level, every)
             use = np.flatnonzero(may_hold(allowed, s))
-            pe = c.windows(level, level - 1, use)
-            parts.append(merged([(c.windows(level + 1, level, use), s[use], pe, np.ones(len(use), np.int64))]))
+            parts.append(_merged([(s[use], c.windows(level, level - 1, use), np.ones(len(use), np.int64))]))
             held += len(parts[-1][0])
             if held > 2_500_000:
-                parts = [merged(parts)]
+                parts = [_merged(parts)]
                 held = len(parts[0][0])
                 if held > 1_500_000:
-                    yield batch(*parts[0])
+                    yield from _handed_on(*parts[0])
                     parts, held = [], 0
         if parts:
-            yield batch(*merged(parts))
+            yield from _handed_on(*_merged(parts))
 
     rows = documents.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "s long, pe long, n long")
     return rows.groupBy("s", "pe").agg(F.sum("n").alias("n"))

@@ -380,3 +380,18 @@ def test_shuffle_files_of_the_word_tree_go_as_it_is_written(spark, tmp_path, mon
     monkeypatch.setattr(lm, "word_tree", lambda docs, *a: seen.append(spark.conf.get(key)) or whole(docs, *a))
     lm.learn(spark.createDataFrame([("a b a b",)], "text string"), min_count=2)
     assert seen == ["true"] and spark.conf.get(key) == old
+
+
+def test_counted_pairs_are_handed_on_in_parts(monkeypatch):
+    from seqloom.llm import suffix_tree_lm as lm
+
+    rng = np.random.default_rng(5)
+    parts = [(rng.integers(0, 30, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64), np.ones(500, np.int64)) for _ in range(3)]
+    want = collections.Counter(pair for s, pe, _ in parts for pair in zip(s.tolist(), pe.tolist()))
+    s, pe, n = lm._merged([lm._merged(parts[:2]), parts[2]])
+    assert dict(zip(zip(s.tolist(), pe.tolist()), n.tolist())) == want and len(s) == len(want)
+    monkeypatch.setattr(lm, "HANDED", 100)
+    batches = list(lm._handed_on(s, pe, n))
+    assert len(batches) == -(-len(s) // 100) and max(b.num_rows for b in batches) == 100
+    assert [x for b in batches for x in b.column("n").to_pylist()] == n.tolist()
+    assert [b.num_rows for b in lm._handed_on(s[:0], pe[:0], n[:0])] == [0]
