@@ -100,8 +100,8 @@ def _sql_walk() -> str:
 
 @register("k3_sample_walk", _sql_walk())
 def k3_sample_walk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(words(F.col("text")), F.lit(1)).alias("first"))
-    prompts = docs.where(F.col("first").isNotNull())
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.ltrim("text"), " ", 2)[0].alias("first"))
+    prompts = docs.where(F.col("first") != "")  # the first of the words, without splitting the text
     return sample_walk(prompts, bigrams(spark, sf_dir), "doc_id", "first", steps=WALK_STEPS, eos=WALK_EOS, seed=SEED,
                        k=TOPK, temperature=TEMP)
 

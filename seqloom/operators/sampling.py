@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.portable import uniform
-from ..functions.skew import heavy_hitter_join, heavy_keys
+from ..functions.skew import heavy_keys
 from ..session import checkpoint_dir
 
 
@@ -58,10 +59,14 @@ HELD_ROWS, HELD_BYTES = 2_000_000, 64 << 20
 
 
 def sampling_table(probs: DataFrame) -> DataFrame:
-    """One row per key from K1's output: ``key, items, cums`` in order of rank, ``cums`` the cumulative probabilities."""
-    w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = probs.withColumn("cum", F.sum("prob").over(w))
-    rows = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "cum"))).alias("r"))
+    """One row per key from K1's output: ``key, items, cums`` in order of rank, ``cums`` the cumulative probabilities.
+
+    Ordered as K1 ranks, so its exchange and its sort by key serve here as well.
+    """
+    w = Window.partitionBy("key").orderBy(F.col("logit").desc(), "item")
+    cum = F.sum("prob").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    every = F.collect_list(F.struct("item", "cum")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = probs.withColumn("cum", cum).withColumn("r", every).where(F.col("rank") == 1)
     return rows.select("key", F.col("r.item").alias("items"), F.col("r.cum").alias("cums"))
 
 
@@ -98,33 +103,50 @@ def sample_walk(
     Output: ``(walker, step, item)`` with ``step`` 0 for the prompt's last item.
     """
     checkpoint_dir(prompts.sparkSession)
-    # written once; both ways read it more than once
-    probs = topk_softmax(table.where(F.col("key").isNotNull()), "key", "item", "score", k=k, temperature=temperature).checkpoint()
+    probs = topk_softmax(table.where(F.col("key").isNotNull()), "key", "item", "score", k=k, temperature=temperature)
+    rows = sampling_table(probs).checkpoint()  # written once; both ways read it more than once
     active = prompts.select(F.col(walker).alias("walker"), F.col(start).alias("cur"))
-    text = [F.octet_length(F.col(c).cast("string")) for c in ("key", "item")]
-    size = probs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(text[0] + text[1], F.lit(0))).alias("bytes")).first()
-    if size["rows"] <= held_rows and (size["bytes"] or 0) <= HELD_BYTES:
-        return _walk_held(active, probs, int(steps), eos, seed)
-    return _walk_joined(active, sampling_table(probs).checkpoint(), int(steps), eos, seed)
+    width = F.size("items").cast("bigint")
+    text = width * F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + F.octet_length(
+        F.concat_ws("", F.col("items").cast("array<string>"))
+    )
+    size = rows.agg(F.sum(width).alias("rows"), F.sum(text).alias("bytes")).first()
+    if (size["rows"] or 0) <= held_rows and (size["bytes"] or 0) <= HELD_BYTES:
+        return _walk_held(active, rows, int(steps), eos, seed)
+    return _walk_joined(active, rows, int(steps), eos, seed)
 
 
 def _walk_joined(active: DataFrame, rows: DataFrame, steps: int, eos: str | None, seed: int) -> DataFrame:
+    active = active.checkpoint()  # walkers are few columns of a wide table, and each step reads them again
     out = active.select("walker", F.lit(0).cast("bigint").alias("step"), F.col("cur").alias("item"))
+    spark = active.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)  # of a step; else each step's union would add partitions
+    rows = rows.withColumnRenamed("key", "cur").repartition(parts, "cur").sortWithinPartitions("cur").persist(StorageLevel.DISK_ONLY)
+    often, known = None, {}  # rows of the items that were heavy in a step, each fetched once
     for t in range(1, steps + 1):
-        standing = active.groupBy("cur").agg(F.count(F.lit(1)).alias("n"))
-        met = heavy_hitter_join(active, rows.withColumnRenamed("key", "cur"), "cur", heavy_keys(standing, "cur"))
-        drawn = met.select("walker", _draw_from(uniform(seed, F.col("walker"), F.lit(t))).alias("item")).checkpoint()
+        heavy = heavy_keys(active.groupBy("cur").agg(F.count(F.lit(1)).alias("n")), "cur")
+        if new := {repr(x): x for x in heavy if repr(x) not in known}:
+            more = rows.where(F.col("cur").isin(list(new.values()))).checkpoint()
+            often, known = more if often is None else often.unionByName(more), known | new
+        if known:
+            is_heavy = F.col("cur").isin(list(known.values()))
+            met = active.where(is_heavy).join(F.broadcast(often), "cur").unionByName(active.where(~is_heavy).join(rows, "cur"))
+        else:
+            met = active.join(rows, "cur")
+        drawn = met.select("walker", _draw_from(uniform(seed, F.col("walker"), F.lit(t))).alias("item")).coalesce(tasks).checkpoint()
         out = out.unionByName(drawn.select("walker", F.lit(t).cast("bigint").alias("step"), "item"))
         active = drawn.select("walker", F.col("item").alias("cur"))
         if eos is not None:
             active = active.where(F.col("cur") != F.lit(eos))
+    rows.unpersist()
     return out
 
 
-def _walk_held(active: DataFrame, probs: DataFrame, steps: int, eos: str | None, seed: int) -> DataFrame:
+def _walk_held(active: DataFrame, rows: DataFrame, steps: int, eos: str | None, seed: int) -> DataFrame:
     spark = active.sparkSession
-    w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flat = probs.withColumn("cum", F.sum("prob").over(w)).select("key", "item", "rank", "cum").toArrow().sort_by(
+    entries = rows.select("key", F.posexplode(F.arrays_zip("items", "cums")).alias("rank", "r"))
+    flat = entries.select("key", F.col("r.items").alias("item"), "rank", F.col("r.cums").alias("cum")).toArrow().sort_by(
         [("key", "ascending"), ("rank", "ascending")]
     )
     keys = flat.column("key").combine_chunks()

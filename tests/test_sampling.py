@@ -244,3 +244,33 @@ def test_shifted_cross_entropy(spark):
     bad = spark.createDataFrame([(1, [[1.0]], [0, 1])], df.schema)
     with pytest.raises(Exception, match="differ in length"):
         shifted_cross_entropy(bad, "k", "s", "l").collect()
+
+
+def test_sampling_table_takes_the_sort_of_the_ranking(spark):
+    from seqloom.operators.sampling import sampling_table, topk_softmax
+
+    rows = [("a", "x", 1.0), ("a", "y", 3.0), ("a", "z", 3.0), ("a", None, 2.0), ("b", "x", 0.5), ("c", "x", 1.0), ("c", "y", 1.0)]
+    probs = topk_softmax(spark.createDataFrame(rows, "key string, item string, score double"), "key", "item", "score", k=3, temperature=1.0)
+    table = sampling_table(probs)
+    got = {r["key"]: (r["items"], r["cums"]) for r in table.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": ["y", "z", None], "b": ["x"], "c": ["x", "y"]}
+    assert got["c"][1] == [0.5, 1.0] and all(v[1][-1] == pytest.approx(1.0) for v in got.values())
+    plan = table._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan  # one row per key comes from the window, not from a second pass by key
+
+
+def test_joined_walk_deals_out_the_table_once(spark, monkeypatch):
+    dealt, kind = [], type(spark.range(0))
+    real = kind.repartition
+
+    def repartition(self, *args):
+        dealt.append(self.columns)
+        return real(self, *args)
+
+    monkeypatch.setattr(kind, "repartition", repartition)
+    held = spark._jsc.getPersistentRDDs().size()
+    table = spark.createDataFrame([(f"k{a}", f"k{(a * 7 + b) % 40}", float(b)) for a in range(40) for b in range(5)], "key string, item string, score double")
+    walkers = spark.createDataFrame([(w, f"k{w % 40}" if w % 2 else "k1") for w in range(400)], "w long, s string")
+    out = sample_walk(walkers, table, "w", "s", 6, held_rows=0)
+    assert dealt == [["cur", "items", "cums"]] and spark._jsc.getPersistentRDDs().size() == held
+    assert out.groupBy("step").count().where("count <> 400").isEmpty() and out.count() == 2800
