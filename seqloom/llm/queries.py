@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffles_freed, small_batches
 from .bpe_automaton import decode_documents, encode_documents
 from .chat_format import format_conversations, read_back
 from .conversation_repair import repair_conversations, repair_digests
@@ -235,9 +236,11 @@ def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and suffix-tree scores of every document; six sevenths of them teach."""
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs.where(crc_remainder(7) != 2).select("text"))
     rows = docs.select("doc_id", "text", (crc_remainder(7) == 2).alias("held_out"))
-    return score_texts(rows, model, ("doc_id", "held_out"))
+    with small_batches(spark):
+        model = learn(docs.where(crc_remainder(7) != 2).select("text"))
+        with shuffles_freed(spark):  # scored in here, where batches are small; a row per text is kept
+            return score_texts(rows, model, ("doc_id", "held_out")).checkpoint()
 
 
 @register(

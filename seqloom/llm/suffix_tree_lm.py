@@ -46,8 +46,10 @@ MIN_SHARE = 2e-4
 DEPTH, MIN_COUNT = 3, 1024
 #: Terms of the word tree that are broadcast.
 HOT = 1 << 21
-#: Bits of the tables that rule out keys before they are counted or joined: 16 a key, within these bounds (16 MB at most).
+#: Bits of the tables that rule out keys before they are counted or joined: 64 a key, within these bounds (16 MB at most).
 FILTER_BITS = 16, 27
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 20
 #: Rows of counted pairs that a task hands on at once.
 HANDED = 1 << 17
 #: Stands before and after every text in the sequence of word hashes.
@@ -66,8 +68,8 @@ class WordIndex:
 
     def __init__(self, hashes: np.ndarray, bits: int = 20):
         self.hashes, self.shift = hashes, np.uint64(64 - bits)
-        self.starts = np.zeros((1 << bits) + 1, np.int32)
-        np.cumsum(np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits), out=self.starts[1:])
+        self.starts = np.full((1 << bits) + 1, len(hashes), np.int32)
+        self.starts[:-1] = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         out = np.full(len(words), -1, np.int64)
@@ -146,7 +148,7 @@ def key_filter(keys: DataFrame) -> np.ndarray | None:
     n = keys.count()
     if not n:
         return None
-    bits = min(max(math.ceil(math.log2(16 * n)), FILTER_BITS[0]), FILTER_BITS[1])
+    bits = min(max(math.ceil(math.log2(64 * n)), FILTER_BITS[0]), FILTER_BITS[1])
     at = F.col("h").bitwiseAND((1 << bits) - 1)
     found = (
         keys.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w"))
@@ -193,16 +195,19 @@ def _with_key(pairs: DataFrame) -> DataFrame:
 
 
 def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counted pairs ``s, pe, n`` put together, each pair once. Their key follows from them and is not kept."""
-    s, pe = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    """Counted pairs ``s, pe, n`` put together, each pair once; empties ``parts``. Their key follows from them and is not kept."""
+    s, pe, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    parts.clear()
     e = pair_key(s, pe)
     order = np.argsort(e)
     e = e[order]
     first = np.flatnonzero(np.append(True, e[1:] != e[:-1])[: len(e)])
     del e
-    n = np.concatenate([p[2] for p in parts])[order]
+    n = n[order]
+    n = np.add.reduceat(n, first) if len(first) else n
     at = order[first]
-    return s[at], pe[at], np.add.reduceat(n, first) if len(first) else n
+    del order, first
+    return s[at], pe[at], n
 
 
 def _handed_on(s: np.ndarray, pe: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -227,10 +232,10 @@ def pair_counts(documents: DataFrame, level: int, depth: int, shared, text: str
             use = np.flatnonzero(may_hold(allowed, s))
             parts.append(_merged([(s[use], c.windows(level, level - 1, use), np.ones(len(use), np.int64))]))
             held += len(parts[-1][0])
-            if held > 2_500_000:
+            if held > 2_000_000:
                 parts = [_merged(parts)]
                 held = len(parts[0][0])
-                if held > 1_500_000:
+                if held > 1_250_000:
                     yield from _handed_on(*parts[0])
                     parts, held = [], 0
         if parts:
@@ -243,10 +248,10 @@ def pair_counts(documents: DataFrame, level: int, depth: int, shared, text: str
 def word_tree(
     documents: DataFrame, counts: DataFrame, n_texts: int, norm: float, text: str, depth: int, min_count: int, penalty: float
 ) -> DataFrame | None:
-    """Terms ``h, n, v`` of the nodes over words (key, occurrences, log10 value); None without any context.
+    """Terms ``h, n, v, node`` of the nodes over words (key, occurrences, log10 value, the node's own term); None without any context.
 
-    A context occurs at most as often as the pair that it is made of, so the pairs counted at one level say
-    which contexts the next level can have. Counts of contexts, tests and smoothing are Spark aggregates and joins.
+    A context occurs as often as the pair that it is made of, so the pairs counted at one level say
+    which contexts the next level has. Counts of contexts, tests and smoothing are Spark aggregates and joins.
     """
     spark = documents.sparkSession
     written: list[str] = []
@@ -270,16 +275,15 @@ def word_tree(
     parent = words.select(F.col("h").alias("pe"), ((F.col("n") + 1) / F.lit(norm)).alias("q"), F.lit(None).cast("long").alias("ps"))
     levels = []
     for level in range(1, depth + 1):
+        often = kept(often)
         allowed = key_filter(often)
         if allowed is None:
             break
         shared = spark.sparkContext.broadcast(allowed)
-        pairs = kept(pair_counts(documents, level, depth, shared, text))
-        counted = written[-1:]
+        pairs = pair_counts(documents, level, depth, shared, text).join(often.withColumnRenamed("h", "s"), "s", "left_semi")
+        stored = kept(pairs.join(parent, "pe").select("s", "pe", "ps", "n", "q"))
         shared.unpersist()
-        size = kept(pairs.groupBy("s").agg(F.sum("n").alias("whole"), F.count("*").alias("d")).where(F.col("whole") >= min_count))
-        stored = kept(pairs.join(size.select("s"), "s", "left_semi").join(parent, "pe").select("s", "pe", "ps", "n", "q"))
-        release(counted)
+        size = kept(stored.groupBy("s").agg(F.sum("n").alias("whole"), F.count("*").alias("d")).where(F.col("whole") >= min_count))
         p = (F.col("n") + F.col("d") * F.col("q")) / (F.col("whole") + F.col("d"))
         full = stored.join(size, "s").withColumn("p", p)
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("q")))
@@ -296,9 +300,9 @@ def word_tree(
             below.select(F.col("ps").alias("s"), F.lit(True).alias("child")).distinct(), "s", "left"
         ).where("passed OR child")
         weight = F.log10(F.col("d") / (F.col("whole") + F.col("d")))
-        own = nodes.select(F.bitwise_not("s").alias("h"), F.col("whole").alias("n"), weight.alias("v"))
+        own = nodes.select(F.bitwise_not("s").alias("h"), F.col("whole").alias("n"), weight.alias("v"), F.lit(True).alias("node"))
         value = (F.log10("p") - F.log10("q") - weight).alias("v")
-        seen = _with_key(full.join(nodes.select("s"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v")
+        seen = _with_key(full.join(nodes.select("s"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v", F.lit(False).alias("node"))
         terms = own.unionByName(seen) if terms is None else terms.unionByName(own).unionByName(seen)
         below = nodes
     if terms is None:
@@ -443,15 +447,28 @@ def learn(
 
 
 def _hot_terms(terms: DataFrame | None, limit: int) -> dict:
-    """The most frequent terms as arrays; whether there are others, and a filter of the keys of these."""
+    """The most frequent terms as arrays; filters of the keys of pairs (``cold``) and of nodes if some of them are not among these.
+
+    Nodes have a filter of their own: they are few and frequent, and most contexts are no node, so in a full
+    table of pairs most of the keys that it wrongly lets through would be theirs.
+    """
     top = None if terms is None else _top_classes(terms, limit)
-    none = {"hot": np.zeros(0, np.uint64), "value": np.zeros(0)}
+    out = {"hot": np.zeros(0, np.uint64), "value": np.zeros(0), "cold": None, "cold_nodes": None}
+    if terms is None:
+        return out
+    nodes = 0
     if top is not None:
-        found = top.select("h", "v").toArrow()
+        found = top.select("h", "v", "node").toArrow()
         h, order = (x := found.column("h").to_numpy().view(np.uint64)), np.argsort(x)
-        none = {"hot": h[order], "value": found.column("v").to_numpy()[order]}
-    rest = terms is not None and terms.count() > len(none["hot"])
-    return none | {"cold": key_filter(terms.select("h")) if rest else None}
+        out |= {"hot": h[order], "value": found.column("v").to_numpy()[order]}
+        nodes = int(found.column("node").to_numpy().sum())
+        del found, h, x, order  # the filters below are collected as well
+    every = terms.agg(F.count("*").alias("terms"), F.count_if("node").alias("nodes")).first()
+    if every["nodes"] > nodes:
+        out["cold_nodes"] = key_filter(terms.where("node").select("h"))
+    if every["terms"] - every["nodes"] > len(out["hot"]) - nodes:
+        out["cold"] = key_filter(terms.where("NOT node").select("h"))
+    return out
 
 
 def _tree_terms(
@@ -472,7 +489,7 @@ def _tree_terms(
         at = hot.find(node)
         here = at >= 0
         more[use[here]] += s["value"][at[here]]
-        perhaps = ~here & may_hold(s["cold"], node) if s["cold"] is not None else np.zeros(len(use), bool)
+        perhaps = ~here & may_hold(s["cold_nodes"], node) if s["cold_nodes"] is not None else np.zeros(len(use), bool)
         later(use[perhaps], node[perhaps], by_class[use[perhaps]] if level == 1 else np.zeros(int(perhaps.sum())))
         if level == 1:
             none = use[~here & ~perhaps]
@@ -525,7 +542,7 @@ def score_texts(
         other_norm = np.log10(s["other_total"] + s["other_distinct"] + 1)
         log_n = np.log10(s["n"] + 1.0)
         end_base = np.log10(s["texts"] + 1.0) - base_norm
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", SCORED_BYTES):
             texts = [t.lower() for t in texts_of(b.column("__text"))]
             n = len(texts)
             w = Words(texts, powers)
@@ -583,9 +600,10 @@ def score_texts(
     s = model.state
     norm = float(np.log10(s["total"] + s["distinct"] + 1))
     known = model.counts.select("h", F.col("n").alias("c"), F.lit(None).cast("double").alias("v"))
-    if s["cold"] is not None:  # keys of words and of terms are 64-bit hashes of different things
+    if s["cold"] is not None or s["cold_nodes"] is not None:  # keys of words and of terms are 64-bit hashes of different things
         known = known.unionByName(model.terms.select("h", F.lit(None).cast("long").alias("c"), "v"))
-    joined = tokens.join(known, "h", "left")
+    # keys are unique in ``known`` and evenly dealt, so a partition of it is small; the tokens need no sort
+    joined = tokens.join(known.hint("shuffle_hash"), "h", "left")
     word = F.col("alt").isNull()
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     per_text = joined.groupBy("row").agg(
@@ -593,15 +611,17 @@ def score_texts(
         F.sum(F.when(word, F.col("m") * (log_c - F.lit(norm))).otherwise(0.0)).alias("base"),
         F.sum(F.when(word, F.col("m") * (log_c - F.lit(norm))).otherwise(F.coalesce(F.col("m") * F.col("v"), "alt"))).alias("score"),
         F.count("head").alias("copies"),
-        F.first("head", ignorenulls=True).alias("one"),
+        *[F.first(F.col("head")[f.name], ignorenulls=True).alias(f"one_{f.name}") for f in given],
+        # numbers one by one, as an aggregate of structs would sort all tokens by text
+        *[F.max(F.col("head")[f.name]).alias(f"one_{f.name}") for f in HEAD.fields],
     )
     each = per_text.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(
-        *[F.col(f"one.{k}").alias(k) for k in key_names],
-        F.col("one.n_tokens").alias("n_tokens"),
-        (F.col("one.known") + F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        *[F.col(f"`one_{k}`").alias(k) for k in key_names],
+        F.col("one_n_tokens").alias("n_tokens"),
+        (F.col("one_known") + F.col("known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(int(s["total"])).cast("long").alias("train_tokens"),
-        (F.col("one.base") + F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("one.score") + F.col("score") / F.col("copies")).alias("score"),
+        (F.col("one_base") + F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("one_score") + F.col("score") / F.col("copies")).alias("score"),
     )
 

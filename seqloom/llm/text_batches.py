@@ -51,10 +51,11 @@ def texts_of(column: pa.Array) -> list[bytes]:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift and multiply rounds)."""
     x = x ^ (x >> np.uint64(33))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(33))
-    x = x * _M2
-    return x ^ (x >> np.uint64(33))
+    x *= _M1
+    x ^= x >> np.uint64(33)
+    x *= _M2
+    x ^= x >> np.uint64(33)
+    return x
 
 
 class Words:
