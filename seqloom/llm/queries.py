@@ -240,7 +240,9 @@ def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     with small_batches(spark):
         model = learn(docs.where(crc_remainder(7) != 2).select("text"))
         with shuffles_freed(spark):  # scored in here, where batches are small; a row per text is kept
-            return score_texts(rows, model, ("doc_id", "held_out")).checkpoint()
+            scored = score_texts(rows, model, ("doc_id", "held_out")).checkpoint()
+    model.release()
+    return scored
 
 
 @register(

@@ -49,7 +49,7 @@ HOT = 1 << 21
 #: Bits of the tables that rule out keys before they are counted or joined: 64 a key, within these bounds (16 MB at most).
 FILTER_BITS = 16, 27
 #: Bytes of text that are scored at once.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 19
 #: Rows of counted pairs that a task hands on at once.
 HANDED = 1 << 17
 #: Stands before and after every text in the sequence of word hashes.
@@ -129,7 +129,7 @@ def context_counts(documents: DataFrame, frequent: dict, text: str = "text") ->
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held = Powers(), HeldCounts(2_000_000)
+        powers, held = Powers(), HeldCounts()
         index, symbol = WordIndex(shared.value["hash"]), shared.value["symbol"]
         for b in slices(batches, text):
             texts = [t.lower() for t in texts_of(b.column(text))]
@@ -269,10 +269,12 @@ def word_tree(
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
             written.remove(path)
 
-    edge = spark.createDataFrame([(EDGE, n_texts)], "h long, n long")
+    # a row made by Spark: one from the driver's Python would start Python workers of another kind
+    edge = spark.range(1).select(F.lit(EDGE).cast("long").alias("h"), F.lit(n_texts).cast("long").alias("n"))
     words = counts.select("h", "n").unionByName(edge)
     often = words.where(F.col("n") >= min_count).select("h")
     parent = words.select(F.col("h").alias("pe"), ((F.col("n") + 1) / F.lit(norm)).alias("q"), F.lit(None).cast("long").alias("ps"))
+    p = (F.col("n") + F.col("d") * F.col("q")) / (F.col("whole") + F.col("d"))
     levels = []
     for level in range(1, depth + 1):
         often = kept(often)
@@ -280,29 +282,31 @@ def word_tree(
         if allowed is None:
             break
         shared = spark.sparkContext.broadcast(allowed)
-        pairs = pair_counts(documents, level, depth, shared, text).join(often.withColumnRenamed("h", "s"), "s", "left_semi")
+        pairs = pair_counts(documents, level, depth, shared, text)
         stored = kept(pairs.join(parent, "pe").select("s", "pe", "ps", "n", "q"))
         shared.unpersist()
-        size = kept(stored.groupBy("s").agg(F.sum("n").alias("whole"), F.count("*").alias("d")).where(F.col("whole") >= min_count))
-        p = (F.col("n") + F.col("d") * F.col("q")) / (F.col("whole") + F.col("d"))
-        full = stored.join(size, "s").withColumn("p", p)
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("q")))
-        tests = full.groupBy("s").agg(
-            F.first("ps").alias("ps"), F.first("whole").alias("whole"), F.first("d").alias("d"), gain.alias("gain")
+        # sum n ln(n / whole / q), with the part of whole taken out: the pairs are added up without a join
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("q")))
+        log_whole = F.log(F.col("whole").cast("double"))
+        tests = kept(
+            stored.groupBy("s").agg(F.first("ps").alias("ps"), F.sum("n").alias("whole"), F.count("*").alias("d"), gain.alias("gain"))
+            .where(F.col("whole") >= min_count)
+            .withColumn("passed", F.col("gain") - F.col("whole") * log_whole > F.lit(penalty / 2) * F.col("d") * log_whole)
+            .drop("gain")
         )
-        passed = F.col("gain") > F.lit(penalty / 2) * F.col("d") * F.log(F.col("whole").cast("double"))
-        levels.append((full, tests.withColumn("passed", passed).checkpoint()))
+        levels.append((stored, tests))
         often = _with_key(stored.where(F.col("n") >= min_count).select("s", "pe")).select(F.col("e").alias("h"))
+        full = stored.join(tests.select("s", "whole", "d"), "s").withColumn("p", p)
         parent = _with_key(full.select("s", "pe", "p")).select(F.col("e").alias("pe"), F.col("p").alias("q"), F.col("s").alias("ps"))
     terms, below = None, None
-    for full, tests in reversed(levels):
-        nodes = tests.where("passed") if below is None else tests.join(
+    for stored, tests in reversed(levels):
+        nodes = kept(tests.where("passed") if below is None else tests.join(
             below.select(F.col("ps").alias("s"), F.lit(True).alias("child")).distinct(), "s", "left"
-        ).where("passed OR child")
+        ).where("passed OR child"))
         weight = F.log10(F.col("d") / (F.col("whole") + F.col("d")))
         own = nodes.select(F.bitwise_not("s").alias("h"), F.col("whole").alias("n"), weight.alias("v"), F.lit(True).alias("node"))
-        value = (F.log10("p") - F.log10("q") - weight).alias("v")
-        seen = _with_key(full.join(nodes.select("s"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v", F.lit(False).alias("node"))
+        value = (F.log10(p) - F.log10("q") - weight).alias("v")
+        seen = _with_key(stored.join(nodes.select("s", "whole", "d"), "s").select("s", "pe", "n", value)).select(F.col("e").alias("h"), "n", "v", F.lit(False).alias("node"))
         terms = own.unionByName(seen) if terms is None else terms.unionByName(own).unionByName(seen)
         below = nodes
     if terms is None:
@@ -368,6 +372,18 @@ class SuffixTree:
 
     def __init__(self, counts: DataFrame, terms: DataFrame | None, state: dict):
         self.counts, self.terms, self.state = counts, terms, state
+        self._shared = None
+
+    def shared(self):
+        """The broadcast ``state``."""
+        if self._shared is None:
+            self._shared = self.counts.sparkSession.sparkContext.broadcast(self.state)
+        return self._shared
+
+    def release(self) -> None:
+        """Take the broadcast from the executors; it is sent again if it is needed."""
+        if self._shared is not None:
+            self._shared.unpersist()
 
 
 def learn(
@@ -529,7 +545,7 @@ def score_texts(
     one narrow row per rare word of a text). Words in the broadcast list cannot be hot keys there.
     """
     rows = documents.select(*keys, F.xxhash64(*keys).alias("__id"), F.col(text).cast("string").alias("__text"))
-    shared = documents.sparkSession.sparkContext.broadcast(model.state)
+    shared = model.shared()
     given = [f for f in rows.schema.fields if f.name in keys]
     head = T.StructType([*given, *HEAD.fields])
     schema = T.StructType().add("row", "long").add("h", "long").add("m", "long").add("alt", "double").add("head", head)

@@ -395,3 +395,47 @@ def test_counted_pairs_are_handed_on_in_parts(monkeypatch):
     assert len(batches) == -(-len(s) // 100) and max(b.num_rows for b in batches) == 100
     assert [x for b in batches for x in b.column("n").to_pylist()] == n.tolist()
     assert [b.num_rows for b in lm._handed_on(s[:0], pe[:0], n[:0])] == [0]
+
+
+def test_texts_come_in_small_batches_and_nodes_have_their_own_filter(spark):
+    import pyarrow as pa
+
+    from seqloom.llm import suffix_tree_lm as lm
+    from seqloom.session import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    with small_batches(spark, 10):
+        sizes = spark.range(0, 95, 1, 1).mapInArrow(lambda it: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in it), "n long")
+        assert max(r.n for r in sizes.collect()) == 10
+    assert spark.conf.get(key) == old
+    texts = [" ".join(f"w{(k * 7 + j * j) % 11}" for j in range(30)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.learn(df, min_count=8, hot=40)
+    terms = model.terms.collect()
+    nodes = [r for r in terms if r.node]
+    assert 0 < len(nodes) < len(terms) and all(r.n >= 8 for r in nodes)
+    kept = set(model.state["hot"].tolist())
+    cold = [np.uint64(r.h % (1 << 64)) for r in nodes if r.h % (1 << 64) not in kept]
+    filter_of_nodes = model.state["cold_nodes"]
+    assert (filter_of_nodes is None) == (not cold)
+    assert all(lm.may_hold(filter_of_nodes, np.array([h]))[0] for h in cold)
+    assert lm._hot_terms(model.terms, len(terms))["cold_nodes"] is None
+    # whatever is broadcast and whatever is joined, the scores are the same
+    want = {r.doc_id: r.score for r in lm.score_texts(df, lm.learn(df, min_count=8)).collect()}
+    got = lm.score_texts(df, model)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ShuffledHashJoin" in plan
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(want, rel=1e-9)
+    model.release()
+    assert {r.doc_id: r.score for r in lm.score_texts(df, model).collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_filter_lets_few_other_keys_through(spark):
+    from seqloom.llm import suffix_tree_lm as lm
+
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 4000).astype(np.int64)
+    table = lm.key_filter(spark.createDataFrame([(int(k),) for k in keys], "h long"))
+    assert lm.may_hold(table, keys.view(np.uint64)).all()
+    others = np.random.default_rng(4).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert lm.may_hold(table, others).mean() < 0.02
