@@ -66,10 +66,13 @@ PENALTY = 1.0
 class WordIndex:
     """Position of word hashes in a sorted list, -1 for those not in it."""
 
-    def __init__(self, hashes: np.ndarray, bits: int = 20):
+    def __init__(self, hashes: np.ndarray):
+        bits = min(max((4 * len(hashes)).bit_length(), 10), 22)  # two buckets a hash at least, up to 16 MB of them
         self.hashes, self.shift = hashes, np.uint64(64 - bits)
         self.starts = np.full((1 << bits) + 1, len(hashes), np.int32)
-        self.starts[:-1] = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        part = min(1 << bits, 1 << 18)
+        for k in range(0, 1 << bits, part):
+            self.starts[k : k + part] = np.searchsorted(hashes, np.arange(k, k + part, dtype=np.uint64) << self.shift)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         out = np.full(len(words), -1, np.int64)

@@ -439,3 +439,15 @@ def test_filter_lets_few_other_keys_through(spark):
     assert lm.may_hold(table, keys.view(np.uint64)).all()
     others = np.random.default_rng(4).integers(0, 1 << 63, 100_000).astype(np.uint64)
     assert lm.may_hold(table, others).mean() < 0.02
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 300_000])
+def test_word_index_finds_what_it_holds(n):
+    from seqloom.llm.suffix_tree_lm import WordIndex
+
+    hashes = np.unique(np.random.default_rng(6).integers(0, 1 << 64, n, dtype=np.uint64))
+    index = WordIndex(hashes)
+    others = np.random.default_rng(7).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    assert (index.find(hashes) == np.arange(len(hashes))).all()
+    assert (index.find(np.setdiff1d(others, hashes)) == -1).all()
+    assert np.diff(index.starts).max(initial=0) <= 12 and index.starts[-1] == len(hashes)
