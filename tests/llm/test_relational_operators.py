@@ -312,6 +312,37 @@ def test_top_k_keeps_the_last_neighbour_in_the_own_ring(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_top(vectors, range(0, 600, 20), 10)
 
 
+def test_search_of_many_wide_queries(spark, tmp_path):
+    """2,000 queries in one batch, each near all 768 rings: its vector is handed on once per block, a bounded number at once."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(23)
+    m = rng.integers(-9, 10, size=(4000, 256))
+    rows = {"vec_id": pa.array(range(4000), pa.int64()), "embedding": pa.array(list(m.astype(float)))}
+    pq.write_table(pa.table(rows), f"{tmp_path}/v.parquet")
+    index = build_index(integer_vectors(spark.read.parquet(f"{tmp_path}/v.parquet"), scale=1.0))
+    got = top_k(index, index.rows.where("vec_id % 2 = 0"), 10).orderBy("query_id", "rank").collect()
+    want = []
+    for q, scores in zip(range(0, 4000, 2), (m[::2] @ m.T), strict=True):
+        best = [j for j in np.lexsort((np.arange(4000), -scores))[:11] if j != q][:10]
+        want += [(q, r + 1, j, scores[j]) for r, j in enumerate(best)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_packed_vectors_of_all_widths(spark):
+    from seqloom.llm.pivot_search import _matrix
+
+    rows = [(0, [1.0, -2.5]), (1, [40_000.0]), (2, []), (3, [2.0**40, -3.0]), (4, [None, 1.0]), (5, [-1e30, 7.0])]
+    for part in ([0], [0, 1, 2], [0, 3], [2], [5, 0], [4]):
+        df = spark.createDataFrame([rows[k] for k in part], "vec_id long, embedding array<double>").coalesce(1)
+        got = integer_vectors(df, scale=1.0).toArrow()
+        want = [np.clip(np.floor(rows[k][1]), -(2.0**62), 2.0**62) for k in part if k != 4]
+        assert got.column("dim").to_pylist() == [len(v) for v in want]
+        m = _matrix(got.column("vec").combine_chunks(), 2)
+        assert [m[k, : len(v)].tolist() for k, v in enumerate(want)] == [v.tolist() for v in want]
+
+
 # ---- pipeline
 
 
