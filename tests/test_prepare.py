@@ -358,3 +358,45 @@ def test_lookup_of_repeated_keys_and_ids(spark):
     zero = [[4.0], [5.0], [6.0]]
     assert got[1] == [[3.0], [4.0], [4.0], [5.0], [5.0], [6.0], [6.0], None, None]
     assert got[None] == [None, *zero, [3.0]] and got[2] == [[3.0], *zero]
+
+
+def test_lookup_moves_few_vectors_of_a_large_table(spark):
+    """Rare ids, each in many documents: blocks are not multiplied until each needs few vectors; the vectors of a task are mapped."""
+    import numpy as np
+
+    from seqloom.operators.sequences import lookup
+
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.integers(0, 2000, 40).tolist()) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").repartition(4)
+    table = spark.createDataFrame([(i, [i + 0.5, -1.0, 2.0]) for i in range(2000)], "token_id int, vec array<float>")
+    out = lookup(df, table, "ids", "k", held_bytes=12 * 100, element="double")
+    assert dict(out.dtypes)["vectors"] == "array<array<double>>"
+    assert out.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert {r["k"]: [v for v in r["vectors"]] for r in out.collect()} == {k: [[i + 0.5, -1.0, 2.0] for i in ids] for k, ids in rows}
+
+
+def test_vectors_of_a_block_in_a_file():
+    """Filed and kept vectors of a block together, also ragged ones, nulls and ids with several."""
+    import pyarrow as pa
+
+    from seqloom.operators.sequences import _place_vectors
+
+    def batch(kind, id=None, vec=None, key=None, ids=None):
+        n = len(id or key)
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([0] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "id": pa.array(id or [None] * n, pa.int32()),
+            "vec": pa.array(vec or [None] * n, pa.list_(pa.float32())), "key": pa.array(key or [None] * n, pa.int64()),
+            "ids": pa.array(ids or [None] * n, pa.list_(pa.int32())), "pos": pa.array([None] * n, pa.list_(pa.int32())),
+        })
+
+    plain = [batch(0, [4, 5], [[1.0, 2.0], [3.0]]), batch(0, [6, 7], [[], [4.0, 5.0]])]
+    rows = batch(1, key=[1, 2], ids=[[7, 4, 4], [6, 5]])
+    for limit in (0, 20, 1 << 20):
+        got = pa.Table.from_batches(_place_vectors(iter([*plain, rows]), limit, pa.list_(pa.float64())))
+        assert got.schema.field("vectors").type.value_type.value_type == pa.float64()
+        assert got.column("vectors").to_pylist() == [[[4.0, 5.0], [1.0, 2.0], [1.0, 2.0]], [[], [3.0]]]
+        odd = [*plain, batch(0, [8, 9], [None, [None, 1.0]]), batch(0, [4], [[9.0]]), batch(1, key=[1, 2], ids=[[8, 4], [9, 7]])]
+        got = pa.Table.from_batches(_place_vectors(iter(odd), limit))
+        (a, b, c), d = got.column("vectors").to_pylist()
+        assert a is None and sorted([b, c]) == [[1.0, 2.0], [9.0]] and d == [[None, 1.0], [4.0, 5.0]]
